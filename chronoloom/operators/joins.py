@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.quantiles import attach, union_all
+from ..core.quantiles import union_all
 from ..core.timeline import SLICE, Timeline, carried, floor_div
 
 
@@ -42,13 +42,10 @@ def asof_segment(
     )
     merged = body.unionByName(marks, allowMissingColumns=True)
     line = Timeline(tl.keys, "_at", ["_kind", *tie], tl.width)
-    joined = carried(merged, line, last={"_hit": F.col("_seg")}).filter("_kind = 1")
-    if first_before_start:
-        first = segments.groupBy(*tl.keys).agg(F.min_by(payload, F.col(start)).alias("_first"))
-        joined = attach(joined.drop("_seg"), first, tl.keys)
-        hit = F.coalesce("_hit", "_first")
-    else:
-        hit = F.col("_hit")
+    ahead = {"_ahead": F.col("_seg")} if first_before_start else {}
+    joined = carried(merged, line, last={"_hit": F.col("_seg")}, upcoming=ahead).filter("_kind = 1")
+    # nothing behind means the first segment lies ahead
+    hit = F.coalesce("_hit", *ahead)
     return joined.select("_row.*", *[hit[c].alias(c) for c in [start, *columns]])
 
 
