@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.quantiles import union_all
-from ..core.timeline import SLICE, Timeline, carried, floor_div
+from ..core.quantiles import attach, union_all
+from ..core.timeline import SLICE, Timeline, carried, floor_div, near
+from ..functions.lattice import Lattice, grid_confidence, snap_error_ms
 
 
 def asof_segment(
@@ -363,3 +364,97 @@ def roll_up(
     carried_columns = [c for c in parents.columns if c != indices]
     links = parents.select(*carried_columns, F.explode(indices).alias(child_index))
     return links.join(children, [*keys, child_index]).groupBy(*carried_columns).agg(*aggs)
+
+
+# --------------------------------------------------------------------------
+# links between candidates, hits and curves
+
+
+def link_candidates(candidates: DataFrame, hits: DataFrame, missing: str = "uncertain") -> DataFrame:
+    """Attach the surviving hit of a candidate; demote accepted ones without a hit.
+
+    Positions of a linked candidate follow its hit.  ``missing`` is the status of
+    an accepted candidate that lost its hit: ``uncertain`` while analysing,
+    ``rejected`` when persisted.
+    """
+    kept = hits.select(
+        F.col("candidate_id").alias("id"), F.col("id").alias("hit_id"),
+        F.col("acoustic").alias("_acoustic"), F.col("chart").alias("_chart"),
+    )
+    known = F.col("status").isin("accepted", "rejected", "uncertain")
+    status = F.when(known, F.col("status")).otherwise("uncertain")
+    return (
+        candidates.join(kept, "id", "left")
+        .withColumns(
+            {
+                "status": F.when((status == "accepted") & F.col("hit_id").isNull(), missing).otherwise(status),
+                "acoustic": F.coalesce("_acoustic", "acoustic"),
+                "chart": F.coalesce("_chart", "chart"),
+            }
+        )
+        .drop("_acoustic", "_chart")
+    )
+
+
+def frame_of(pos: Column, hop: int, count: Column) -> Column:
+    """Nearest frame of a position, half-even, clamped to the curve."""
+    at = F.rint(pos / F.lit(hop)).cast("bigint")
+    return F.least(F.greatest(at, F.lit(0)), count - 1)
+
+
+def evidence_at(
+    points: DataFrame, frames: DataFrame, keys: Sequence[str], pos: str, hop: int,
+    sources: Sequence[str], frame: str = "frame_idx",
+) -> DataFrame:
+    """Share of every source at the frame nearest to a point, six decimals.
+
+    Points past the last frame use the last one: that frame is found with the
+    per-key frame count, which is repeated over salts for a hot key.
+    """
+    counts = frames.groupBy(*keys).agg((F.max(frame) + 1).alias("_frames"))
+    placed = attach(points, counts, keys).withColumn(
+        frame, frame_of(F.col(pos), hop, F.col("_frames"))
+    )
+    values = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"_a_{s}"))) for s in sources]
+    total = values[0]
+    for value in values[1:]:
+        total = total + value
+    total = F.greatest(total, F.lit(1e-8))
+    curves = frames.select(*keys, frame, *[F.col(s).alias(f"_a_{s}") for s in sources])
+    out = placed.join(curves, [*keys, frame], "left")
+    return out.select(
+        *points.columns,
+        *[F.round(v / total, 6).alias(f"share_{s}") for s, v in zip(sources, values, strict=True)],
+        *[v.alias(f"activity_{s}") for s, v in zip(sources, values, strict=True)],
+    )
+
+
+def local_evidence(
+    tokens: DataFrame, frames: DataFrame, tl: Timeline, weights: dict[str, float], radius: int = 2
+) -> DataFrame:
+    """Weighted sum of the curve maxima within +-radius frames of a token's frame.
+
+    ``tl`` orders the frames; tokens carry the same frame index column.
+    """
+    peaks = near(frames, tl, radius, radius, {f"_m_{c}": F.max(c) for c in weights})
+    score = None
+    for column, weight in weights.items():
+        term = F.lit(weight) * F.col(f"_m_{column}")
+        score = term if score is None else score + term
+    peaks = peaks.select(*tl.keys, tl.pos, score.alias("evidence"))
+    return tokens.join(peaks, [*tl.keys, tl.pos], "left")
+
+
+def resnap(points: DataFrame, segments: DataFrame, tl: Timeline, rate: int, subdivisions: int = 4) -> DataFrame:
+    """New chart positions after a tempo edit; the acoustic position never moves."""
+    placed = asof_segment(points, segments, tl, "start_pos", ["bpm", "beat_offset"])
+    grid = Lattice(rate, F.col("bpm"), F.col("beat_offset"), subdivisions).nearest(F.col(tl.pos))
+    # a track without any segment keeps its positions
+    chart = F.coalesce(grid, F.col(tl.pos))
+    error = snap_error_ms(F.col(tl.pos), chart, F.lit(rate))
+    confidence = grid_confidence(error)
+    out = placed.withColumns({"chart": chart, "snap_error_ms": error, "grid_confidence": confidence})
+    if "semantic" in points.columns:
+        rest = F.map_filter("semantic", lambda k, v: k != "beatConfidence")
+        out = out.withColumn("semantic", F.map_concat(rest, F.create_map(F.lit("beatConfidence"), F.col("grid_confidence"))))
+    return out

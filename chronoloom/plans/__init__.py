@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["lattice", "projections"]
+FAMILIES = ["lattice", "projections", "joins"]
 
 
 def load():
