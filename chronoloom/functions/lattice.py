@@ -115,8 +115,9 @@ def grid_confidence(error_ms: Column, width_ms: float = 30.0) -> Column:
 
 
 def rhythm_score(distance: Column, step: Column) -> Column:
-    """Closeness to the grid, 1 on a line and e^-1 half a step away."""
-    return F.exp(-F.pow(distance / (step / F.lit(2.0)), F.lit(2.0)))
+    """Closeness to the grid, 1 on a line and 1/e half a step (at least 1) away."""
+    half = F.greatest(step / F.lit(2.0), F.lit(1.0))
+    return F.exp(-F.pow(distance / half, F.lit(2.0)))
 
 
 def line_distance(pos: Column, step: Column, offset: Column) -> Column:

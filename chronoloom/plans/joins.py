@@ -51,25 +51,25 @@ def j4(spark, d):
     return J.suppress_near(p.filter("lane <> 'error'"), p.filter("lane = 'error'"), TRACKS, HOUR, "cell").select("id")
 
 
-def greedy_match_sql(tolerance: int) -> str:
+def greedy_match_sql(tolerance: int, tag: str = "") -> str:
     """Recursive walk over all pairs in (distance, truth, prediction) order."""
-    return f"""{POINTS},
-pairs AS (
+    return f"""pairs{tag} AS (
   SELECT t.track_id, t.id AS t, p.id AS p, abs(t.pos - p.pos) AS d,
          row_number() OVER (PARTITION BY t.track_id ORDER BY abs(t.pos - p.pos), t.id, p.id) AS rn
   FROM points t JOIN points p ON t.track_id = p.track_id AND t.lane = 'purchase' AND p.lane = 'click'
        AND abs(t.pos - p.pos) <= {tolerance}),
-walk AS (
+walk{tag} AS (
   SELECT track_id, 0::BIGINT AS rn, []::BIGINT[] AS ut, []::BIGINT[] AS up, []::BIGINT[] AS ud
-  FROM (SELECT DISTINCT track_id FROM pairs)
+  FROM (SELECT DISTINCT track_id FROM pairs{tag})
   UNION ALL
   SELECT w.track_id, q.rn,
     CASE WHEN list_contains(ut, q.t) OR list_contains(up, q.p) THEN ut ELSE list_append(ut, q.t) END,
     CASE WHEN list_contains(ut, q.t) OR list_contains(up, q.p) THEN up ELSE list_append(up, q.p) END,
     CASE WHEN list_contains(ut, q.t) OR list_contains(up, q.p) THEN ud ELSE list_append(ud, q.d) END
-  FROM walk w JOIN pairs q ON q.track_id = w.track_id AND q.rn = w.rn + 1),
-done AS (SELECT track_id, max_by(ut, rn) AS ut, max_by(up, rn) AS up, max_by(ud, rn) AS ud FROM walk GROUP BY track_id),
-matches AS (SELECT track_id, unnest(ut) AS truth_idx, unnest(up) AS prediction_idx, unnest(ud) AS distance FROM done)"""
+  FROM walk{tag} w JOIN pairs{tag} q ON q.track_id = w.track_id AND q.rn = w.rn + 1),
+done{tag} AS (SELECT track_id, max_by(ut, rn) AS ut, max_by(up, rn) AS up, max_by(ud, rn) AS ud
+  FROM walk{tag} GROUP BY track_id),
+matches{tag} AS (SELECT track_id, unnest(ut) AS truth_idx, unnest(up) AS prediction_idx, unnest(ud) AS distance FROM done{tag})"""
 
 
 def truth_and_prediction(spark, d):
@@ -82,7 +82,7 @@ def matches(spark, d, tolerance):
     return J.match_events(truth, predicted, TRACKS, tolerance)
 
 
-@query("j5_tolerance_match", f"""WITH RECURSIVE {greedy_match_sql(4 * HOUR)}
+@query("j5_tolerance_match", f"""WITH RECURSIVE {POINTS}, {greedy_match_sql(4 * HOUR)}
 SELECT track_id, truth_idx, prediction_idx, distance FROM matches""")
 def j5(spark, d):
     return matches(spark, d, 4 * HOUR)
