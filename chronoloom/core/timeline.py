@@ -166,16 +166,63 @@ def near(
     return out.filter("_home").drop(SLICE, "_home")
 
 
+def neighbours(
+    df: DataFrame,
+    tl: Timeline,
+    reach: int,
+    *,
+    prev: Mapping[str, Column] | None = None,
+    nxt: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """lag/lead for neighbours at most ``reach`` positions away, null beyond.
+
+    One shuffle and one read of the input: unlike ``carried`` it needs no slice
+    summary, so it is the one to use when only near neighbours matter.
+    """
+    inside = Window.partitionBy(*tl.home()).orderBy(*tl.order)
+    pos = F.col(tl.pos)
+    out = haloed(df, tl, reach, reach)
+    columns = {}
+    for name, value in dict(prev or {}).items():
+        close = pos - F.lag(pos).over(inside) <= reach
+        columns[name] = F.when(close, F.lag(value).over(inside))
+    for name, value in dict(nxt or {}).items():
+        close = F.lead(pos).over(inside) - pos <= reach
+        columns[name] = F.when(close, F.lead(value).over(inside))
+    return out.withColumns(columns).filter("_home").drop(SLICE, "_home")
+
+
 def islands(df: DataFrame, tl: Timeline, gap: int, name: str = "island") -> DataFrame:
     """Label rows with the position of the first row of their island.
 
     A row starts a new island when it is at least ``gap`` after its predecessor.
     """
-    head = carried(df, tl, prev={"_prev_pos": F.col(tl.pos)})
-    start = F.when(
-        F.col("_prev_pos").isNull() | (F.col(tl.pos) - F.col("_prev_pos") >= F.lit(gap)),
-        F.col(tl.pos),
+    marked = neighbours(df, tl, gap - 1, prev={"_before": F.col(tl.pos)})
+    head = F.when(F.col("_before").isNull(), F.col(tl.pos))
+    return carried(marked.withColumn("_head", head), tl, last={name: F.col("_head")}).drop(
+        "_head", "_before"
+    )
+
+
+def increasing(df: DataFrame, tl: Timeline, value: str, name: str) -> DataFrame:
+    """Smallest strictly increasing sequence that is >= ``value`` row by row.
+
+    Closed form running max(value - n) + n with n the row number.  Both running
+    values are taken inside a slice and shifted by what the earlier slices hold.
+    """
+    inside = Window.partitionBy(*tl.home()).orderBy(*tl.order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn(SLICE, tl.slice_of()).withColumn("_n", F.row_number().over(inside).cast("bigint"))
+    local = local.withColumn("_low", F.col(value) - F.col("_n"))
+    back = Window.partitionBy(*tl.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = (
+        local.groupBy(*tl.home()).agg(F.count("*").alias("_c"), F.max("_low").alias("_m"))
+        .withColumn("_c0", F.coalesce(F.sum("_c").over(back), F.lit(0)))
+        .withColumn("_m0", F.max(F.col("_m") - F.col("_c0")).over(back))
+        .select(*tl.home(), "_c0", "_m0")
     )
-    return carried(head.withColumn("_head", start), tl, last={name: F.col("_head")}).drop(
-        "_head", "_prev_pos"
+    best = F.greatest(F.max("_low").over(upto) - F.col("_c0"), F.col("_m0"))
+    out = local.join(per_slice, tl.home(), "left")
+    return out.withColumn("_best", best).select(
+        *df.columns, (F.col("_best") + F.col("_n") + F.col("_c0")).alias(name)
     )

@@ -112,10 +112,14 @@ def stem_frames(spark, d):
     """Four activity curves per embedding row, 64 frames each."""
     e = F.col("embedding")
 
-    def turned(by):
-        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.abs(F.get(e, (i + by) % 64)).cast("double"))
-
-    zipped = F.arrays_zip(*[turned(16 * i).alias(s) for i, s in enumerate(("vocals", "drums", "bass", "other"))])
+    def turned(by, factor):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(63)),
+            lambda i: F.abs(F.get(e, (i + by) % 64)).cast("double") * F.lit(factor),
+        )
+
+    scale = {"vocals": 1.0, "drums": 0.95, "bass": 0.9, "other": 1.05}
+    zipped = F.arrays_zip(*[turned(16 * i, f).alias(s) for i, (s, f) in enumerate(scale.items())])
     return (
         table(spark, d, "embeddings")
         .select(F.col("vec_id").alias("track_id"), F.posexplode(zipped).alias("frame_idx", "z"))
@@ -125,8 +129,8 @@ def stem_frames(spark, d):
 
 STEM_FRAMES = """stem_frames AS (
   SELECT vec_id AS track_id, (i - 1)::BIGINT AS frame_idx, abs(embedding[i])::DOUBLE AS vocals,
-         abs(embedding[(i + 15) % 64 + 1])::DOUBLE AS drums, abs(embedding[(i + 31) % 64 + 1])::DOUBLE AS bass,
-         abs(embedding[(i + 47) % 64 + 1])::DOUBLE AS other
+         abs(embedding[(i + 15) % 64 + 1])::DOUBLE * 0.95::DOUBLE AS drums,
+         abs(embedding[(i + 31) % 64 + 1])::DOUBLE * 0.9::DOUBLE AS bass, abs(embedding[(i + 47) % 64 + 1])::DOUBLE * 1.05::DOUBLE AS other
   FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
 
 
