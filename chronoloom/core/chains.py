@@ -20,10 +20,10 @@ data volume.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import map_groups
 from .timeline import SLICE, Timeline
 
 SLICES_PER_WINDOW = 16
@@ -78,72 +78,60 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
     a stronger one) and ``state_pos`` (state after the row).
     """
     keys, pos_name = list(tl.keys), tl.pos
-    types = {f.name: f.dataType.simpleString() for f in pre.schema.fields}
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-    def arrays(pdf: pd.DataFrame):
-        pos = pdf[pos_name].to_numpy(np.int64)
-        return pos, (pdf["_score"].to_numpy(np.float64) if scored else None)
+    def arrays(g):
+        pos = g[pos_name].astype(np.int64)
+        return pos, (g["_score"].astype(np.float64) if scored else None)
 
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos_name, kind="stable")
-        pos, score = arrays(pdf)
+    def transfer(g):
+        pos, score = arrays(g)
         leave = _exits(_successors(pos, score, window))
         # rows that can take over: all up to one window after the first row
         zone = min(int(np.searchsorted(pos, pos[0] + window, side="left")) + 1, len(pos))
         peaks = np.maximum.accumulate(score[:zone]) if scored else np.zeros(zone)
         start = np.union1d(_runs(leave[:zone]), _runs(peaks))
         end = np.append(start[1:] - 1, zone - 1)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row[SLICE] = int(pdf[SLICE].iloc[0])
-        row["_from"], row["_until"] = pos[start].tolist(), pos[end].tolist()
-        row["_peak"] = peaks[start].tolist()
-        row["_exit_pos"] = pos[leave[start]].tolist()
-        row["_exit_score"] = (score[leave[start]] if scored else np.zeros(len(start))).tolist()
-        return pd.DataFrame([row])
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE, kind="stable")
-        n = len(pdf)
+        return {
+            "_from": [pos[start].tolist()],
+            "_until": [pos[end].tolist()],
+            "_peak": [peaks[start].tolist()],
+            "_exit_pos": [pos[leave[start]].tolist()],
+            "_exit_score": [(score[leave[start]] if scored else np.zeros(len(start))).tolist()],
+        }
+
+    def resolve(g):
+        n = len(g[SLICE])
         enter_pos: list[int | None] = []
         enter_score: list[float] = []
         undone = [False] * n
         state, strength, owner = None, 0.0, -1
-        for i, (begin, until, peak, exit_pos, exit_score) in enumerate(
-            zip(
-                pdf["_from"], pdf["_until"], pdf["_peak"], pdf["_exit_pos"], pdf["_exit_score"],
-                strict=True,
-            )
-        ):
+        for i in range(n):
+            until, peak = g["_until"][i], g["_peak"][i]
             enter_pos.append(state)
             enter_score.append(strength)
             at = 0
             if state is not None:
-                at = int(np.searchsorted(np.asarray(until), state + window, side="left"))
+                at = int(np.searchsorted(until, state + window, side="left"))
                 if scored:
-                    stronger = int(np.searchsorted(np.asarray(peak), strength, side="right"))
+                    stronger = int(np.searchsorted(peak, strength, side="right"))
                     # a stronger row closer than the window replaces the state
-                    if stronger < len(until) and stronger <= at and begin[stronger] < state + window:
+                    if stronger < len(until) and stronger <= at and g["_from"][i][stronger] < state + window:
                         undone[owner] = True
                     at = min(at, stronger)
             if at < len(until):
-                state, strength, owner = int(exit_pos[at]), float(exit_score[at]), i
-        out = pdf[[*keys, SLICE]].copy()
-        out["_enter_pos"] = pd.array(enter_pos, dtype="Int64")
-        out["_enter_score"] = enter_score
-        out["_undone"] = undone
-        return out
-
-    def walk(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos_name, kind="stable")
-        pos, score = arrays(pdf)
+                state, strength, owner = int(g["_exit_pos"][i][at]), float(g["_exit_score"][i][at]), i
+        return {
+            SLICE: g[SLICE], "_enter_pos": enter_pos, "_enter_score": enter_score, "_undone": undone,
+        }
+
+    def walk(g):
+        # the entry row of the slice comes first
+        enter = None if np.isnan(g["_enter_pos"][0]) else int(g["_enter_pos"][0])
+        strength, undone = float(g["_enter_score"][0]), bool(g["_undone"][0])
+        pos, score = arrays({c: v[1:] for c, v in g.items()})
         n = len(pos)
         succ = _successors(pos, score, window)
-        enter = entry["_enter_pos"].iloc[0]
-        enter = None if pd.isna(enter) else int(enter)
-        at = 0
-        if enter is not None:
-            at = _entry(pos, score, window, enter, float(entry["_enter_score"].iloc[0]))
+        at = 0 if enter is None else _entry(pos, score, window, enter, strength)
         taken = np.zeros(n, dtype=bool)
         kept = np.zeros(n, dtype=bool)
         final = -1
@@ -152,30 +140,29 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
             following = int(succ[at])
             kept[at] = following >= n or pos[following] - pos[at] >= window
             final, at = at, following
-        if final >= 0 and bool(entry["_undone"].iloc[0]):
+        if final >= 0 and undone:
             kept[final] = False
         held = np.maximum.accumulate(np.where(taken, np.arange(n), -1))
         state = np.where(held >= 0, pos[np.maximum(held, 0)], 0 if enter is None else enter)
-        out = pdf[[*keys, pos_name]].copy()
-        out["taken"], out["kept"], out["state_pos"] = taken, kept, state
-        return out
+        return {pos_name: pos, "taken": taken, "kept": kept, "state_pos": state}
 
+    # both passes read the same aggregated rows, so Spark reuses that exchange
     sliced = pre.withColumn(SLICE, tl.slice_of())
-    tables = sliced.groupBy(*tl.home()).applyInPandas(
-        transfer,
-        f"{key_ddl}, {SLICE} bigint, _from array<bigint>, _until array<bigint>, "
-        "_peak array<double>, _exit_pos array<bigint>, _exit_score array<double>",
+    tables = map_groups(
+        sliced, tl.home(), [pos_name], transfer,
+        "_from array<bigint>, _until array<bigint>, _peak array<double>, "
+        "_exit_pos array<bigint>, _exit_score array<double>",
     )
-    entries = tables.groupBy(*keys).applyInPandas(
-        resolve, f"{key_ddl}, {SLICE} bigint, _enter_pos bigint, _enter_score double, _undone boolean"
+    entries = map_groups(
+        tables, keys, [SLICE], resolve,
+        f"{SLICE} bigint, _enter_pos bigint, _enter_score double, _undone boolean",
     )
-    return (
-        sliced.groupBy(*tl.home())
-        .cogroup(entries.groupBy(*tl.home()))
-        .applyInPandas(
-            walk,
-            f"{key_ddl}, `{pos_name}` bigint, taken boolean, kept boolean, state_pos bigint",
-        )
+    rows = sliced.withColumn("_kind", F.lit(1)).unionByName(
+        entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True
+    )
+    return map_groups(
+        rows, tl.home(), ["_kind", pos_name], walk,
+        f"`{pos_name}` bigint, taken boolean, kept boolean, state_pos bigint",
     )
 
 
@@ -202,26 +189,29 @@ def keep_distant(df: DataFrame, tl: Timeline, window: int, width: int | None = N
     return marked.filter(F.col("anchor") == F.col(tl.pos)).select(*tl.keys, tl.pos)
 
 
-def spaced(
+def spaced_order(
     df: DataFrame, tl: Timeline, spacing: int, score: str, width: int | None = None
 ) -> DataFrame:
-    """Rows that survive minimum spacing; a stronger row replaces a closer one.
+    """Keys and order columns of the rows that survive minimum spacing.
 
     Walks in (pos, tie) order: a row at least ``spacing`` after the last kept row
     is kept; a closer one replaces it only when its score is strictly higher.
     """
     keys = list(tl.keys)
     strength = F.col(score).cast("double")
+    # of several rows at one position only the first with the top score can stay
     best = df.groupBy(*keys, F.col(tl.pos).cast("bigint").alias(tl.pos)).agg(
-        F.max(strength).alias("_score")
+        F.min(F.struct((-strength).alias("s"), *tl.tie)).alias("_b")
     )
-    chain = _chain(best, fold_timeline(tl, spacing, width), int(spacing), scored=True)
+    pre = best.select(*keys, tl.pos, (-F.col("_b.s")).alias("_score"))
+    chain = _chain(pre, fold_timeline(tl, spacing, width), int(spacing), scored=True)
     kept = chain.filter("kept").select(*keys, tl.pos)
-    # of several rows at a kept position: the first one with the top score
-    top = Window.partitionBy(*keys, tl.pos).orderBy(F.desc(strength), *tl.tie)
-    return (
-        df.join(kept, [*keys, tl.pos], "left_semi")
-        .withColumn("_rn", F.row_number().over(top))
-        .filter("_rn = 1")
-        .drop("_rn")
-    )
+    return kept.join(best, [*keys, tl.pos]).select(*keys, tl.pos, *[f"_b.{t}" for t in tl.tie])
+
+
+def spaced(
+    df: DataFrame, tl: Timeline, spacing: int, score: str, width: int | None = None
+) -> DataFrame:
+    """Rows that survive minimum spacing, see ``spaced_order``."""
+    kept = spaced_order(df, tl, spacing, score, width)
+    return df.join(kept, [*tl.keys, *tl.order], "left_semi")

@@ -6,11 +6,11 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
+from ..core.groups import map_groups
 from ..core.quantiles import attach, union_all
 from ..core.timeline import SLICE, Timeline, carried, floor_div, near
 from ..functions.lattice import Lattice, grid_confidence, snap_error_ms
@@ -274,8 +274,6 @@ def match_events(
     tolerance = int(tolerance)
     width = max(1, tolerance) * slices_per_window
     halo = max(1, tolerance) * halo_windows
-    fields = {f.name: f.dataType.simpleString() for f in truth.schema.fields}
-    key_ddl = ", ".join(f"`{k}` {fields[k]}" for k in keys)
 
     def side(df: DataFrame, code: int) -> DataFrame:
         return df.select(
@@ -288,11 +286,9 @@ def match_events(
     turn = 0
 
     def solver(shift: int):
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            begin = int(pdf[SLICE].iloc[0]) * width - shift
-            pos = pdf["_at"].to_numpy(np.int64)
-            which = pdf["_side"].to_numpy(np.int64)
-            idx = pdf["_idx"].to_numpy(np.int64)
+        def solve(g):
+            begin = int(g[SLICE][0]) * width - shift
+            pos, which, idx = g["_at"], g["_side"], g["_idx"]
             pairs, low, high = _match_slice(
                 pos, which, idx, tolerance, begin - halo - 1, begin + width + halo
             )
@@ -305,12 +301,8 @@ def match_events(
             for i in np.flatnonzero(hazy):
                 if int(idx[i]) not in done[int(which[i])]:
                     rows.append((0, 0, 0, int(which[i]), int(pos[i]), int(idx[i])))
-            out = pd.DataFrame(
-                rows, columns=["truth_idx", "prediction_idx", "distance", "_side", "_at", "_idx"]
-            )
-            for k in reversed(keys):
-                out.insert(0, k, pdf[k].iloc[0])
-            return out
+            names = ("truth_idx", "prediction_idx", "distance", "_side", "_at", "_idx")
+            return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else None
 
         return solve
 
@@ -322,10 +314,9 @@ def match_events(
             F.explode(F.sequence(floor_div(at - F.lit(halo), width), floor_div(at + F.lit(halo), width))),
         )
         result = checkpointed(
-            spread.groupBy(*keys, SLICE).applyInPandas(
-                solver(shift),
-                f"{key_ddl}, truth_idx bigint, prediction_idx bigint, distance bigint, "
-                "_side int, _at bigint, _idx bigint",
+            map_groups(
+                spread, [*keys, SLICE], ["_at", "_side", "_idx"], solver(shift),
+                "truth_idx bigint, prediction_idx bigint, distance bigint, _side int, _at bigint, _idx bigint",
             )
         )
         pairs = (

@@ -254,19 +254,21 @@ def focus_segments(
 # events
 
 
-def best_per_cell(df: DataFrame, keys: Sequence[str], cell: str, score: str, order: Sequence[str]) -> DataFrame:
-    """Flag the best row per cell (``winner``); the first row wins a tie.
+def cell_winners(df: DataFrame, keys: Sequence[str], cell: str, score: str, order: Sequence[str]) -> DataFrame:
+    """The best row per cell; the first row wins a tie.
 
-    The winners come from a rank that is cut to one row per cell before the
-    shuffle; the losers are recognised by a join on the row order, so a crowded
-    cell is never sorted in one task.
+    A rank of 1 is cut to one row per cell before the shuffle, so a crowded cell
+    is never sorted in one task.
     """
     rank = Window.partitionBy(*keys, cell).orderBy(F.desc(score), *order)
-    winners = (
-        df.select(*keys, cell, score, *order).withColumn("_rn", F.row_number().over(rank))
-        .filter("_rn = 1").select(*keys, *order, F.lit(True).alias("winner"))
-    )
-    return df.join(winners, [*keys, *order], "left").na.fill(False, ["winner"])
+    return df.withColumn("_rn", F.row_number().over(rank)).filter("_rn = 1").drop("_rn")
+
+
+def best_per_cell(df: DataFrame, keys: Sequence[str], cell: str, score: str, order: Sequence[str]) -> DataFrame:
+    """Flag the best row per cell (``winner``); the others stay as losers."""
+    best = cell_winners(df.select(*keys, cell, score, *order), keys, cell, score, order)
+    marks = best.select(*keys, *order, F.lit(True).alias("winner"))
+    return df.join(marks, [*keys, *order], "left").na.fill(False, ["winner"])
 
 
 def local_standout(df: DataFrame, tl: Timeline, radius: int, score: Column, share: float = 0.96) -> DataFrame:
