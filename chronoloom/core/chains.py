@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import checkpointed
 from .groups import map_groups
 from .timeline import SLICE, Timeline
 
@@ -146,7 +147,6 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
         state = np.where(held >= 0, pos[np.maximum(held, 0)], 0 if enter is None else enter)
         return {pos_name: pos, "taken": taken, "kept": kept, "state_pos": state}
 
-    # both passes read the same aggregated rows, so Spark reuses that exchange
     sliced = pre.withColumn(SLICE, tl.slice_of())
     tables = map_groups(
         sliced, tl.home(), [pos_name], transfer,
@@ -177,7 +177,8 @@ def anchors(df: DataFrame, tl: Timeline, window: int, width: int | None = None)
     A position more than ``window`` after the current anchor becomes the next
     anchor; everything in between belongs to the current one (no chaining).
     """
-    distinct = df.select(*tl.keys, F.col(tl.pos).cast("bigint").alias(tl.pos)).distinct()
+    # read by two passes: without the cut everything upstream would run twice
+    distinct = checkpointed(df.select(*tl.keys, F.col(tl.pos).cast("bigint").alias(tl.pos)).distinct())
     ftl = fold_timeline(tl, window + 1, width)
     chain = _chain(distinct, ftl, int(window) + 1, scored=False)
     return chain.select(*tl.keys, tl.pos, F.col("state_pos").alias("anchor"))
@@ -200,8 +201,10 @@ def spaced_order(
     keys = list(tl.keys)
     strength = F.col(score).cast("double")
     # of several rows at one position only the first with the top score can stay
-    best = df.groupBy(*keys, F.col(tl.pos).cast("bigint").alias(tl.pos)).agg(
-        F.min(F.struct((-strength).alias("s"), *tl.tie)).alias("_b")
+    best = checkpointed(
+        df.groupBy(*keys, F.col(tl.pos).cast("bigint").alias(tl.pos)).agg(
+            F.min(F.struct((-strength).alias("s"), *tl.tie)).alias("_b")
+        )
     )
     pre = best.select(*keys, tl.pos, (-F.col("_b.s")).alias("_score"))
     chain = _chain(pre, fold_timeline(tl, spacing, width), int(spacing), scored=True)

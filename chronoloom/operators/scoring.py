@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.chains import spaced, spaced_order
+from ..core.durable import checkpointed
 from ..core.quantiles import attach
 from ..core.timeline import Timeline, near
 from ..functions.lattice import Lattice, grid_confidence, min_grid_error, snap_error_ms
@@ -68,7 +69,9 @@ def chart_policy(
         return scored
     if spacing is None:
         spacing = max(1, round(rate * (0.045 - 0.030 * min(1.0, max(0.0, difficulty)))))
-    accepted = scored.filter("status = 'accepted'").select(*keys, *order, "chart", "score")
+    # narrow cut: keeps the long score expression out of the pushed-down filter
+    narrow = checkpointed(scored.select(*keys, *order, "chart", "score", "status"))
+    accepted = narrow.filter("status = 'accepted'").drop("status")
     best = cell_winners(accepted, keys, "chart", "score", order)
     final = spaced_order(best, tl, spacing, "score").withColumn("_final", F.lit(True))
     out = scored.join(final, [*keys, *order], "left")
