@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["lattice", "projections", "joins", "metrics", "sequences", "scoring"]
+FAMILIES = ["lattice", "projections", "joins", "metrics", "sequences", "scoring", "merges"]
 
 
 def load():
