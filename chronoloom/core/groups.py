@@ -34,7 +34,7 @@ def map_groups(
     ddl = ", ".join(f"`{g}` {types[g]}" for g in group) + ", " + columns
     names = [part.strip().split()[0].strip("`") for part in _split_ddl(columns)]
 
-    def finish(pieces: list[pd.DataFrame]) -> pd.DataFrame:
+    def finish(pieces: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True)
         arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
         starts = np.flatnonzero(_changes(arrays, group, len(pdf)))
@@ -49,7 +49,9 @@ def map_groups(
                 outs[g].append(np.repeat(arrays[g][a : a + 1], size))
             for c in names:
                 outs[c].append(result[c])
-        return pd.DataFrame({c: _joined(parts) for c, parts in outs.items()})
+        # an empty frame has no usable column types
+        if any(len(part) for part in outs[names[0]]):
+            yield pd.DataFrame({c: _joined(parts) for c, parts in outs.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending: list[pd.DataFrame] = []
@@ -64,16 +66,16 @@ def map_groups(
                     pending.append(pdf)
                     continue
                 if last == 0:
-                    yield finish(pending)
+                    yield from finish(pending)
                     pending = [pdf]
                     continue
             elif last == 0:
                 pending = [pdf]
                 continue
-            yield finish([*pending, pdf.iloc[:last]])
+            yield from finish([*pending, pdf.iloc[:last]])
             pending = [pdf.iloc[last:]]
         if pending:
-            yield finish(pending)
+            yield from finish(pending)
 
     # Python work is worth all slots: keep the configured partition count
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
