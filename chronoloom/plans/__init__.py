@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["lattice", "projections", "joins", "metrics", "sequences", "scoring", "merges", "packages", "jobs"]
+FAMILIES = ["lattice", "projections", "joins", "metrics", "sequences", "scoring", "merges", "packages", "jobs", "signals"]
 
 
 def load():
