@@ -96,6 +96,42 @@ def exact_quantiles(
     return picked.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
 
 
+def curve_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    curves: Mapping[str, tuple[Column, float]],
+    *,
+    bins: int = 1024,
+) -> DataFrame:
+    """Exact quantiles of several curves in one pass: output name -> (curve, p).
+
+    The curves are stacked under a name column that joins the grouping key, so the
+    input is read once whatever the number of curves.
+    """
+    keys = list(keys)
+    by_curve: dict[str, dict[str, float]] = {}
+    columns: dict[str, Column] = {}
+    for name, (curve, p) in curves.items():
+        label = str(curve)
+        columns[label] = curve
+        by_curve.setdefault(label, {})[name] = p
+    probs = sorted({p for _, p in curves.values()})
+    slot = {p: f"_q{i}" for i, p in enumerate(probs)}
+    tags = {label: f"c{i}" for i, label in enumerate(columns)}
+    stacked = df.select(
+        *keys,
+        F.inline(F.array(*[
+            F.struct(F.lit(tags[label]).alias("_c"), curve.cast("double").alias("_x0")) for label, curve in columns.items()
+        ])),
+    )
+    found = exact_quantiles(stacked, [*keys, "_c"], F.col("_x0"), {slot[p]: p for p in probs}, bins=bins)
+    picks = []
+    for label, wanted in by_curve.items():
+        for name, p in wanted.items():
+            picks.append(F.max(F.when(F.col("_c") == tags[label], F.col(slot[p]))).alias(name))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
     """Left join of one-row-per-key facts that survives a hot key.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.chains import keep_distant
-from ..core.quantiles import attach, exact_quantiles, union_all
+from ..core.quantiles import attach, curve_quantiles, exact_quantiles, union_all
 from ..core.timeline import Timeline, carried, islands
 from ..functions.lattice import line_distance, rhythm_score
 from .joins import asof_segment, match_events, nearest_distance, within
@@ -529,16 +529,13 @@ def strength_quantiles(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     low = F.col("sub_low") + 0.65 * F.col("low_mid")
     upper = F.col("mid") + 0.65 * F.col("high") + 0.35 * F.col("air")
     high = 0.65 * F.col("high") + 0.35 * F.col("air")
-    lows = exact_quantiles(
-        candidates, keys, low, {"low_floor": 0.24, "low_high": 0.76, "_balanced": 0.82}
+    lows = curve_quantiles(
+        candidates, keys,
+        {
+            "low_floor": (low, 0.24), "low_high": (low, 0.76), "_balanced": (low, 0.82), "upper_floor": (upper, 0.24),
+            "mid_floor": (F.col("mid"), 0.30), "high_floor": (high, 0.30),
+        },
     )
-    others = [
-        exact_quantiles(candidates, keys, upper, {"upper_floor": 0.24}).drop("n"),
-        exact_quantiles(candidates, keys, F.col("mid"), {"mid_floor": 0.30}).drop("n"),
-        exact_quantiles(candidates, keys, high, {"high_floor": 0.30}).drop("n"),
-    ]
-    for other in others:
-        lows = lows.join(other, keys)
     balanced = F.when(F.col("n") >= 12, F.col("_balanced")).otherwise(F.col("low_floor"))
     return lows.withColumn("balanced_low", balanced).drop("_balanced", "n")
 

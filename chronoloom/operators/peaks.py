@@ -36,7 +36,8 @@ def keep_spaced_peaks(peaks: DataFrame, tl: Timeline, column: str, distance: int
     if distance <= 1:
         return peaks
     width, halo = distance * 64, distance * 8
-    open_rows = checkpointed(peaks.select(*keys, F.col(tl.pos).cast("bigint").alias("_at"), F.col(column).cast("double").alias("_x")))
+    peaks = checkpointed(peaks)
+    open_rows = peaks.select(*keys, F.col(tl.pos).cast("bigint").alias("_at"), F.col(column).cast("double").alias("_x"))
     line = Timeline(keys, "_at", (), width)
     kept: list[DataFrame] = []
     turn = 0
@@ -191,6 +192,9 @@ def find_peaks(
     prominence: float | None = None,
 ) -> DataFrame:
     """Peaks of a curve, filtered by height, then distance, then prominence."""
+    if prominence is not None:
+        # the curve is read by the maxima and by the valley search
+        frames = checkpointed(frames)
     peaks = local_maxima(frames, tl, column)
     if height is not None:
         peaks = peaks.filter(F.col(column) >= height)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.groups import map_groups
-from ..core.quantiles import attach, exact_quantiles
+from ..core.quantiles import attach, curve_quantiles, exact_quantiles
 from ..core.timeline import Timeline, near, neighbours
 from ..functions.lattice import Lattice
 from .joins import interval_join
@@ -225,10 +225,9 @@ def novelty_curve(samples: DataFrame, tl: Timeline, smoothing: int, value: str =
     )
     small = max(3, smoothing // 2)
     out = near(out, tl, small // 2, small - small // 2 - 1, {"_w": F.avg("_d")})
-    scales = None
-    for column in ("_rv", "_rp", "_w"):
-        one = exact_quantiles(out, keys, F.col(column), {f"_q{column}": 0.995}, bins=1 << 16).drop("n")
-        scales = one if scales is None else scales.join(one, keys)
+    scales = curve_quantiles(
+        out, keys, {f"_q{c}": (F.col(c), 0.995) for c in ("_rv", "_rp", "_w")}, bins=1 << 16
+    ).drop("n")
     out = attach(out, scales, keys)
 
     def unit(column: str) -> Column:
@@ -324,9 +323,13 @@ def vocal_events(frames: DataFrame, tl: Timeline, distance: int) -> DataFrame:
     """
     keys = list(tl.keys)
     out = gradient(frames, tl, "rms", "_g").withColumn("_env", F.greatest(F.col("_g"), F.lit(0.0)))
-    marks = exact_quantiles(out, keys, F.col("rms"), {"_q90": 0.9, "_q20": 0.2}, bins=1 << 16).drop("n")
-    for column, name in (("onset", "_qo"), ("_env", "_qe"), ("flux", "_qf")):
-        marks = marks.join(exact_quantiles(out, keys, F.col(column), {name: 0.98}, bins=1 << 16).drop("n"), keys)
+    rms = F.col("rms")
+    marks = curve_quantiles(
+        out, keys,
+        {"_q90": (rms, 0.9), "_q20": (rms, 0.2), "_qo": (F.col("onset"), 0.98), "_qe": (F.col("_env"), 0.98),
+         "_qf": (F.col("flux"), 0.98)},
+        bins=1 << 16,
+    ).drop("n")
     out = attach(out, marks, keys)
     loud, noise = F.greatest("_q90", F.lit(1e-9)), F.greatest("_q20", F.lit(1e-9))
     floor = F.greatest(F.lit(10.0 ** (-52 / 20)), loud * 0.025, noise * 5.0)
@@ -368,9 +371,12 @@ def energy_anchors(
     """
     keys = list(tl.keys)
     out = gradient(frames, tl, "rms", "_g").withColumn("_rise", F.greatest(F.col("_g"), F.lit(0.0)))
-    marks = exact_quantiles(out, keys, F.col("rms"), {"_q90": 0.9, "_q20": 0.2}, bins=1 << 16).drop("n")
-    for column, name in (("attack", "_qa"), ("_rise", "_qr")):
-        marks = marks.join(exact_quantiles(out, keys, F.col(column), {name: 0.99}, bins=1 << 16).drop("n"), keys)
+    rms = F.col("rms")
+    marks = curve_quantiles(
+        out, keys,
+        {"_q90": (rms, 0.9), "_q20": (rms, 0.2), "_qa": (F.col("attack"), 0.99), "_qr": (F.col("_rise"), 0.99)},
+        bins=1 << 16,
+    ).drop("n")
     tiny = F.lit(1e-9)
     out = attach(out, marks, keys)
     loud, noise = F.greatest("_q90", tiny), F.greatest("_q20", tiny)
