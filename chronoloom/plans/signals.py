@@ -264,3 +264,29 @@ def f5(spark, d):
     noted = F.regexp_replace("text", "(?m)^(\\w+)", "漢字$1夜空(よぞら)")
     docs = table(spark, d, "documents").select("doc_id", noted.alias("t"))
     return docs.select("doc_id", F.length(X.ruby_spoken(F.col("t"))).alias("spoken_chars"), F.size(X.ruby(F.col("t"))).alias("notes"))
+
+
+@query("d5_tempo_estimation")
+def d5(spark, d):
+    from ..operators.tempo import estimate_tempo
+
+    rows = hits(spark, d).select("track_id", F.col("pos").alias("p"), "id", "salience", "confidence", "band")
+    # seconds read as 10 ms ticks of a 100 Hz clock, modulo ten minutes
+    events = rows.withColumn("pos", F.col("p") % 60_000).drop("p")
+    curve = stem_frames(spark, d).select("track_id", "frame_idx", F.col("vocals").alias("fused"))
+    line = Timeline(["track_id"], "pos", ["id"], 30_000)
+    return estimate_tempo(events, curve, FRAME_LINE, line, "fused", 100.0, 2)
+
+
+@query("x1_extractor_contract", """SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE length(text)::DOUBLE END AS score, CASE WHEN lang = 'en' THEN 'failed' ELSE 'ok' END AS status FROM documents""")
+def x1(spark, d):
+    from ..operators.extractors import Extractor, extract, register_extractor
+
+    def lengths(pdf):
+        if (pdf["lang"] == "en").any():
+            raise ValueError("this model does not know English")
+        return pdf[["doc_id"]].assign(score=pdf["text"].str.len().astype(float))
+
+    register_extractor(Extractor("text_length", lengths, "score double"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return extract(docs, "text_length", ["doc_id"]).select("doc_id", "score", "status")
