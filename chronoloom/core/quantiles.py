@@ -32,13 +32,9 @@ def exact_quantiles(
     value whose cumulative share reaches p).  ``bins`` buckets per value unit.
     """
     keys = list(keys)
-    cells = (
-        df.select(*keys, value.cast("double").alias("_x"))
-        .filter("_x is not null")
-        .groupBy(*keys, F.floor(F.col("_x") * bins).cast("bigint").alias("_b"), "_x")
-        .agg(F.count("*").alias("_n"))
-    )
-    hist = cells.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    x = value.cast("double")
+    values = df.select(*keys, x.alias("_x"), F.floor(x * bins).cast("bigint").alias("_b")).filter("_x is not null")
+    hist = values.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("n"))
     ranked = carried(hist, Timeline(keys, "_b", (), 4096), run_sum={"_upto": F.col("_n")})
 
@@ -74,6 +70,11 @@ def exact_quantiles(
         .select(*keys, "_b", "n", below.alias("_below"), "_t")
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    # only the values of the hit buckets are grouped and ranked
+    cells = (
+        values.join(hits.select(*keys, "_b"), [*keys, "_b"], "left_semi")
+        .groupBy(*keys, "_b", "_x").agg(F.count("*").alias("_n"))
+    )
     picked = (
         cells.join(hits, [*keys, "_b"])
         .withColumn("_hi", F.sum("_n").over(inside) + F.col("_below"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.chains import keep_distant
+from ..core.quantiles import attach
 from ..core.timeline import Timeline
 from .joins import interval_join, suppress_near
 
@@ -41,8 +42,9 @@ def bulk_replace(current: DataFrame, incoming: DataFrame, track: str = "track_id
     ``untouched`` for rows of tracks that the request does not mention.
     """
     tracks = incoming.select(F.col(track).alias("_t")).distinct()
-    old = current.join(tracks, F.col(track) == F.col("_t"), "left").select(
-        "id", F.col(track).alias("old_track"), F.col("_t").isNotNull().alias("_addressed")
+    named = tracks.select(F.col("_t").alias(track), F.lit(True).alias("_named"))
+    old = attach(current, named, [track]).select(
+        "id", F.col(track).alias("old_track"), F.col("_named").isNotNull().alias("_addressed")
     )
     new = incoming.select("id", F.col(track).alias("new_track"))
     action = (
@@ -81,7 +83,7 @@ def upsert_generator(current: DataFrame, incoming: DataFrame, generator: str, tr
                      keys: Sequence[str] = ("track_id",)) -> DataFrame:
     """Replace one generator's rows of the given tracks by id, leave the rest alone."""
     named = tracks.select(*keys).distinct().withColumn("_addressed", F.lit(True))
-    old = current.join(incoming.select("id"), "id", "left_anti").join(named, list(keys), "left")
+    old = attach(current.join(incoming.select("id"), "id", "left_anti"), named, keys)
     others = old.filter((F.col("generator") != generator) | F.col("_addressed").isNull())
     return others.drop("_addressed").unionByName(incoming.withColumn("generator", F.lit(generator)))
 

@@ -349,7 +349,7 @@ def rhythm_agg(tokens: DataFrame, segments: DataFrame, tl: Timeline, rate: int)
 
 def alignment_report(
     tracks: DataFrame, coverage: DataFrame, acoustic: DataFrame, rhythm: DataFrame, stable: DataFrame,
-    keys: Sequence[str],
+    keys: Sequence[str], digits: int = 6,
 ) -> DataFrame:
     """.35 coverage + .30 acoustic + .20 rhythm + .15 stability; absent parts are 0."""
     keys = list(keys)
@@ -362,7 +362,7 @@ def alignment_report(
         0.35 * F.col("coverage") + 0.30 * F.col("acoustic") + 0.20 * F.col("rhythm")
         + 0.15 * F.col("stability")
     )
-    return joined.withColumn("score", F.round(clip(score), 6))
+    return joined.withColumn("score", F.round(clip(score), digits))
 
 
 def compare_methods(runs_: DataFrame, reports: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

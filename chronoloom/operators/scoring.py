@@ -238,7 +238,7 @@ def select_chart(
 
 def mora_score(df: DataFrame, dense: Column) -> DataFrame:
     """Score and status of a sung unit; ``dense`` marks seven or more per second."""
-    h, e, s, p, r = (F.col(c) for c in ("hubert", "energy", "spectral", "pitch", "rhythm"))
+    h, e, s, p, r = (F.col(c) for c in ("phone_confidence", "energy", "spectral", "pitch", "rhythm"))
     fast = 0.55 * h + 0.15 * e + 0.15 * s + 0.05 * p + 0.10 * r
     normal = 0.38 * h + 0.22 * e + 0.18 * s + 0.12 * p + 0.10 * r
     score = F.when(dense, fast).otherwise(normal)

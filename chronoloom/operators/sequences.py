@@ -481,7 +481,7 @@ def rhythm_constrain(
     placed = hits.withColumns({"enabled": enabled, "chart": grid, "_tol": tolerance}).withColumn(
         "_err", refined - F.col("chart")
     )
-    passed = placed.filter(~F.col("enabled"))
+    passed = hits.filter(~enabled)
     placed = placed.filter("enabled").withColumn(
         "votes", F.when(F.array_contains("votes", vote), F.col("votes")).otherwise(F.array_append("votes", vote))
     )
@@ -542,9 +542,7 @@ def rhythm_constrain(
         last_era.groupBy(*keys).agg(F.count("*").alias("output_count"), F.sum(F.col("_size") - 1).alias("merged_same_grid")),
         keys,
     )
-    untouched = passed.drop("enabled", "chart", "_tol", "_err")
     columns = [c for c in hits.columns if c not in ("chart", "snap_error_ms")]
-    result = constrained.select(*columns, "chart", "snap_error_ms").unionByName(
-        untouched.select(*columns), allowMissingColumns=True
-    )
+    # tracks whose tempo is too uncertain pass through as they are
+    result = constrained.select(*columns, "chart", "snap_error_ms").unionByName(passed, allowMissingColumns=True)
     return result, stats

@@ -346,7 +346,7 @@ def a17(spark, d):
 SELECT t.track_id, coalesce(c.aligned / c.units::DOUBLE, 0) AS coverage, coalesce(a.consistency, 0) AS acoustic,
   coalesce(r.rhythm, 0) AS rhythm, coalesce(s.stability, 0) AS stability,
   round(greatest(0, least(1, 0.35 * coalesce(round(c.aligned / c.units::DOUBLE, 6), 0) + 0.30 * coalesce(a.consistency, 0)
-    + 0.20 * coalesce(r.rhythm, 0) + 0.15 * coalesce(s.stability, 0))), 6) AS score
+    + 0.20 * coalesce(r.rhythm, 0) + 0.15 * coalesce(s.stability, 0))), 10) AS score
 FROM (SELECT DISTINCT track_id FROM points) t LEFT JOIN cov c USING (track_id) LEFT JOIN consistent a USING (track_id)
 LEFT JOIN rhythm r USING (track_id) LEFT JOIN stable s USING (track_id)""".replace(
     "coalesce(c.aligned / c.units::DOUBLE, 0) AS coverage", "coalesce(round(c.aligned / c.units::DOUBLE, 6), 0) AS coverage"))
@@ -355,6 +355,7 @@ def a14(spark, d):
         points(spark, d), covered_units(spark, d),
         consistency(spark, d).withColumnRenamed("consistency", "acoustic"),
         A.rhythm_agg(points(spark, d), tempo(spark, d), TRACKS, RATE), stable(spark, d), ["track_id"],
+        digits=10,  # the parts have six decimals, so their mix has exact ties at six
     )
 
 

@@ -155,7 +155,7 @@ def m7(spark, d):
 
     ev = F.col("evidence")
     rows = density(hits(spark, d), TRACKS, 12 * HOUR).withColumns({
-        "hubert": clip(ev["vocals"]), "energy": ev["drums"] / 4, "spectral": F.col("confidence") / 4,
+        "phone_confidence": clip(ev["vocals"]), "energy": ev["drums"] / 4, "spectral": F.col("confidence") / 4,
         "pitch": F.col("salience") / 4, "rhythm": F.col("salience"),
     })
     return M.mora_score(rows, F.col("density") >= 4).select("id", F.round("score", 8).alias("score"), "status")
