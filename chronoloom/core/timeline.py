@@ -166,6 +166,60 @@ def near(
     return out.filter("_home").drop(SLICE, "_home")
 
 
+def swept(
+    df: DataFrame,
+    tl: Timeline,
+    radius: int,
+    *,
+    maxima: Mapping[str, Column] | None = None,
+    count: str | None = None,
+) -> DataFrame:
+    """Maximum and row count over [pos - radius, pos + radius], whatever the density.
+
+    A RANGE frame is evaluated anew for every row, which is quadratic where rows
+    are dense.  Here the timeline is cut into blocks as long as the window, so a
+    window touches two blocks: the end of one and the beginning of the next.  Both
+    parts are running aggregates inside a block, read at the window borders.
+    Order columns must identify a row of a key.
+    """
+    maxima = dict(maxima or {})
+    length = 2 * radius + 1
+    pos = F.col(tl.pos).cast("bigint")
+    identity = [*tl.keys, *tl.order]
+    values = {f"_m_{name}": value for name, value in maxima.items()}
+    base = df.select(*identity, *[v.alias(n) for n, v in values.items()])
+    low, high = pos - F.lit(radius), pos + F.lit(radius)
+
+    def mark(kind: int, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.alias("at"), floor_div(at, length).alias("block"))
+
+    # kind 0 carries values; 1 asks up to the window's end; 2 asks from its start on
+    asks = F.array(mark(0, pos), mark(1, high), mark(2, low))
+    rows = base.select("*", F.inline(asks))
+    group = Window.partitionBy(*tl.keys, "block")
+    up = group.orderBy("at", F.when(F.col("kind") == 0, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    down = group.orderBy(F.desc("at"), F.when(F.col("kind") == 0, 0).otherwise(1)).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    columns = {}
+    for name in values:
+        data = F.when(F.col("kind") == 0, F.col(name))
+        columns[f"{name}_r"] = F.when(F.col("kind") == 1, F.max(data).over(up)).otherwise(F.max(data).over(down))
+    if count is not None:
+        data = F.count(F.when(F.col("kind") == 0, F.lit(1)))
+        # a window that is exactly one block is counted from one side only
+        whole = floor_div(low, length) == floor_div(high, length)
+        columns["_count_r"] = F.when(F.col("kind") == 1, data.over(up)).otherwise(
+            F.when(whole, F.lit(0)).otherwise(data.over(down))
+        )
+    found = rows.withColumns(columns).filter("kind > 0")
+    sums = [F.max(f"{n}_r").alias(name) for n, name in zip(values, maxima, strict=True)]
+    if count is not None:
+        sums.append(F.sum("_count_r").alias(count))
+    result = found.groupBy(*identity).agg(*sums)
+    return df.join(result, identity)
+
+
 def neighbours(
     df: DataFrame,
     tl: Timeline,

@@ -370,7 +370,24 @@ def match_unused(
             span, event = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             # nothing open to the left of the loaded rows means nothing is unknown
             low = -(2**62) if g["_first"][0] >= begin - halo else begin - halo + reach
-            places, used = at[event], np.zeros(len(event), dtype=bool)
+            places = at[event]
+            m = len(event)
+            # next free event to the left and right, with path compression
+            left, right = np.arange(m + 1), np.arange(m + 2)
+
+            def free_left(j):  # last free index <= j, -1 when none; stored shifted by one
+                j += 1
+                while left[j] != j:
+                    left[j] = left[left[j]]
+                    j = left[j]
+                return j - 1
+
+            def free_right(j):  # first free index >= j, m when none
+                while right[j] != j:
+                    right[j] = right[right[j]]
+                    j = right[j]
+                return j
+
             out_id, out_event, waits = [], [], []
             for i in span[np.lexsort((g["_id"][span], at[span]))]:
                 own = begin <= at[i] < begin + width
@@ -381,11 +398,18 @@ def match_unused(
                         out_id.append(int(g["_id"][i])), out_event.append(None), waits.append(True)
                     continue
                 a, b = np.searchsorted(places, [start, stop_at])
-                choice = [j for j in range(a, b) if not used[j]]
+                middle = int(np.clip(np.searchsorted(places, g["_v"][i]), a, b))
+                choice = []
+                for step, j in ((-1, free_left(middle - 1)), (1, free_right(middle))):
+                    spot = places[j] if a <= j < b else None
+                    # all free events at that very place; the confident one wins
+                    while a <= j < b and places[j] == spot:
+                        choice.append(j)
+                        j = free_left(j - 1) if step < 0 else free_right(j + 1)
                 pick = None
                 if choice:
                     pick = min(choice, key=lambda j: (abs(places[j] - g["_v"][i]), -g["_v"][event[j]], g["_id"][event[j]]))
-                    used[pick] = True
+                    left[pick + 1], right[pick] = pick, pick + 1
                 if own:
                     out_id.append(int(g["_id"][i]))
                     out_event.append(None if pick is None else int(g["_id"][event[pick]]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
@@ -51,8 +51,12 @@ def fuse_methods(
     """
     keys = list(keys)
     scored = span_scores(spans, keys, unit, consensus_scale)
+    order = Window.partitionBy(*keys, unit).orderBy("_neg", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    # a span that starts no later than a better one can never be the choice
+    useful = F.coalesce(F.col("start") > F.max("start").over(order), F.lit(True))
     ranked = checkpointed(
         scored.select(*keys, unit, "start", (-F.col("score")).alias("_neg"), F.col(span_id).alias("_id"))
+        .withColumn("_useful", useful).filter("_useful").drop("_useful")
         .withColumn(SLICE, floor_div(F.col(unit), UNITS_PER_SLICE))
     )
     home = [*keys, SLICE]

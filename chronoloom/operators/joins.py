@@ -149,10 +149,13 @@ def within(
         .withColumn(SLICE, F.explode(reach))
     )
     merged = asked.unionByName(known, allowMissingColumns=True)
-    frame = (
-        Window.partitionBy(*tl.keys, SLICE).orderBy("_at").rangeBetween(-int(radius), int(radius))
-    )
-    hit = F.max(F.when(F.col("_kind") == 0, F.lit(True))).over(frame)
+    # nearest protected row on either side: running values, whatever the density
+    rows = Window.partitionBy(*tl.keys, SLICE)
+    known_at = F.when(F.col("_kind") == 0, F.col("_at"))
+    upto = rows.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    onward = rows.orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    behind, ahead = F.max(known_at).over(upto), F.min(known_at).over(onward)
+    hit = (F.col("_at") - behind <= F.lit(radius)) | (ahead - F.col("_at") <= F.lit(radius))
     return (
         merged.withColumn("_hit", F.coalesce(hit, F.lit(False)))
         .filter("_kind = 1")

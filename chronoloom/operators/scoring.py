@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..core.chains import spaced, spaced_order
 from ..core.durable import checkpointed
 from ..core.quantiles import attach
-from ..core.timeline import Timeline, near
+from ..core.timeline import Timeline, swept
 from ..functions.lattice import Lattice, grid_confidence, min_grid_error, snap_error_ms
 from .joins import interval_join
 from .metrics import family_count, strength_quantiles
@@ -215,7 +215,7 @@ def select_chart(
     window = rescue_window if rescue_window is not None else max(1, round(0.72 * rate))
     conf, sal = F.col("confidence"), F.col("salience")
     rows = candidates.withColumns({"_fam": family_count(F.col("votes")), "_local": conf + 0.28 * sal})
-    rows = near(rows, tl, window, window, {"_top": F.max("_local")})
+    rows = swept(rows, tl, window, maxima={"_top": F.col("_local")})
     bonus = 4.5 * clip((F.col("bpm_confidence") - 0.72) / 0.14)
     tolerance = (config["rhythmic_rescue_tolerance_ms"] + bonus) * rate / 1000.0
     wanted = config["chart_anchor_family_votes"]

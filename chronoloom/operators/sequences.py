@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core.chains import anchors
 from ..core.quantiles import attach, exact_quantiles
-from ..core.timeline import SLICE, Timeline, carried, floor_div, haloed, increasing, near, neighbours
+from ..core.timeline import SLICE, Timeline, carried, floor_div, haloed, increasing, near, neighbours, swept
 from ..functions.lattice import Lattice
 from .metrics import family_count
 from .projections import clip
@@ -273,13 +273,13 @@ def best_per_cell(df: DataFrame, keys: Sequence[str], cell: str, score: str, ord
 
 def local_standout(df: DataFrame, tl: Timeline, radius: int, score: Column, share: float = 0.96) -> DataFrame:
     """Flag rows scoring at least ``share`` of the maximum within +-radius."""
-    out = near(df.withColumn("_s", score), tl, radius, radius, {"_top": F.max("_s")})
+    out = swept(df.withColumn("_s", score), tl, radius, maxima={"_top": F.col("_s")})
     return out.withColumn("standout", F.col("_s") >= F.col("_top") * share).drop("_s", "_top")
 
 
 def density(df: DataFrame, tl: Timeline, radius: int, name: str = "density") -> DataFrame:
     """Rows within +-radius, the row itself included."""
-    return near(df, tl, radius, radius, {name: F.count("*")})
+    return swept(df, tl, radius, count=name)
 
 
 def first_sustained(frames: DataFrame, tl: Timeline, active: Column, hold: int, share: float) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.core.chains import anchors, keep_distant, spaced
-from chronoloom.core.timeline import Timeline, carried, islands, near
+from chronoloom.core.timeline import Timeline, carried, islands, near, swept
 
 
 def sample_rows(seed, n=400, span=900, keys=3):
@@ -108,3 +108,12 @@ def test_chains_cross_slices(spark, seed, window, width):
     assert kept == expect_keep
     survivors = {r["id"] for r in spaced(df, TL, window, "score", width).collect()}
     assert survivors == expect_spaced
+
+
+@pytest.mark.parametrize("radius", [0, 7, 40])
+def test_swept_matches_plain_scan(frame, rows, radius):
+    out = swept(frame, TL, radius, maxima={"m": F.col("score")}, count="n")
+    got = {r["id"]: (r["n"], r["m"]) for r in out.collect()}
+    for k, p, i, _ in rows:
+        inside = [r for r in rows if r[0] == k and abs(r[1] - p) <= radius]
+        assert got[i] == (len(inside), max(r[3] for r in inside))
