@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Arrays = dict[str, np.ndarray]
 
@@ -82,6 +83,27 @@ def map_groups(
     return df.repartition(n, *group).sortWithinPartitions(*group, *order).mapInPandas(run, ddl)
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def stacked(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Union for ``map_groups``; integers that one side lacks are 0, not null.
+
+    A null turns an integer column of a batch into doubles, which would round ids
+    above 2**53.
+    """
+
+    def filled(df: DataFrame, like: DataFrame) -> DataFrame:
+        have = set(df.columns)
+        missing = {
+            f.name: F.lit(0).cast(f.dataType) for f in like.schema.fields
+            if f.name not in have and f.dataType.simpleString() in WHOLE
+        }
+        return df.withColumns(missing) if missing else df
+
+    return filled(rows, others).unionByName(filled(others, rows), allowMissingColumns=True)
+
+
 def _changes(arrays: Arrays, group: Sequence[str], n: int) -> np.ndarray:
     changed = np.zeros(n, dtype=bool)
     changed[0] = True

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import checkpointed
-from .groups import map_groups
+from .groups import WHOLE, map_groups, stacked
 from .timeline import SLICE, Timeline
 
 ABSORB, REPLACE, TAKE_OVER, APPEND = 0, 1, 2, 3
@@ -112,7 +112,8 @@ def fold_states(
         out = {SLICE: g[SLICE], "_has": [e is not None for e in enters], "_tags": enter_tags,
                "_last": [s == n - 1 for s in range(n)]}
         for c in columns:
-            out[f"_s_{c}"] = [None if e is None else e[c] for e in enters]
+            blank = 0 if types[c] in WHOLE else None
+            out[f"_s_{c}"] = [blank if e is None else e[c] for e in enters]
         return out
 
     def walk(g):
@@ -147,7 +148,7 @@ def fold_states(
     entries = map_groups(
         tables, keys, [SLICE], resolve, f"{SLICE} bigint, _has boolean, _tags array<string>, _last boolean, {states}"
     )
-    both = rows.withColumn("_kind", F.lit(1)).unionByName(entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    both = stacked(rows.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     out = map_groups(
         both, line.home(), ["_kind", pos, *tl.tie], walk, f"`{row_id}` {types[row_id]}, _kept_tags array<string>"
     )

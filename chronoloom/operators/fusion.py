@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.groups import map_groups
+from ..core.groups import map_groups, stacked
 from ..core.quantiles import attach
 from ..core.timeline import SLICE, floor_div
 
@@ -109,9 +109,7 @@ def fuse_methods(
         ranked, home, [unit, "_neg", "_id"], transfer, "_until array<bigint>, _exit array<bigint>"
     )
     entries = map_groups(tables, keys, [SLICE], resolve, f"{SLICE} bigint, _enter bigint")
-    rows = ranked.withColumn("_kind", F.lit(1)).unionByName(
-        entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True
-    )
+    rows = stacked(ranked.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     picked = map_groups(rows, home, ["_kind", unit, "_neg", "_id"], walk, f"{span_id} bigint")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") * (0.65 + 0.35 * F.col("agreement"))))
     return scored.join(picked.select(*keys, span_id), [*keys, span_id], "left_semi").withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.groups import map_groups
+from ..core.groups import map_groups, stacked
 from ..core.quantiles import attach, union_all
 from ..core.timeline import SLICE, Timeline, carried, floor_div, near
 from ..functions.lattice import Lattice, grid_confidence, snap_error_ms
@@ -63,45 +63,78 @@ def interval_join(
 ) -> DataFrame:
     """Half-open containment [start, end); of several intervals the lowest index.
 
-    Intervals are laid out on buckets of ``tl.width`` and joined on (key, bucket);
-    the range test is a residual inside a bucket.  Empty intervals are ignored.
+    Adds index, start, end and ``columns`` of the interval; ``how`` is left, inner or
+    semi.  ``index`` is unique per key; empty intervals are ignored.  No pairs are
+    formed, however many intervals overlap: intervals are laid out on slices, those
+    that cover a whole slice are reduced to the lowest one on the map side, and each
+    slice is swept once with the open intervals in a heap.
     """
+    keys = list(tl.keys)
+    valid = intervals.filter(F.col(end) > F.col(start))
+    if how == "semi":
+        return _covered(points, valid, tl, start, end)
     one = F.lit(1).cast("bigint")
-    lanes = (
-        intervals.filter(F.col(end) > F.col(start))
-        .select(*tl.keys, start, end, index, *columns)
-        .withColumn(
-            SLICE,
-            F.explode(
-                F.sequence(
-                    floor_div(F.col(start), tl.width), floor_div(F.col(end) - one, tl.width)
-                )
-            ),
-        )
-        .withColumnRenamed(start, "_start").withColumnRenamed(end, "_end")
+    first, last = floor_div(F.col(start), tl.width), floor_div(F.col(end) - one, tl.width)
+    laid = valid.select(
+        *keys, F.col(index).alias("_idx"), F.col(start).cast("bigint").alias("_at"), F.col(end).cast("bigint").alias("_end"),
+        F.explode(F.sequence(first, last)).alias(SLICE),
     )
-    placed = points.withColumn(SLICE, tl.slice_of())
-    inside = [placed[c] == lanes[c] for c in tl.keys] + [
-        placed[SLICE] == lanes[SLICE],
-        placed[tl.pos] >= lanes["_start"],
-        placed[tl.pos] < lanes["_end"],
-    ]
-    if how == "semi":
-        return placed.join(lanes, inside, "left_semi").drop(SLICE)
-    hit = F.struct(
-        lanes[index].alias(index), lanes["_start"].alias(start), lanes["_end"].alias(end),
-        *[lanes[c].alias(c) for c in columns],
+    width = F.lit(tl.width).cast("bigint")
+    low = F.col(SLICE) * width
+    whole = (F.col("_at") <= low) & (F.col("_end") >= low + width)
+    lowest = laid.filter(whole).groupBy(*keys, SLICE).agg(F.min("_idx").alias("_idx")).select(
+        *keys, "_idx", low.alias("_at"), (low + width).alias("_end"), SLICE
     )
-    matched = placed.join(lanes, inside, how).select(
-        *[placed[c] for c in points.columns],
-        F.when(lanes[index].isNotNull(), hit).alias("_hit"),
+    lanes = laid.filter(~whole).unionByName(lowest).withColumn("_kind", F.lit(0))
+    identity = [*keys, *tl.order]
+    asked = points.select(*identity).withColumns(
+        {SLICE: tl.slice_of(), "_at": F.col(tl.pos).cast("bigint"), "_kind": F.lit(1)}
     )
-    first = Window.partitionBy(*tl.keys, tl.pos, *tl.tie).orderBy(F.col(f"_hit.{index}"))
-    return (
-        matched.withColumn("_rn", F.row_number().over(first))
-        .filter("_rn = 1")
-        .select(*points.columns, *[F.col(f"_hit.{c}").alias(c) for c in [index, start, end, *columns]])
+    own = list(tl.order)
+
+    def sweep(g):
+        open_, rows, found = [], [], []
+        kinds, at, ends, idx = g["_kind"], g["_at"], g["_end"], g["_idx"]
+        for i in range(len(kinds)):
+            if kinds[i] == 0:
+                heapq.heappush(open_, (idx[i], ends[i]))
+                continue
+            # an interval that has ended is never needed again
+            while open_ and open_[0][1] <= at[i]:
+                heapq.heappop(open_)
+            if open_:
+                rows.append(i)
+                found.append(open_[0][0])
+        if not rows:
+            return None
+        return {**{c: g[c][rows] for c in own}, index: found}
+
+    types = {f.name: f.dataType.simpleString() for f in points.select(*own).schema.fields}
+    kind = valid.select(index).schema[0].dataType.simpleString()
+    hits = map_groups(
+        stacked(lanes, asked), [*keys, SLICE], ["_at", "_kind"], sweep,
+        ", ".join(f"`{c}` {t}" for c, t in types.items()) + f", `{index}` {kind}",
+    ).drop(SLICE)
+    if not tl.tie:
+        hits = hits.dropDuplicates(identity)
+    facts = valid.select(*keys, index, start, end, *columns)
+    payload = [index, start, end, *columns]
+    return points.join(hits.join(facts, [*keys, index]), identity, how).select(*points.columns, *payload)
+
+
+def _covered(points: DataFrame, valid: DataFrame, tl: Timeline, start: str, end: str) -> DataFrame:
+    """Points inside at least one interval: the furthest end opened so far lies ahead."""
+    tie = [f"_p{i}" for i in range(len(tl.tie))]
+    asked = points.select(
+        *tl.keys, F.col(tl.pos).cast("bigint").alias("_at"), F.lit(1).alias("_kind"),
+        *[F.col(c).alias(t) for c, t in zip(tl.tie, tie, strict=True)], F.struct(*points.columns).alias("_row"),
     )
+    opened = valid.select(
+        *tl.keys, F.col(start).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.col(end).cast("bigint").alias("_end")
+    )
+    line = Timeline(tl.keys, "_at", ["_kind", *tie], tl.width)
+    merged = carried(asked.unionByName(opened, allowMissingColumns=True), line, run_max={"_furthest": F.col("_end")})
+    return merged.filter("_kind = 1 and _furthest > _at").select("_row.*")
 
 
 def nearest_distance(

@@ -123,3 +123,14 @@ def test_exact_quantiles(spark):
         assert r["n"] == 301
         assert np.allclose([r["a"], r["b"], r["c"]], np.quantile(x, [0.12, 0.5, 0.995]))
         assert ranked[r["k"]] == x[int(np.ceil(301 * 0.95)) - 1]
+
+
+def test_large_ids_survive(spark):
+    big = 2**60
+    rows = [(1, 10 * i, big + i) for i in range(20)]
+    points = spark.createDataFrame(rows, "k bigint, pos bigint, id bigint")
+    spans = spark.createDataFrame([(1, 0, 95, big + 7), (1, 40, 150, big + 3)], "k bigint, s bigint, e bigint, n bigint")
+    out = {r["id"]: r["n"] for r in interval_join(points, spans, TL, "s", "e", "n").collect()}
+    assert out == {
+        i: big + 3 if 40 <= p < 150 else big + 7 if p < 95 else None for _, p, i in rows
+    }
