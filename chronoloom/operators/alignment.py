@@ -15,7 +15,7 @@ from ..core.durable import checkpointed
 from ..core.groups import map_groups
 from ..core.quantiles import attach, union_all
 from ..core.states import ABSORB, APPEND, fold_states
-from ..core.timeline import SLICE, Timeline, carried, floor_div
+from ..core.timeline import SLICE, Timeline, floor_div
 from ..functions.lattice import Lattice
 from .joins import interval_join, suppress_near
 from .metrics import MIN_CHUNK_ANCHORS

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..core.timeline import Timeline
 from ..operators import metrics as A
 from ..streaming import jobs as R
 from .registry import query

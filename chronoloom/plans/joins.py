@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..core.timeline import Timeline
 from ..operators import joins as J
 from ..operators import merge as M
 from .lattice import PLACED
 from .registry import query
-from .views import DAY, FRAME_LINE, FRAMES, HITS, HOUR, POINTS, RATE, TEMPO, TRACKS, frames, hits, points, table, tempo
+from .views import FRAME_LINE, FRAMES, HITS, HOUR, POINTS, TRACKS, frames, hits, points, table, tempo
 
 INTERVALS = """intervals AS (
   SELECT track_id, pos AS s, pos + floor(score)::BIGINT * 200 - 5000 AS e, id AS idx FROM points WHERE lane = 'signup')"""

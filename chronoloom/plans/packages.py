@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers, sinks
 from .registry import query
-from .views import DAY, HITS, POINTS, RATE, SPAN, TEMPO, hits, points, table, tempo
+from .views import DAY, HITS, POINTS, RATE, TEMPO, hits, points, table, tempo
 
 
 @query("s3_missing_predictions", f"""WITH {POINTS}

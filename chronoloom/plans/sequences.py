@@ -3,17 +3,14 @@
 from pyspark.sql import functions as F
 
 from ..core.chains import spaced
-from ..core.timeline import Timeline
 from ..functions.lattice import Lattice
-from ..operators import merge as M
-from ..operators import metrics as A
 from ..operators import sequences as S
 from .joins import STEM_FRAMES, stem_frames
 from .lattice import PLACED, placed
 from .metrics import PCM, anchors_sql, pcm
 from .registry import query
 from .views import (
-    DAY, FRAME_LINE, FRAMES, HITS, HOUR, POINTS, RATE, TEMPO, TRACKS, frames, hits, points, table, tempo,
+    FRAME_LINE, FRAMES, HITS, HOUR, POINTS, RATE, TEMPO, TRACKS, frames, hits, points, table, tempo,
 )
 
 KERNEL = S.gaussian_weights(0.65)

@@ -13,7 +13,7 @@ from .joins import STEM_FRAMES, stem_frames
 from .metrics import tiles
 from .registry import query
 from .sequences import smooth_sql
-from .views import DAY, FRAME_LINE, FRAMES, HITS, HOUR, POINTS, RATE, TEMPO, TRACKS, frames, hits, k_of, points, table, tempo
+from .views import DAY, FRAME_LINE, FRAMES, HOUR, POINTS, RATE, TRACKS, frames, hits, points, table
 
 
 @query("w3_peak_picking", f"""WITH {FRAMES},
@@ -256,7 +256,14 @@ def j7(spark, d):
     return counters
 
 
-@query("f5_ruby")
+RUBY_SQL = (
+    r"[\p{Han}々〆ヵヶ]+[\p{Hiragana}\p{Katakana}ー]*"
+    r"(?:\(([\p{Hiragana}\p{Katakana}ー]+)\)|（([\p{Hiragana}\p{Katakana}ー]+)）)"
+)
+
+
+@query("f5_ruby", rf"""SELECT doc_id, length(regexp_replace(t, '{RUBY_SQL}', '\1\2', 'g')) AS spoken_chars, len(regexp_extract_all(t, '{RUBY_SQL}')) AS notes
+FROM (SELECT doc_id, regexp_replace(text, '(?m)^(\w+)', '漢字\1夜空(よぞら)', 'g') AS t FROM documents)""")
 def f5(spark, d):
     from ..functions import text as X
 

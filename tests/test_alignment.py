@@ -2,7 +2,6 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from chronoloom.core.timeline import Timeline
 from chronoloom.operators import alignment as L
