@@ -93,7 +93,7 @@ def classify_lyrics(
         .limit(most_ratings)
     )
     rated = tracks.select("track_id", text).join(F.broadcast(sample), "track_id")  # at most most_ratings rows
-    machine = _fitted(rated, slots)
+    machine, scale = _fitted(rated, slots)
 
     rest = [carried] if carried else []
 
@@ -102,7 +102,7 @@ def classify_lyrics(
         for batch in batches:
             texts = batch.column(2).to_pylist()
             parts = [
-                machine.scores(features.rows(texts[at : at + 1_000]).astype(np.float64))
+                machine.scores(scale(features.rows(texts[at : at + 1_000])))
                 for at in range(0, len(texts), 1_000)
             ]
             scores = np.concatenate(parts) if parts else np.zeros(0)
@@ -118,7 +118,21 @@ def classify_lyrics(
     return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-def _fitted(rated: DataFrame, slots: int) -> FactorisationMachine:
+class Scale:
+    """Statistics to mean 0 and deviation 1 in the sample; hashed words stay as they are."""
+
+    def __init__(self, rows: np.ndarray):
+        part = rows[:, :STATISTICS].astype(np.float64)
+        self.mean = part.mean(0) if len(part) else np.zeros(STATISTICS)
+        self.spread = np.maximum(part.std(0), 0.02) if len(part) else np.ones(STATISTICS)
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        scaled = rows.astype(np.float64)
+        scaled[:, :STATISTICS] = np.clip((scaled[:, :STATISTICS] - self.mean) / self.spread, -4, 4)
+        return scaled
+
+
+def _fitted(rated: DataFrame, slots: int) -> tuple[FactorisationMachine, Scale]:
     """rated: track_id, lyrics_text, quality. Features are made by tasks; rows come as bytes."""
 
     def featured(batches):
@@ -135,4 +149,6 @@ def _fitted(rated: DataFrame, slots: int) -> FactorisationMachine:
     found.sort(key=lambda r: (str(r["track_id"]), r["inputs"]))
     inputs = [np.frombuffer(r["inputs"], np.float16) for r in found]
     rows = np.array(inputs, np.float32) if inputs else np.zeros((0, STATISTICS + slots), np.float32)
-    return FactorisationMachine.fitted(rows, np.array([r["quality"] for r in found], np.float32))
+    scale = Scale(rows)
+    machine = FactorisationMachine.fitted(scale(rows).astype(np.float32), np.array([r["quality"] for r in found], np.float32))
+    return machine, scale

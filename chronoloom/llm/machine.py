@@ -22,29 +22,33 @@ class FactorisationMachine:
 
     @classmethod
     def fitted(
-        cls, rows: np.ndarray, marks: np.ndarray, rank: int = 6, epochs: int = 12, batch: int = 128, seed: int = 3
+        cls, rows: np.ndarray, marks: np.ndarray, rank: int = 6, steps: int = 1_500, batch: int = 128, seed: int = 3
     ) -> FactorisationMachine:
-        """Adaptive gradient steps on the logistic loss over shuffled batches, classes weighed alike."""
+        """Adaptive gradient steps on the logistic loss over shuffled batches."""
         random = np.random.default_rng(seed)
         width = rows.shape[1]
         share = min(max(marks.mean() if len(marks) else 0.5, 1e-3), 1 - 1e-3)
         made = cls(float(np.log(share / (1 - share))), np.zeros(width), random.normal(0, 0.02, (width, rank)))
-        rate, decay = 0.05, 1e-5
-        steps = [1e-2, np.full(width, 1e-2), np.full((width, rank), 1e-2)]
-        for _ in range(epochs if 0 < marks.sum() < len(marks) else 0):
-            order = random.permutation(len(rows))
-            for at in range(0, len(order), batch):
-                x, y = rows[order[at : at + batch]], marks[order[at : at + batch]]
-                slope = (made.scores(x) - y) / len(x)
-                mixed = x @ made.factors
-                grads = [
-                    slope.sum(),
-                    x.T @ slope + decay * made.weights,
-                    x.T @ (slope[:, None] * mixed) - made.factors * (x**2).T.dot(slope)[:, None] + decay * made.factors,
-                ]
-                for i, grad in enumerate(grads):
-                    steps[i] = steps[i] + grad**2
-                made.bias -= rate * grads[0] / np.sqrt(steps[0])
-                made.weights -= rate * grads[1] / np.sqrt(steps[1])
-                made.factors -= rate * grads[2] / np.sqrt(steps[2])
+        rate, decay = 0.1, 1e-5
+        past = [1e-3, np.full(width, 1e-3), np.full((width, rank), 1e-3)]
+        if not 0 < marks.sum() < len(marks):
+            return cls(made.bias, made.weights, np.zeros((width, rank)))
+        order = random.permutation(len(rows))
+        for step in range(steps):
+            at = step * batch % len(rows)
+            if at < batch:
+                order = random.permutation(len(rows))
+            x, y = rows[order[at : at + batch]], marks[order[at : at + batch]]
+            slope = (made.scores(x) - y) / len(x)
+            mixed = x @ made.factors
+            grads = [
+                slope.sum(),
+                x.T @ slope + decay * made.weights,
+                x.T @ (slope[:, None] * mixed) - made.factors * (x**2).T.dot(slope)[:, None] + decay * made.factors,
+            ]
+            for i, grad in enumerate(grads):
+                past[i] = past[i] + grad**2
+            made.bias -= rate * grads[0] / np.sqrt(past[0])
+            made.weights -= rate * grads[1] / np.sqrt(past[1])
+            made.factors -= rate * grads[2] / np.sqrt(past[2])
         return made

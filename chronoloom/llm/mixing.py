@@ -37,16 +37,17 @@ def genre_targets(sizes: DataFrame, weights: list[float], passes: int) -> DataFr
     return levelled.select("genre", "source_size", target.alias("target"))
 
 
-def mix_genres(tracks: DataFrame, weights: list[float], passes: int = 3) -> DataFrame:
+def mix_genres(tracks: DataFrame, weights: list[float], passes: int = 3, whole: bool = False) -> DataFrame:
     """Stream of tracks in which each genre's words come near its weighted target.
 
     tracks: track_id, genre, lyrics_text. Size of a track: its words, runs of characters other
     than ASCII white space. Each genre is a queue of its tracks in shuffled order, repeated up to
     `passes` times; a track's virtual finish time is the genre's cumulative words over its
-    target. All queues are merged by finish time and the stream ends where the sum of all
-    sizes is reached. Returns one row per track: track_id, genre, size, source_size,
-    target (both of its genre), taken (words the mix takes: copies times size), finish (of its
-    first copy; null where the genre has no words).
+    target. A queue closes at its target: the copy that reaches it is cut there or, with `whole`,
+    taken whole if at least half of it fits. All queues are merged by finish time and the stream
+    ends where the sum of all sizes is reached. Returns one row per track: track_id, genre, size,
+    source_size, target (both of its genre), taken (words the mix takes over all copies), finish
+    (of its first copy; null where the genre has no words).
 
     Null lyrics have size 0, and tracks without words take nothing; a null genre is a genre.
     Rows with the same id and size are interchangeable. An empty table gives an
@@ -73,19 +74,20 @@ def mix_genres(tracks: DataFrame, weights: list[float], passes: int = 3) -> Data
         .drop("_genre")
     )
     budget = queued.agg(F.sum("size")).first()[0] or 0
-    # a queue closes with the copy that reaches its target
     copies = queued.filter("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     waited = F.col("copy") * F.col("source_size") + F.col("start")
-    stream = copies.filter(waited < F.col("target")).select(
-        ((waited + F.col("size")) / F.col("target")).alias("virtual_finish"), "genre", "copy", *order
-    )
+    ended = waited + F.col("size")
+    if whole:
+        offered = F.when(2 * (F.col("target") - waited) >= F.col("size"), F.col("size")).otherwise(0)
+    else:  # the queue's words before the target, up to the copy's end less those up to its start
+        offered = (F.least(ended, F.floor("target")) - F.least(waited, F.floor("target"))).cast("long")
+    stream = copies.select(
+        (ended / F.col("target")).alias("virtual_finish"), "genre", "copy", *order, offered.alias("offered")
+    ).filter("offered > 0")
     by_finish = ["virtual_finish", "genre", "copy", *order]
-    sent = before(in_cells(stream, *by_finish), by_finish, {"sent": "size"})
-    taken = (
-        sent.filter(F.col("sent") + F.col("size") <= F.lit(budget))
-        .groupBy("row")
-        .agg(F.sum("size").alias("taken"))
-    )
+    sent = before(in_cells(stream, *by_finish), by_finish, {"sent": "offered"})
+    room = F.col("offered") if whole else F.least("offered", F.lit(budget) - F.col("sent"))
+    taken = sent.filter(F.col("sent") < F.lit(budget)).groupBy("row").agg(F.sum(room).alias("taken"))
     return queued.join(taken, "row", "left").select(
         "track_id", "genre", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "finish"
     )
