@@ -44,7 +44,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mix_genres(q.as_tracks(docs, F.expr(KEY)), q.WEIGHTS).filter("taken > 0")
+    mixed = mix_genres(q.as_tracks(docs, F.expr(KEY)), q.WEIGHTS, whole=True).filter("taken > 0")
     copies = mixed.groupBy("track_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"))
     taken = _once(_marked(docs)).join(copies, "track_id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
