@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .machine import FactorisationMachine
 from .quality import BLANK, CLASSES, class_table, repeated_lines, repeated_words
 from .words import PerWord, WordBook
@@ -99,13 +100,8 @@ def classify_lyrics(
 
     def score(batches):
         features = Features(slots)
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            parts = [
-                machine.scores(scale(features.rows(texts[at : at + 1_000])))
-                for at in range(0, len(texts), 1_000)
-            ]
-            scores = np.concatenate(parts) if parts else np.zeros(0)
+        for batch in sliced(batches, 1_000):
+            scores = machine.scores(scale(features.rows(batch.column(2).to_pylist())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), *batch.columns[3:]],
                 ["track_id", "held_out", "score", *rest],
@@ -137,7 +133,7 @@ def _fitted(rated: DataFrame, slots: int) -> tuple[FactorisationMachine, Scale]:
 
     def featured(batches):
         features = Features(slots)
-        for batch in batches:
+        for batch in sliced(batches, 1_000):
             rows = features.rows(batch.column(1).to_pylist()).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())],

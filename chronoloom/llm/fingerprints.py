@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .sketches import Sketch
 
 SCHEMA = (
@@ -42,7 +43,7 @@ def _compare(k: int, width: int):
 
     def compare(batches):
         before = None
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for part, extra, track, text in zip(*(c.to_pylist() for c in batch.columns)):
                 here = part, extra, track, text, Sketch.of(text, k, width)

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .store import written
 
 BITS = 64
@@ -37,7 +38,7 @@ def fingerprints(tracks: DataFrame, width: int) -> DataFrame:
     """track_id, print: the SimHash as a signed long."""
 
     def sketch(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             prints = np.array([simhash(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["track_id", "print"])
 

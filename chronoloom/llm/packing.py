@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .batches import sliced
 from .curve import Projection
 from .prefix import before, in_cells
 from .store import written
@@ -58,19 +59,17 @@ def _tokenised(tracks: DataFrame, tokenizer: str) -> DataFrame:
         coder = _word_ids(tokenizer)
         places = Projection(coder.vocabulary + CLOSING + 1)
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 2_000):
-                ids = coder.ids(texts[at : at + 2_000])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(ids)),
-                        pa.array(places.keys(ids)),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([press.compress(x.tobytes()) for x in ids], pa.binary()),
-                    ],
-                    ["track_id", "curve_key", "n_tokens", "ids"],
-                )
+        for batch in sliced(batches):
+            ids = coder.ids(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(places.keys(ids)),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([press.compress(x.tobytes()) for x in ids], pa.binary()),
+                ],
+                ["track_id", "curve_key", "n_tokens", "ids"],
+            )
 
     rows = tracks.select("track_id", F.coalesce("lyrics_text", F.lit("")).alias("lyrics_text"))
     kind = rows.schema["track_id"].dataType.simpleString()
@@ -98,7 +97,7 @@ def pack_lyrics(tracks: DataFrame, tokenizer: str, length: int = 4096) -> DataFr
 
     def cut(batches):
         unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             owner, columns = [], {k: [] for k in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for i, (first, packed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 ids = np.frombuffer(unpress.decompress(packed), np.uint32)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .store import written
 from .words import PerWord, WordBook
 
@@ -89,7 +90,7 @@ def measured(tracks: DataFrame, languages: dict[str, list[str]]) -> DataFrame:
         table = class_table()
         book = WordBook()
         common_of = PerWord(book, lambda w: index.get(w.decode().lower().strip(MARKS).encode(), len(index)))
-        for batch in batches:
+        for batch in sliced(batches):
             book.trim()
             out = {n: [] for n in names}
             texts = batch.column(2).to_pylist()
@@ -171,7 +172,7 @@ def judge_lyrics(
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n = batch.num_rows
             classes = np.array(batch.column("classes").to_pylist(), float).reshape(n, -1)
             commons = np.array(batch.column("commons").to_pylist(), float).reshape(n, -1)

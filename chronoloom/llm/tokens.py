@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .transducer import Machine
 
 SCHEMA = "n_bytes long, n_tokens long"
@@ -34,7 +35,7 @@ def count_lyric_tokens(tracks: DataFrame, tokenizer: str, limit: int = 512) -> D
 
     def count(batches):
         machine = _machine(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
