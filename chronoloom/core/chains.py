@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import checkpointed
-from .groups import map_groups
+from .groups import map_groups, stacked
 from .timeline import SLICE, Timeline
 
 SLICES_PER_WINDOW = 16
@@ -102,13 +102,15 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
 
     def resolve(g):
         n = len(g[SLICE])
-        enter_pos: list[int | None] = []
+        enter_pos: list[int] = []
+        entered: list[bool] = []
         enter_score: list[float] = []
         undone = [False] * n
         state, strength, owner = None, 0.0, -1
         for i in range(n):
             until, peak = g["_until"][i], g["_peak"][i]
-            enter_pos.append(state)
+            enter_pos.append(state or 0)
+            entered.append(state is not None)
             enter_score.append(strength)
             at = 0
             if state is not None:
@@ -122,12 +124,13 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
             if at < len(until):
                 state, strength, owner = int(g["_exit_pos"][i][at]), float(g["_exit_score"][i][at]), i
         return {
-            SLICE: g[SLICE], "_enter_pos": enter_pos, "_enter_score": enter_score, "_undone": undone,
+            SLICE: g[SLICE], "_enter_pos": enter_pos, "_entered": entered, "_enter_score": enter_score,
+            "_undone": undone,
         }
 
     def walk(g):
         # the entry row of the slice comes first
-        enter = None if np.isnan(g["_enter_pos"][0]) else int(g["_enter_pos"][0])
+        enter = int(g["_enter_pos"][0]) if g["_entered"][0] else None
         strength, undone = float(g["_enter_score"][0]), bool(g["_undone"][0])
         pos, score = arrays({c: v[1:] for c, v in g.items()})
         n = len(pos)
@@ -155,11 +158,9 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
     )
     entries = map_groups(
         tables, keys, [SLICE], resolve,
-        f"{SLICE} bigint, _enter_pos bigint, _enter_score double, _undone boolean",
-    )
-    rows = sliced.withColumn("_kind", F.lit(1)).unionByName(
-        entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True
+        f"{SLICE} bigint, _enter_pos bigint, _entered boolean, _enter_score double, _undone boolean",
     )
+    rows = stacked(sliced.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     return map_groups(
         rows, tl.home(), ["_kind", pos_name], walk,
         f"`{pos_name}` bigint, taken boolean, kept boolean, state_pos bigint",
@@ -208,8 +209,9 @@ def spaced_order(
     )
     pre = best.select(*keys, tl.pos, (-F.col("_b.s")).alias("_score"))
     chain = _chain(pre, fold_timeline(tl, spacing, width), int(spacing), scored=True)
-    kept = chain.filter("kept").select(*keys, tl.pos)
-    return kept.join(best, [*keys, tl.pos]).select(*keys, tl.pos, *[f"_b.{t}" for t in tl.tie])
+    kept = chain.filter("kept").select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, tl.pos)])
+    same = [best[c].eqNullSafe(kept[f"_k_{c}"]) for c in (*keys, tl.pos)]
+    return best.join(kept, same, "left_semi").select(*keys, tl.pos, *[f"_b.{t}" for t in tl.tie])
 
 
 def spaced(
@@ -217,4 +219,6 @@ def spaced(
 ) -> DataFrame:
     """Rows that survive minimum spacing, see ``spaced_order``."""
     kept = spaced_order(df, tl, spacing, score, width)
-    return df.join(kept, [*tl.keys, *tl.order], "left_semi")
+    columns = [*tl.keys, *tl.order]
+    kept = kept.select(*[F.col(c).alias(f"_k_{c}") for c in columns])
+    return df.join(kept, [df[c].eqNullSafe(kept[f"_k_{c}"]) for c in columns], "left_semi")

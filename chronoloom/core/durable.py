@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in spark.checkpoint.dir.
 
-    A folder of our own is only set where the session has none (local tests).
+    A session without one is refused: a folder of this machine would be missing on others.
+    Set spark.cleaner.referenceTracking.cleanCheckpoints to have unused cuts deleted.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoloom-"))
+        if not folder:
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -62,7 +62,8 @@ def map_groups(
             arrays = {c: pdf[c].to_numpy() for c in group}
             last = int(np.flatnonzero(_changes(arrays, group, len(pdf)))[-1])
             if pending:
-                same = all(pending[-1][g].iloc[-1] == pdf[g].iloc[0] for g in group)
+                ends = [(pending[-1][g].iloc[-1], pdf[g].iloc[0]) for g in group]
+                same = all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in ends)
                 if last == 0 and same:
                     pending.append(pdf)
                     continue
@@ -109,7 +110,8 @@ def _changes(arrays: Arrays, group: Sequence[str], n: int) -> np.ndarray:
     changed[0] = True
     for g in group:
         values = arrays[g]
-        changed[1:] |= values[1:] != values[:-1]
+        empty = pd.isna(values)  # a null key is one group
+        changed[1:] |= (values[1:] != values[:-1]) & ~(empty[1:] & empty[:-1])
     return changed
 
 

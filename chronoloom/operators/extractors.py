@@ -68,6 +68,18 @@ def extract(df: DataFrame, name: str, keys: list[str], fallback: str | None = No
         out["warnings"] = [warnings] * len(out)
         return out
 
+    def halved(worker, pdf: pd.DataFrame, warnings: list[str]) -> Iterator[pd.DataFrame]:
+        """The whole batch, or its halves where it fails, down to single failing rows."""
+        try:
+            yield attempt(worker, pdf, warnings)
+        except Exception as problem:  # noqa: BLE001 - reported in the row
+            if len(pdf) == 1:
+                yield failed(pdf, "failed", str(problem), warnings)
+            else:
+                middle = len(pdf) // 2
+                yield from halved(worker, pdf.iloc[:middle], warnings)
+                yield from halved(worker, pdf.iloc[middle:], warnings)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker, warnings = chosen, []
         reason = worker.available()
@@ -80,14 +92,6 @@ def extract(df: DataFrame, name: str, keys: list[str], fallback: str | None = No
             if reason is not None:
                 yield failed(pdf, "unavailable", reason, warnings)
                 continue
-            try:
-                yield attempt(worker, pdf, warnings)
-            except Exception:  # noqa: BLE001 - narrowed down to single rows below
-                for i in range(len(pdf)):
-                    one = pdf.iloc[[i]]
-                    try:
-                        yield attempt(worker, one, warnings)
-                    except Exception as problem:  # noqa: BLE001 - reported in the row
-                        yield failed(one, "failed", str(problem)[:500], warnings)
+            yield from halved(worker, pdf, warnings)
 
     return df.mapInPandas(run, ddl)

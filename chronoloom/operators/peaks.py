@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.groups import map_groups
+from ..core.groups import map_groups, stacked
 from ..core.quantiles import union_all
 from ..core.timeline import SLICE, Timeline, carried, floor_div, neighbours
 from .joins import within
@@ -180,9 +180,7 @@ def prominences(
     )
     arrays = "_cl array<double>, _ml array<double>, _cr array<double>, _mr array<double>"
     entries = map_groups(stairs, keys, [SLICE], resolve, f"{SLICE} bigint, {arrays}")
-    rows = marked.withColumn("_kind", F.lit(1)).unionByName(
-        entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True
-    )
+    rows = stacked(marked.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     found = map_groups(rows, line.home(), ["_kind", pos], finish, f"`{pos}` bigint, prominence double")
     return peaks.join(found.select(*keys, pos, "prominence"), [*keys, pos])
 

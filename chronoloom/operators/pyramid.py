@@ -15,7 +15,8 @@ def build_lods(
     samples: DataFrame, keys: Sequence[str], pos: str, value: str, base_window: int = 256,
     max_levels: int = 8, enough: int = 32,
 ) -> DataFrame:
-    """Windows grow fourfold per level until a level has at most ``enough`` bins.
+    """Windows grow fourfold per level until a level has at most ``enough`` bins or
+    there are ``max_levels`` levels.  Every level covers all samples.
 
     The samples are reduced to base bins first (partial aggregation); every higher
     level is built from these in one more aggregation, not level by level.
@@ -47,10 +48,17 @@ def build_lods(
 
 
 def select_lod(lods: DataFrame, keys: Sequence[str], max_points: int, level: int | None = None) -> DataFrame:
-    """The asked level, or the finest with at most ``max_points`` bins, else the coarsest."""
-    if level is not None:
-        return lods.filter(F.col("level") == level)
+    """The asked level, or the finest with at most ``max_points`` bins, else the coarsest.
+
+    A key that lacks the asked level is an error when the result is read.
+    """
     keys = list(keys)
+    if level is not None:
+        has = lods.groupBy(*keys).agg(F.max((F.col("level") == level).cast("int")).alias("_has"))
+        lacks = F.raise_error(F.lit(f"no level {level}"))
+        return attach(lods, has, keys).filter(
+            F.when(F.col("_has") == 1, F.col("level") == level).otherwise(lacks.cast("boolean"))
+        ).drop("_has")
     sizes = lods.groupBy(*keys, "level").agg(F.count("*").alias("_n"))
     fitting = F.min(F.when(F.col("_n") <= max_points, F.col("level")))
     chosen = sizes.groupBy(*keys).agg(F.coalesce(fitting, F.max("level")).alias("_level"))

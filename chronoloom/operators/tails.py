@@ -18,7 +18,8 @@ def with_valley_curve(candidates: DataFrame, frames: DataFrame, keys: Sequence[s
                       reach: int, curve: str) -> DataFrame:
     """Attach the curve of the ``reach`` frames before a candidate's frame, oldest first.
 
-    At most ``reach`` frames per candidate, joined on the frame index.
+    At most ``reach`` frames per candidate, joined on the frame index; ``suppress_tails``
+    needs as many as lie within its tail (``tail // hop + 1``) and raises if there are fewer.
     """
     frame = F.rint(F.col(pos) / hop).cast("bigint")
     placed = candidates.withColumn("_frame", frame)
@@ -30,7 +31,8 @@ def with_valley_curve(candidates: DataFrame, frames: DataFrame, keys: Sequence[s
         F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "_v"))), lambda r: r["_v"]).alias("back")
     )
     empty = F.array().cast("array<double>")
-    return placed.join(back, [*keys, "id"], "left").withColumn("back", F.coalesce("back", empty))
+    joined = placed.join(back, [*keys, "id"], "left").withColumn("back", F.coalesce("back", empty))
+    return joined.withColumn("_reach", F.lit(reach).cast("bigint"))
 
 
 def suppress_tails(
@@ -58,6 +60,8 @@ def suppress_tails(
         similar = scale > 1e-9 and float(a @ b) / scale >= similar_at
         between = int(row["_frame"] - state["_frame"]) - 1
         apart = False
+        if between > row["_reach"]:
+            raise ValueError(f"the curve reaches back {row['_reach']} frames, {between} are needed")
         if between >= 1 and len(row["back"]):
             valley = float(min(list(row["back"])[-between:]))
             apart = valley <= min(state["peak_value"], row["peak_value"]) * reset
@@ -69,6 +73,6 @@ def suppress_tails(
         return APPEND
 
     kept = fold_states(
-        candidates, tl, max(minimum, tail), decide, ["confidence", "peak_value", *BANDS, "_frame", "back"], "id", "votes"
+        candidates, tl, max(minimum, tail), decide, ["confidence", "peak_value", *BANDS, "_frame", "_reach", "back"], "id", "votes"
     )
-    return candidates.drop("votes", "back", "_frame").join(kept, [*tl.keys, "id"])
+    return candidates.drop("votes", "back", "_frame", "_reach").join(kept, [*tl.keys, "id"])

@@ -108,13 +108,13 @@ def j6(spark, d):
 
 
 def stem_frames(spark, d):
-    """Four activity curves per embedding row, 64 frames each."""
-    e = F.col("embedding")
+    """Four activity curves per embedding row, one frame per entry."""
+    e, n = F.col("embedding"), F.size("embedding")
 
     def turned(by, factor):
         return F.transform(
-            F.sequence(F.lit(0), F.lit(63)),
-            lambda i: F.abs(F.get(e, (i + by) % 64)).cast("double") * F.lit(factor),
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.abs(F.get(e, (i + by) % n)).cast("double") * F.lit(factor),
         )
 
     scale = {"vocals": 1.0, "drums": 0.95, "bass": 0.9, "other": 1.05}
@@ -128,9 +128,9 @@ def stem_frames(spark, d):
 
 STEM_FRAMES = """stem_frames AS (
   SELECT vec_id AS track_id, (i - 1)::BIGINT AS frame_idx, abs(embedding[i])::DOUBLE AS vocals,
-         abs(embedding[(i + 15) % 64 + 1])::DOUBLE * 0.95::DOUBLE AS drums,
-         abs(embedding[(i + 31) % 64 + 1])::DOUBLE * 0.9::DOUBLE AS bass, abs(embedding[(i + 47) % 64 + 1])::DOUBLE * 1.05::DOUBLE AS other
-  FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"""
+         abs(embedding[(i + 15) % n + 1])::DOUBLE * 0.95::DOUBLE AS drums,
+         abs(embedding[(i + 31) % n + 1])::DOUBLE * 0.9::DOUBLE AS bass, abs(embedding[(i + 47) % n + 1])::DOUBLE * 1.05::DOUBLE AS other
+  FROM (SELECT vec_id, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 
 @query("j8_timeline_sampling", f"""WITH {POINTS}, {STEM_FRAMES},

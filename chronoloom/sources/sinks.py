@@ -38,18 +38,18 @@ def markers(hits: DataFrame, rate: int) -> DataFrame:
     return dual_time(hits, rate).withColumn("primary_stem", known(F.col("primary_stem"), STEMS, "mix"))
 
 
-def write_marker_package(hits: DataFrame, candidates: DataFrame, path: str, rate: int, files_per_stem: int = 64) -> None:
+def write_marker_package(hits: DataFrame, candidates: DataFrame, path: str, rate: int) -> None:
     """Markers partitioned by stem and candidates, both in export order.
 
-    Rows of one stem are spread over ``files_per_stem`` tasks by time-ordered
-    ranges, so a dominant stem is neither one task nor one file.
+    Rows are dealt out in ranges of the whole order, so a dominant stem is neither one
+    task nor one file; adaptive execution sizes the ranges by the data.
     """
     rows = markers(hits, rate)
     order = ["primary_stem", "track_id", "chart", "acoustic", "id"]
-    parts = rows.repartitionByRange(files_per_stem * len(MARKER_STEMS), *order).sortWithinPartitions(*order)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     parts.write.mode("overwrite").partitionBy("primary_stem").json(f"{path}/markers")
     order = ["track_id", "acoustic", "id"]
-    candidates.repartitionByRange(files_per_stem, *order).sortWithinPartitions(*order).write.mode("overwrite").json(
+    candidates.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(
         f"{path}/analysis"
     )
 
@@ -86,7 +86,7 @@ def project_documents(
     parts of ``part_width`` positions (one part when the track is shorter), each
     with the hits, candidates and tempo segments that start in it, in export
     order.  ``tracks`` holds one row of project and audio facts per track,
-    repeated in every part.
+    repeated in every part; a track without rows gets one part with empty arrays.
     """
 
     def nested(df: DataFrame, order: Sequence[str], columns: Sequence[str], pos: Column, name: str) -> DataFrame:
@@ -101,7 +101,9 @@ def project_documents(
     t = nested(
         tempo, ["start_pos"], ["start_pos", "bpm", "beat_offset"], F.col("start_pos"), "tempoMap"
     )
-    return body.join(t, ["track_id", "part"], "full_outer").join(tracks, "track_id")
+    parts = tracks.join(body.join(t, ["track_id", "part"], "full_outer"), "track_id", "left")
+    empty = {n: F.coalesce(n, F.array().cast(parts.schema[n].dataType)) for n in ("hitPoints", "candidateEvents", "tempoMap")}
+    return parts.withColumns({"part": F.coalesce("part", F.lit(0)).cast("bigint"), **empty})
 
 
 def write_project_documents(documents: DataFrame, path: str) -> None:

@@ -93,7 +93,7 @@ def test_sinks(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == sinks.CSV_COLUMNS and back.count() == 9
     candidates = hits.select("track_id", "id", F.col("refined").alias("acoustic"))
-    sinks.write_marker_package(hits, candidates, str(tmp_path / "pkg"), 100, files_per_stem=2)
+    sinks.write_marker_package(hits, candidates, str(tmp_path / "pkg"), 100)
     markers = spark.read.json(str(tmp_path / "pkg" / "markers"))
     assert {r["primary_stem"]: r["count"] for r in markers.groupBy("primary_stem").count().collect()} == {"vocals": 3, "mix": 6}
     tracks = spark.createDataFrame([("t", 1000, 2)], "track_id string, sample_count bigint, channels int")
