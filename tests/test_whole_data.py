@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.core.chains import spaced
-from chronoloom.core.durable import checkpointed
+from chronoloom.core.durable import own_folder
 from chronoloom.core.timeline import Timeline
 from chronoloom.functions.text import moras
 from chronoloom.operators.metrics import duplicate_count
@@ -59,11 +59,8 @@ def test_missing_level_is_an_error(spark):
         select_lod(lods, ["track_id"], 10, level=7).collect()
 
 
-def test_cuts_need_a_shared_folder(spark, monkeypatch):
-    df = spark.range(3)
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
-    folder = spark.conf.get("spark.checkpoint.dir")
-    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: None)
-    assert folder
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        checkpointed(df)
+def test_cuts_need_a_shared_folder():
+    assert own_folder("local[8]")
+    for master in ("spark://host:7077", "local-cluster[3,2,1000]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            own_folder(master)
