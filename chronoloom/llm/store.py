@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..core.durable import own_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names; one of our own only where it names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronoloom-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or own_folder(spark.sparkContext.master)
 
 
 def written(df: DataFrame) -> DataFrame:
