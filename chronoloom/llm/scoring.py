@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .hmm import Model, expected_counts, grouped, log10_likelihood, windows
 from .store import written
 
@@ -58,7 +59,7 @@ def _slot(word, slots: int):
 class WordBook:
     """Codes of words: the common ones first, others as they are met, up to a bound."""
 
-    def __init__(self, known: dict[bytes, tuple[int, int]], slots: int, room: int = 1_000_000):
+    def __init__(self, known: dict[bytes, tuple[int, int]], slots: int, room: int = 400_000):
         self.known, self.slots, self.room, self.n_common = known, slots, room, len(known)
         self._reset()
 
@@ -94,7 +95,7 @@ def encoded(tracks: DataFrame, common: dict[bytes, tuple[int, int]], slots: int)
         book = WordBook(known, slots)
         end_count = known[END.encode()][1] if END.encode() in known else 0
         end_log = np.log10(end_count + 0.1)
-        for batch in batches:
+        for batch in sliced(batches):
             book.trim()
             codes = [book.codes(_words(text)) for text in batch.column(2).to_pylist()]
             slot_of, count_of = np.array(book.slot_of, np.uint16), np.array(book.count_of, np.int64)
@@ -210,7 +211,7 @@ def score_lyrics(tracks: DataFrame, states: int = 6, rounds: int = 4, slots: int
     log_mass = np.log10(mass)
 
     def forward(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sequences = [np.frombuffer(b, np.uint16) for b in batch.column(batch.num_columns - 1).to_pylist()]
             inside = log10_likelihood(model, sequences) - np.array([log_mass[s].sum() for s in sequences])
             columns = batch.columns[:-1]
