@@ -228,7 +228,8 @@ def assign_lines(
 def _phrase_cells(refined, aligned, confidence, silent_before, cells, start, step_num, step_den, weights):
     """Cheapest strictly increasing cells for the anchors of a phrase; None leaves one out.
 
-    State: (last cell, last anchor placed).  The cheapest ``max_states`` states survive.
+    State: (last cell, last anchor placed).  With ``max_states`` only that many of the cheapest states
+    survive; None keeps all, so the result is exact.
     """
     step = step_num / step_den
     states: dict[tuple, tuple[float, tuple | None, int | None]] = {(None, None): (0.0, None, None)}
@@ -258,7 +259,7 @@ def _phrase_cells(refined, aligned, confidence, silent_before, cells, start, ste
                     expected = (refined[i] - refined[at]) / step
                     move = weights["transition"] * abs(cell - last - expected) / max(1.0, expected)
                 offer((cell, i), cost + place + move, state, cell)
-        if len(following) > weights["max_states"]:
+        if weights["max_states"] and len(following) > weights["max_states"]:
             ranked = sorted(following.items(), key=lambda kv: (kv[1][0], kv[0][0] if kv[0][0] is not None else -(10**18)))
             following = dict(ranked[: weights["max_states"]])
         history.append(following)
@@ -275,7 +276,7 @@ def _phrase_cells(refined, aligned, confidence, silent_before, cells, start, ste
 def assign_cells(
     anchors: DataFrame, tl: Timeline, rate: int, *, subdivisions: int = 4, radius: int = 2, max_steps: float = 0.60,
     refined_weight: float = 0.72, aligned_weight: float = 0.18, transition_weight: float = 0.22,
-    unassigned_penalty: float = 1.05, max_states: int = 256, scale: int = 1000,
+    unassigned_penalty: float = 1.05, max_states: int | None = None, scale: int = 1000,
     kinds: Sequence[str] = ("mora", "phrase"), phrase: Sequence[str] = ("phrase_id",),
 ) -> DataFrame:
     """Strictly increasing lattice cells for the anchors of each phrase.
