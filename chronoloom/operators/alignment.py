@@ -2,58 +2,55 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.groups import map_groups
+from ..core.groups import map_groups, stacked
 from ..core.quantiles import attach, union_all
 from ..core.states import ABSORB, APPEND, fold_states
 from ..core.timeline import SLICE, Timeline, floor_div
 from ..functions.lattice import Lattice
+from ..functions.text import compose
 from .joins import interval_join, suppress_near
 from .metrics import MIN_CHUNK_ANCHORS
 
-# fixed values: edit costs of the token alignment
-INSERT_COST, DELETE_COST, SUBSTITUTE_COST = 1.0, 1.1, 1.0
+# fixed values: edit costs of the token alignment, in tenths so that ties are exact
+INSERT_COST, DELETE_COST, SUBSTITUTE_COST = 10, 11, 10
 
 
 def _align(expected: list[str], observed: list[str]) -> list[tuple[int | None, int | None, str]]:
-    """Cheapest edit path; the diagonal wins ties, then insertion before deletion."""
-    n, m = len(expected), len(observed)
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0] = np.arange(n + 1) * DELETE_COST
-    cost[0, :] = np.arange(m + 1) * INSERT_COST
-    move = np.zeros((n + 1, m + 1), dtype=np.int8)  # 0 diagonal, 1 insert, 2 delete
-    move[0, 1:], move[1:, 0] = 1, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best = cost[i - 1, j - 1] + (0.0 if expected[i - 1] == observed[j - 1] else SUBSTITUTE_COST)
-            how = 0
-            if cost[i, j - 1] + INSERT_COST < best:
-                best, how = cost[i, j - 1] + INSERT_COST, 1
-            if cost[i - 1, j] + DELETE_COST < best:
-                best, how = cost[i - 1, j] + DELETE_COST, 2
-            cost[i, j], move[i, j] = best, how
+    """Cheapest edit path; the diagonal wins ties, then insertion before deletion.
+
+    One numpy pass per expected token: insertions are a running minimum along the row.
+    """
+    codes = pd.factorize(np.array([*expected, *observed], dtype=object))[0]
+    left, right = codes[: len(expected)], codes[len(expected):]
+    ramp = np.arange(len(right) + 1) * INSERT_COST
+    row = ramp.copy()
+    moves = np.ones((len(left) + 1, len(right) + 1), dtype=np.int8)  # 0 diagonal, 1 insert, 2 delete
+    moves[:, 0] = 2
+    for i, code in enumerate(left, 1):
+        diagonal = row[:-1] + np.where(right == code, 0, SUBSTITUTE_COST)
+        entered = row + DELETE_COST
+        entered[1:] = np.minimum(entered[1:], diagonal)
+        below = row + DELETE_COST
+        row = np.minimum.accumulate(entered - ramp) + ramp
+        inserted = row[1:] == row[:-1] + INSERT_COST
+        moves[i, 1:] = np.where(row[1:] == diagonal, 0, np.where(inserted | (row[1:] < below[1:]), 1, 2))
     path = []
-    i, j = n, m
+    i, j = len(left), len(right)
     while i or j:
-        how = move[i, j]
+        how = moves[i, j]
+        i, j = i - (how != 1), j - (how != 2)
         if how == 0:
-            i, j = i - 1, j - 1
-            path.append((i, j, "match" if expected[i] == observed[j] else "substitute"))
-        elif how == 1:
-            j -= 1
-            path.append((None, j, "insert"))
+            path.append((i, j, "match" if left[i] == right[j] else "substitute"))
         else:
-            i -= 1
-            path.append((i, None, "delete"))
+            path.append((None, j, "insert") if how == 1 else (i, None, "delete"))
     return path[::-1]
 
 
@@ -127,97 +124,160 @@ def decode_moras(edges: DataFrame, plan: DataFrame, phones: DataFrame, keys: Seq
 # monotone assignment of lines to segments
 
 
-def _key(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+# fixed values: gains and costs of giving a run of lines to a segment, and of its confidence
+LINE_GAIN = {"ratio": 2.45, "overlap": 0.55, "length": -0.38, "place": -0.34, "each": -0.20, "further": -0.018}
+LINE_TRUST = {"ratio": 0.68, "overlap": 0.32, "length": -0.16, "most_length": 1.5}
+SKIPPED_LINE = 0.065
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(compose(text), "[^\\p{L}\\p{N}]", "")
+
 
+def _grams(text: Column) -> Column:
+    """Pairs of neighbouring characters; a single character stands for itself."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) > 0, pairs).otherwise(F.array().cast("array<string>"))
 
-def _quality(heard: str, text: str) -> tuple[float, float, float]:
-    if not heard or not text:
-        return 0.0, 0.0, math.inf
-    matcher = difflib.SequenceMatcher(None, heard, text, autojunk=False)
-    matched = sum(b.size for b in matcher.get_matching_blocks())
-    ratio = 2.0 * matched / (len(heard) + len(text))
-    return ratio, matched / max(1, min(len(heard), len(text))), abs(math.log((len(text) + 1) / (len(heard) + 1)))
 
+def line_runs(
+    segments: DataFrame, lines: DataFrame, keys: Sequence[str], most: int | None = None, floor: float = 0.20
+) -> DataFrame:
+    """Runs of lines a segment may stand for: keys, seg, first, after, gain, similarity, confidence.
+
+    Segments and lines meet on shared character pairs, so a segment's task sees only the lines
+    that have one in common with it, and the line lengths.  The similarity of a run is the Dice
+    coefficient of the pairs, repeats included, taken line by line.
+    """
+    keys = list(keys)
 
-def _assign(heard: list[str], lines: list[str], most: int, floor: float):
-    """Best monotone path over (segment, lines used so far): skip a line, skip a
-    segment, or give a segment the next 1..most lines."""
-    n, m = len(heard), len(lines)
-    keys = [_key(line) for line in lines]
-    best = np.full((n + 1, m + 1), -np.inf)
-    back: dict[tuple[int, int], tuple] = {}
-    best[0, 0] = 0.0
+    def pairs(df: DataFrame, name: str, count: str) -> DataFrame:
+        return df.select(*keys, name, F.explode(_grams(F.col("letters"))).alias("gram")).groupBy(*keys, name, "gram").agg(
+            F.count("*").alias(count)
+        )
 
-    def skip_lines(row: int) -> None:
-        for j in range(m):
-            if best[row, j] - 0.065 > best[row, j + 1]:
-                best[row, j + 1] = best[row, j] - 0.065
-                back[(row, j + 1)] = (row, j, None)
+    shared = pairs(segments, "seg", "heard").join(pairs(lines, "line", "sung"), [*keys, "gram"])
+    sheet = lines.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line", F.length("letters").alias("n")))), lambda x: x["n"]).alias("sizes")
+    )
+    many = segments.groupBy(*keys).agg(F.count("*").alias("segments"))
+    facts = segments.select(*keys, "seg", F.length("letters").alias("size")).join(sheet, keys).join(many, keys)
+    rows = stacked(
+        facts.withColumn("_kind", F.lit(0)), shared.select(*keys, "seg", "line", "gram", "heard", "sung").withColumn("_kind", F.lit(1))
+    )
 
-    for i in range(n):
-        skip_lines(i)
-        spoken = _key(heard[i])
-        for j in range(m + 1):
-            if best[i, j] == -np.inf:
+    def solve(g):
+        if g["_kind"][0] or len(g["_kind"]) < 2:
+            return None
+        sizes, size = np.asarray(g["sizes"][0], dtype=np.int64), int(g["size"][0])
+        gram, heard, line = g["gram"][1:], g["heard"][1:], g["line"][1:].astype(np.int64)
+        code, names = pd.factorize(gram)
+        wanted = np.zeros(len(names), dtype=np.int64)
+        wanted[code] = heard
+        own = max(1, size - 1)
+        grams, chars = np.where(sizes > 0, np.maximum(sizes - 1, 1), 0), sizes
+        upto = np.concatenate(([0], np.cumsum(grams)))
+        written = np.concatenate(([0], np.cumsum(chars)))
+        # a longer run than this is below the floor whatever it shares
+        longest = own * (2.0 / floor - 1.0) if floor > 0 else np.inf
+        order = np.argsort(line, kind="stable")
+        line, code, sung = line[order], code[order], g["sung"][1:][order].astype(np.int64)
+        found = []
+        for first in range(len(sizes)):
+            stop = int(np.searchsorted(upto, upto[first] + longest, side="right")) - 1
+            stop = min(stop, len(sizes), first + most if most else len(sizes))
+            lo, hi = np.searchsorted(line, [first, stop])
+            if hi == lo:
                 continue
-            if best[i, j] > best[i + 1, j]:
-                best[i + 1, j] = best[i, j]
-                back[(i + 1, j)] = (i, j, None)
-            text = ""
-            for count in range(1, min(most, m - j) + 1):
-                text += keys[j + count - 1]
-                ratio, overlap, length = _quality(spoken, text)
-                if ratio < floor:
-                    continue
-                place = abs((j + count / 2.0) / m - (i + 0.5) / n)
-                gain = 2.45 * ratio + 0.55 * overlap - 0.38 * length - 0.34 * place - 0.20 - 0.018 * (count - 1)
-                if best[i, j] + gain > best[i + 1, j + count]:
-                    best[i + 1, j + count] = best[i, j] + gain
-                    trust = 0.68 * ratio + 0.32 * overlap - 0.16 * min(length, 1.5)
-                    back[(i + 1, j + count)] = (i, j, (ratio, max(0.0, min(1.0, trust))))
-    skip_lines(n)
-    at, found = (n, m), []
-    while at != (0, 0) and at in back:
-        i, j, quality = back[at]
-        if quality is not None:
-            found.append((i, j, at[1], *quality))
-        at = (i, j)
-    return found[::-1]
+            # pairs in common after each further row, no pair more often than it was heard
+            left, gained = wanted.copy(), np.zeros(stop - first, dtype=np.int64)
+            for at in range(lo, hi):
+                take = min(left[code[at]], sung[at])
+                left[code[at]] -= take
+                gained[line[at] - first] += take
+            common = np.cumsum(gained)
+            after = np.arange(first + 1, stop + 1)
+            total = upto[after] - upto[first]
+            ratio = 2.0 * common / (own + total)
+            keep = (ratio >= floor) & (common > 0)
+            if keep.any():
+                after, ratio, common, total = after[keep], ratio[keep], common[keep], total[keep]
+                overlap = common / np.minimum(own, total)
+                length = np.abs(np.log((written[after] - written[first] + 1) / (size + 1)))
+                place = np.abs((first + after) / 2.0 / len(sizes) - (g["seg"][0] + 0.5) / g["segments"][0])
+                w, t = LINE_GAIN, LINE_TRUST
+                gain = (
+                    w["ratio"] * ratio + w["overlap"] * overlap + w["length"] * length + w["place"] * place + w["each"]
+                    + w["further"] * (after - first - 1)
+                )
+                trust = t["ratio"] * ratio + t["overlap"] * overlap + t["length"] * np.minimum(length, t["most_length"])
+                found.append((np.full(len(after), first), after, gain, ratio, np.clip(trust, 0.0, 1.0)))
+        if not found:
+            return None
+        first, after, gain, ratio, trust = (np.concatenate(part) for part in zip(*found, strict=True))
+        return {"first": first, "after": after, "gain": gain, "similarity": ratio, "confidence": trust}
+
+    return map_groups(
+        rows, [*keys, "seg"], ["_kind", "line"], solve,
+        "first bigint, after bigint, gain double, similarity double, confidence double",
+    )
 
 
 def assign_lines(
-    segments: DataFrame, lines: DataFrame, keys: Sequence[str], most: int = 10, floor: float = 0.20
+    segments: DataFrame, lines: DataFrame, keys: Sequence[str], most: int | None = None, floor: float = 0.20
 ) -> DataFrame:
     """Contiguous line ranges per segment in order; both sides may be skipped.
 
-    segments: keys, idx, text; lines: keys, idx, text.  ``keys`` must name one song:
-    its lyric lines are a short list.
+    segments: keys, idx, text; lines: keys, idx, text.  A segment may take any number of lines
+    unless ``most`` bounds it.  Runs are scored per segment (``line_runs``); only runs above
+    ``floor`` reach the path search of a song, which keeps one best sum per line position.
     """
     keys = list(keys)
-    rows = segments.select(*keys, F.lit(0).alias("_side"), F.col("idx").cast("bigint").alias("idx"), "text").unionByName(
-        lines.select(*keys, F.lit(1).alias("_side"), F.col("idx").cast("bigint").alias("idx"), F.trim("text").alias("text"))
-        .filter("text <> ''")
-    )
+    order = Window.partitionBy(*keys).orderBy("idx")
+    number = (F.row_number().over(order) - 1).cast("bigint")
+    heard = segments.select(*keys, F.col("idx").cast("bigint").alias("idx"), _letters(F.col("text")).alias("letters"))
+    heard = heard.withColumn("seg", number)
+    sung = lines.filter(F.trim("text") != "").select(*keys, F.col("idx").cast("bigint").alias("idx"), _letters(F.col("text")).alias("letters"))
+    sung = sung.withColumn("line", number)
+    runs = line_runs(heard, sung, keys, most, floor)
 
     def solve(g):
-        side = g["_side"]
-        heard, sung = list(g["text"][side == 0]), list(g["text"][side == 1])
-        if not heard or not sung:
-            return None
-        found = _assign(heard, sung, most, floor)
-        seg, line = g["idx"][side == 0], g["idx"][side == 1]
-        return {
-            "segment_idx": [int(seg[f[0]]) for f in found],
-            "line_start": [int(line[f[1]]) for f in found],
-            "line_end": [int(line[f[2] - 1]) + 1 for f in found],
-            "similarity": [f[3] for f in found],
-            "confidence": [f[4] for f in found],
-        } if found else None
+        seg, first, after, gain = (np.asarray(g[c]) for c in ("seg", "first", "after", "gain"))
+        top = int(after.max())
+        toll = np.arange(top + 1) * SKIPPED_LINE
+        best, source = -toll, np.full(top + 1, -1)  # source: run that ends the best way here
+        earlier = np.full(len(seg), -1)
+        starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(seg)], strict=True):
+            reach = best[first[a:b]] + gain[a:b]
+            earlier[a:b] = source[first[a:b]]
+            rank = np.lexsort((np.arange(b - a), -reach))
+            ends, where = np.unique(after[a:b][rank], return_index=True)
+            winner = rank[where]
+            better = reach[winner] > best[ends]
+            best, source = best.copy(), source.copy()
+            best[ends[better]], source[ends[better]] = reach[winner[better]], a + winner[better]
+            # lines may be left out: carry the best start of a position forward
+            lifted = best + toll
+            carried = np.maximum.accumulate(lifted)
+            origin = np.maximum.accumulate(np.where(lifted == carried, np.arange(top + 1), 0))
+            best, source = carried - toll, source[origin]
+        chosen, at = [], int(source[top])
+        while at >= 0:
+            chosen.append(at)
+            at = int(earlier[at])
+        return {c: np.asarray(g[c])[chosen[::-1]] for c in ("seg", "first", "after", "similarity", "confidence")} if chosen else None
 
-    return map_groups(
-        rows, keys, ["_side", "idx"], solve,
-        "segment_idx bigint, line_start bigint, line_end bigint, similarity double, confidence double",
+    picked = map_groups(
+        runs, keys, ["seg", "first", "after"], solve,
+        "seg bigint, first bigint, after bigint, similarity double, confidence double",
+    )
+    begin = sung.select(*keys, F.col("line").alias("first"), F.col("idx").alias("line_start"))
+    end = sung.select(*keys, (F.col("line") + 1).alias("after"), (F.col("idx") + 1).alias("line_end"))
+    return (
+        picked.join(heard.select(*keys, "seg", F.col("idx").alias("segment_idx")), [*keys, "seg"])
+        .join(begin, [*keys, "first"]).join(end, [*keys, "after"])
+        .select(*keys, "segment_idx", "line_start", "line_end", "similarity", "confidence")
     )
 
 
@@ -225,66 +285,90 @@ def assign_lines(
 # phrase grid assignment
 
 
-def _phrase_cells(refined, aligned, confidence, silent_before, cells, start, step_num, step_den, weights):
-    """Cheapest strictly increasing cells for the anchors of a phrase; None leaves one out.
+NODES_AT_ONCE = 512
+
 
-    State: (last cell, last anchor placed).  With ``max_states`` only that many of the cheapest states
-    survive; None keeps all, so the result is exact.
+def _cheapest_cells(at, home, trust, drop, silent, cells, weights):
+    """Cheapest strictly increasing cells of a stretch of anchors; -1 leaves an anchor out.
+
+    ``at`` and ``home`` are refined and aligned places in steps, ``cells`` candidate cells per
+    anchor.  Every (anchor, cell) is a node.  A node is worth what it saves against leaving out
+    all anchors so far; it builds on the best earlier node with a lower cell.  Earlier nodes are
+    read in blocks, newest first, until no older one is cheap enough to matter, since a
+    transition costs nothing at best.  So the search is exact and rarely looks far back.
     """
-    step = step_num / step_den
-    states: dict[tuple, tuple[float, tuple | None, int | None]] = {(None, None): (0.0, None, None)}
-    history = []
-    for i in range(len(refined)):
-        following: dict[tuple, tuple[float, tuple | None, int | None]] = {}
-
-        def offer(key, cost, before, cell, following=following):
-            if key not in following or cost < following[key][0] - 1e-12:
-                following[key] = (cost, before, cell)
-
-        drop = weights["unassigned"] * (0.20 + 0.80 * confidence[i])
-        trust = 0.35 + 0.65 * confidence[i]
-        for state, (cost, _, _) in states.items():
-            offer(state, cost + drop, state, None)
-            last, at = state
-            for cell in cells[i]:
-                if last is not None and cell <= last:
-                    continue
-                line = start + cell * step
-                place = trust * (
-                    weights["refined"] * (abs(refined[i] - line) / step) ** 2
-                    + weights["aligned"] * (abs(aligned[i] - line) / step) ** 2
-                )
-                move = 0.0
-                if last is not None and silent_before[i] == silent_before[at]:
-                    expected = (refined[i] - refined[at]) / step
-                    move = weights["transition"] * abs(cell - last - expected) / max(1.0, expected)
-                offer((cell, i), cost + place + move, state, cell)
-        if weights["max_states"] and len(following) > weights["max_states"]:
-            ranked = sorted(following.items(), key=lambda kv: (kv[1][0], kv[0][0] if kv[0][0] is not None else -(10**18)))
-            following = dict(ranked[: weights["max_states"]])
-        history.append(following)
-        states = following
-    key = min(states, key=lambda k: states[k][0])
-    out = []
-    for table in reversed(history):
-        _, before, cell = table[key]
-        out.append(cell)
-        key = before
-    return out[::-1]
+    anchor = np.repeat(np.arange(len(at)), [len(c) for c in cells])
+    if not len(anchor):
+        return np.full(len(at), -1), np.zeros(len(at), dtype=bool)
+    cell = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells if len(c)])
+    own = (0.35 + 0.65 * trust)[anchor] * (
+        weights["refined"] * (at[anchor] - cell) ** 2 + weights["aligned"] * (home[anchor] - cell) ** 2
+    ) - drop[anchor]
+    worth, back = np.empty(len(cell)), np.full(len(cell), -1)
+    least = np.empty(len(cell) + 1)  # smallest worth among the first n nodes
+    least[0] = np.inf
+    edges = np.searchsorted(anchor, np.arange(len(at) + 1))
+    for i in range(len(at)):
+        lo, hi = edges[i], edges[i + 1]
+        if lo == hi:
+            continue
+        here, best, via = cell[lo:hi, None], np.zeros(hi - lo), np.full(hi - lo, -1)
+        stop = lo
+        while stop > 0 and least[stop] < best.max() - 1e-12:
+            start = max(0, stop - NODES_AT_ONCE)
+            # newest anchor first, lower cells first: the order in which ties are won
+            block = start + np.lexsort((cell[start:stop], -anchor[start:stop]))
+            gap = at[i] - at[anchor[block]]
+            move = weights["transition"] * np.abs(here - cell[block] - gap) / np.maximum(1.0, gap)
+            move[:, silent[anchor[block]] != silent[i]] = 0.0
+            total = np.where(cell[block] < here, worth[block] + move, np.inf)
+            lowest = total.min(axis=1)
+            pick = block[np.argmax(total <= lowest[:, None] + 1e-12, axis=1)]
+            better = lowest < best - 1e-12
+            best[better], via[better] = lowest[better], pick[better]
+            stop = start
+        worth[lo:hi], back[lo:hi] = own[lo:hi] + best, via
+        least[lo + 1 : hi + 1] = np.minimum(least[lo], np.minimum.accumulate(worth[lo:hi]))
+    out, placed = np.full(len(at), -1), np.zeros(len(at), dtype=bool)
+    node = int(np.argmin(worth)) if worth.min() < -1e-12 else -1
+    while node >= 0:
+        out[anchor[node]], placed[anchor[node]] = cell[node], True
+        node = int(back[node])
+    return out, placed
+
+
+def _independent(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Numbers the parts of a phrase that no choice connects, as ``_part``.
+
+    After a silence the expected gap is forgotten; if no cell before it reaches one behind it,
+    either side can be solved alone.
+    """
+    line = Window.partitionBy(*group).orderBy(*order)
+    rows = rows.withColumn("_hush", F.count_if(F.col("kind") == "silence").over(line))
+    ends = rows.filter("_use").groupBy(*group, "_hush").agg(
+        F.min(F.array_min("_cells")).alias("_low"), F.max(F.array_max("_cells")).alias("_high")
+    )
+    along = Window.partitionBy(*group).orderBy("_hush")
+    before = F.max("_high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.min("_low").over(along.rowsBetween(0, Window.unboundedFollowing))
+    ends = ends.withColumn("_cut", F.coalesce(before < behind, F.lit(True)).cast("int"))
+    parts = ends.withColumn("_part", F.sum("_cut").over(along)).select(*group, "_hush", "_part")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, "_hush")]
+    return rows.filter("_use").alias("l").join(parts.alias("r"), same).select("l.*", "r._part")
 
 
 def assign_cells(
     anchors: DataFrame, tl: Timeline, rate: int, *, subdivisions: int = 4, radius: int = 2, max_steps: float = 0.60,
     refined_weight: float = 0.72, aligned_weight: float = 0.18, transition_weight: float = 0.22,
-    unassigned_penalty: float = 1.05, max_states: int | None = None, scale: int = 1000,
+    unassigned_penalty: float = 1.05, scale: int = 1000,
     kinds: Sequence[str] = ("mora", "phrase"), phrase: Sequence[str] = ("phrase_id",),
 ) -> DataFrame:
     """Strictly increasing lattice cells for the anchors of each phrase.
 
     anchors: keys, phrase columns, ``tl.pos`` (refined), aligned, confidence, kind,
-    bpm, beat_offset, tie columns.  Candidate cells come from Catalyst; the search
-    runs per phrase, the unit the lyric structure bounds.  A silence between two
-    anchors resets the expected gap.  Adds ``grid_sample`` (null = unsnapped).
+    bpm, beat_offset, tie columns.  Candidate cells and the parts of a phrase that do
+    not touch each other come from Catalyst; the exact search runs per part.  A silence
+    between two anchors resets the expected gap.  Adds ``grid_sample`` (null = unsnapped).
     """
     keys = list(tl.keys)
     group = [*keys, *phrase]
@@ -299,35 +383,28 @@ def assign_cells(
         cells,
         lambda c: (lat.position(c) >= 0) & (F.abs(pos - lat.position(c)) * lat.den <= lat.num * F.lit(max_steps)),
     )
+    tie = list(tl.tie)
     rows = anchors.select(
-        *group, pos.alias(tl.pos), *tl.tie, "aligned", "confidence", "kind", "beat_offset",
-        lat.num.alias("_num"), lat.den.alias("_den"), near.alias("_cells"),
+        *group, pos.alias(tl.pos), *tie, "aligned", "confidence", "kind", "beat_offset",
+        lat.num.alias("_num"), lat.den.alias("_den"), near.alias("_cells"), F.col("kind").isin(*kinds).alias("_use"),
     )
-    weights = {
-        "refined": refined_weight, "aligned": aligned_weight, "transition": transition_weight,
-        "unassigned": unassigned_penalty, "max_states": max_states,
-    }
-    wanted = set(kinds)
-    tie = list(tl.tie)
+    parts = _independent(rows, group, [tl.pos, *tie])
+    weights = {"refined": refined_weight, "aligned": aligned_weight, "transition": transition_weight}
 
     def solve(g):
-        kind = g["kind"]
-        active = np.flatnonzero([k in wanted for k in kind])
-        if not active.size:
-            return None
-        silent = np.cumsum([k == "silence" for k in kind])
-        found = _phrase_cells(
-            g[tl.pos][active], g["aligned"][active], g["confidence"][active], silent[active],
-            [list(c) for c in g["_cells"][active]], int(g["beat_offset"][0]), int(g["_num"][0]), int(g["_den"][0]), weights,
+        step = int(g["_num"][0]) / int(g["_den"][0])
+        start = int(g["beat_offset"][0])
+        trust = np.asarray(g["confidence"], dtype=float)
+        found, placed = _cheapest_cells(
+            (g[tl.pos] - start) / step, (g["aligned"] - start) / step, trust, unassigned_penalty * (0.20 + 0.80 * trust),
+            g["_hush"], g["_cells"], weights,
         )
-        out = {t: g[t][active] for t in tie}
-        out["_cell"] = [None if c is None else int(c) for c in found]
-        return {"_cell": out.pop("_cell"), **out}
+        return {"_cell": found[placed], **{t: g[t][placed] for t in tie}} if placed.any() else None
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     picked = map_groups(
-        rows, group, [tl.pos, *tie], solve, "_cell bigint, " + ", ".join(f"`{t}` {types[t]}" for t in tie)
-    )
+        parts, [*group, "_part"], [tl.pos, *tie], solve, "_cell bigint, " + ", ".join(f"`{t}` {types[t]}" for t in tie)
+    ).drop("_part")
     joined = anchors.join(picked, [*group, *tie], "left")
     return joined.withColumn("grid_sample", F.when(F.col("_cell").isNotNull(), lat.position(F.col("_cell")))).drop("_cell")
 

@@ -1,6 +1,10 @@
+import functools
 import itertools
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from chronoloom.core.timeline import Timeline
@@ -45,6 +49,87 @@ def test_lines_go_to_segments_in_order(spark):
     assert got == {0: (0, 2), 2: (2, 4)}
 
 
+@pytest.mark.parametrize("heard,lines,want", [
+    (["星明かりを探して歩く", "", "静かな海に響く声"],
+     ["No Destiny", "星明かりを探して歩く", "instrumental", "静かな海に響く声", "ending"], {0: (1, 2), 2: (3, 4)}),
+    (["雨を待つ次の朝", "雨を待つ最後の夜"], ["雨を待つ", "次の朝", "雨を待つ", "最後の夜"], {0: (0, 2), 1: (2, 4)}),
+    (["ピアノだけの間奏", "ドラムソロ"], ["遠い空に声を重ねる", "明日を迎える"], {}),
+    (["Ｍｉｒａｉ、 を 待つ！"], ["", "miraiを待つ", None], {0: (1, 2)}),
+    ([None, ""], ["a"], {}),
+])
+def test_lines_of_sheets(spark, heard, lines, want):
+    ddl = "track_id int, idx bigint, text string"
+    seg = spark.createDataFrame([(1, i, t) for i, t in enumerate(heard)], ddl)
+    lin = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], ddl)
+    got = L.assign_lines(seg, lin, ["track_id"]).collect()
+    assert {r["segment_idx"]: (r["line_start"], r["line_end"]) for r in got} == want
+    assert all(r["confidence"] > 0.5 for r in got)
+
+
+def best_runs(segments, lines):
+    """Gain of the best way to give runs of lines to segments, by trying all."""
+    grams = [Counter(t[i : i + 2] for i in range(max(1, len(t) - 1))) for t in lines]
+
+    def gain(i, a, b):
+        own, run = Counter(segments[i][j : j + 2] for j in range(max(1, len(segments[i]) - 1))), sum(grams[a:b], Counter())
+        common, n, m = (own & run).total(), own.total(), run.total()
+        ratio = 2 * common / (n + m)
+        if ratio < 0.2 or not common:
+            return None
+        size = len("".join(lines[a:b]))
+        length = abs(math.log((size + 1) / (len(segments[i]) + 1)))
+        place = abs((a + b) / 2 / len(lines) - (i + 0.5) / len(segments))
+        return 2.45 * ratio + 0.55 * common / min(n, m) - 0.38 * length - 0.34 * place - 0.2 - 0.018 * (b - a - 1)
+
+    @functools.cache
+    def best(i, a):
+        if i == len(segments):
+            return (-0.065 * (len(lines) - a), ())
+        ways = [best(i + 1, a)]
+        for start in range(a, len(lines)):
+            for stop in range(start + 1, len(lines) + 1):
+                g = gain(i, start, stop)
+                if g is not None:
+                    rest, picks = best(i + 1, stop)
+                    ways.append((g - 0.065 * (start - a) + rest, ((i, start, stop), *picks)))
+        return max(ways, key=lambda w: w[0])
+
+    return list(best(0, 0)[1])
+
+
+def test_lines_against_all_ways(spark):
+    rng = random.Random(5)
+    seg, lin, want = [], [], {}
+    for song in range(6):
+        lines = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(6)]
+        heard = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) for _ in range(4)]
+        want[song] = best_runs(tuple(heard), lines)
+        seg += [(song, i, t) for i, t in enumerate(heard)]
+        lin += [(song, i, t) for i, t in enumerate(lines)]
+    ddl = "track_id int, idx bigint, text string"
+    got = {song: [] for song in want}
+    for r in L.assign_lines(spark.createDataFrame(seg, ddl), spark.createDataFrame(lin, ddl), ["track_id"]).collect():
+        got[r["track_id"]].append((r["segment_idx"], r["line_start"], r["line_end"]))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def cost_of(expected, observed, path):
+    return sum({"match": 0, "substitute": 10, "insert": 10, "delete": 11}[how] for _, _, how in path)
+
+
+def test_edit_paths_are_the_cheapest():
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(8))] for _ in range(2))
+        table = [[11 * i + 10 * j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            table[i][j] = min(table[i - 1][j - 1] + 10 * (a[i - 1] != b[j - 1]), table[i][j - 1] + 10, table[i - 1][j] + 11)
+        path = L._align(a, b)
+        assert cost_of(a, b, path) == table[-1][-1]
+        assert [i for i, _, _ in path if i is not None] == list(range(len(a)))
+        assert [j for _, j, _ in path if j is not None] == list(range(len(b)))
+
+
 def cheapest(refined, aligned, conf, step, cells):
     best = None
     for pick in itertools.product(*[[None, *c] for c in cells]):
@@ -93,6 +178,66 @@ def test_phrase_cells_are_the_cheapest(spark):
     assert {r["id"]: r["grid_sample"] for r in out.collect()} == want
 
 
+WORKED_PHRASES = [
+    ([(5900, 5750, 0.9, "mora"), (12100, 12250, 0.9, "mora"), (18050, 17900, 0.9, "mora")], [6000, 12000, 18000]),
+    ([(6000, 6000, 0.98, "mora"), (6120, 6120, 0.12, "mora"), (12000, 12000, 0.95, "mora")], [6000, None, 12000]),
+    ([(6000, 6000, 0.98, "mora"), (8200, 8200, 0.98, "mora")], [6000, None]),
+    ([(6000, 6000, 0.9, "mora"), (8000, 8000, 0.9, "nasal"), (10000, 10000, 0.9, "sokuon"), (12000, 12000, 0.9, "mora")],
+     [6000, None, None, 12000]),
+    ([(6000, 6000, 0.9, "mora"), (8000, 8000, 0.9, "sustain"), (9000, 9000, 0.9, "silence"), (12000, 12000, 0.9, "mora")],
+     [6000, None, None, 12000]),
+]
+
+
+def phrases(spark, rows):
+    ddl = "track_id int, phrase_id int, id bigint, refined bigint, aligned bigint, confidence double, kind string, bpm double, beat_offset bigint"
+    return spark.createDataFrame(rows, ddl)
+
+
+def test_worked_phrases(spark):
+    rows = [
+        (1, p, p * 10 + i, *anchor, 120.0, 0) for p, (anchors, _) in enumerate(WORKED_PHRASES) for i, anchor in enumerate(anchors)
+    ]
+    out = L.assign_cells(phrases(spark, rows), Timeline(["track_id"], "refined", ["id"], 10_000), 48_000)
+    got = {r["id"]: r["grid_sample"] for r in out.collect()}
+    assert got == {p * 10 + i: c for p, (_, cells) in enumerate(WORKED_PHRASES) for i, c in enumerate(cells)}
+
+
+def test_long_phrase_is_exact():
+    # 10,000 anchors against a plain table over (anchor, cell) that tries every earlier node
+    rng = np.random.default_rng(4)
+    weights = {"refined": 0.72, "aligned": 0.18, "transition": 0.22}
+    for n, check in ((10_000, False), (150, True)):
+        at = np.sort(rng.uniform(0, n * 0.8, n))
+        home, trust, silent = at - rng.uniform(0, 0.4, n), rng.random(n), np.cumsum(rng.random(n) < 0.05)
+        drop = 1.05 * (0.2 + 0.8 * trust)
+        cells = [[c for c in range(round(x) - 2, round(x) + 3) if abs(x - c) <= 0.6] for x in at]
+        out, placed = L._cheapest_cells(at, home, trust, drop, silent, cells, weights)
+        used = out[placed]
+        assert (np.diff(used) > 0).all()
+
+        def total(picks):
+            cost, last = drop.sum(), None
+            for i, c in picks:
+                cost += (0.35 + 0.65 * trust[i]) * (0.72 * (at[i] - c) ** 2 + 0.18 * (home[i] - c) ** 2) - drop[i]
+                if last and silent[i] == silent[last[0]]:
+                    gap = at[i] - at[last[0]]
+                    cost += 0.22 * abs(c - last[1] - gap) / max(1.0, gap)
+                last = (i, c)
+            return cost
+
+        if check:
+            nodes = [(i, c) for i in range(n) for c in cells[i]]
+            best = {}
+            for node in nodes:
+                start = total([node])
+                for before in best:
+                    if before[0] < node[0] and before[1] < node[1]:
+                        start = min(start, best[before] + total([before, node]) - total([before]))
+                best[node] = start
+            assert total(list(zip(np.flatnonzero(placed), used))) == pytest.approx(min(best.values()))
+
+
 @pytest.mark.parametrize("seed,width", [(1, 40), (2, 900)])
 def test_unused_events_in_order(spark, seed, width):
     rng = random.Random(seed)
