@@ -275,14 +275,16 @@ def f5(spark, d):
 
 @query("d5_tempo_estimation")
 def d5(spark, d):
-    from ..operators.tempo import estimate_tempo
+    from ..operators.tempo import TempoConfig, estimate_tempo
 
     rows = hits(spark, d).select("track_id", F.col("pos").alias("p"), "id", "salience", "confidence", "band")
     # seconds read as 10 ms ticks of a 100 Hz clock, modulo ten minutes
     events = rows.withColumn("pos", F.col("p") % 60_000).drop("p")
     curve = stem_frames(spark, d).select("track_id", "frame_idx", F.col("vocals").alias("fused"))
     line = Timeline(["track_id"], "pos", ["id"], 30_000)
-    return estimate_tempo(events, curve, FRAME_LINE, line, "fused", 100.0, 2)
+    # the search bounds of a single song
+    cfg = TempoConfig(most_events=96, most_bins=12, most_peaks=16, most_lags=12, trim_above=160)
+    return estimate_tempo(events, curve, FRAME_LINE, line, "fused", 100.0, 2, cfg)
 
 
 @query("x1_extractor_contract", """SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE length(text)::DOUBLE END AS score, CASE WHEN lang = 'en' THEN 'failed' ELSE 'ok' END AS status FROM documents""")
