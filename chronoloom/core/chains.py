@@ -9,7 +9,8 @@ scan per (key, slice):
 1. ``_transfer`` runs once per slice and condenses it to a table "state that
    enters -> state that leaves"; chains with different starts merge quickly, so
    the table is run-length compressed and small;
-2. the tables of a key are resolved in slice order (one short row per slice);
+2. the tables are composed in blocks, so the entry of every slice is found without a
+   task that sees a whole key (``folds``);
 3. every slice is walked again from its known entry state.
 
 Before the first pass rows are pre-aggregated to one row per (key, position) —
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import checkpointed
+from .folds import entry_states
 from .groups import map_groups, stacked
 from .timeline import SLICE, Timeline
 
 SLICES_PER_WINDOW = 16
+TABLE = ("_from", "_until", "_peak", "_exit_pos", "_exit_score")
 
 
 def _successors(pos: np.ndarray, score: np.ndarray | None, window: int) -> np.ndarray:
@@ -100,39 +103,63 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
             "_exit_score": [(score[leave[start]] if scored else np.zeros(len(start))).tolist()],
         }
 
-    def resolve(g):
-        n = len(g[SLICE])
-        enter_pos: list[int] = []
-        entered: list[bool] = []
-        enter_score: list[float] = []
-        undone = [False] * n
-        state, strength, owner = None, 0.0, -1
-        for i in range(n):
+    def compose(g):
+        first, last, peak, to, strength = (np.asarray(g[c][0]) for c in TABLE)
+        horizon = first[0] + window
+        for i in range(1, len(g[SLICE])):
+            from_b, until_b, peak_b, to_b, strength_b = (np.asarray(g[c][i]) for c in TABLE)
+            at = np.searchsorted(until_b, to + window, side="left")
+            if scored:
+                at = np.minimum(at, np.searchsorted(peak_b, strength, side="right"))
+            moved = at < len(until_b)
+            to_old, at = to, np.minimum(at, len(until_b) - 1)
+            to, strength = np.where(moved, to_b[at], to_old), np.where(moved, strength_b[at], strength)
+            if last[-1] < horizon:
+                # a state may still pass all rows so far: up to the first row it cannot pass
+                n = int(np.searchsorted(until_b, horizon, side="left")) + 1
+                peak_b = np.maximum(peak_b, peak[-1])
+                first, last, peak, to, strength = (
+                    np.concatenate((old, new[:n]))
+                    for old, new in ((first, from_b), (last, until_b), (peak, peak_b), (to, to_b), (strength, strength_b))
+                )
+            start = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (peak[1:] != peak[:-1])))
+            end = np.append(start[1:] - 1, len(to) - 1)
+            first, last, peak, to, strength = first[start], last[end], peak[start], to[start], strength[start]
+        return dict(zip(TABLE, ([x.tolist()] for x in (first, last, peak, to, strength)), strict=True))
+
+    def follow(g, enter):
+        state, strength = None, 0.0
+        if enter is not None and enter["_entered"]:
+            state, strength = int(enter["_enter_pos"]), float(enter["_enter_score"])
+        entered, enter_pos, enter_score, undoes, undone = [], [], [], [], []
+        for i in range(len(g[SLICE])):
             until, peak = g["_until"][i], g["_peak"][i]
-            enter_pos.append(state or 0)
             entered.append(state is not None)
+            enter_pos.append(state or 0)
             enter_score.append(strength)
-            at = 0
+            at, replaced = 0, False
             if state is not None:
                 at = int(np.searchsorted(until, state + window, side="left"))
                 if scored:
                     stronger = int(np.searchsorted(peak, strength, side="right"))
                     # a stronger row closer than the window replaces the state
-                    if stronger < len(until) and stronger <= at and g["_from"][i][stronger] < state + window:
-                        undone[owner] = True
+                    replaced = stronger < len(until) and stronger <= at and g["_from"][i][stronger] < state + window
                     at = min(at, stronger)
+            undoes.append(bool(replaced))
+            undone.append(state // tl.width if replaced else 0)
             if at < len(until):
-                state, strength, owner = int(g["_exit_pos"][i][at]), float(g["_exit_score"][i][at]), i
+                state, strength = int(g["_exit_pos"][i][at]), float(g["_exit_score"][i][at])
         return {
-            SLICE: g[SLICE], "_enter_pos": enter_pos, "_entered": entered, "_enter_score": enter_score,
-            "_undone": undone,
+            SLICE: g[SLICE], "_entered": entered, "_enter_pos": enter_pos, "_enter_score": enter_score,
+            "_undoes": undoes, "_undone": undone,
         }
 
     def walk(g):
-        # the entry row of the slice comes first
+        # the entry of the slice comes first, then a row if its last state is replaced later
         enter = int(g["_enter_pos"][0]) if g["_entered"][0] else None
-        strength, undone = float(g["_enter_score"][0]), bool(g["_undone"][0])
-        pos, score = arrays({c: v[1:] for c, v in g.items()})
+        strength, lead = float(g["_enter_score"][0]), int(np.count_nonzero(g["_kind"] < 2))
+        undone = lead > 1
+        pos, score = arrays({c: v[lead:] for c, v in g.items()})
         n = len(pos)
         succ = _successors(pos, score, window)
         at = 0 if enter is None else _entry(pos, score, window, enter, strength)
@@ -151,16 +178,19 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
         return {pos_name: pos, "taken": taken, "kept": kept, "state_pos": state}
 
     sliced = pre.withColumn(SLICE, tl.slice_of())
-    tables = map_groups(
-        sliced, tl.home(), [pos_name], transfer,
-        "_from array<bigint>, _until array<bigint>, _peak array<double>, "
-        "_exit_pos array<bigint>, _exit_score array<double>",
+    columns = (
+        "_from array<bigint>, _until array<bigint>, _peak array<double>, _exit_pos array<bigint>, _exit_score array<double>"
     )
-    entries = map_groups(
-        tables, keys, [SLICE], resolve,
-        f"{SLICE} bigint, _enter_pos bigint, _entered boolean, _enter_score double, _undone boolean",
+    tables = map_groups(sliced, tl.home(), [pos_name], transfer, columns)
+    entries = entry_states(
+        tables, keys, compose, columns, follow,
+        "_entered boolean, _enter_pos bigint, _enter_score double, _undoes boolean, _undone bigint",
     )
-    rows = stacked(sliced.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
+    known = entries.select(*keys, SLICE, "_entered", "_enter_pos", "_enter_score", F.lit(0).alias("_kind"))
+    if scored:
+        late = entries.filter("_undoes").select(*keys, F.col("_undone").alias(SLICE), F.lit(1).alias("_kind"))
+        known = stacked(known, late)
+    rows = stacked(sliced.withColumn("_kind", F.lit(2)), known)
     return map_groups(
         rows, tl.home(), ["_kind", pos_name], walk,
         f"`{pos_name}` bigint, taken boolean, kept boolean, state_pos bigint",

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import checkpointed
+from .folds import entry_states
 from .groups import WHOLE, map_groups, stacked
 from .timeline import SLICE, Timeline
 
@@ -90,27 +91,51 @@ def fold_states(
         out["_x_linked"] = [[bool(leads[i][2]) for i in range(zone)]]
         return out
 
-    def resolve(g):
+    def passed(g, s, state, held, linked=True):
+        """State, tags and whether the entering tags are among them, after table ``s``."""
+        for i in range(len(g[f"_e_{pos}"][s])):
+            row = {c: g[f"_e_{c}"][s][i] for c in columns}
+            what = APPEND if state is None else outcome(state, row)
+            if what == ABSORB:
+                held = held | set(g["_e_tags"][s][i])
+                continue
+            gathered = set(g["_x_tags"][s][i])
+            keep = what == TAKE_OVER and bool(g["_x_linked"][s][i])
+            return {c: g[f"_x_{c}"][s][i] for c in columns}, gathered | held if keep else gathered, linked and keep
+        return state, held, linked
+
+    def compose(g):
+        parts = {c: list(g[c][0]) for c in table}
+        horizon = parts[f"_e_{pos}"][0] + window
+        for s in range(1, len(g[SLICE])):
+            for i in range(len(parts["_x_linked"])):
+                state = {c: parts[f"_x_{c}"][i] for c in columns}
+                state, held, linked = passed(g, s, state, set(parts["_x_tags"][i]), bool(parts["_x_linked"][i]))
+                for c in columns:
+                    parts[f"_x_{c}"][i] = state[c]
+                parts["_x_tags"][i], parts["_x_linked"][i] = sorted(held), linked
+            if parts[f"_e_{pos}"][-1] <= horizon:
+                # a state may still be in reach of rows behind those so far
+                after = g[f"_e_{pos}"][s]
+                n = next((i + 1 for i, at in enumerate(after) if at > horizon), len(after))
+                for c in table:
+                    parts[c] += list(g[c][s][:n])
+        return {c: [v] for c, v in parts.items()}
+
+    def follow(g, enter):
         n = len(g[SLICE])
         state, held = None, set()
+        if enter is not None and enter["_has"]:
+            state, held = {c: enter[f"_s_{c}"] for c in columns}, set(enter["_tags"])
+        # the last slice of a key gives its state away; no block but the last one may
+        closes = enter is None or bool(enter["_last"])
         enters, enter_tags = [], []
         for s in range(n):
             enters.append(state)
             enter_tags.append(sorted(held))
-            zone = len(g[f"_e_{pos}"][s])
-            for i in range(zone):
-                row = {c: g[f"_e_{c}"][s][i] for c in columns}
-                what = APPEND if state is None else outcome(state, row)
-                if what == ABSORB:
-                    held = held | set(g["_e_tags"][s][i])
-                    continue
-                gathered = set(g["_x_tags"][s][i])
-                keep = what == TAKE_OVER and g["_x_linked"][s][i]
-                held = gathered | held if keep else gathered
-                state = {c: g[f"_x_{c}"][s][i] for c in columns}
-                break
+            state, held, _ = passed(g, s, state, held)
         out = {SLICE: g[SLICE], "_has": [e is not None for e in enters], "_tags": enter_tags,
-               "_last": [s == n - 1 for s in range(n)]}
+               "_last": [closes and s == n - 1 for s in range(n)]}
         for c in columns:
             blank = 0 if types[c] in WHOLE else None
             out[f"_s_{c}"] = [blank if e is None else e[c] for e in enters]
@@ -140,14 +165,11 @@ def fold_states(
     def arrays(prefix):
         return ", ".join(f"{prefix}{c} array<{types[c]}>" for c in columns)
 
-    tables = map_groups(
-        rows, line.home(), [pos, *tl.tie], transfer,
-        f"{arrays('_e_')}, {arrays('_x_')}, _e_tags array<array<string>>, _x_tags array<array<string>>, _x_linked array<boolean>",
-    )
+    table = [*(f"_e_{c}" for c in columns), *(f"_x_{c}" for c in columns), "_e_tags", "_x_tags", "_x_linked"]
+    ddl = f"{arrays('_e_')}, {arrays('_x_')}, _e_tags array<array<string>>, _x_tags array<array<string>>, _x_linked array<boolean>"
+    tables = map_groups(rows, line.home(), [pos, *tl.tie], transfer, ddl)
     states = ", ".join(f"_s_{c} {types[c]}" for c in columns)
-    entries = map_groups(
-        tables, keys, [SLICE], resolve, f"{SLICE} bigint, _has boolean, _tags array<string>, _last boolean, {states}"
-    )
+    entries = entry_states(tables, keys, compose, ddl, follow, f"_has boolean, _tags array<string>, _last boolean, {states}")
     both = stacked(rows.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     out = map_groups(
         both, line.home(), ["_kind", pos, *tl.tie], walk, f"`{row_id}` {types[row_id]}, _kept_tags array<string>"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
+from ..core.folds import entry_states
 from ..core.groups import map_groups, stacked
 from ..core.quantiles import attach
 from ..core.timeline import SLICE, floor_div
@@ -84,8 +85,21 @@ def fuse_methods(
         until = np.append(enter[keep[1:] - 1], enter[-1])
         return {"_until": [until.tolist()], "_exit": [state[keep].tolist()]}
 
-    def resolve(g):
-        state, enters = low, []
+    def compose(g):
+        until, to = np.asarray(g["_until"][0]), np.asarray(g["_exit"][0])
+        for until_b, to_b in zip(g["_until"][1:], g["_exit"][1:], strict=True):
+            until_b, to_b = np.asarray(until_b), np.asarray(to_b)
+            at = np.searchsorted(until_b, to, side="left")
+            to = np.where(at < len(until_b), to_b[np.minimum(at, len(until_b) - 1)], to)
+            # starts that pass everything so far
+            late = until_b > until[-1]
+            until, to = np.concatenate((until, until_b[late])), np.concatenate((to, to_b[late]))
+            end = np.flatnonzero(np.append(to[1:] != to[:-1], True))
+            until, to = until[end], to[end]
+        return {"_until": [until.tolist()], "_exit": [to.tolist()]}
+
+    def follow(g, enter):
+        state, enters = low if enter is None else int(enter["_enter"]), []
         for until, leave in zip(g["_until"], g["_exit"], strict=True):
             enters.append(state)
             at = int(np.searchsorted(until, state, side="left"))
@@ -105,10 +119,9 @@ def fuse_methods(
                     break
         return {span_id: chosen} if chosen else None
 
-    tables = map_groups(
-        ranked, home, [unit, "_neg", "_id"], transfer, "_until array<bigint>, _exit array<bigint>"
-    )
-    entries = map_groups(tables, keys, [SLICE], resolve, f"{SLICE} bigint, _enter bigint")
+    columns = "_until array<bigint>, _exit array<bigint>"
+    tables = map_groups(ranked, home, [unit, "_neg", "_id"], transfer, columns)
+    entries = entry_states(tables, keys, compose, columns, follow, "_enter bigint")
     rows = stacked(ranked.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     picked = map_groups(rows, home, ["_kind", unit, "_neg", "_id"], walk, f"{span_id} bigint")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") * (0.65 + 0.35 * F.col("agreement"))))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
+from ..core.folds import entry_states
 from ..core.groups import map_groups, stacked
 from ..core.quantiles import union_all
 from ..core.timeline import SLICE, Timeline, carried, floor_div, neighbours
@@ -130,9 +131,9 @@ def prominences(
         rv, rl = _staircase(x)
         return {"_lv": [lv], "_ll": [ll], "_rv": [rv], "_rl": [rl], "_min": [float(x.min())]}
 
-    def chain(vals, lows, mins, order):
-        seen, ctx_v, ctx_l = {}, np.empty(0), np.empty(0)
-        total = np.inf
+    def chain(vals, lows, mins, order, ctx_v, ctx_l, total):
+        """What a walker meets before each slice of ``order``, and after the last."""
+        seen = {}
         for i in order:
             seen[i] = (np.append(ctx_v, np.inf).tolist(), np.append(ctx_l, total).tolist())
             own_v, own_l = np.asarray(vals[i]), np.asarray(lows[i])
@@ -140,12 +141,24 @@ def prominences(
             ctx_v = np.concatenate((own_v, ctx_v[above]))
             ctx_l = np.concatenate((own_l, np.minimum(ctx_l[above], mins[i])))
             total = min(total, mins[i])
-        return seen
+        return seen, (ctx_v, ctx_l, total)
 
-    def resolve(g):
+    nothing = (np.empty(0), np.empty(0), np.inf)
+
+    def compose(g):
+        n = len(g[SLICE])
+        _, left = chain(g["_lv"], g["_ll"], g["_min"], range(n), *nothing)
+        _, right = chain(g["_rv"], g["_rl"], g["_min"], range(n - 1, -1, -1), *nothing)
+        return {"_lv": [left[0].tolist()], "_ll": [left[1].tolist()], "_rv": [right[0].tolist()], "_rl": [right[1].tolist()],
+                "_min": [float(left[2])]}
+
+    def follow(g, enter):
         n = len(g[SLICE])
-        left = chain(g["_lv"], g["_ll"], g["_min"], range(n))
-        right = chain(g["_rv"], g["_rl"], g["_min"], range(n - 1, -1, -1))
+        left = right = nothing
+        if enter is not None:
+            left, right = ((np.asarray(enter[v])[:-1], np.asarray(enter[m])[:-1], float(enter[m][-1])) for v, m in (("_cl", "_ml"), ("_cr", "_mr")))
+        left, _ = chain(g["_lv"], g["_ll"], g["_min"], range(n), *left)
+        right, _ = chain(g["_rv"], g["_rl"], g["_min"], range(n - 1, -1, -1), *right)
         return {
             SLICE: g[SLICE], "_cl": [left[i][0] for i in range(n)], "_ml": [left[i][1] for i in range(n)],
             "_cr": [right[i][0] for i in range(n)], "_mr": [right[i][1] for i in range(n)],
@@ -174,12 +187,10 @@ def prominences(
             out.append(height - max(left, right))
         return {pos: at[wanted].astype(np.int64), "prominence": out}
 
-    stairs = map_groups(
-        marked, line.home(), [pos], condense,
-        "_lv array<double>, _ll array<double>, _rv array<double>, _rl array<double>, _min double",
-    )
+    columns = "_lv array<double>, _ll array<double>, _rv array<double>, _rl array<double>, _min double"
+    stairs = map_groups(marked, line.home(), [pos], condense, columns)
     arrays = "_cl array<double>, _ml array<double>, _cr array<double>, _mr array<double>"
-    entries = map_groups(stairs, keys, [SLICE], resolve, f"{SLICE} bigint, {arrays}")
+    entries = entry_states(stairs, keys, compose, columns, follow, arrays)
     rows = stacked(marked.withColumn("_kind", F.lit(1)), entries.withColumn("_kind", F.lit(0)))
     found = map_groups(rows, line.home(), ["_kind", pos], finish, f"`{pos}` bigint, prominence double")
     return peaks.join(found.select(*keys, pos, "prominence"), [*keys, pos])

@@ -23,3 +23,12 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(params=[1024, 3])
+def fan_in(request, monkeypatch):
+    """Blocks of slice tables as used, and so small that every test has many."""
+    from chronoloom.core import folds
+
+    monkeypatch.setattr(folds, "FAN_IN", request.param)
+    return request.param

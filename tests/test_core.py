@@ -84,7 +84,7 @@ def test_islands(frame, rows):
 
 
 @pytest.mark.parametrize("seed,window,width", [(1, 25, 40), (2, 60, 31), (3, 5, 7), (4, 300, 64)])
-def test_chains_cross_slices(spark, seed, window, width):
+def test_chains_cross_slices(spark, fan_in, seed, window, width):
     rows = sample_rows(seed)
     df = spark.createDataFrame(rows, "k bigint, pos bigint, id bigint, score double")
     expect_anchor, expect_keep, expect_spaced = {}, set(), set()

@@ -37,7 +37,7 @@ def brute(x, height, distance, prominence):
 
 
 @pytest.mark.parametrize("seed,distance", [(1, 3), (2, 9), (3, 1)])
-def test_peaks_match_brute_force(spark, seed, distance):
+def test_peaks_match_brute_force(spark, fan_in, seed, distance):
     rng = random.Random(seed)
     curves = {}
     for k in (1, 2):

@@ -11,7 +11,7 @@ from chronoloom.operators.tails import suppress_tails, with_valley_curve
 
 
 @pytest.mark.parametrize("seed,width", [(1, 30), (2, 12), (3, 400)])
-def test_fold_states(spark, seed, width):
+def test_fold_states(spark, fan_in, seed, width):
     def rule(state, row):
         gap = row["pos"] - state["pos"]
         if gap < 6:
