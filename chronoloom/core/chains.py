@@ -75,19 +75,25 @@ def _entry(pos, score, window, state_pos, state_score) -> int:
     return first
 
 
-def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame:
+def _chain(pre: DataFrame, tl: Timeline, spacing: int | str, scored: bool) -> DataFrame:
     """Walk the chains of every key over one row per (key, position).
 
+    ``spacing`` is a number or names a key column that holds it.
+
     Adds ``taken`` (the row became the state), ``kept`` (and was not replaced by
     a stronger one) and ``state_pos`` (state after the row).
     """
     keys, pos_name = list(tl.keys), tl.pos
 
+    def window_of(g) -> int:
+        return int(g[spacing][0]) if isinstance(spacing, str) else spacing
+
     def arrays(g):
         pos = g[pos_name].astype(np.int64)
         return pos, (g["_score"].astype(np.float64) if scored else None)
 
     def transfer(g):
+        window = window_of(g)
         pos, score = arrays(g)
         leave = _exits(_successors(pos, score, window))
         # rows that can take over: all up to one window after the first row
@@ -104,6 +110,7 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
         }
 
     def compose(g):
+        window = window_of(g)
         first, last, peak, to, strength = (np.asarray(g[c][0]) for c in TABLE)
         horizon = first[0] + window
         for i in range(1, len(g[SLICE])):
@@ -128,6 +135,7 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
         return dict(zip(TABLE, ([x.tolist()] for x in (first, last, peak, to, strength)), strict=True))
 
     def follow(g, enter):
+        window = window_of(g)
         state, strength = None, 0.0
         if enter is not None and enter["_entered"]:
             state, strength = int(enter["_enter_pos"]), float(enter["_enter_score"])
@@ -155,6 +163,7 @@ def _chain(pre: DataFrame, tl: Timeline, window: int, scored: bool) -> DataFrame
         }
 
     def walk(g):
+        window = window_of(g)
         # the entry of the slice comes first, then a row if its last state is replaced later
         enter = int(g["_enter_pos"][0]) if g["_entered"][0] else None
         strength, lead = float(g["_enter_score"][0]), int(np.count_nonzero(g["_kind"] < 2))
@@ -222,10 +231,13 @@ def keep_distant(df: DataFrame, tl: Timeline, window: int, width: int | None = N
 
 
 def spaced_order(
-    df: DataFrame, tl: Timeline, spacing: int, score: str, width: int | None = None
+    df: DataFrame, tl: Timeline, spacing: int | str, score: str, width: int | None = None
 ) -> DataFrame:
     """Keys and order columns of the rows that survive minimum spacing.
 
+    ``spacing`` is a number or the name of a key column with one number per key; then
+    ``width`` must be given.
+
     Walks in (pos, tie) order: a row at least ``spacing`` after the last kept row
     is kept; a closer one replaces it only when its score is strictly higher.
     """
@@ -238,14 +250,16 @@ def spaced_order(
         )
     )
     pre = best.select(*keys, tl.pos, (-F.col("_b.s")).alias("_score"))
-    chain = _chain(pre, fold_timeline(tl, spacing, width), int(spacing), scored=True)
+    reach = spacing if isinstance(spacing, str) else int(spacing)
+    line = Timeline(tl.keys, tl.pos, tl.tie, width) if width else fold_timeline(tl, reach)
+    chain = _chain(pre, line, reach, scored=True)
     kept = chain.filter("kept").select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, tl.pos)])
     same = [best[c].eqNullSafe(kept[f"_k_{c}"]) for c in (*keys, tl.pos)]
     return best.join(kept, same, "left_semi").select(*keys, tl.pos, *[f"_b.{t}" for t in tl.tie])
 
 
 def spaced(
-    df: DataFrame, tl: Timeline, spacing: int, score: str, width: int | None = None
+    df: DataFrame, tl: Timeline, spacing: int | str, score: str, width: int | None = None
 ) -> DataFrame:
     """Rows that survive minimum spacing, see ``spaced_order``."""
     kept = spaced_order(df, tl, spacing, score, width)

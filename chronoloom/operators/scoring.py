@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.chains import spaced, spaced_order
+from ..core.chains import SLICES_PER_WINDOW, spaced, spaced_order
 from ..core.durable import checkpointed
 from ..core.quantiles import attach
 from ..core.timeline import Timeline, swept
@@ -364,18 +364,17 @@ def soft_route(candidates: DataFrame, tl: Timeline, samples_per_ms: float) -> Da
     open_rows = candidates.filter(present & sure).withColumn(
         "_quality", F.col("confidence") + 0.34 * F.col("salience") + 0.08 * F.col("prominence")
     )
-    lane_line = Timeline([*keys, "lane"], tl.pos, tl.tie, tl.width)
-    parts = None
-    for name, spacing in LANE_SPACING_MS.items():
-        one = spaced(
-            open_rows.filter(F.col("lane") == name), lane_line, max(1, round(samples_per_ms * spacing)), "_quality"
-        )
-        parts = one if parts is None else parts.unionByName(one)
+    spacing = {lane: max(1, round(samples_per_ms * ms)) for lane, ms in LANE_SPACING_MS.items()}
+    apart = F.create_map(*[F.lit(x) for pair in spacing.items() for x in pair])
+    # the spacing is a fact of the lane, so all lanes walk in one pass
+    open_rows = open_rows.filter(F.col("lane").isin(*spacing)).withColumn("_apart", F.element_at(apart, F.col("lane")).cast("bigint"))
+    lane_line = Timeline([*keys, "lane", "_apart"], tl.pos, tl.tie, tl.width)
+    kept = spaced(open_rows, lane_line, "_apart", "_quality", max(spacing.values()) * SLICES_PER_WINDOW)
     votes = F.array_append(
         F.transform("votes", lambda v: F.concat(F.col("lane"), F.lit(":"), v)),
         F.concat(F.lit("soft_route_"), F.col("lane")),
     )
-    return parts.withColumn("votes", votes).drop("_quality")
+    return kept.withColumn("votes", votes).drop("_quality", "_apart")
 
 
 def fallback_events(
