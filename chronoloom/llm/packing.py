@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .prefix import before, in_cells
 from .store import written
 
 CLOSING = 2  # id that closes a document
+MARK = "\x01"  # between words that are tokenised side by side
+RUN = 1 << 23  # bytes of text that are spelled at once
 
 
 class WordIds:
@@ -29,22 +32,57 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.room = room
-        self.known: dict[bytes, bytes] = {}
+        self.mark = self._batch([MARK])[0][-1]
+        self.known: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [text.encode().split() for text in texts]
+    def ids(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text and the closing id, some megabytes of text at a time."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(sizes // RUN)) + 1
+        bounds = [0, *cuts.tolist(), len(texts)]
+        return [ids for at, until in zip(bounds, bounds[1:]) for ids in self._spelled(texts.slice(at, until - at))]
+
+    def _spelled(self, texts: pa.StringArray) -> list[np.ndarray]:
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        spelled = [*self._known(words.dictionary.to_pylist()), np.array([CLOSING], np.uint32).tobytes()]
+        table = np.frombuffer(b"".join(spelled), np.uint32)
+        length = np.fromiter(map(len, spelled), np.int32, len(spelled)) // 4
+        begin = np.cumsum(length, dtype=np.int32) - length
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        order = np.insert(words.indices.to_numpy(), ends, len(spelled) - 1)  # a closing id after each text
+        taken = length[order]
+        until = np.cumsum(taken, dtype=np.int32)
+        ids = table[np.repeat(begin[order] - until + taken, taken) + np.arange(taken.sum(), dtype=np.int32)]
+        return np.split(ids, until[ends + np.arange(len(ends))][:-1]) if len(texts) else []
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each distinct word; those not met before go through the tokenizer."""
         if len(self.known) > self.room:
             self.known = {}
         known = self.known
-        new = list({w for words in cut for w in words if w not in known})
+        new = [w for w in words if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, one in zip(part, coded):
-                known[word] = np.array(one.ids, np.uint32).tobytes()
-        closing = np.array([CLOSING], np.uint32).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), closing]), np.uint32) for words in cut]
+            known.update(zip(part, self._encoded(part)))
+        return [*map(known.__getitem__, words)]
+
+    def _encoded(self, words: list[str], side_by_side: int = 100) -> list[bytes]:
+        """Ids of words, many in one text with a mark between them; one by one where that mark is a word's."""
+        groups = [words[i : i + side_by_side] for i in range(0, len(words), side_by_side)]
+        found = []
+        for group, text in zip(groups, self._batch([f" {MARK} ".join(group) for group in groups])):
+            ends = [*np.flatnonzero(text == self.mark).tolist(), len(text)]
+            if len(ends) == len(group):
+                raw = text.tobytes()
+                found += [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+            else:
+                found += [ids.tobytes() for ids in self._batch(group)]
+        return found
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
@@ -60,7 +98,7 @@ def _tokenised(tracks: DataFrame, tokenizer: str) -> DataFrame:
         places = Projection(coder.vocabulary + CLOSING + 1)
         press = zstandard.ZstdCompressor(level=1)
         for batch in sliced(batches):
-            ids = coder.ids(batch.column(1).to_pylist())
+            ids = coder.ids(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from chronoloom.llm.fingerprints import fingerprint_lyrics
 from chronoloom.llm.machine import FactorisationMachine
 from chronoloom.llm.mixing import mix_genres
 from chronoloom.llm.near_copies import grid_cells, near_copies, simhash
-from chronoloom.llm.packing import pack_lyrics
+from chronoloom.llm.packing import WordIds, pack_lyrics
 from chronoloom.llm.quality import judge_lyrics, repeated_words
 from chronoloom.llm.scoring import score_lyrics
 from chronoloom.llm.shards import shard_tracks
@@ -287,6 +288,21 @@ def test_packing(tracks, empty):
     assert pack_lyrics(empty, WORDS).count() == 0
 
 
+def test_word_ids():
+    """Words tokenised side by side and remembered are those of whole texts, marks and odd blanks included."""
+    rng = random.Random(5)
+    words = ["\x01", "a\x01b", "<|endoftext|>", "x<|startoftext|>y", "it's", "\u0301e", "b\u0301", "Größe", "e\u0085f", "你好", "42nd", ""]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "\x0b ", "\t"]) for _ in range(n)) for n in (0, 1, 3, 40, 400)]
+    texts += ["", " ", " ".join(f"w{i}" for i in range(500))]
+    tokenizer = Tokenizer.from_file(WORDS)
+    want = [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    coder = WordIds(WORDS, room=50)
+    for _ in range(2):
+        assert [x.tolist() for x in coder.ids(pa.array(texts))] == want
+    assert coder.ids(pa.array([], pa.string())) == []
+    assert [x.tolist() for x in coder.ids(pa.array(texts).slice(3, 4))] == want[3:7]
+
+
 def test_fingerprints(tracks, empty, spark):
     rows = sorted(texts_of(tracks), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = []
