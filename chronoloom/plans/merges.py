@@ -205,7 +205,20 @@ def f6(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.hiragana(kana).alias("folded"))
 
 
-@query("f6_romaji")
+SYLLABLES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.ROMAJI.items()) + "}"
+PAIRS = "|".join(k for k in X.ROMAJI if len(k) == 2)
+
+
+@query("f6_romaji", f"""WITH k AS (SELECT row_number() OVER () AS r, conv_id, turn, translate(lower(text), '{LATIN}', 'アイウエオンャッーァカヒ') AS kana FROM conversations),
+l AS (SELECT r, regexp_extract_all(kana, '{PAIRS}|(?s:.)') AS tokens FROM k),
+t AS (SELECT r, unnest(range(len(tokens))) AS i, unnest(tokens) AS token FROM l),
+s AS (SELECT *, coalesce({SYLLABLES}[token], token) AS spoken,
+  last_value(CASE WHEN token <> 'ー' THEN token END IGNORE NULLS) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM t),
+p AS (SELECT *, CASE WHEN token = 'ッ' THEN '' WHEN token = 'ー' THEN NULL
+  WHEN prior = 'ッ' AND NOT regexp_matches(spoken, '^[aeioun]') THEN spoken[1] || spoken ELSE spoken END AS piece FROM s),
+v AS (SELECT *, last_value(nullif(piece, '') IGNORE NULLS) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM p),
+o AS (SELECT r, string_agg(CASE WHEN token = 'ー' THEN regexp_extract(coalesce(last, ''), '([aeiou])[^aeiou]*$', 1) ELSE piece END, '' ORDER BY i) AS out FROM v GROUP BY r)
+SELECT conv_id, turn, CASE WHEN kana IS NOT NULL THEN coalesce(out, '') END AS romaji FROM k LEFT JOIN o USING (r)""")
 def f6_romaji(spark, d):
     kana = X.katakana(F.translate(F.lower("text"), LATIN, AS_KANA))
     return table(spark, d, "conversations").select("conv_id", "turn", X.romaji(kana).alias("romaji"))
