@@ -128,7 +128,24 @@ def pitch_frames(spark, d):
     )
 
 
-@query("d6_pitch_events")
+@query("d6_pitch_events", f"""WITH RECURSIVE {FRAMES},
+f AS (SELECT track_id, frame_idx, CASE WHEN x > -0.1 THEN floor(60 + x * 20) END AS midi, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + x)) AS chance, abs(x) AS rms FROM frames),
+g AS (SELECT *, midi IS NOT NULL AND chance >= 0.42::DOUBLE AS sung,
+  greatest(0.0::DOUBLE, (coalesce(lead(rms) OVER w, rms) - coalesce(lag(rms) OVER w, rms))
+    / CASE WHEN lag(rms) OVER w IS NOT NULL AND lead(rms) OVER w IS NOT NULL THEN 2 ELSE 1 END) AS rise
+  FROM f WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+h AS (SELECT g.*, lag(CASE WHEN sung THEN midi END) OVER (PARTITION BY track_id ORDER BY frame_idx) AS before,
+  least(1.0::DOUBLE, rise / greatest(quantile_cont(rise, 0.94) OVER (PARTITION BY track_id), 1e-9::DOUBLE)) AS gain FROM g),
+k AS (SELECT *, CASE WHEN NOT sung THEN NULL WHEN before IS NULL OR abs(midi - before) >= 0.75 THEN 'pitch_onset' WHEN gain >= 0.72 THEN 'energy_reattack' END AS kind FROM h),
+c AS (SELECT *, CASE kind WHEN 'pitch_onset' THEN chance + 0.18::DOUBLE WHEN 'energy_reattack' THEN chance ELSE 0 END AS score FROM k),
+n AS (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS b FROM c WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame_idx DESC) AS rn FROM n WHERE a < score AND b < score AND score >= 0.42::DOUBLE),
+w AS (SELECT track_id, 0::BIGINT AS rn, []::BIGINT[] AS kept FROM (SELECT DISTINCT track_id FROM p)
+  UNION ALL SELECT w.track_id, p.rn, CASE WHEN len(list_filter(kept, lambda q: abs(q - p.frame_idx) < 3)) > 0 THEN kept ELSE list_append(kept, p.frame_idx) END
+  FROM w JOIN p ON p.track_id = w.track_id AND p.rn = w.rn + 1),
+l AS (SELECT track_id, unnest(max_by(kept, rn)) AS frame_idx FROM w GROUP BY track_id)
+SELECT track_id, frame_idx, kind, least(0.94::DOUBLE, 0.3::DOUBLE + 0.62::DOUBLE * chance) AS confidence, least(0.9::DOUBLE, 0.25::DOUBLE + 0.55::DOUBLE * chance) AS salience
+FROM l JOIN p USING (track_id, frame_idx)""")
 def d6(spark, d):
     return S.melody_events(pitch_frames(spark, d), FRAME_LINE, 3)
 
