@@ -150,13 +150,40 @@ def d6(spark, d):
     return S.melody_events(pitch_frames(spark, d), FRAME_LINE, 3)
 
 
-@query("d7_vocal_novelty")
+@query("d7_vocal_novelty", f"""WITH RECURSIVE {STEM_FRAMES},
+f AS (SELECT track_id, frame_idx, vocals AS onset, drums AS rms, bass AS flux, other * 10 AS pitch FROM stem_frames),
+g AS (SELECT *, greatest(0.0::DOUBLE, (coalesce(lead(rms) OVER w, rms) - coalesce(lag(rms) OVER w, rms))
+    / CASE WHEN lag(rms) OVER w IS NOT NULL AND lead(rms) OVER w IS NOT NULL THEN 2 ELSE 1 END) AS env
+  FROM f WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+m AS (SELECT track_id, greatest(quantile_cont(rms, 0.9), 1e-9::DOUBLE) AS loud, greatest(quantile_cont(rms, 0.2), 1e-9::DOUBLE) AS noise,
+  greatest(quantile_cont(onset, 0.98), 1e-9::DOUBLE) AS qo, greatest(quantile_cont(env, 0.98), 1e-9::DOUBLE) AS qe, greatest(quantile_cont(flux, 0.98), 1e-9::DOUBLE) AS qf FROM g GROUP BY 1),
+h AS (SELECT g.*, m.* EXCLUDE (track_id), greatest({10.0 ** (-52 / 20)!r}::DOUBLE, loud * 0.025::DOUBLE, noise * 5.0::DOUBLE) AS lowest FROM g JOIN m ON m.track_id = g.track_id),
+a AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (rms - lowest) / greatest(loud - lowest, 1e-9::DOUBLE))) AS act FROM h),
+u AS (SELECT *, least(1.5::DOUBLE, onset / qo) AS so, least(1.5::DOUBLE, env / qe) AS se, least(1.5::DOUBLE, flux / qf) AS st,
+  CASE WHEN act > 0.05::DOUBLE THEN least(1.5::DOUBLE, pitch / 2) ELSE 0 END AS sp FROM a),
+c AS (SELECT *, (0.34::DOUBLE * so + 0.25::DOUBLE * se + 0.23::DOUBLE * st + 0.18::DOUBLE * sp) * least(1.0::DOUBLE, act + 0.18::DOUBLE) AS x FROM u),
+n AS (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after FROM c WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY x DESC, frame_idx DESC) AS rn FROM n WHERE before < x AND after < x AND x >= 0.16::DOUBLE),
+w AS (SELECT track_id, 0::BIGINT AS rn, []::BIGINT[] AS kept FROM (SELECT DISTINCT track_id FROM p)
+  UNION ALL SELECT w.track_id, p.rn, CASE WHEN len(list_filter(kept, lambda q: abs(q - p.frame_idx) < 3)) > 0 THEN kept ELSE list_append(kept, p.frame_idx) END
+  FROM w JOIN p ON p.track_id = w.track_id AND p.rn = w.rn + 1),
+l AS (SELECT track_id, unnest(max_by(kept, rn)) AS frame_idx FROM w GROUP BY track_id),
+s AS (SELECT p.* FROM p JOIN l USING (track_id, frame_idx)),
+b AS (SELECT s.*, coalesce((SELECT max(c.frame_idx) FROM c WHERE c.track_id = s.track_id AND c.frame_idx < s.frame_idx AND c.x > s.x), -1) AS lo,
+  coalesce((SELECT min(c.frame_idx) FROM c WHERE c.track_id = s.track_id AND c.frame_idx > s.frame_idx AND c.x > s.x), 1000000000000) AS hi FROM s),
+v AS (SELECT b.*, b.x - greatest((SELECT min(c.x) FROM c WHERE c.track_id = b.track_id AND c.frame_idx > lo AND c.frame_idx <= b.frame_idx),
+  (SELECT min(c.x) FROM c WHERE c.track_id = b.track_id AND c.frame_idx < hi AND c.frame_idx >= b.frame_idx)) AS prom FROM b)
+SELECT track_id, frame_idx, round(greatest(0.0::DOUBLE, least(0.94::DOUBLE, 0.16::DOUBLE + 0.24::DOUBLE * so + 0.18::DOUBLE * se + 0.18::DOUBLE * sp + 0.16::DOUBLE * st + 0.08::DOUBLE * act + 0.05::DOUBLE * prom)), 6) AS confidence,
+  round(least(1.0::DOUBLE, so), 6) AS onset_score, round(least(1.0::DOUBLE, se), 6) AS envelope_score, round(least(1.0::DOUBLE, sp), 6) AS pitch_score, round(least(1.0::DOUBLE, st), 6) AS transition_score, round(act, 6) AS activity
+FROM v WHERE prom >= 0.045::DOUBLE AND rms >= lowest""")
 def d7(spark, d):
     rows = stem_frames(spark, d).select(
         "track_id", "frame_idx", F.col("vocals").alias("onset"), F.col("drums").alias("rms"), F.col("bass").alias("flux"),
         (F.col("other") * 10).alias("pitch_change"),
     )
-    return S.vocal_events(rows, FRAME_LINE, 3)
+    out = S.vocal_events(rows, FRAME_LINE, 3)
+    scores = ["confidence", "onset_score", "envelope_score", "pitch_score", "transition_score", "activity"]
+    return out.select("track_id", "frame_idx", *(F.round(c, 6).alias(c) for c in scores))
 
 
 @query("d8_energy_anchors")
