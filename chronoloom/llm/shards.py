@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import before, in_cells
 
 
+def shard_of(total: int, shards: int) -> Column:
+    """The part, from 0, in which the middle byte of a row (columns start, size) lies.
+
+    An integer division: a decimal quotient is rounded before its floor is taken.
+    """
+    return F.expr(f"int((2 * cast(start AS decimal(30,0)) + size) * {shards} div {2 * total})")
+
+
 def shard_tracks(tracks: DataFrame, shards: int) -> DataFrame:
     """Puts every track into one of `shards` contiguous ranges of track_id of near equal size.
 
@@ -31,8 +39,7 @@ def shard_tracks(tracks: DataFrame, shards: int) -> DataFrame:
     cells = in_cells(sized, *order)
     placed = before(cells, order, {"start": "size", "rank": "row"})
     total = cells.agg(F.sum("size")).first()[0] or 1
-    middle = (2 * F.col("start") + F.col("size")).cast("decimal(30,0)")
-    sharded = placed.withColumn("shard", F.floor(middle * shards / (2 * total)).cast("int"))
+    sharded = placed.withColumn("shard", shard_of(total, shards))
     # at most `shards` rows
     firsts = sharded.groupBy("shard").agg(F.min("rank").alias("first"))
     return sharded.join(F.broadcast(firsts), "shard").select(

@@ -24,7 +24,7 @@ from chronoloom.llm.near_copies import grid_cells, near_copies, simhash
 from chronoloom.llm.packing import WordIds, pack_lyrics
 from chronoloom.llm.quality import judge_lyrics, repeated_words
 from chronoloom.llm.scoring import score_lyrics
-from chronoloom.llm.shards import shard_tracks
+from chronoloom.llm.shards import shard_of, shard_tracks
 from chronoloom.llm.tokens import count_lyric_tokens
 from chronoloom.llm.transducer import Machine
 from chronoloom.llm.url_rules import GlobAutomaton, judge_cover_urls
@@ -155,6 +155,18 @@ def test_shards(tracks, empty):
     assert shard_tracks(empty, 8).count() == 0
 
 
+def test_shards_at_their_bounds(spark):
+    """A small document at a bound of a large table goes where exact integers put it."""
+    texts = spark.range(2).select(F.col("id").alias("track_id"), F.expr("CASE WHEN id = 0 THEN repeat('a', 10000000) END").alias("lyrics_text"))
+    assert {r["track_id"]: r["shard"] for r in shard_tracks(texts, 8).collect()} == {0: 3, 1: 7}
+    for total in (10**7, 10**8, 30 * 10**9, 10**15):
+        rows = [(total - s, s) for s in (1, 10, 40, 3_000, 5_000)]
+        rows += [(total * k // 8 + d, s) for k in range(1, 8) for d in (-2_000, -2, -1, 0) for s in (1, 3, 3_000)]
+        table = spark.createDataFrame(rows, "start long, size long")
+        for r in table.withColumn("shard", shard_of(total, 8)).collect():
+            assert r["shard"] == (2 * r["start"] + r["size"]) * 8 // (2 * total)
+
+
 def test_mixing(tracks, empty):
     weights = [1, 2, 3]
     rows = mix_genres(tracks, weights).collect()
