@@ -30,12 +30,23 @@ def edited(text: str, following: str) -> str:
 
 
 def _bounds(places: DataFrame, ranges: int, rows_per_range: int) -> list[int]:
-    """Places that begin ranges of like size, in ascending order; at most `ranges`."""
-    n, highest = places.agg(F.count("*"), F.max("place")).first()
+    """Places that begin ranges of like size, in ascending order; at most `ranges`.
+
+    Percentiles of a long are doubles, so beyond 2^53 they need not be places of the table: they only
+    cut it, and the highest place of each cut is taken.
+    """
+    n = places.count()
     parts = min(ranges, n // rows_per_range + 1)
     shares = [i / parts for i in range(1, parts)]
-    cuts = places.agg(F.percentile_approx("place", shares, 10 * parts)).first()[0] if shares else []
-    return sorted({highest, *(cuts or [])}) if n else []
+    found = places.agg(F.percentile_approx("place", shares, 10 * parts)).first()[0] if shares else []
+    cuts = np.array(sorted(set(found or [])), np.int64)
+
+    @F.pandas_udf("int")
+    def cut(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, places.to_numpy(), "left"))
+
+    highest = places.groupBy(cut("place")).agg(F.max("place")).collect()  # one row per range
+    return sorted(r[1] for r in highest)
 
 
 def _compare(k: int, width: int):

@@ -341,6 +341,18 @@ def test_fingerprints(tracks, empty, spark):
     assert row["edited_sha256"] == hashlib.sha256(b"abcdefabc").hexdigest() and row["near_next"] == 1.0
 
 
+def test_fingerprints_of_hashed_ids(spark):
+    """Every 64-bit id comes out, followed by the next lower one, whatever ranges are cut."""
+    hashed = F.xxhash64(F.col("id"))
+    table = spark.range(3_000).select(hashed.alias("track_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("lyrics_text"))
+    rows = sorted(texts_of(table), reverse=True)
+    want = []
+    for (track, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        third = len(text) // 3
+        want.append((track, len(text), hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()))
+    same([r[:3] for r in fingerprint_lyrics(table, rows_per_range=100).collect()], want)
+
+
 def test_sketches_estimate():
     rng = random.Random(8)
     for share in (0.0, 0.3, 0.6, 1.0):
