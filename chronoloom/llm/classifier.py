@@ -72,7 +72,8 @@ def classify_lyrics(
     score are hashed words, structure statistics and size facts of the text alone; their pairs
     interact by low-rank factors, in time linear in the inputs. The machine learns from
     rated tracks whose crc32(track_id as text) mod 5 is not 0: the `most_ratings` of them with
-    the lowest hashed id, a bounded sample that the driver fits; every track is scored. Returns
+    the lowest hashed id, a bounded sample that the driver fits, of several rows of one id the one with
+    the lowest hashed text; every track is scored. Returns
     track_id, held_out, score (0 to 1), predicted (1 if score >= cut, else 0), and the column
     `carried` as it is, if one is named.
 
@@ -93,7 +94,13 @@ def classify_lyrics(
         .orderBy(F.xxhash64(F.col("track_id").cast("string")), "track_id")
         .limit(most_ratings)
     )
-    rated = tracks.select("track_id", text).join(F.broadcast(sample), "track_id")  # at most most_ratings rows
+    rated = (
+        tracks.select("track_id", text)
+        .join(F.broadcast(sample), "track_id")  # at most most_ratings rows
+        .groupBy("track_id", "quality")
+        .agg(F.min_by("lyrics_text", F.xxhash64("lyrics_text")).alias("lyrics_text"))
+        .select("track_id", "lyrics_text", "quality")
+    )
     machine, scale = _fitted(rated, slots)
 
     rest = [carried] if carried else []

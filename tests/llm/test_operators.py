@@ -445,6 +445,26 @@ def test_classifier(tracks, empty, spark):
     assert len({r["score"] for r in classify_lyrics(table, ratings.limit(0)).collect()}) == 1
 
 
+def test_classifier_fits_one_row_per_rated_track(spark, monkeypatch):
+    """An id on many rows is one row of the sample."""
+    seen = []
+    fitted = FactorisationMachine.fitted.__func__
+
+    def counted(cls, rows, marks):
+        seen.append(len(rows))
+        return fitted(cls, rows, marks)
+
+    monkeypatch.setattr(FactorisationMachine, "fitted", classmethod(counted))
+    sampled = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:100]
+    rows = [(i, f"some words {i}") for i in sampled] + [(sampled[0], f"again {j % 50}") for j in range(1_000)]
+    table = spark.createDataFrame(rows, "track_id long, lyrics_text string").repartition(5)
+    ratings = spark.createDataFrame([(i, i % 2) for i in sampled], "track_id long, quality int")
+    got = classify_lyrics(table, ratings, most_ratings=100).collect()
+    assert seen == [100] and len(got) == len(rows)
+    again = classify_lyrics(table.repartition(3), ratings, most_ratings=100).collect()
+    same(got, again)
+
+
 def brute_simhash(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     size = min(4, len(words))
