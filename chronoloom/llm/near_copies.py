@@ -129,8 +129,29 @@ def _joined(root: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.nd
     return _roots(len(root), np.concatenate([every, *a]), np.concatenate([root, *b]))
 
 
-def links(prints: DataFrame, distance: int) -> DataFrame:
-    """Links a, b between distinct prints (column print) that connect all within `distance`."""
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """Adds `pair` to rows (cell, above, print): rows of one cell and pair are compared with each other.
+
+    A cell of more than `most` rows is dealt into blocks of about half of that, by a hash of the print,
+    and each two blocks are a pair of their own; so any two rows of a cell meet, and no group is large.
+    """
+    sizes = rows.groupBy(F.col("cell").alias("hot")).agg(F.count("*").alias("n"))
+    hot = sizes.filter(F.col("n") > most).select("hot", F.expr(f"(2 * n + {most} - 1) div {most}").alias("blocks"))
+    split = rows.join(F.broadcast(hot), F.col("cell") == F.col("hot"), "left")  # one row per hot cell
+    pairs = F.expr(
+        "CASE WHEN blocks IS NULL THEN array(0L) ELSE transform(filter(sequence(0L, blocks - 1), o -> o <> block), "
+        "o -> least(o, block) * blocks + greatest(o, block)) END"
+    )
+    return split.withColumn("block", F.expr("pmod(xxhash64(print), blocks)")).select(
+        "cell", F.explode(pairs).alias("pair"), "above", "print"
+    )
+
+
+def links(prints: DataFrame, distance: int, most: int = 50_000) -> DataFrame:
+    """Links a, b between distinct prints (column print) that connect all within `distance`.
+
+    No task compares many more than `most` rows with each other.
+    """
 
     def emit(batches):
         for batch in batches:
@@ -149,23 +170,22 @@ def links(prints: DataFrame, distance: int) -> DataFrame:
             held = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
             if not len(held[0]):
                 continue
-            whole = np.searchsorted(held[0], held[0][-1], "left")  # the last cell may go on
+            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+            whole = int(last.argmax())  # the last group may go on
             yield _linked([h[:whole] for h in held], distance)
             held = [h[whole:] for h in held]
         if held is not None:
             yield _linked(held, distance)
 
-    dealt = (
-        prints.select("print")
-        .mapInArrow(emit, "cell long, above boolean, print long")
-        .repartition("cell")
-        .sortWithinPartitions("cell", "above", "print")
-    )
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    rows = prints.select("print").mapInArrow(emit, "cell long, above boolean, print long")
+    groups = dealt(rows, most).repartition("cell", "pair").sortWithinPartitions("cell", "pair", "above", "print")
+    return groups.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _linked(columns: list[np.ndarray], distance: int) -> pa.RecordBatch:
-    a, b = cell_links(columns[0], columns[2].view(np.uint64), columns[1], distance)
+    cell, pair, above, prints = columns
+    begins = (np.diff(cell, prepend=cell[:1]) != 0) | (np.diff(pair, prepend=pair[:1]) != 0)
+    a, b = cell_links(np.cumsum(begins), prints.view(np.uint64), above, distance)
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
@@ -203,7 +223,8 @@ def near_copies(tracks: DataFrame, distance: int = 4, width: int = 4) -> DataFra
     Null lyrics count as empty: fingerprint zero, which links like any other. Rows repeat as
     they come; null ids get the group's smallest known id, or null. An empty table gives an empty
     result; other columns are ignored. Only distinct fingerprints are compared, so exact copies cost one
-    row; each cell hands on a spanning forest, not its pairs. Prints, links and groups stay in tables.
+    row; each cell hands on a spanning forest, not its pairs, and a large cell is compared by many tasks.
+    Prints, links and groups stay in tables.
     """
     prints = written(fingerprints(tracks, width))
     distinct = written(prints.groupBy("print").agg(F.min("track_id").alias("lowest")))

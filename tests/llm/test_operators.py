@@ -514,6 +514,24 @@ def test_close_prints_meet_in_a_cell(distance):
         assert own[i] & own[i + 500] or own[i] & up[i + 500] or up[i] & own[i + 500]
 
 
+def test_hot_cells_are_split(spark):
+    """Near copies that fill a cell are compared in small groups, and all links are found."""
+    from chronoloom.llm.near_copies import components, dealt, links
+
+    prints = [sum(1 << b for b in bits) for n in range(4) for bits in itertools.combinations(range(0, 24, 2), n)]
+    rows = spark.createDataFrame([(c, False, p) for p in prints for c in (5, 6)] + [(7, False, 1), (7, True, 2)], "cell long, above boolean, print long")
+    groups = {}
+    for r in dealt(rows, 60).collect():
+        groups.setdefault((r["cell"], r["pair"]), set()).add(r["print"])
+    assert max(map(len, groups.values())) < 100 < len(prints)
+    for cell, known in ((5, prints), (6, prints), (7, [1, 2])):
+        met = {frozenset(p) for (c, _), g in groups.items() if c == cell for p in itertools.combinations(g, 2)}
+        assert met == {frozenset(p) for p in itertools.combinations(known, 2)}
+    table = spark.createDataFrame([(p,) for p in [*prints, *(1 << 40 | p << 34 for p in prints)]], "print long")
+    whole = components(links(table, 4)).collect()
+    same(components(links(table, 4, most=60)).collect(), whole)
+
+
 def test_long_chains_are_one_group(spark):
     from chronoloom.llm.near_copies import components, links
 
