@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classifier import classify_lyrics
+from .crosswalk import align_lyric_tokens
 from .fingerprints import fingerprint_lyrics
+from .lexical import search_lyrics
 from .mixing import mix_genres
 from .near_copies import near_copies
 from .packing import pack_lyrics
+from .private_data import KINDS, find_private_data
 from .quality import judge_lyrics
 from .scoring import score_lyrics
 from .shards import shard_tracks
@@ -134,6 +137,35 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(tracks(spark, sf_dir)).withColumnRenamed("track_id", "doc_id")
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private_data(tracks(spark, sf_dir))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("track_id").alias("doc_id"),
+        *map(count, KINDS),
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    lines = items.select(F.col("item_id").alias("line_id"), F.col("text").alias("line_text"))
+    ranked = search_lyrics(tracks(spark, sf_dir), lines)
+    return ranked.withColumnsRenamed({"line_id": "item_id", "track_id": "doc_id"})
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_lyric_tokens(tracks(spark, sf_dir), first, second).withColumnRenamed("track_id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -147,6 +179,9 @@ QUERIES = {
         op8_quality_rules,
         op9_quality_classifier,
         op10_simhash_near_dedup,
+        op11_private_data,
+        op12_lexical_search,
+        op13_token_alignment,
     )
 }
 ORACLES = {"op2_url_filters": OP2_SQL}
