@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from ..core.durable import checkpointed
 from ..core.folds import entry_states
 from ..core.groups import map_groups, stacked
-from ..core.quantiles import union_all
 from ..core.timeline import SLICE, Timeline, carried, floor_div, neighbours
-from .joins import within
 
 
 def local_maxima(frames: DataFrame, tl: Timeline, column: str) -> DataFrame:
@@ -25,71 +23,184 @@ def local_maxima(frames: DataFrame, tl: Timeline, column: str) -> DataFrame:
     return runs.filter("_l.up and _r.down").filter(pos == middle).drop("_a", "_b", "_s", "_e", "_l", "_r")
 
 
+FAR = -(1 << 63)
+"""State of a border that no kept peak lies close to."""
+
+
+class _Spacing:
+    """The peaks of a slice and of a stretch before it, and which kept peak may follow which.
+
+    A set of peaks is what "highest first, each removes all others closer than ``distance``" leaves exactly if its
+    peaks are that far apart and every other peak has a higher one of them closer than that.  Such a one can only be
+    the kept peak before or after it, so the set is a path of pairs that are each valid by what lies between them,
+    and there is one such path.  What a border knows of the path is its last kept peak, if that lies within twice the
+    distance; else all peaks closer than the distance before the border still wait for a higher one.
+    """
+
+    def __init__(self, pos: np.ndarray, x: np.ndarray, begin: int, width: int, distance: int):
+        order = np.lexsort((x, pos))
+        order = order[np.append(pos[order][1:] != pos[order][:-1], True)]  # of repeated positions the highest
+        self.pos = pos[order].tolist()
+        rank = np.empty(len(order), np.int64)
+        rank[np.lexsort((pos[order], x[order]))] = np.arange(len(order))  # of equal peaks the later one comes first
+        self.rank = rank.tolist()
+        self.begin, self.end, self.distance = begin, begin + width, distance
+        self.own = int(np.searchsorted(pos[order], begin, side="left"))
+
+    def entries(self) -> list[int]:
+        """-1 for none close, and the peaks before the slice."""
+        return [-1, *range(self.own)]
+
+    def label(self, i: int) -> int:
+        return FAR if i < 0 else self.pos[i]
+
+    def index(self, label: int) -> int:
+        return -1 if label == FAR else self.pos.index(label)
+
+    def after(self, c: int) -> tuple[list[int], int | None]:
+        """Peaks of the slice that may follow ``c``, and the first one behind it that it does not remove."""
+        pos, rank, distance = self.pos, self.rank, self.distance
+        found, first, top = [], None, -1
+        start = c + 1 if c >= 0 else next((i for i in range(self.own) if pos[i] > self.begin - distance), self.own)
+        for i in range(start, len(pos)):
+            if first is not None and pos[i] - pos[first] >= distance:
+                break
+            near = c >= 0 and pos[i] - pos[c] < distance
+            if i >= self.own and not near and rank[i] > top:
+                found.append(i)
+            if not (near and rank[c] > rank[i]):
+                first = i if first is None else first
+                top = max(top, rank[i])
+        return found, first
+
+    def exit(self, c: int, first: int | None) -> tuple[int, bool] | None:
+        """State behind the slice if ``c`` is its last kept peak, and whether nothing waits there."""
+        if c >= 0 and self.pos[c] >= self.end - 2 * self.distance:
+            return self.pos[c], first is None
+        if first is None or self.pos[first] > self.end - self.distance:
+            return FAR, first is None
+        return None
+
+    def paths(self, entries: list[int]) -> tuple[dict[int, list[int]], list[tuple[int, int, bool, int]]]:
+        """What each reached peak may follow; exits: entries (as bits), state, whether nothing waits, last kept peak."""
+        reached: dict[int, int] = {}
+        before: dict[int, list[int]] = {}
+        exits = []
+
+        def go(c: int, bits: int) -> None:
+            following, first = self.after(c)
+            for q in following:
+                reached[q] = reached.get(q, 0) | bits
+                before.setdefault(q, []).append(c)
+            if (left := self.exit(c, first)) is not None:
+                exits.append((bits, *left, c))
+
+        for bit, entry in enumerate(entries):
+            go(entry, 1 << bit)
+        for i in range(self.own, len(self.pos)):
+            if i in reached:
+                go(i, reached[i])
+        return before, exits
+
+
 def keep_spaced_peaks(peaks: DataFrame, tl: Timeline, column: str, distance: int) -> DataFrame:
     """Highest first: a kept peak removes all others closer than ``distance``.
 
-    Of equal peaks the later one comes first.  Works on slices with a halo; a peak
-    that rows beyond the halo could still remove stays open and goes into a further
-    round with shifted slices.  Every round closes the highest open peak of each
-    neighbourhood, so the loop ends with the exact result.
+    Of equal peaks the later one comes first.  Each slice is condensed to a table of the states in which a
+    border may be entered and left (see ``_Spacing``); tables are composed in blocks, the states that join the two
+    ends of a key are handed down, and every slice is walked between its own two.  The number of jobs does not grow
+    with the peaks, however their heights rise or fall.
     """
     keys = list(tl.keys)
     if distance <= 1:
         return peaks
-    width, halo = distance * 64, distance * 8
+    width, halo = distance * 64, 2 * distance
     peaks = checkpointed(peaks)
-    open_rows = peaks.select(*keys, F.col(tl.pos).cast("bigint").alias("_at"), F.col(column).cast("double").alias("_x"))
-    line = Timeline(keys, "_at", (), width)
-    kept: list[DataFrame] = []
-    turn = 0
-
-    def solver(shift: int):
-        def solve(g):
-            begin = int(g[SLICE][0]) * width - shift
-            pos, x = g["_at"], g["_x"]
-            low, high = begin - halo - 1, begin + width + halo
-            state = np.zeros(len(pos), dtype=np.int8)  # 1 kept, 2 removed, 3 open
-            for i in np.lexsort((-pos, -x)):
-                if state[i]:
-                    continue
-                at = pos[i]
-                left, right = at - distance < low, at + distance > high
-                if left or right:
-                    state[i] = 3
-                    low = max(low, at) if left else low
-                    high = min(high, at) if right else high
-                    continue
-                a = np.searchsorted(pos, at - distance, side="right")
-                b = np.searchsorted(pos, at + distance, side="left")
-                span = state[a:b]
-                span[span == 0] = 2
-                state[i] = 1
-            own = (pos >= begin) & (pos < begin + width)
-            out = own & ((state == 1) | (state == 3))
-            if not out.any():
-                return None
-            return {"_at": pos[out], "_x": x[out], "_kept": state[out] == 1}
-
-        return solve
-
-    while True:
-        shift = (turn % 2) * (width // 2)
-        at = F.col("_at") + F.lit(shift)
-        spread = open_rows.withColumn(
-            SLICE, F.explode(F.sequence(floor_div(at - F.lit(halo), width), floor_div(at + F.lit(halo), width)))
-        )
-        result = checkpointed(
-            map_groups(spread, [*keys, SLICE], ["_at"], solver(shift), "_at bigint, _x double, _kept boolean")
-        )
-        fresh = result.filter("_kept").select(*keys, "_at")
-        kept.append(fresh)
-        rest = result.filter("not _kept").select(*keys, "_at", "_x")
-        turn += 1
-        if rest.isEmpty():
-            break
-        open_rows = within(rest, fresh, line, distance - 1, "_gone").filter("not _gone").drop("_gone")
-    chosen = union_all(kept).withColumnRenamed("_at", tl.pos)
-    return peaks.join(chosen, [*keys, tl.pos], "left_semi")
+    at = F.col("_at")
+    home = floor_div(at, width)
+    rows = peaks.select(*keys, F.col(tl.pos).cast("bigint").alias("_at"), F.col(column).cast("double").alias("_x"))
+    spread = rows.withColumn(SLICE, F.explode(F.sequence(home, floor_div(at + F.lit(halo), width))))
+
+    def condense(g):
+        s = int(g[SLICE][0])
+        spacing = _Spacing(g["_at"], g["_x"], s * width, width, distance)
+        entries = spacing.entries()
+        table = {
+            (spacing.label(entry), state, clean)
+            for bits, state, clean, _ in spacing.paths(entries)[1]
+            for bit, entry in enumerate(entries)
+            if bits >> bit & 1
+        }
+        return packed(table, s, s)
+
+    def packed(table, first, last):
+        enter, leave, clean = zip(*sorted(table)) if table else ((), (), ())
+        return {"_enter": [list(enter)], "_leave": [list(leave)], "_clean": [list(clean)], "_first": [first], "_last": [last]}
+
+    def tables(g):
+        return [
+            ({*zip(map(int, e), map(int, l), map(bool, c))}, int(first), int(last))
+            for e, l, c, first, last in zip(*(g[name] for name in ("_enter", "_leave", "_clean", "_first", "_last")))
+        ]
+
+    def passed(state: int, clean: bool, last: int, first: int) -> int | None:
+        """A state behind slice ``last`` as it meets slice ``first``; none lies between them."""
+        return state if first == last + 1 else FAR if clean else None
+
+    def compose(g):
+        parts = tables(g)
+        table, first, last = parts[0]
+        for own, begin, end in parts[1:]:
+            leaving: dict[int, list] = {}
+            for enter, leave, clean in own:
+                leaving.setdefault(enter, []).append((leave, clean))
+            table = {
+                (enter, *out)
+                for enter, leave, clean in table
+                for out in leaving.get(passed(leave, clean, last, begin), ())
+            }
+            last = end
+        return packed(table, first, last)
+
+    def follow(g, enter):
+        parts = tables(g)
+        starts = [{FAR if enter is None else int(enter["_from"])}]
+        for (table, _, last), (_, begin, _) in zip(parts, parts[1:]):
+            starts.append({passed(out, clean, last, begin) for into, out, clean in table if into in starts[-1]} - {None})
+        found, wanted = [], None
+        for i in range(len(parts) - 1, -1, -1):
+            table, _, last = parts[i]
+            if wanted is None:
+                fits = [r for r in table if (r[2] if enter is None else r[1] == int(enter["_to"]))]
+            else:
+                fits = [r for r in table if passed(r[1], r[2], last, parts[i + 1][1]) == wanted]
+            (row,) = {r[:2] for r in fits if r[0] in starts[i]}  # one path joins both ends
+            found.append(row)
+            wanted = row[0]
+        into, out = zip(*reversed(found))
+        return {SLICE: g[SLICE], "_from": list(into), "_to": list(out)}
+
+    def walk(g):
+        # the two states of the slice come first
+        into, out = int(g["_from"][0]), int(g["_to"][0])
+        spacing = _Spacing(g["_at"][1:], g["_x"][1:], int(g[SLICE][0]) * width, width, distance)
+        entry = spacing.index(into)
+        before, exits = spacing.paths([entry])
+        (at,) = {c for _, state, _, c in exits if state == out}
+        chain = []
+        while at >= spacing.own:
+            chain.append(spacing.pos[at])
+            (at,) = before[at]
+        return {"_at": chain} if chain else None
+
+    columns = "_enter array<bigint>, _leave array<bigint>, _clean array<boolean>, _first bigint, _last bigint"
+    condensed = map_groups(spread, [*keys, SLICE], ["_at"], condense, columns)
+    borders = entry_states(condensed, keys, compose, columns, follow, "_from bigint, _to bigint")
+    both = stacked(spread.withColumn("_kind", F.lit(1)), borders.withColumn("_kind", F.lit(0)))
+    kept = map_groups(both, [*keys, SLICE], ["_kind", "_at"], walk, "_at bigint")
+    chosen = kept.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at").alias("_k_at"))
+    same = [peaks[k].eqNullSafe(chosen[f"_k_{k}"]) for k in keys] + [peaks[tl.pos] == chosen["_k_at"]]
+    return peaks.join(chosen, same, "left_semi")
 
 
 def _staircase(values: np.ndarray) -> tuple[list[float], list[float]]:

@@ -190,13 +190,13 @@ def f3(spark, d):
 LATIN, AS_KANA = "aiueonrstmkh", "あいうえおんゃっーァカひ"
 
 
-@query("f4_kana_moras", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), '{LATIN}', '{AS_KANA}'), 'ー|[っッ]|[んン]|[ぁ-ゖァ-ヺㇰ-ㇿゝゞヽヾ][{X.SMALL}]*')) AS m FROM documents)
+@query("f4_kana_moras", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), '{LATIN}', '{AS_KANA}'), '{X.LONG}|[{X.SOKUON}]|[{X.NASAL}]|[{X.KANA}][{X.SMALL}]*')) AS m FROM documents)
 SELECT doc_id, CASE WHEN m = 'ー' THEN 'long_vowel' WHEN m IN ('っ', 'ッ') THEN 'sokuon' WHEN m IN ('ん', 'ン') THEN 'nasal' WHEN regexp_matches(m, '^..*[ゃゅょャュョ]') AND len(m) > 1 THEN 'yoon' ELSE 'mora' END AS kind,
   count(*) AS n FROM t GROUP BY 1, 2""")
 def f4(spark, d):
     kana = F.translate(F.lower("text"), LATIN, AS_KANA)
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(X.moras(kana)).alias("m"))
-    return tokens.groupBy("doc_id", F.col("m.kind").alias("kind")).agg(F.count("*").alias("n"))
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(X.mora_tokens(kana)).alias("m"))
+    return tokens.groupBy("doc_id", X.mora_kind(F.col("m")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("f6_kana_fold", f"""SELECT conv_id, turn, translate(translate(lower(text), '{LATIN}', '{AS_KANA}'), 'ァカ', 'ぁか') AS folded FROM conversations""")

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.core import folds
 from chronoloom.core.chains import anchors, keep_distant, spaced
 from chronoloom.core.timeline import Timeline, carried, islands, near, swept
 
@@ -117,3 +119,31 @@ def test_swept_matches_plain_scan(frame, rows, radius):
     for k, p, i, _ in rows:
         inside = [r for r in rows if r[0] == k and abs(r[1] - p) <= radius]
         assert got[i] == (len(inside), max(r[3] for r in inside))
+
+
+@pytest.mark.parametrize("fan_in,slices", [(8, 5_000), (8, 8), (3, 40)])
+def test_folds_of_any_depth(spark, monkeypatch, fan_in, slices):
+    """Running sums over slices; no function ever gets more tables than the fan-in."""
+    monkeypatch.setattr(folds, "FAN_IN", fan_in)
+    asked = []
+    grouped = folds.map_groups
+    monkeypatch.setattr(folds, "map_groups", lambda *a: asked.append(1) or grouped(*a))
+    rows = [(k, s * (1 + k) - 7, s) for k in (0, 1) for s in range(slices)] + [(None, 10**12, 5), (None, -(10**12), 4), (2, 3, 1)]
+    tables = spark.createDataFrame(rows, f"k long, {folds.SLICE} long, x long")
+
+    def compose(g):
+        assert len(g["x"]) <= fan_in
+        return {"x": [int(g["x"].sum())]}
+
+    def follow(g, enter):
+        assert len(g["x"]) <= fan_in
+        before = np.cumsum(g["x"]) - g["x"] + (0 if enter is None else enter["sum"])
+        return {folds.SLICE: g[folds.SLICE], "sum": before.astype(np.int64)}
+
+    got = {(r["k"], r[folds.SLICE]): r["sum"] for r in folds.entry_states(tables, ["k"], compose, "x long", follow, "sum long").collect()}
+    want, sums = {}, {}
+    for k, s, x in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        want[k, s] = sums.get(k, 0)
+        sums[k] = want[k, s] + x
+    assert got == want
+    assert (len(asked) > 1) == (slices > fan_in)
