@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .batches import sliced
+from .crosswalk import byte_alphabet
 from .curve import Projection
 from .prefix import before, in_cells
 from .store import written
 
 CLOSING = 2  # id that closes a document
-MARK = "\x01"  # between words that are tokenised side by side
+MARK = "\x01"  # between words that are tokenised side by side, and the end of a plain part of a word
 RUN = 1 << 23  # bytes of text that are spelled at once
 
 
+#: Words whose parts are known without the tokenizer's rules (ASCII but for the apostrophe, and letters of
+#: Latin-1), and these parts, once in lower case: runs of letters, single digits, runs of marks.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+LAST = "</w>"  # fixed value: ends the last token of a part in the vocabulary
+
+
+class PlainWords:
+    """Ids of plain words: the merges of a vocabulary file, applied to many parts at once.
+
+    A part is written with a closing byte, which the vocabulary has as the suffix of last tokens.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        alphabet, vocabulary = byte_alphabet(), model["vocab"]
+        closing = MARK.encode()
+        ranks = {}
+        for token, i in vocabulary.items():
+            last = token.endswith(LAST)
+            core = token.removesuffix(LAST) if last else token
+            if all(c in alphabet for c in core):
+                ranks[bytes(alphabet[c] for c in core) + closing * last] = i
+        merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        #: whether an id's merge comes before those of all higher ids, as the encoder assumes
+        self.usable = merged == list(range(512, 512 + len(merged))) and len(ranks) == 512 + len(merged)
+        self.encoder = tiktoken.Encoding("words", pat_str=r"[^\x01\n]*\x01|\n", mergeable_ranks=ranks, special_tokens={}) if self.usable else None
+        self.newline = ranks.get(b"\n")
+
+    def fits(self, word: str) -> bool:
+        return self.usable and "<|" not in word and PLAIN.fullmatch(word) is not None
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        closed = PART.sub(r"\g<0>" + MARK, "\n".join(words).lower()) + "\n"
+        found = self.encoder.encode_to_numpy(closed)
+        ends = (4 * np.flatnonzero(found == self.newline)).tolist()
+        raw = found.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
+
+
 class WordIds:
     """Ids of a tokenizer that never joins across white space, remembered per word."""
 
@@ -34,6 +79,7 @@ class WordIds:
         self.room = room
         self.mark = self._batch([MARK])[0][-1]
         self.known: dict[str, bytes] = {}
+        self.plain = PlainWords(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def ids(self, texts: pa.StringArray) -> list[np.ndarray]:
@@ -58,11 +104,15 @@ class WordIds:
         return np.split(ids, until[ends + np.arange(len(ends))][:-1]) if len(texts) else []
 
     def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of each distinct word; those not met before go through the tokenizer."""
+        """Ids of each distinct word; those not met before are encoded, plain ones by the merges alone."""
         if len(self.known) > self.room:
             self.known = {}
         known = self.known
         new = [w for w in words if w not in known]
+        fits = self.plain.fits
+        if plain := [w for w in new if fits(w)]:
+            known.update(zip(plain, self.plain.ids(plain)))
+            new = [w for w in new if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, self._encoded(part)))
