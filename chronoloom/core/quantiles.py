@@ -1,9 +1,9 @@
 """Exact per-key quantiles without collecting a key anywhere.
 
-``percentile`` keeps all distinct values of a group in one task.  Here values are
-counted into narrow buckets first (partial aggregation on the map side); the
-running bucket count tells which buckets hold the wanted ranks, and only the
-values of those buckets are ranked.
+``percentile`` keeps all distinct values of a group in one task.  Here a bounded
+approximate pass brackets each wanted quantile of each key; values between brackets are
+only counted, those inside are grouped by value and ranked.  The brackets come from the
+data, so a curve may have any scale and any skew.
 """
 
 from __future__ import annotations
@@ -14,127 +14,92 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import Timeline, carried
+ACCURACY = 10_000
+"""One over the rank error of the approximate pass; a bracket holds some 8 / ACCURACY of a key's rows."""
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    probs: Mapping[str, float],
-    *,
-    bins: int = 1024,
-    nearest_rank: bool = False,
+    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *, nearest_rank: bool = False
 ) -> DataFrame:
     """One row per key: count ``n`` and one column per entry of ``probs``.
 
     Linear interpolation between neighbours, or the nearest rank (the smallest
-    value whose cumulative share reaches p).  ``bins`` buckets per value unit.
+    value whose cumulative share reaches p).
     """
-    keys = list(keys)
-    x = value.cast("double")
-    values = df.select(*keys, x.alias("_x"), F.floor(x * bins).cast("bigint").alias("_b")).filter("_x is not null")
-    hist = values.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    totals = hist.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    ranked = carried(hist, Timeline(keys, "_b", (), 4096), run_sum={"_upto": F.col("_n")})
-
-    n = F.col("n")
-    wanted = []
-    for name, p in probs.items():
-        if nearest_rank:
-            rank = F.greatest(F.ceil(n * F.lit(float(p))).cast("bigint") - 1, F.lit(0))
-            wanted.append((name, "lo", rank.cast("bigint"), F.lit(0.0)))
-        else:
-            at = (n - 1) * F.lit(float(p))
-            low = F.floor(at).cast("bigint")
-            share = at - low
-            wanted.append((name, "lo", low, share))
-            wanted.append((name, "hi", F.ceil(at).cast("bigint"), share))
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"), F.lit(side).alias("side"),
-                rank.alias("rank"), share.alias("share"),
-            )
-            for name, side, rank, share in wanted
-        ]
-    )
-    below = F.col("_upto") - F.col("_n")
-    hits = (
-        ranked.join(totals, keys)
-        .withColumn(
-            "_t",
-            F.filter(targets, lambda t: (t["rank"] >= below) & (t["rank"] < F.col("_upto"))),
-        )
-        .filter(F.size("_t") > 0)
-        .select(*keys, "_b", "n", below.alias("_below"), "_t")
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    # only the values of the hit buckets are grouped and ranked
-    cells = (
-        values.join(hits.select(*keys, "_b"), [*keys, "_b"], "left_semi")
-        .groupBy(*keys, "_b", "_x").agg(F.count("*").alias("_n"))
-    )
-    picked = (
-        cells.join(hits, [*keys, "_b"])
-        .withColumn("_hi", F.sum("_n").over(inside) + F.col("_below"))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-        .withColumn("_t", F.explode("_t"))
-        .filter("_t.rank >= _lo and _t.rank < _hi")
-    )
-
-    def at(name: str, side: str) -> Column:
-        return F.max(F.when((F.col("_t.name") == name) & (F.col("_t.side") == side), F.col("_x")))
-
-    columns = []
-    for name in probs:
-        low = at(name, "lo")
-        if nearest_rank:
-            columns.append(low.alias(name))
-        else:
-            share = F.max(F.when(F.col("_t.name") == name, F.col("_t.share")))
-            columns.append((low + (at(name, "hi") - low) * share).alias(name))
-    return picked.groupBy(*keys).agg(F.max("n").alias("n"), *columns)
+    return curve_quantiles(df, keys, {name: (value, p) for name, p in probs.items()}, nearest_rank=nearest_rank)
 
 
 def curve_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    curves: Mapping[str, tuple[Column, float]],
-    *,
-    bins: int = 1024,
+    df: DataFrame, keys: Sequence[str], curves: Mapping[str, tuple[Column, float]], *, nearest_rank: bool = False
 ) -> DataFrame:
-    """Exact quantiles of several curves in one pass: output name -> (curve, p).
+    """Exact quantiles of several curves in one pass: output name -> (curve, p), and the count ``n`` of the longest.
 
-    The curves are stacked under a name column that joins the grouping key, so the
-    input is read once whatever the number of curves.
+    Keys of up to 4 ACCURACY rows are ranked whole; in longer ones a bracket reaches 4 / ACCURACY to both
+    sides of its quantile, and the approximate pass is wrong by a quarter of that at most.  If the wanted rank should
+    lie outside all the same, the query fails instead of giving another value.
     """
     keys = list(keys)
-    by_curve: dict[str, dict[str, float]] = {}
     columns: dict[str, Column] = {}
+    wanted: dict[str, list[tuple[str, float]]] = {}
     for name, (curve, p) in curves.items():
-        label = str(curve)
-        columns[label] = curve
-        by_curve.setdefault(label, {})[name] = p
-    probs = sorted({p for _, p in curves.values()})
-    slot = {p: f"_q{i}" for i, p in enumerate(probs)}
-    tags = {label: f"c{i}" for i, label in enumerate(columns)}
-    stacked = df.select(
-        *keys,
-        F.inline(F.array(*[
-            F.struct(F.lit(tags[label]).alias("_c"), curve.cast("double").alias("_x0")) for label, curve in columns.items()
-        ])),
+        columns.setdefault(str(curve), curve)
+        wanted.setdefault(str(curve), []).append((name, float(p)))
+    values = df.select(*keys, *(curve.cast("double").alias(f"_x{i}") for i, curve in enumerate(columns.values())))
+
+    def sketch(i: int, picks: list[tuple[str, float]]) -> Column:
+        margin = 4 / ACCURACY
+        around = [share for _, p in picks for share in (max(0.0, p - margin), min(1.0, p + margin))]
+        # short keys have no brackets: all their values are ranked
+        bounds = F.percentile_approx(f"_x{i}", around, ACCURACY)
+        return F.when(F.count(f"_x{i}") > 4 * ACCURACY, bounds).alias(f"_b{i}")
+
+    brackets = values.groupBy(*keys).agg(*(sketch(i, picks) for i, picks in enumerate(wanted.values())))
+
+    def cell(i: int, picks: list[tuple[str, float]]) -> Column:
+        x, bounds = F.col(f"_x{i}"), F.col(f"_b{i}")
+        lows, highs = ([F.get(bounds, F.lit(2 * j + k)) for j in range(len(picks))] for k in (0, 1))
+        # how many brackets begin or end below a value; within such a stretch all values are inside or none is
+        part = reduce(lambda a, b: a + b, [(x >= lo).cast("int") + (x > hi).cast("int") for lo, hi in zip(lows, highs)])
+        inside = reduce(lambda a, b: a | b, [x.between(lo, hi) for lo, hi in zip(lows, highs)])
+        return F.struct(
+            F.lit(i).alias("_c"),
+            x.isNotNull().alias("_is"),
+            F.coalesce(part, F.lit(0)).alias("_part"),
+            F.when(F.coalesce(inside, F.lit(True)), x).alias("_x"),
+        )
+
+    spread = attach(values, brackets, keys).select(
+        *keys, F.inline(F.array(*(cell(i, picks) for i, picks in enumerate(wanted.values()))))
+    )
+    cells = spread.filter("_is").groupBy(*keys, "_c", "_part", "_x").agg(F.count("*").alias("_n"))
+    curve = Window.partitionBy(*keys, "_c")
+    ranked = cells.withColumn("n", F.sum("_n").over(curve)).withColumn(
+        "_upto", F.sum("_n").over(curve.orderBy("_part", "_x").rowsBetween(Window.unboundedPreceding, 0))
     )
-    found = exact_quantiles(stacked, [*keys, "_c"], F.col("_x0"), {slot[p]: p for p in probs}, bins=bins)
-    picks = []
-    for label, wanted in by_curve.items():
-        for name, p in wanted.items():
-            picks.append(F.max(F.when(F.col("_c") == tags[label], F.col(slot[p]))).alias(name))
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    n, x, upto = F.col("n"), F.col("_x"), F.col("_upto")
+
+    def at(i: int, rank: Column) -> Column:
+        here = (F.col("_c") == i) & (rank < upto) & (rank >= upto - F.col("_n"))
+        outside = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        return F.max(F.when(here, F.coalesce(x, outside)))
+
+    aggs = []
+    for i, picks in enumerate(wanted.values()):
+        length = F.max(F.when(F.col("_c") == i, n))
+        for name, p in picks:
+            if nearest_rank:
+                low = F.greatest(F.ceil(n * F.lit(p)).cast("bigint") - 1, F.lit(0))
+                aggs.append(at(i, low).alias(name))
+                continue
+            spot = (n - 1) * F.lit(p)
+            low, high = at(i, F.floor(spot).cast("bigint")), at(i, F.ceil(spot).cast("bigint"))
+            whole = (length - 1) * F.lit(p)
+            aggs.append((low + (high - low) * (whole - F.floor(whole))).alias(name))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
-    """Left join of one-row-per-key facts that survives a hot key.
+    """Left join of one-row-per-key facts that survives a hot key; a null key is a key.
 
     The rows of a key are spread over ``salts`` partitions and the facts are
     repeated that many times; the row count of the facts, not of the data, grows.
@@ -142,8 +107,10 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], salts: int = 16
     keys = list(keys)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]), F.lit(salts)).cast("int")
     left = df.withColumn("_salt", spread)
-    right = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    names = {c: f"_f_{c}" for c in [*keys, "_salt"]}
+    right = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))).withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(f)) for c, f in names.items()]
+    return left.join(right, same, "left").drop("_salt", *names.values())
 
 
 def _hashable(df: DataFrame) -> list[str]:

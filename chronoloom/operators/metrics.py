@@ -39,8 +39,8 @@ def counted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 def _report(stats: DataFrame, errors: DataFrame, keys: Sequence[str], window: int, rate: int,
             duration_sec: Column, columns: Sequence[str]) -> DataFrame:
     """Scores, error quantiles and rates per minute from tp/fp/fn."""
-    middle = exact_quantiles(errors, keys, F.col("distance"), {"_median": 0.5}, bins=1)
-    high = exact_quantiles(errors, keys, F.col("distance"), {"_p95": 0.95}, bins=1, nearest_rank=True)
+    middle = exact_quantiles(errors, keys, F.col("distance"), {"_median": 0.5})
+    high = exact_quantiles(errors, keys, F.col("distance"), {"_p95": 0.95}, nearest_rank=True)
     joined = stats.join(middle.drop("n"), list(keys), "left").join(high.drop("n"), list(keys), "left")
     minutes = F.greatest(duration_sec / 60.0, F.lit(1 / 60))
     scored = joined.withColumns(f_scores(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -266,7 +266,7 @@ def coverage_metrics(
         F.round(F.avg(fair.cast("double")) * 100, 3).alias("far_pct"),
         F.round(F.count_if(~close) * hop / rate, 3).alias("uncovered_sec"),
     )
-    p95 = exact_quantiles(dist, keys, F.col("distance"), {"_p95": 0.95}, bins=1).select(
+    p95 = exact_quantiles(dist, keys, F.col("distance"), {"_p95": 0.95}).select(
         *keys, F.round(F.col("_p95") / rate, 3).alias("nearest_p95_sec")
     )
     reach = rate * near_sec
@@ -523,8 +523,12 @@ def span_rollup(children: DataFrame, keys: Sequence[str]) -> DataFrame:
 # track-relative scales
 
 
-def strength_quantiles(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Quantiles of band strengths per track used by the relative band rules."""
+def strength_quantiles(candidates: DataFrame, keys: Sequence[str], enough: int = 12) -> DataFrame:
+    """Quantiles of band strengths per track used by the relative band rules.
+
+    The balanced level is the 82 % quantile of the low band; with fewer than ``enough`` candidates, too few for
+    a rank that high, it is the low floor.
+    """
     keys = list(keys)
     low = F.col("sub_low") + 0.65 * F.col("low_mid")
     upper = F.col("mid") + 0.65 * F.col("high") + 0.35 * F.col("air")
@@ -536,7 +540,7 @@ def strength_quantiles(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
             "mid_floor": (F.col("mid"), 0.30), "high_floor": (high, 0.30),
         },
     )
-    balanced = F.when(F.col("n") >= 12, F.col("_balanced")).otherwise(F.col("low_floor"))
+    balanced = F.when(F.col("n") >= enough, F.col("_balanced")).otherwise(F.col("low_floor"))
     return lows.withColumn("balanced_low", balanced).drop("_balanced", "n")
 
 

@@ -99,7 +99,7 @@ def activity(frames: DataFrame, tl: Timeline, rms: str = "rms", sigma: float | N
     """Foreground activity in [0, 1]: track-relative level times an absolute gate."""
     keys = list(tl.keys)
     level = frames.withColumn("_db", decibel(F.col(rms)))
-    marks = exact_quantiles(level, keys, F.col("_db"), {"_floor": 0.12, "_fore": 0.84}, bins=64).drop("n")
+    marks = exact_quantiles(level, keys, F.col("_db"), {"_floor": 0.12, "_fore": 0.84}).drop("n")
     span = F.greatest(F.lit(8.0), F.col("_fore") - F.col("_floor"))
     relative = clip((F.col("_db") - F.col("_floor") - 3.0) / F.greatest(F.lit(5.0), span - 3.0))
     absolute = clip((F.col("_db") + 58.0) / 10.0)

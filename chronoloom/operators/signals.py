@@ -22,15 +22,15 @@ from .sequences import smooth
 # level
 
 
-def normalise_level(chunks: DataFrame, samples: DataFrame, keys: Sequence[str], bins: int = 4096) -> DataFrame:
+def normalise_level(chunks: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Remove the median, scale the q99.5 to .92 (gain at most 32), clip to [-1, 1].
 
     ``samples`` are the values of the same chunks, one per row (``value``).
     """
     keys = list(keys)
-    dc = exact_quantiles(samples, keys, F.col("value"), {"dc": 0.5}, bins=bins).drop("n")
+    dc = exact_quantiles(samples, keys, F.col("value"), {"dc": 0.5}).drop("n")
     centred = attach(samples, dc, keys).withColumn("_c", F.abs(F.col("value") - F.col("dc")))
-    peak = exact_quantiles(centred, keys, F.col("_c"), {"_peak": 0.995}, bins=bins).drop("n")
+    peak = exact_quantiles(centred, keys, F.col("_c"), {"_peak": 0.995}).drop("n")
     gain = F.when(F.col("_peak") < 1e-8, 1.0).otherwise(F.least(F.lit(32.0), 0.92 / F.col("_peak")))
     facts = dc.join(peak, keys).withColumn("gain", gain).drop("_peak")
     scaled = F.transform("samples", lambda x: clip((x - F.col("dc")) * F.col("gain"), -1.0, 1.0))
@@ -225,9 +225,7 @@ def novelty_curve(samples: DataFrame, tl: Timeline, smoothing: int, value: str =
     )
     small = max(3, smoothing // 2)
     out = near(out, tl, small // 2, small - small // 2 - 1, {"_w": F.avg("_d")})
-    scales = curve_quantiles(
-        out, keys, {f"_q{c}": (F.col(c), 0.995) for c in ("_rv", "_rp", "_w")}, bins=1 << 16
-    ).drop("n")
+    scales = curve_quantiles(out, keys, {f"_q{c}": (F.col(c), 0.995) for c in ("_rv", "_rp", "_w")}).drop("n")
     out = attach(out, scales, keys)
 
     def unit(column: str) -> Column:
@@ -297,7 +295,7 @@ def melody_events(frames: DataFrame, tl: Timeline, distance: int) -> DataFrame:
     """
     keys = list(tl.keys)
     out = gradient(frames, tl, "rms", "_g").withColumn("_rise", F.greatest(F.col("_g"), F.lit(0.0)))
-    reference = exact_quantiles(out, keys, F.col("_rise"), {"_ref": 0.94}, bins=1 << 16).drop("n")
+    reference = exact_quantiles(out, keys, F.col("_rise"), {"_ref": 0.94}).drop("n")
     sung = F.coalesce(F.col("voiced") & F.col("midi").isNotNull() & (F.col("probability") >= 0.42), F.lit(False))
     out = attach(out, reference, keys).withColumn("_sung", sung)
     out = neighbours(out, tl, 1, prev={"_before": F.when(F.col("_sung"), F.col("midi"))})
@@ -328,7 +326,6 @@ def vocal_events(frames: DataFrame, tl: Timeline, distance: int) -> DataFrame:
         out, keys,
         {"_q90": (rms, 0.9), "_q20": (rms, 0.2), "_qo": (F.col("onset"), 0.98), "_qe": (F.col("_env"), 0.98),
          "_qf": (F.col("flux"), 0.98)},
-        bins=1 << 16,
     ).drop("n")
     out = attach(out, marks, keys)
     loud, noise = F.greatest("_q90", F.lit(1e-9)), F.greatest("_q20", F.lit(1e-9))
@@ -375,7 +372,6 @@ def energy_anchors(
     marks = curve_quantiles(
         out, keys,
         {"_q90": (rms, 0.9), "_q20": (rms, 0.2), "_qa": (F.col("attack"), 0.99), "_qr": (F.col("_rise"), 0.99)},
-        bins=1 << 16,
     ).drop("n")
     tiny = F.lit(1e-9)
     out = attach(out, marks, keys)

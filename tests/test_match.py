@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.core import quantiles
 from chronoloom.core.quantiles import exact_quantiles
 from chronoloom.core.timeline import Timeline
 from chronoloom.operators.joins import (
@@ -115,8 +116,8 @@ def test_exact_quantiles(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice([rng.random(), rng.random() * 50, -3.0])) for k in (1, 2) for _ in range(301)]
     df = spark.createDataFrame(rows, "k int, x double")
-    out = exact_quantiles(df, ["k"], F.col("x"), {"a": 0.12, "b": 0.5, "c": 0.995}, bins=4)
-    near = exact_quantiles(df, ["k"], F.col("x"), {"p": 0.95}, bins=4, nearest_rank=True)
+    out = exact_quantiles(df, ["k"], F.col("x"), {"a": 0.12, "b": 0.5, "c": 0.995})
+    near = exact_quantiles(df, ["k"], F.col("x"), {"p": 0.95}, nearest_rank=True)
     ranked = {r["k"]: r["p"] for r in near.collect()}
     for r in out.collect():
         x = sorted(v for k, v in rows if k == r["k"])
@@ -125,6 +126,33 @@ def test_exact_quantiles(spark):
         assert ranked[r["k"]] == x[int(np.ceil(301 * 0.95)) - 1]
 
 
+def test_quantiles_of_any_scale(spark, monkeypatch):
+    """Long keys are bracketed: of their values only a few are grouped, whatever the scale."""
+    import numpy as np
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    rng = random.Random(6)
+    curves = {
+        "tiny": [rng.gauss(0, 1) * 1e-6 for _ in range(6_000)],
+        "huge": [rng.expovariate(1) * 1e9 for _ in range(6_000)],
+        "same": [0.25] * 5_000,
+        "steps": [float(rng.randrange(3)) for _ in range(5_000)],
+        "short": [rng.random() for _ in range(90)],
+        None: [rng.random() for _ in range(3_000)],
+    }
+    rows = [(k, x, -x) for k, xs in curves.items() for x in xs] + [("short", None, None), ("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    probs = {"a": 0.0, "b": 0.12, "c": 0.5, "d": 0.995, "e": 1.0}
+    out = quantiles.curve_quantiles(df, ["k"], {n: (F.col("x"), p) for n, p in probs.items()} | {"low": (F.col("y"), 0.1)})
+    got = {r["k"]: r for r in out.collect()}
+    near = {r["k"]: r["p"] for r in exact_quantiles(df, ["k"], F.col("x"), {"p": 0.95}, nearest_rank=True).collect()}
+    assert got.keys() == curves.keys()
+    for k, xs in curves.items():
+        assert [got[k][n] for n in probs] == pytest.approx(np.quantile(xs, list(probs.values())).tolist(), rel=1e-12)
+        assert got[k]["low"] == pytest.approx(np.quantile([-x for x in xs], 0.1), rel=1e-12) and got[k]["n"] == len(xs)
+        assert near[k] == sorted(xs)[int(np.ceil(len(xs) * 0.95)) - 1]
+
+
 def test_large_ids_survive(spark):
     big = 2**60
     rows = [(1, 10 * i, big + i) for i in range(20)]
