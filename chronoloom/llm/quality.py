@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import sliced
@@ -72,63 +74,147 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+#: First words of letter names that belong to one writing.
+EAST = {"HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "CJK", "BOPOMOFO", "HALFWIDTH", "IDEOGRAPHIC"}
+
+
+@lru_cache(maxsize=1)
+def script_table() -> tuple[np.ndarray, list[str]]:
+    """Script of each letter up to U+FFFF as a number (0: no letter), by the first word of its name; the scripts' names."""
+    names = [""]
+    table = np.zeros(0x10001, np.uint16)
+    for point in range(0x10000):
+        char = chr(point)
+        if unicodedata.category(char)[0] == "L":
+            name = unicodedata.name(char, "").partition(" ")[0]
+            name = "EAST" if name in EAST else name
+            if name not in names:
+                names.append(name)
+            table[point] = names.index(name)
+    return table, names
+
+
 def common_index(languages: dict[str, list[str]]) -> dict[bytes, int]:
     names = sorted({w for words in languages.values() for w in words})
     return {w.encode(): i for i, w in enumerate(names)}
 
 
-def measured(tracks: DataFrame, languages: dict[str, list[str]]) -> DataFrame:
-    """Counts of each track: words, the base rules' figures, class and common-word histograms."""
+def plain_word(word: bytes) -> str:
+    """A word as the lists of frequent words have it."""
+    return word.decode().lower().strip(MARKS)
+
+
+def learned_words(rows: DataFrame, known: list[str], least: int, most: int, most_words: int) -> dict[str, list[str]]:
+    """Frequent words of the languages of the table that have no list, from all their tracks.
+
+    Languages of at least `least` tracks, and of these the `most` with the most; words are counted by task before they meet.
+    """
+    other = rows.filter(F.col("language").isNotNull() & ~F.col("language").isin(known))
+    sizes = other.groupBy("language").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "language").limit(most)
+    found = sorted(r["language"] for r in sizes.collect())
+    if not found:
+        return {}
+
+    def count(batches):
+        for batch in sliced(batches):
+            counts: Counter = Counter()
+            for language, text in zip(*(c.to_pylist() for c in batch.columns)):
+                counts.update((language, w) for w in map(plain_word, text.encode().split()) if w)
+            languages, words = zip(*counts) if counts else ((), ())
+            columns = [pa.array(languages, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["language", "word", "n"])
+
+    counted = other.filter(F.col("language").isin(found)).select("language", "lyrics_text")
+    sums = counted.mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))
+    words: dict[str, list[str]] = {name: [] for name in found}
+    for row in sums.withColumn("rank", rank).filter(F.col("rank") <= most_words).collect():  # most_words rows a language
+        words[row["language"]].append(row["word"])
+    return words
+
+
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def measured(tracks: DataFrame, languages: dict[str, list[str]], carried: list[str]) -> DataFrame:
+    """Figures of each track: the base rules' counts, its script, and histograms of classes and common words as packed longs."""
     index = common_index(languages)
-    schema = (
-        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "classes array<long>, commons array<long>"
-    )
-    names = [p.split()[0] for p in schema.split(", ")]
 
     def measure(batches):
-        table = class_table()
+        table, (scripts, _) = class_table(), script_table()
         book = WordBook()
-        common_of = PerWord(book, lambda w: index.get(w.decode().lower().strip(MARKS).encode(), len(index)))
+        common_of = PerWord(book, lambda w: index.get(plain_word(w).encode(), len(index)))
         for batch in sliced(batches):
             book.trim()
-            out = {n: [] for n in names}
+            out = {n: [] for n in [*FIGURES, "script", "classes", "commons"]}
             texts = batch.column(2).to_pylist()
             coded = [book.codes(t.encode().split()) for t in texts]
             commons = common_of.table()
             for text, codes in zip(texts, coded):
-                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                classes = np.bincount(table[np.minimum(points, 0x10000)], minlength=len(CLASSES))
+                points = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x10000)
+                classes = np.bincount(table[points], minlength=len(CLASSES))
+                letters = np.bincount(scripts[points], minlength=2)[1:]
                 out["n_words"].append(len(codes))
                 out["word_chars"].append(len(points) - int(classes[BLANK]))
                 out["n_symbols"].append(int(classes[SYMBOL]))
                 out["n_dup_lines"].append(repeated_lines(text))
                 out["n_repeat_words"].append(repeated_words(codes))
-                out["classes"].append(classes)
-                out["commons"].append(np.bincount(commons[codes], minlength=len(index) + 1))
+                out["script"].append(1 + int(letters.argmax()) if letters.any() else 0)
+                out["classes"].append(classes.astype(np.int64).tobytes())
+                out["commons"].append(np.bincount(commons[codes], minlength=len(index) + 1).astype(np.int64).tobytes())
+            kinds = {"classes": pa.binary(), "commons": pa.binary()}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)]
-                + [pa.array(v, pa.list_(pa.int64()) if n in ("classes", "commons") else pa.int64()) for n, v in out.items()],
-                ["track_id", "language", *names],
+                [batch.column(0), batch.column(1), *(pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()), *batch.columns[3:]],
+                ["track_id", "language", *out, *carried],
             )
 
-    kind = tracks.schema["track_id"].dataType.simpleString()
-    return tracks.select("track_id", "language", "lyrics_text").mapInArrow(
-        measure, f"track_id {kind}, language string, {schema}"
+    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema}
+    return tracks.select("track_id", "language", "lyrics_text", *carried).mapInArrow(
+        measure,
+        f"track_id {kinds['track_id']}, language string, {', '.join(f'{f} long' for f in FIGURES)}, script long, "
+        + ", ".join(["classes binary", "commons binary", *(f"{c} {kinds[c]}" for c in carried)]),
     )
 
 
-def references(counts: DataFrame, languages: dict[str, list[str]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and common-word histograms of each known language, over all its tracks."""
-    width = len(common_index(languages)) + 1
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(width)]
-    found = {}
+def unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of packed longs."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, width)
+
+
+def references(counts: DataFrame, languages: dict[str, list[str]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Script, class and common-word histogram of each language that has tracks with words, over all of these."""
+    width = len(CLASSES) + len(common_index(languages)) + 1
+    scripts = 1 << 32  # slots from here on count tracks by script
+
+    def add(batches):
+        for batch in sliced(batches):
+            figures = np.hstack([unpacked(batch.column("classes"), len(CLASSES)), unpacked(batch.column("commons"), width - len(CLASSES))])
+            names = np.array(batch.column("language").to_pylist(), object)
+            script = batch.column("script").to_numpy()
+            out: list[tuple[str, int, int]] = []
+            for name in sorted(set(names)):
+                own = names == name
+                sums = figures[own].sum(0)
+                out += [(name, int(i), int(sums[i])) for i in np.flatnonzero(sums)]
+                out += [(name, scripts + i, int(n)) for i, n in enumerate(np.bincount(script[own])) if n and i]
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["language", "slot", "n"])
+
     known = counts.filter(F.col("language").isin(list(languages)) & (F.col("n_words") > 0))
-    for row in known.groupBy("language").agg(*sums).collect():  # one row per known language
-        values = np.array(row[1:], float)
-        found[row[0]] = values[: len(CLASSES)], values[len(CLASSES) :]
-    return found
+    narrow = known.select("language", "script", "classes", "commons")
+    sums = narrow.mapInArrow(add, "language string, slot long, n long").groupBy("language", "slot").agg(F.sum("n").alias("n"))
+    found: dict[str, tuple[dict[int, int], np.ndarray]] = {}
+    for name, slot, n in sums.collect():  # a row per language and class, common word or script
+        tally, values = found.setdefault(name, ({}, np.zeros(width)))
+        if slot >= scripts:
+            tally[slot - scripts] = n
+        else:
+            values[slot] = n
+    return [
+        (max(tally, key=lambda i: (tally[i], -i), default=0), values[: len(CLASSES)], values[len(CLASSES) :])
+        for _, (tally, values) in sorted(found.items())
+    ]
 
 
 def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -146,56 +232,93 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 GUARDS = [(20, 0.30, 0.0), (20, 0.13, 0.36), (100, 0.13, 0.28), (300, 0.14, 0.20)]
 
 
+def distances(
+    script: np.ndarray, classes: np.ndarray, commons: np.ndarray, known: list[tuple[int, np.ndarray, np.ndarray]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Class and word distance of each row from its nearest language: of those of its script, of all if it has no letters.
+
+    NaN where no language has the row's script.
+    """
+    n = len(script)
+    nearest = np.full((3, n), np.inf)  # sum, by class, by word
+    for own, c, w in known:
+        rows = np.flatnonzero((script == own) | (script == 0))
+        by_class, by_word = divergence(classes[rows], c), divergence(commons[rows], w)
+        closer = by_class + by_word < nearest[0, rows]
+        nearest[:, rows[closer]] = np.array([by_class + by_word, by_class, by_word])[:, closer]
+    return tuple(np.where(np.isfinite(nearest[0]), d, np.nan) for d in nearest[1:])
+
+
 def judge_lyrics(
     tracks: DataFrame,
     languages: dict[str, list[str]] = COMMON_WORDS,
     guards: list[tuple[int, float, float]] = GUARDS,
+    least_tracks: int = 20,
+    most_languages: int = 100,
+    most_words: int = 30,
+    carried: str | None = None,
 ) -> DataFrame:
     """Whether each track's lyrics read like their language, by histogram distances.
 
-    tracks: track_id, language, lyrics_text. languages: frequent words by language. The
-    character classes and frequent words of a track are compared with those of every known
-    language, summed over all its tracks, by the Jensen-Shannon distance; the nearest language
-    counts, whatever the track's own is. Short lyrics say little, so each guard asks for a number
-    of words. Before that, two base rules fail tracks of under 10 words or with over 20 % of
-    words in repeated five-word windows. Returns track_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
-
-    Null lyrics count as empty and fail the base rules; unknown or null languages are judged but
-    not learned from; without any known language only base rules hold (distances null). Rows
-    repeat as they come; an empty table gives an empty result; other columns are ignored. Texts are
-    read once, by task; the references are one small row per known language.
+    tracks: track_id, language, lyrics_text. languages: frequent words by language; other languages of the table with
+    `least_tracks` tracks or more (at most `most_languages` of them, those with the most tracks) get the `most_words` most frequent words of all their tracks. The
+    character classes and frequent words of a track are compared with those of every such language of its script, summed over all
+    the language's tracks, by the Jensen-Shannon distance; the nearest language counts, whatever the track's own is. The
+    script of a track is that of most of its letters (kana and Chinese characters are one), of a language that of most
+    of its tracks. Lyrics in a script that no language has are not judged: for them base rules alone hold. Short
+    lyrics say little, so each guard asks for a number of words. Before that, two base rules fail tracks of under 10
+    words or with over 20 % of words in repeated five-word windows. Returns track_id, n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance (null if not judged), kept, and the column
+    `carried` as it is, if one is named.
+
+    Null lyrics count as empty and fail the base rules; lyrics without letters are held against all languages; unknown
+    or null languages are judged but not learned from. Rows repeat as they come; an empty table gives an empty result;
+    other columns are ignored. Texts are read once, by task, in slices bounded by bytes (a very long text is one of its
+    own), and once more where a language without a list is learned; the references are one small row per language and
+    class or word.
     """
-    rows = tracks.select("track_id", "language", F.coalesce("lyrics_text", F.lit("")).alias("lyrics_text"))
-    counts = written(measured(rows, languages))
-    known = list(references(counts, languages).values())
-    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rest = ["_carried"] if carried else []
+    rows = tracks.select(
+        "track_id",
+        "language",
+        F.coalesce("lyrics_text", F.lit("")).alias("lyrics_text"),
+        *(F.col(carried).alias(name) for name in rest),
+    )
+    languages = languages | learned_words(rows, list(languages), least_tracks, most_languages, most_words)
+    counts = written(measured(rows, languages, rest))
+    known = references(counts, languages)
+    width = len(common_index(languages)) + 1
 
     def judge(batches):
         for batch in sliced(batches):
-            n = batch.num_rows
-            classes = np.array(batch.column("classes").to_pylist(), float).reshape(n, -1)
-            commons = np.array(batch.column("commons").to_pylist(), float).reshape(n, -1)
             words = batch.column("n_words").to_numpy()
             repeats = batch.column("n_repeat_words").to_numpy()
             failed = (words < 10) | (100 * repeats > 20 * words)
+            by_class, by_word = distances(
+                batch.column("script").to_numpy(),
+                unpacked(batch.column("classes"), len(CLASSES)),
+                unpacked(batch.column("commons"), width),
+                known,
+            )
             rejected = failed.copy()
-            distances = [pa.nulls(n, pa.float64())] * 2
-            if known and n:
-                by_class = np.array([divergence(classes, c) for c, _ in known])
-                by_word = np.array([divergence(commons, w) for _, w in known])
-                nearest = (by_class + by_word).argmin(0), np.arange(n)
-                for least, far_class, far_word in guards:
-                    rejected |= (words >= least) & (by_class[nearest] > far_class) & (by_word[nearest] > far_word)
-                distances = [pa.array(by_class[nearest]), pa.array(by_word[nearest])]
+            for least, far_class, far_word in guards:
+                rejected |= (words >= least) & (by_class > far_class) & (by_word > far_word)  # not where a distance is NaN
             yield pa.RecordBatch.from_arrays(
-                [batch.column("track_id"), *(batch.column(f) for f in figures), pa.array(failed), *distances, pa.array(~rejected)],
-                ["track_id", *figures, "base_failed", "class_distance", "word_distance", "kept"],
+                [
+                    batch.column("track_id"),
+                    *(batch.column(f) for f in FIGURES),
+                    pa.array(failed),
+                    *(pa.array(d, pa.float64(), mask=np.isnan(d)) for d in (by_class, by_word)),
+                    pa.array(~rejected),
+                    *(batch.column(name) for name in rest),
+                ],
+                ["track_id", *FIGURES, "base_failed", "class_distance", "word_distance", "kept", *rest],
             )
 
-    kind = tracks.schema["track_id"].dataType.simpleString()
-    return counts.mapInArrow(
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    judged = counts.mapInArrow(
         judge,
-        f"track_id {kind}, {', '.join(f'{f} long' for f in figures)}, base_failed boolean, "
-        "class_distance double, word_distance double, kept boolean",
+        f"track_id {kinds['track_id']}, {', '.join(f'{f} long' for f in FIGURES)}, base_failed boolean, "
+        + ", ".join(["class_distance double", "word_distance double", "kept boolean", *(f"{r} {kinds[r]}" for r in rest)]),
     )
+    return judged.withColumnRenamed("_carried", carried) if carried else judged

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -401,6 +403,93 @@ def test_quality_rules(tracks, empty, spark):
     assert all(r["kept"] == (not r["base_failed"]) and r["class_distance"] is None for r in unknown.collect())
 
 
+def plain_distance(counts, others):
+    """Jensen-Shannon distance, base 2, of two histograms."""
+    p, q = ([x / (sum(xs) or 1) for x in xs] for xs in (counts, others))
+    part = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x)
+    return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+
+def plain_histograms(text, words):
+    """Counts by class and by common word (the last: any other)."""
+    classes = [0] * 8
+    for c in text:
+        kind = unicodedata.category(c)
+        spot = {"Ll": 0, "Lu": 1, "Lt": 1, "Nd": 2, "Lo": 5, "Lm": 5}.get(kind, 7) if ord(c) < 0x10000 else 7
+        spot = 3 if c in ".,;:?!'\"()-" else 4 if c in "#*$%&|<>" else 6 if c in "\t\n\v\f\r " else spot
+        classes[spot] += 1
+    commons = [0] * (len(words) + 1)
+    for w in WORD.findall(text):
+        w = w.lower().strip(".,;:?!'\"()-")
+        commons[words.index(w) if w in words else -1] += 1
+    return classes, commons
+
+
+def test_distances_against_plain_computation(spark):
+    rng = random.Random(12)
+    lists = {"en": ["the", "of", "and"], "fr": ["de", "la", "et"]}
+    words = sorted({w for ws in lists.values() for w in ws})
+    rows = []
+    for i in range(80):
+        language = rng.choice(["en", "fr", None])
+        pool = lists.get(language, ["xx"]) + ["word", "Été", "12", "#tag", "o,", "漢"]
+        rows.append((i, " ".join(rng.choices(pool, k=rng.randint(10, 60))), language))
+    table = spark.createDataFrame(rows, "track_id long, lyrics_text string, language string").repartition(3)
+    sums = {}
+    for _, text, language in rows:
+        if language:
+            own = sums.setdefault(language, [[0] * 8, [0] * 7])
+            for total, part in zip(own, plain_histograms(text, words)):
+                total[:] = [a + b for a, b in zip(total, part)]
+    guards = [(10, 0.2, 0.3)]
+    for r in judge_lyrics(table, lists, guards).collect():
+        classes, commons = plain_histograms(rows[r["track_id"]][1], words)
+        pairs = [(plain_distance(classes, c), plain_distance(commons, w)) for c, w in sums.values()]
+        want = min(pairs, key=sum)
+        assert abs(r["class_distance"] - want[0]) < 1e-9 and abs(r["word_distance"] - want[1]) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and not (want[0] > 0.2 and want[1] > 0.3))
+
+
+SENTENCES = {
+    "ko": "나는 오늘 아침 일찍 일어나 강가 를 걸었다 바람 이 차갑고 하늘 은 맑았다 새 들 이 노래 하고 물 은 조용히 흘렀다 우리 는 오래 이야기 했다",
+    "hi": "मैं आज सुबह जल्दी उठा और नदी के किनारे चला हवा ठंडी थी और आकाश साफ था पक्षी गा रहे थे और पानी धीरे बह रहा था हम देर तक बात करते रहे",
+    "ja": "わたしは けさ はやく おきて かわべ を あるいた かぜ が つめたく そら は あおかった とり が うたい みず は しずかに ながれた ぼくら は ながく はなした ね と また あした",
+    "el": "σήμερα το πρωί ξύπνησα νωρίς και περπάτησα στο ποτάμι ο άνεμος ήταν κρύος και ο ουρανός καθαρός τα πουλιά τραγουδούσαν και το νερό κυλούσε αργά μιλήσαμε πολλή ώρα",
+}
+
+
+def test_clean_lyrics_of_other_scripts_are_kept(spark):
+    rng = random.Random(4)
+    common = "the of and to in a is that it for was on are with".split()
+    latin = [(i, " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("aeinorst", k=5)) for _ in range(80)), "en") for i in range(40)]
+    made = []
+    for language, sentence in SENTENCES.items():
+        words = sentence.split()
+        for n in (20, 60, 300):
+            made.append((language, " ".join(rng.choices(words, k=n))))
+    schema = "track_id long, lyrics_text string, language string"
+    foreign = [(100 + i, text, None) for i, (_, text) in enumerate(made)]
+    got = {r["track_id"]: r for r in judge_lyrics(spark.createDataFrame(latin + foreign, schema)).collect()}
+    assert all(got[i]["kept"] and got[i]["class_distance"] is None for i, _, _ in foreign if not got[i]["base_failed"])
+    assert sum(not got[i]["base_failed"] for i, _, _ in foreign) >= 10
+    own = [
+        (1_000 + 100 * k + i, " ".join(rng.choices(sentence.split(), k=60)), language)
+        for k, (language, sentence) in enumerate(SENTENCES.items())
+        for i in range(80)
+    ]
+    junk = [(5_000, " ".join("!!" + "".join(rng.choices("가나다라마", k=2)) + "##9" for _ in range(24)), "ko")]
+    got = {r["track_id"]: r for r in judge_lyrics(spark.createDataFrame(latin + foreign + own + junk, schema)).collect()}
+    lost = [tuple(r) for i, r in got.items() if not r["base_failed"] and i != 5_000 and (not r["kept"] or r["class_distance"] is None)]
+    assert not lost, lost[:6]
+    assert not got[5_000]["kept"] and not got[5_000]["base_failed"]
+
+
+def test_judged_rows_carry_a_column(spark):
+    rows = spark.createDataFrame([(1, "a b", "en", "x"), (1, None, None, None)], "track_id long, lyrics_text string, language string, kept string")
+    got = judge_lyrics(rows.withColumn("document", F.struct("kept", "lyrics_text")), carried="document")
+    assert {tuple(r["document"]) for r in got.collect()} == {("x", "a b"), (None, None)}
+
+
 def test_repeated_words_survives_equal_hashes():
     codes = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 1, 1, 1, 1, 1, 1])
     assert repeated_words(codes) == 10 + 6
