@@ -4,6 +4,8 @@ Like ``chains`` but for rules on several attributes: the state is the last kept
 row, and a later row is absorbed by it, replaces it, or is appended after it.
 Only rows within ``window`` of the state can be absorbed or replace it, so a slice
 is condensed to its first window of rows with the state each of them leads to.
+Rows are columns of arrays and states are indices into them; the rule is asked for
+many pairs at once.
 """
 
 from __future__ import annotations
@@ -16,156 +18,254 @@ from pyspark.sql import functions as F
 
 from .durable import checkpointed
 from .folds import entry_states
-from .groups import WHOLE, map_groups, stacked
+from .groups import WHOLE, Arrays, map_groups, stacked
 from .timeline import SLICE, Timeline
 
 ABSORB, REPLACE, TAKE_OVER, APPEND = 0, 1, 2, 3
 """Outcomes: absorbed (tags go to the state); replaces it without its tags;
 replaces it and takes its tags over; appended as the next state."""
 
+Rule = Callable[[Arrays, np.ndarray, np.ndarray], np.ndarray]
+AT_ONCE = 512
+"""States whose next row is searched at once."""
+
+
+def column_of(values: Sequence) -> np.ndarray:
+    """A column of arrays, which numpy would otherwise stack."""
+    out = np.empty(len(values), object)
+    for i, v in enumerate(values):
+        out[i] = v
+    return out
+
+
+class Pairs:
+    """Outcomes of pairs of rows (state, later row), both given as indices into columns."""
+
+    def __init__(self, rows: Arrays, pos: str, window: int, decide: Rule, prepare: Callable[[Arrays], Arrays] | None):
+        self.rows = prepare(rows) if prepare else rows
+        self.at = rows[pos].astype(np.int64)
+        self.window, self.decide = window, decide
+
+    def outcomes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        found = np.full(len(i), APPEND, np.int8)
+        close = np.flatnonzero(self.at[j] - self.at[i] <= self.window)
+        if len(close):
+            found[close] = self.decide(self.rows, i[close], j[close])
+        return found
+
+    def changes(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each state the next row that is not absorbed (none: the number of rows) and its outcome."""
+        n = len(self.at)
+        j, what = i + 1, np.full(len(i), APPEND, np.int8)
+        open_ = np.flatnonzero(j < n)
+        while len(open_):
+            what[open_] = self.outcomes(i[open_], j[open_])
+            open_ = open_[what[open_] == ABSORB]
+            j[open_] += 1
+            open_ = open_[j[open_] < n]
+        return j, what
+
+    def paths(self, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next rows and outcomes of the first ``wanted`` rows and of all that these lead to; which those are."""
+        n = len(self.at)
+        after, what = np.full(n, n), np.full(n, APPEND, np.int8)
+        need, done = np.arange(n) < wanted, np.zeros(n, bool)
+        while len(todo := np.flatnonzero(need & ~done)):
+            batch = todo[:AT_ONCE]
+            if len(batch) < 64:  # a lone chain: the rows behind it are likely to be next
+                ahead = np.arange(batch[-1] + 1, min(n, batch[-1] + 64))
+                batch = np.append(batch, ahead[~done[ahead]])
+            after[batch], what[batch] = self.changes(batch)
+            done[batch] = True
+            reached = after[batch[need[batch]]]
+            # a row of the batch that is only now known to be needed passes it on
+            while len(reached := reached[reached < n]):
+                fresh = np.unique(reached[~need[reached]])
+                need[fresh] = True
+                reached = after[fresh[done[fresh]]]
+        return after, what, need
+
+
+class Marks:
+    """Tags of rows as a matrix over the tags of a group."""
+
+    def __init__(self, *lists: Sequence):
+        names = sorted({t for tags in lists for row in tags for t in row})
+        self.names = np.array(names, object)
+        self.spot = {t: i for i, t in enumerate(names)}
+
+    def matrix(self, tags: Sequence) -> np.ndarray:
+        out = np.zeros((len(tags), len(self.names)), bool)
+        for i, row in enumerate(tags):
+            for t in row:
+                out[i, self.spot[t]] = True
+        return out
+
+    def lists(self, matrix: np.ndarray) -> list[list[str]]:
+        return [self.names[row].tolist() for row in matrix]
+
 
 def fold_states(
     df: DataFrame,
     tl: Timeline,
     window: int,
-    decide: Callable[[dict, dict], int],
+    decide: Rule,
     attributes: Sequence[str],
     row_id: str,
     tags: str | None = None,
     width: int | None = None,
+    prepare: Callable[[Arrays], Arrays] | None = None,
 ) -> DataFrame:
     """Kept rows of every key: keys, ``row_id`` and, if asked, the united ``tags``.
 
-    ``decide(state, row)`` sees the attributes of both (numbers or arrays).
+    ``decide(rows, i, j)`` gives the outcomes of states ``i`` and rows ``j``, both arrays of indices into the
+    columns ``rows`` (the attributes, position and id); ``prepare`` may add columns once per group.
     ``tags`` is an array column over a small vocabulary.
     """
     keys, pos = list(tl.keys), tl.pos
     line = Timeline(keys, pos, tl.tie, width or max(1, window) * 16)
     columns = list(dict.fromkeys([*attributes, pos, row_id]))
-    # named by position inside the functions, so that arrays survive the round trip
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = checkpointed(
         df.select(*keys, *[F.col(c) for c in columns if c not in keys], *[t for t in tl.tie if t not in columns],
                   *([tags] if tags and tags not in columns else [])).withColumn(SLICE, line.slice_of())
     )
 
-    def unpack(g, start=0):
-        n = len(g[pos])
-        items = [{c: g[c][i] for c in columns} for i in range(start, n)]
-        marks = [set(g[tags][i]) if tags else set() for i in range(start, n)]
-        return items, marks
-
-    def outcome(state, row):
-        return APPEND if row[pos] - state[pos] > window else decide(state, row)
-
-    def paths(items, marks):
-        """Per row: final state, its tags, and whether entering tags reach it."""
-        n = len(items)
-        leads: list = [None] * n
-        for i in range(n - 1, -1, -1):
-            own = set(marks[i])
-            j, what = i + 1, APPEND
-            while j < n:
-                what = outcome(items[i], items[j])
-                if what != ABSORB:
-                    break
-                own |= marks[j]
-                j += 1
-            if j == n:
-                leads[i] = (i, own, True)
-            else:
-                end, gathered, linked = leads[j]
-                passes = what == TAKE_OVER
-                leads[i] = (end, gathered | own if passes and linked else gathered, passes and linked)
-        return leads
+    def pairs(own: Arrays) -> Pairs:
+        return Pairs(own, pos, window, decide, prepare)
+
+    def listed(values, c) -> np.ndarray:
+        """One column of a table: an array of numbers, or of arrays."""
+        return column_of(values) if types[c].startswith("array") else np.asarray(values)
+
+    def taken(g, start=0):
+        own = {c: g[c][start:] for c in columns}
+        return own, (g[tags][start:] if tags else [()] * len(own[pos]))
 
     def transfer(g):
-        items, marks = unpack(g)
-        leads = paths(items, marks)
-        first = items[0][pos]
-        zone = next((i + 1 for i, it in enumerate(items) if it[pos] > first + window), len(items))
-        out = {f"_e_{c}": [[items[i][c] for i in range(zone)]] for c in columns}
-        out |= {f"_x_{c}": [[items[leads[i][0]][c] for i in range(zone)]] for c in columns}
-        out["_e_tags"] = [[sorted(marks[i]) for i in range(zone)]]
-        out["_x_tags"] = [[sorted(leads[i][1]) for i in range(zone)]]
-        out["_x_linked"] = [[bool(leads[i][2]) for i in range(zone)]]
+        own, held = taken(g)
+        known, at = pairs(own), own[pos].astype(np.int64)
+        n = len(at)
+        zone = min(n, int(np.searchsorted(at, at[0] + window, side="right")) + 1)
+        after, what, need = known.paths(zone)
+        marks = Marks(held)
+        sums = np.vstack([np.zeros((1, len(marks.names)), np.int64), np.cumsum(marks.matrix(held), axis=0)])
+        gathered = sums[after] > sums[:-1]  # tags from a row up to its next
+        end, linked = np.arange(n), np.ones(n, bool)
+        for i in np.flatnonzero(need)[::-1].tolist():
+            j = int(after[i])
+            if j == n:
+                continue
+            end[i], linked[i] = end[j], what[i] == TAKE_OVER and linked[j]
+            gathered[i] = gathered[j] | gathered[i] if linked[i] else gathered[j]
+        out = {f"_e_{c}": [list(own[c][:zone])] for c in columns}
+        out |= {f"_x_{c}": [list(own[c][end[:zone]])] for c in columns}
+        out["_e_tags"] = [[sorted(set(t)) for t in held[:zone]]]
+        out["_x_tags"] = [marks.lists(gathered[:zone])]
+        out["_x_linked"] = [linked[:zone].tolist()]
         return out
 
-    def passed(g, s, state, held, linked=True):
-        """State, tags and whether the entering tags are among them, after table ``s``."""
-        for i in range(len(g[f"_e_{pos}"][s])):
-            row = {c: g[f"_e_{c}"][s][i] for c in columns}
-            what = APPEND if state is None else outcome(state, row)
-            if what == ABSORB:
-                held = held | set(g["_e_tags"][s][i])
-                continue
-            gathered = set(g["_x_tags"][s][i])
-            keep = what == TAKE_OVER and bool(g["_x_linked"][s][i])
-            return {c: g[f"_x_{c}"][s][i] for c in columns}, gathered | held if keep else gathered, linked and keep
-        return state, held, linked
+    def passed(g, s, states: Arrays, held: np.ndarray, linked: np.ndarray, marks: Marks):
+        """States (columns), their tags and whether the entering tags are among them, after table ``s``."""
+        entry = {c: listed(g[f"_e_{c}"][s], c) for c in columns}
+        exits = {c: listed(g[f"_x_{c}"][s], c) for c in columns}
+        e_tags, x_tags = marks.matrix(g["_e_tags"][s]), marks.matrix(g["_x_tags"][s])
+        x_linked = np.asarray(g["_x_linked"][s], bool)
+        m = len(linked)
+        known = pairs({c: np.concatenate([states[c], entry[c]]) for c in columns})
+        to = np.full(m, -1)
+        held, linked = held.copy(), linked.copy()
+        open_ = np.arange(m)
+        for i in range(len(x_linked)):
+            what = known.outcomes(open_, np.full(len(open_), m + i))
+            held[open_[what == ABSORB]] |= e_tags[i]
+            gone = open_[what != ABSORB]
+            keeps = (what[what != ABSORB] == TAKE_OVER) & x_linked[i]
+            held[gone] = x_tags[i] | (held[gone] & keeps[:, None])
+            linked[gone] &= keeps
+            to[gone] = i
+            open_ = open_[what == ABSORB]
+            if not len(open_):
+                break
+        moved = to >= 0
+        out = {c: states[c].copy() for c in columns}
+        for c in columns:
+            out[c][moved] = exits[c][to[moved]]
+        return out, held, linked
 
     def compose(g):
-        parts = {c: list(g[c][0]) for c in table}
-        horizon = parts[f"_e_{pos}"][0] + window
+        marks = Marks(*g["_e_tags"], *g["_x_tags"])
+        entry = {c: list(g[f"_e_{c}"][0]) for c in columns}
+        entry_tags = list(g["_e_tags"][0])
+        states = {c: listed(g[f"_x_{c}"][0], c) for c in columns}
+        held, linked = marks.matrix(g["_x_tags"][0]), np.asarray(g["_x_linked"][0], bool)
+        horizon = entry[pos][0] + window
         for s in range(1, len(g[SLICE])):
-            for i in range(len(parts["_x_linked"])):
-                state = {c: parts[f"_x_{c}"][i] for c in columns}
-                state, held, linked = passed(g, s, state, set(parts["_x_tags"][i]), bool(parts["_x_linked"][i]))
-                for c in columns:
-                    parts[f"_x_{c}"][i] = state[c]
-                parts["_x_tags"][i], parts["_x_linked"][i] = sorted(held), linked
-            if parts[f"_e_{pos}"][-1] <= horizon:
+            states, held, linked = passed(g, s, states, held, linked, marks)
+            if entry[pos][-1] <= horizon:
                 # a state may still be in reach of rows behind those so far
-                after = g[f"_e_{pos}"][s]
-                n = next((i + 1 for i, at in enumerate(after) if at > horizon), len(after))
-                for c in table:
-                    parts[c] += list(g[c][s][:n])
-        return {c: [v] for c, v in parts.items()}
+                after = np.asarray(g[f"_e_{pos}"][s])
+                n = min(len(after), int(np.searchsorted(after, horizon, side="right")) + 1)
+                for c in columns:
+                    entry[c] += list(g[f"_e_{c}"][s][:n])
+                    states[c] = np.concatenate([states[c], listed(g[f"_x_{c}"][s][:n], c)])
+                entry_tags += list(g["_e_tags"][s][:n])
+                held = np.vstack([held, marks.matrix(g["_x_tags"][s][:n])])
+                linked = np.append(linked, np.asarray(g["_x_linked"][s][:n], bool))
+        out = {f"_e_{c}": [entry[c]] for c in columns} | {f"_x_{c}": [list(states[c])] for c in columns}
+        return out | {"_e_tags": [entry_tags], "_x_tags": [marks.lists(held)], "_x_linked": [linked.tolist()]}
 
     def follow(g, enter):
         n = len(g[SLICE])
-        state, held = None, set()
-        if enter is not None and enter["_has"]:
-            state, held = {c: enter[f"_s_{c}"] for c in columns}, set(enter["_tags"])
+        has = enter is not None and bool(enter["_has"])
+        marks = Marks(*g["_e_tags"], *g["_x_tags"], [enter["_tags"]] if has else [])
+        states = {c: listed([enter[f"_s_{c}"]], c) for c in columns} if has else None
+        held = marks.matrix([enter["_tags"]]) if has else None
         # the last slice of a key gives its state away; no block but the last one may
         closes = enter is None or bool(enter["_last"])
-        enters, enter_tags = [], []
+        seen: dict[str, list] = {c: [] for c in columns}
+        known, enter_tags = [], []
         for s in range(n):
-            enters.append(state)
-            enter_tags.append(sorted(held))
-            state, held, _ = passed(g, s, state, held)
-        out = {SLICE: g[SLICE], "_has": [e is not None for e in enters], "_tags": enter_tags,
-               "_last": [closes and s == n - 1 for s in range(n)]}
-        for c in columns:
-            blank = 0 if types[c] in WHOLE else None
-            out[f"_s_{c}"] = [blank if e is None else e[c] for e in enters]
-        return out
+            known.append(states is not None)
+            enter_tags.append(marks.lists(held)[0] if states else [])
+            for c in columns:
+                blank = 0 if types[c] in WHOLE else None
+                seen[c].append(states[c][0] if states else blank)
+            if states:
+                states, held, _ = passed(g, s, states, held, np.ones(1, bool), marks)
+            else:  # the first row of a key begins
+                states = {c: listed(g[f"_x_{c}"][s][:1], c) for c in columns}
+                held = marks.matrix(g["_x_tags"][s][:1])
+        out = {SLICE: g[SLICE], "_has": known, "_tags": enter_tags, "_last": [closes and s == n - 1 for s in range(n)]}
+        return out | {f"_s_{c}": seen[c] for c in columns}
 
     def walk(g):
-        state = {c: g[f"_s_{c}"][0] for c in columns} if bool(g["_has"][0]) else None
-        held = set(g["_tags"][0])
-        kept: list[tuple] = []
-        items, marks = unpack(g, 1)
-        for row, mark in zip(items, marks, strict=True):
-            what = APPEND if state is None else outcome(state, row)
-            if what == ABSORB:
-                held |= mark
-                continue
-            if what == APPEND and state is not None:
-                kept.append((state[row_id], sorted(held)))
-            held = held | mark if what == TAKE_OVER else set(mark)
-            state = row
-        if bool(g["_last"][0]) and state is not None:
-            kept.append((state[row_id], sorted(held)))
-        if not kept:
+        own, held = taken(g, 1)
+        has = bool(g["_has"][0])
+        if has:  # the state that enters comes first
+            own = {c: np.concatenate([listed([g[f"_s_{c}"][0]], c), own[c]]) for c in columns}
+            held = [g["_tags"][0], *held]
+        n = len(own[pos])
+        if not n:
             return None
-        return {row_id: [int(i) if isinstance(i, (int, float, np.integer, np.floating)) else i for i, _ in kept],
-                "_kept_tags": [t for _, t in kept]}
+        after, what, _ = pairs(own).paths(1)
+        ids, united = [], []
+        at, before = 0, set()
+        while at < n:
+            until = int(after[at])
+            before = before.union(*held[at:until]) if tags else before
+            if until < n and what[at] != APPEND:
+                before = before if what[at] == TAKE_OVER else set()
+            elif until < n or bool(g["_last"][0]):
+                ids.append(own[row_id][at])
+                united.append(sorted(before))
+                before = set()
+            at = until
+        return {row_id: ids, "_kept_tags": united} if ids else None
 
     def arrays(prefix):
         return ", ".join(f"{prefix}{c} array<{types[c]}>" for c in columns)
 
-    table = [*(f"_e_{c}" for c in columns), *(f"_x_{c}" for c in columns), "_e_tags", "_x_tags", "_x_linked"]
     ddl = f"{arrays('_e_')}, {arrays('_x_')}, _e_tags array<array<string>>, _x_tags array<array<string>>, _x_linked array<boolean>"
     tables = map_groups(rows, line.home(), [pos, *tl.tie], transfer, ddl)
     states = ", ".join(f"_s_{c} {types[c]}" for c in columns)
@@ -174,5 +274,4 @@ def fold_states(
     out = map_groups(
         both, line.home(), ["_kind", pos, *tl.tie], walk, f"`{row_id}` {types[row_id]}, _kept_tags array<string>"
     )
-    picked = out.select(*keys, row_id, *([F.col("_kept_tags").alias(tags)] if tags else []))
-    return picked
+    return out.select(*keys, row_id, *([F.col("_kept_tags").alias(tags)] if tags else []))

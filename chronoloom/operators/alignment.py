@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.durable import checkpointed
-from ..core.groups import map_groups, stacked
+from ..core.groups import Arrays, map_groups, stacked
 from ..core.quantiles import attach, union_all
 from ..core.states import ABSORB, APPEND, fold_states
 from ..core.timeline import SLICE, Timeline, floor_div
@@ -551,9 +551,9 @@ def replace_in_intervals(
     ).drop("start", "end")
     chosen = checkpointed(suppress_near(chosen, protected, tl, tolerance, "snapped"))
 
-    def decide(state: dict, row: dict) -> int:
-        close = row[pos] - state[pos] <= tolerance or row["snapped"] == state["snapped"]
-        return ABSORB if close else APPEND
+    def decide(rows: Arrays, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        close = (rows[pos][j] - rows[pos][i] <= tolerance) | (rows["snapped"][j] == rows["snapped"][i])
+        return np.where(close, ABSORB, APPEND)
 
     kept = fold_states(chosen, tl, max(tolerance, step), decide, ["snapped"], "id")
     pending = checkpointed(chosen.join(kept, [*keys, "id"], "left_semi"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core.groups import Arrays
 from ..core.states import ABSORB, APPEND, REPLACE, TAKE_OVER, fold_states
 from ..core.timeline import Timeline
 
@@ -48,31 +49,38 @@ def suppress_tails(
         config["tail_strength_ratio"], config["tail_band_similarity"], config["tail_valley_reset_ratio"]
     )
 
-    def decide(state: dict, row: dict) -> int:
-        gap = row[tl.pos] - state[tl.pos]
-        if gap < minimum:
-            return REPLACE if row["confidence"] > state["confidence"] else ABSORB
-        if gap > tail:
-            return APPEND
-        a = np.array([state[b] for b in BANDS], dtype=float)
-        b = np.array([row[b] for b in BANDS], dtype=float)
-        scale = float(np.linalg.norm(a) * np.linalg.norm(b))
-        similar = scale > 1e-9 and float(a @ b) / scale >= similar_at
-        between = int(row["_frame"] - state["_frame"]) - 1
-        apart = False
-        if between > row["_reach"]:
-            raise ValueError(f"the curve reaches back {row['_reach']} frames, {between} are needed")
-        if between >= 1 and len(row["back"]):
-            valley = float(min(list(row["back"])[-between:]))
-            apart = valley <= min(state["peak_value"], row["peak_value"]) * reset
-        if similar and not apart:
-            if row["peak_value"] <= state["peak_value"] * strength:
-                return ABSORB
-            if state["peak_value"] <= row["peak_value"] * strength:
-                return TAKE_OVER
-        return APPEND
+    def prepare(rows: Arrays) -> Arrays:
+        bands = np.array([rows[b].astype(float) for b in BANDS]).T
+        # lowest value of the last 1, 2, ... frames before a row; no frame lowers nothing
+        valleys = np.full((len(bands), max([1, *map(len, rows["back"])])), np.inf)
+        for i, back in enumerate(rows["back"]):
+            valleys[i, : len(back)] = np.asarray(back, float)[::-1]
+        norms = np.linalg.norm(bands, axis=1)
+        return rows | {"bands": bands, "norm": norms, "valleys": np.minimum.accumulate(valleys, axis=1)}
+
+    def decide(rows: Arrays, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        gap = rows[tl.pos][j] - rows[tl.pos][i]
+        between = (rows["_frame"][j] - rows["_frame"][i]).astype(np.int64) - 1
+        asked = (gap >= minimum) & (gap <= tail) & (between > rows["_reach"][j])
+        if asked.any():
+            at = int(np.argmax(asked))
+            raise ValueError(f"the curve reaches back {rows['_reach'][j][at]} frames, {between[at]} are needed")
+        scale = rows["norm"][i] * rows["norm"][j]
+        alike = (rows["bands"][i] * rows["bands"][j]).sum(1)
+        similar = (scale > 1e-9) & (alike / np.maximum(scale, 1e-300) >= similar_at)
+        mine, other = rows["peak_value"][i], rows["peak_value"][j]
+        spot = np.clip(between, 1, rows["valleys"].shape[1]) - 1
+        apart = (between >= 1) & (rows["valleys"][j, spot] <= np.minimum(mine, other) * reset)
+        echo = similar & ~apart
+        stronger = rows["confidence"][j] > rows["confidence"][i]
+        return np.select(
+            [(gap < minimum) & stronger, gap < minimum, gap > tail, echo & (other <= mine * strength), echo & (mine <= other * strength)],
+            [REPLACE, ABSORB, APPEND, ABSORB, TAKE_OVER],
+            APPEND,
+        )
 
     kept = fold_states(
-        candidates, tl, max(minimum, tail), decide, ["confidence", "peak_value", *BANDS, "_frame", "_reach", "back"], "id", "votes"
+        candidates, tl, max(minimum, tail), decide, ["confidence", "peak_value", *BANDS, "_frame", "_reach", "back"], "id", "votes",
+        prepare=prepare,
     )
     return candidates.drop("votes", "back", "_frame", "_reach").join(kept, [*tl.keys, "id"])

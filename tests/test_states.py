@@ -1,11 +1,13 @@
 """Stateful folds against a plain walk, with narrow slices."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.core.states import ABSORB, APPEND, REPLACE, TAKE_OVER, fold_states
+from chronoloom.core.states import ABSORB, APPEND, REPLACE, TAKE_OVER, Pairs, fold_states
 from chronoloom.core.timeline import Timeline
 from chronoloom.operators.tails import suppress_tails, with_valley_curve
 
@@ -20,11 +22,15 @@ def test_fold_states(spark, fan_in, seed, width):
             return ABSORB if row["x"] <= state["x"] else TAKE_OVER
         return APPEND
 
+    def decide(rows, i, j):
+        pairs = zip(rows["pos"][i], rows["x"][i], rows["pos"][j], rows["x"][j])
+        return np.array([rule({"pos": p, "x": x}, {"pos": q, "x": y}) for p, x, q, y in pairs])
+
     rng = random.Random(seed)
     rows = [(rng.randrange(2), rng.randrange(700), i, rng.randrange(10) / 10, [rng.choice("abcdef")]) for i in range(160)]
     df = spark.createDataFrame(rows, "k bigint, pos bigint, id bigint, x double, votes array<string>")
     tl = Timeline(["k"], "pos", ["id"], 50)
-    out = fold_states(df, tl, 25, rule, ["x"], "id", "votes", width)
+    out = fold_states(df, tl, 25, decide, ["x"], "id", "votes", width)
     got = {r["id"]: r["votes"] for r in out.collect()}
     want = {}
     for k in (0, 1):
@@ -62,3 +68,24 @@ def test_tail_suppression(spark):
     got = {r["id"]: r["votes"] for r in out.collect()}
     # the frames between 3 and 4 stay high, so only the bands tell them apart
     assert got == {1: ["a", "b", "c"], 5: ["d", "e"], 6: ["f"]}
+
+
+@pytest.mark.parametrize("spread", [16 * 1_000, 20_000 * 40])
+def test_a_dense_slice_is_quick(spread):
+    """20,000 rows of one slice, with 1,250 rows in a window and with one."""
+    rng = np.random.default_rng(1)
+    rows = {"pos": np.sort(rng.integers(0, spread, 20_000)), "x": rng.random(20_000)}
+
+    def decide(rows, i, j):
+        return np.where(rows["x"][j] <= rows["x"][i], ABSORB, np.where(rows["x"][j] > 0.9, TAKE_OVER, APPEND))
+
+    began = time.perf_counter()
+    after, what, need = Pairs(rows, "pos", 1_000, decide, None).paths(1_250)
+    assert time.perf_counter() - began < 3  # well under one on an idle machine
+    at = 0
+    while at < 20_000:
+        j = at + 1
+        while j < 20_000 and rows["pos"][j] - rows["pos"][at] <= 1_000 and rows["x"][j] <= rows["x"][at]:
+            j += 1
+        assert need[at] and after[at] == j
+        at = j
