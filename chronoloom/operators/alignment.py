@@ -523,29 +523,29 @@ def match_unused(
 
 
 def replace_in_intervals(
-    hits: DataFrame, anchors: DataFrame, chunks: DataFrame, tl: Timeline, sample_count: int, tolerance: int, step: int
+    hits: DataFrame, anchors: DataFrame, chunks: DataFrame, lengths: DataFrame, tl: Timeline, tolerance: int, step: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Replace automatic vocal hits inside proven chunks by new anchors; four counters.
+    """Replace automatic vocal hits inside proven chunks by new anchors: the hits, and four counters per key.
 
     hits: keys, id, ``tl.pos``, snapped, primary_stem, edited, locked.  anchors: keys, id,
     chunk_idx, ``tl.pos`` (refined), grid_sample, active, chart_candidate, in time order
     with non-decreasing grid samples.  chunks: keys, idx, start, end, status,
-    anchor_count.  ``step`` bounds the lattice step.
+    anchor_count.  lengths: keys, sample_count.  ``step`` bounds the lattice step.
     """
     keys, pos = list(tl.keys), tl.pos
-    proven = chunks.filter((F.col("status") == "success") & (F.col("anchor_count") >= MIN_CHUNK_ANCHORS)).select(
-        *keys, "idx", F.greatest(F.col("start"), F.lit(0)).alias("start"), F.least(F.col("end"), F.lit(sample_count)).alias("end")
+    length = F.col("sample_count")
+    proven = attach(chunks, lengths, keys).filter((F.col("status") == "success") & (F.col("anchor_count") >= MIN_CHUNK_ANCHORS)).select(
+        *keys, "idx", F.greatest(F.col("start"), F.lit(0)).alias("start"), F.least(F.col("end"), length).alias("end")
     )
     automatic = hits.filter((F.col("primary_stem") == "vocals") & ~F.col("edited") & ~F.col("locked"))
     removable = interval_join(automatic, proven, tl, "start", "end", "idx", how="semi")
     protected = hits.join(removable.select(*keys, "id"), [*keys, "id"], "left_anti")
 
     def inside(c: Column) -> Column:
-        return F.least(F.greatest(c, F.lit(0)), F.lit(sample_count - 1))
+        return F.least(F.greatest(c, F.lit(0)), length - 1)
 
-    chosen = anchors.filter("grid_sample is not null and active and chart_candidate").withColumns(
-        {"snapped": inside(F.col("grid_sample")), pos: inside(F.col(pos))}
-    )
+    wanted = attach(anchors.filter("grid_sample is not null and active and chart_candidate"), lengths, keys)
+    chosen = wanted.withColumns({"snapped": inside(F.col("grid_sample")), pos: inside(F.col(pos))}).drop("sample_count")
     chosen = chosen.join(proven.withColumnRenamed("idx", "chunk_idx"), [*keys, "chunk_idx"]).filter(
         (F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("end"))
     ).drop("start", "end")

@@ -269,7 +269,7 @@ o AS (SELECT *, lag(s) OVER (PARTITION BY track_id ORDER BY idx) AS ps FROM toke
 u AS (SELECT track_id, s, s - lag(s) OVER (PARTITION BY track_id ORDER BY s) AS g FROM (SELECT DISTINCT track_id, s FROM tokens)),
 st AS (SELECT track_id, n, reversed, n - different AS duplicates, dense, invalid FROM (
   SELECT track_id, count(*) AS n, count(*) FILTER (s < ps) AS reversed, count(DISTINCT (s, e)) AS different,
-    count(*) FILTER (e < s OR s < 0 OR e > 2600000) AS invalid FROM o GROUP BY track_id)
+    count(*) FILTER (e < s OR s < 0 OR e > length) AS invalid FROM o JOIN (SELECT track_id, max(pos) + 1 AS length FROM hits GROUP BY track_id) USING (track_id) GROUP BY track_id)
   JOIN (SELECT track_id, count(*) FILTER (g > 0 AND g < 1800) AS dense FROM u GROUP BY track_id) USING (track_id)),
 stable AS (SELECT *, round(greatest(0, least(1, 1 - (0.35::DOUBLE * reversed / n + 0.30::DOUBLE * duplicates / n + 0.15::DOUBLE * dense / n
   + 0.20::DOUBLE * invalid / n))), 6) AS stability FROM st)"""
@@ -279,7 +279,9 @@ STABILITY_RATE = 360_000
 
 
 def stable(spark, d):
-    return A.stability(tokens(spark, d), ["track_id"], STABILITY_RATE, F.lit(2_600_000), 2 * DAY, 4096)
+    lengths = hits(spark, d).groupBy("track_id").agg((F.max("pos") + 1).alias("length"))
+    rows = A.attach(tokens(spark, d), lengths, ["track_id"])
+    return A.stability(rows, ["track_id"], STABILITY_RATE, F.col("length"), 2 * DAY, 4096)
 
 
 @query("a12_sequence_stability", f"WITH {STABILITY} SELECT * FROM stable")

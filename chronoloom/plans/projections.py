@@ -48,12 +48,12 @@ def p3(spark, d):
 
 
 def timed(rows):
-    """Rows with their track's length: the position of its last row."""
-    return attach(rows, rows.groupBy("track_id").agg(F.max("pos").alias("length")), ["track_id"])
+    """Rows with their track's length: its last row is its last sample."""
+    return attach(rows, rows.groupBy("track_id").agg((F.max("pos") + 1).alias("length")), ["track_id"])
 
 
 @query("p4_normalize_hits", f"""WITH {HITS},
-base AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS n FROM hits),
+base AS (SELECT *, max(pos) OVER (PARTITION BY track_id) + 1 AS n FROM hits),
 ac AS (SELECT *, least(greatest(coalesce(acoustic, refined), 0), n - 1) AS ac FROM base),
 ch AS (SELECT *, least(greatest(coalesce(snapped, 0), 0), n - 1) AS sn FROM ac)
 SELECT id, ac AS acoustic, least(greatest(detected, 0), n - 1) AS detected, least(greatest(refined, 0), n - 1) AS refined,
@@ -96,7 +96,7 @@ def p6(spark, d):
 
 
 @query("p7_range_quarantine", f"""WITH {HITS},
-h AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS n FROM hits),
+h AS (SELECT *, max(pos) OVER (PARTITION BY track_id) + 1 AS n FROM hits),
 long AS (SELECT id, n, 'detected' AS field, detected AS value FROM h UNION ALL SELECT id, n, 'refined', refined FROM h
          UNION ALL SELECT id, n, 'chart', chart FROM h),
 bad AS (SELECT id, field, value FROM long WHERE value < 0 OR value >= n)
@@ -111,21 +111,21 @@ def p7(spark, d):
 
 @query("p8_integrity_rules", f"""WITH {HITS},
 u AS (SELECT id, track_id, pos AS s, pos + k - 20 AS e, CASE WHEN k % 10 = 0 THEN pos + 1 ELSE pos END AS a,
-             [k % 3, k % 5, k % 7] AS idx FROM hits),
+             [k % 3, k % 5, k % 7] AS idx, max(pos) OVER (PARTITION BY track_id) + 1 AS n FROM hits),
 broken AS (
   SELECT 'positive_duration' AS rule FROM u WHERE e <= s
   UNION ALL SELECT 'aligned_is_start' FROM u WHERE a <> s
   UNION ALL SELECT 'indices_ordered' FROM u WHERE NOT (idx[1] < idx[2] AND idx[2] < idx[3])
-  UNION ALL SELECT 'inside_track' FROM u WHERE e > 2500000
+  UNION ALL SELECT 'inside_track' FROM u WHERE e > n
   UNION ALL SELECT 'unique_start' FROM u GROUP BY track_id, s // 86400 HAVING count(*) > 1
   UNION ALL SELECT 'sequential_index' FROM hits GROUP BY track_id, k
      HAVING min(k % 2) <> 0 OR max(k % 2) <> count(*) - 1 OR count(DISTINCT k % 2) <> count(*))
 SELECT rule, count(*) AS n FROM broken GROUP BY rule""")
 def p8(spark, d):
-    h = hits(spark, d)
+    h = timed(hits(spark, d))
     k = F.col("k")
     units = h.select(
-        "id", "track_id", "pos", (F.col("pos") + k - 20).alias("stop"),
+        "id", "track_id", "length", "pos", (F.col("pos") + k - 20).alias("stop"),
         F.when(k % 10 == 0, F.col("pos") + 1).otherwise(F.col("pos")).alias("aligned"),
         F.array(k % 3, k % 5, k % 7).alias("indices"),
     )
@@ -133,7 +133,7 @@ def p8(spark, d):
         "positive_duration": F.col("stop") > F.col("pos"),
         "aligned_is_start": F.col("aligned") == F.col("pos"),
         "indices_ordered": P.ordered_unique(F.col("indices")),
-        "inside_track": F.col("stop") <= 2_500_000,
+        "inside_track": F.col("stop") <= F.col("length"),
     }
     row_level = P.violations(units, rules, ["id"]).select("rule")
     starts = units.select("track_id", F.floor(F.col("pos") / 86_400).alias("day"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..core.chains import spaced
+from ..core.quantiles import attach
 from ..functions.lattice import Lattice
 from ..operators import sequences as S
 from .joins import STEM_FRAMES, stem_frames
@@ -199,7 +200,9 @@ def w11(spark, d):
 
 def rhythm_input(spark, d):
     k = F.col("k")
-    return hits(spark, d).withColumns({
+    rows = hits(spark, d)
+    lengths = rows.groupBy("track_id").agg((F.max("pos") + 1).alias("length"))
+    return attach(rows, lengths, ["track_id"]).withColumns({
         "bpm": F.lit(0.002), "beat_offset": F.lit(700).cast("bigint"), "tempo_confidence": k / 100,
         "tempo_source": F.when(k % 2 == 0, "manual").otherwise("auto"),
     })
@@ -208,20 +211,21 @@ def rhythm_input(spark, d):
 @query("w12_rhythm_constraint")
 def w12(spark, d):
     out, _ = S.rhythm_constrain(
-        rhythm_input(spark, d), ["track_id"], "id", RATE, F.lit(2_600_000), max_error_ms=3_600_000.0, merge_ms=3_600_000.0
+        rhythm_input(spark, d), ["track_id"], "id", RATE, F.col("length"), max_error_ms=3_600_000.0, merge_ms=3_600_000.0
     )
     return out.select("track_id", "id", "refined", "chart", F.array_join("votes", ",").alias("votes"), F.size("evidence").alias("n_evidence"))
 
 
 @query("w12_rhythm_winners", f"""WITH {HITS},
-c AS (SELECT *, sign(pos - 700)::BIGINT * ((2 * abs(pos - 700) * 8 + 60000) // 120000) AS cell FROM hits WHERE k % 2 = 0 OR k / 100.0::DOUBLE >= 0.65),
-g AS (SELECT * EXCLUDE (chart), least(greatest(sign(5600 + cell * 60000)::BIGINT * ((2 * abs(5600 + cell * 60000) + 8) // 16), 0), 2599999) AS chart FROM c),
+t AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS final FROM hits),
+c AS (SELECT *, sign(pos - 700)::BIGINT * ((2 * abs(pos - 700) * 8 + 60000) // 120000) AS cell FROM t WHERE k % 2 = 0 OR k / 100.0::DOUBLE >= 0.65),
+g AS (SELECT * EXCLUDE (chart), least(greatest(sign(5600 + cell * 60000)::BIGINT * ((2 * abs(5600 + cell * 60000) + 8) // 16), 0), final) AS chart FROM c),
 q AS (SELECT *, greatest(0, 1 - abs(pos - chart) / 1875.0::DOUBLE) AS al, CASE primary_stem WHEN 'vocals' THEN ev_vocals WHEN 'drums' THEN ev_drums WHEN 'other' THEN ev_other ELSE 0 END AS dm FROM g),
 r AS (SELECT id, chart, row_number() OVER (PARTITION BY track_id, chart ORDER BY 0.30 * confidence + 0.12 * salience + 0.45 * al + 0.08 + 0.05 * dm DESC, al DESC, confidence DESC, pos, id) AS rn FROM q)
 SELECT id, chart FROM r WHERE rn = 1 UNION ALL SELECT id, chart FROM hits WHERE k % 2 = 1 AND k / 100.0::DOUBLE < 0.65""")
 def w12_winners(spark, d):
     out, _ = S.rhythm_constrain(
-        rhythm_input(spark, d), ["track_id"], "id", RATE, F.lit(2_600_000), max_error_ms=3_600_000.0, merge_ms=3_600_000.0
+        rhythm_input(spark, d), ["track_id"], "id", RATE, F.col("length"), max_error_ms=3_600_000.0, merge_ms=3_600_000.0
     )
     return out.select("id", "chart")
 

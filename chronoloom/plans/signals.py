@@ -10,10 +10,10 @@ from ..operators import signals as S
 from ..operators import tails
 from ..operators.projections import clip
 from .joins import STEM_FRAMES, stem_frames
-from .metrics import tiles
+from .metrics import TILES, tiles
 from .registry import query
 from .sequences import smooth_sql
-from .views import DAY, FRAME_LINE, FRAMES, HOUR, POINTS, RATE, TRACKS, frames, hits, points, table
+from .views import DAY, FRAME_LINE, FRAMES, HITS, HOUR, POINTS, RATE, TRACKS, frames, hits, points, table
 
 
 @query("w3_peak_picking", f"""WITH {FRAMES},
@@ -40,7 +40,28 @@ def w3_spaced(spark, d):
     return P.find_peaks(frames(spark, d), FRAME_LINE, "x", height=0.0, distance=5).select("track_id", "frame_idx")
 
 
-@query("w15_tail_suppression")
+GAP = "(r.pos - w.pos)"
+ALIKE = "((r.low * w.low + r.mid * w.mid + r.high * w.high) / (r.norm * w.norm) >= 0.82 AND r.norm * w.norm > 1e-9)"
+VALLEY = "(r.frame - w.frame > 1 AND len(r.back) > 0 AND list_min(r.back[-(r.frame - w.frame - 1):]) <= least(r.peak, w.peak) * 0.42)"
+#: what becomes of a row: 0 absorbed, 1 replaces the state, 2 takes it over, 3 is the next state
+FATE = f"""CASE WHEN {GAP} < {2 * HOUR} THEN CASE WHEN r.confidence > w.confidence THEN 1 ELSE 0 END WHEN {GAP} > {10 * HOUR} THEN 3
+  WHEN {ALIKE} AND NOT {VALLEY} AND r.peak <= w.peak * 0.62 THEN 0 WHEN {ALIKE} AND NOT {VALLEY} AND w.peak <= r.peak * 0.62 THEN 2 ELSE 3 END"""
+STATE = ["id", "pos", "confidence", "peak", "low", "mid", "high", "norm", "frame"]
+
+
+@query("w15_tail_suppression", f"""WITH RECURSIVE {HITS}, {STEM_FRAMES},
+placed AS (SELECT track_id, id, pos, confidence, salience AS peak, ev_vocals AS low, ev_drums AS mid, ev_other AS high, round_even(pos / 40000.0::DOUBLE, 0)::BIGINT AS frame,
+  sqrt(ev_vocals * ev_vocals + ev_drums * ev_drums + ev_other * ev_other) AS norm, [vote1, vote2, 'stem_' || primary_stem] AS votes,
+  row_number() OVER (PARTITION BY track_id ORDER BY pos, id) AS rn FROM hits),
+backs AS (SELECT p.id, list(f.vocals * 4 ORDER BY f.frame_idx) AS back FROM placed p JOIN stem_frames f ON f.track_id = p.track_id AND f.frame_idx BETWEEN p.frame - 2 AND p.frame - 1 GROUP BY p.id),
+r AS (SELECT placed.*, coalesce(back, []) AS back FROM placed LEFT JOIN backs USING (id)),
+w AS (SELECT track_id, rn, {', '.join(STATE)}, votes AS held, NULL::BIGINT AS done, votes AS done_votes FROM r WHERE rn = 1
+  UNION ALL SELECT track_id, rn, {', '.join(f'CASE WHEN fate = 0 THEN w_{c} ELSE {c} END' for c in STATE)},
+    CASE fate WHEN 0 THEN held || votes WHEN 2 THEN held || votes ELSE votes END, CASE WHEN fate = 3 THEN w_id END, held
+  FROM (SELECT r.*, w.held, {', '.join(f'w.{c} AS w_{c}' for c in STATE)}, {FATE} AS fate FROM w JOIN r ON r.track_id = w.track_id AND r.rn = w.rn + 1)),
+kept AS (SELECT done AS id, done_votes AS votes FROM w WHERE done IS NOT NULL
+  UNION ALL SELECT arg_max(id, rn), arg_max(held, rn) FROM w GROUP BY track_id)
+SELECT track_id, id, pos, array_to_string(list_sort(list_distinct(kept.votes)), ',') AS votes FROM kept JOIN placed USING (id)""")
 def w15(spark, d):
     ev = F.col("evidence")
     rows = hits(spark, d).select(
@@ -287,8 +308,7 @@ def j9(spark, d):
     return L.match_unused(spans, events, ["track_id"], 2 * HOUR, 8 * HOUR)
 
 
-@query("j7_interval_replacement")
-def j7(spark, d):
+def replaced(spark, d):
     h = hits(spark, d)
     chunks = tiles(spark, d).withColumn("anchor_count", F.col("n"))
     anchors = h.filter("primary_stem in ('other', 'bass')").select(
@@ -296,8 +316,42 @@ def j7(spark, d):
         F.col("snapped").alias("grid_sample"), (F.col("k") > 10).alias("active"), (F.col("k") < 95).alias("chart_candidate"),
     )
     rows = h.select("track_id", "id", "pos", "snapped", "primary_stem", "edited", "locked")
-    _, counters = L.replace_in_intervals(rows, anchors, chunks, TRACKS, 2_700_000, 1800, 3000)
-    return counters
+    lengths = h.groupBy("track_id").agg((F.max("pos") + 1).alias("sample_count"))
+    return L.replace_in_intervals(rows, anchors, chunks, lengths, TRACKS, 1800, 3000)
+
+
+REPLACED = f"""{HITS}, {POINTS}, {TILES},
+lengths AS (SELECT track_id, max(pos) + 1 AS length FROM hits GROUP BY track_id),
+proven AS (SELECT track_id, idx, greatest(s, 0) AS s, least(e, length) AS e FROM tiles JOIN lengths USING (track_id) WHERE status = 'success' AND n >= {L.MIN_CHUNK_ANCHORS}),
+auto AS (SELECT * FROM hits WHERE primary_stem = 'vocals' AND NOT edited AND NOT locked),
+removable AS (SELECT * FROM auto a WHERE EXISTS (SELECT 1 FROM proven p WHERE p.track_id = a.track_id AND a.pos >= p.s AND a.pos < p.e)),
+guarded AS (SELECT * FROM hits WHERE id NOT IN (SELECT id FROM removable)),
+wanted AS (SELECT track_id, id + 1000000000 AS id, pos // 86400 AS idx, least(greatest(pos, 0), length - 1) AS pos, least(greatest(snapped, 0), length - 1) AS snapped
+  FROM hits JOIN lengths USING (track_id) WHERE primary_stem IN ('other', 'bass') AND k > 10 AND k < 95),
+chosen AS (SELECT w.*, row_number() OVER (PARTITION BY w.track_id ORDER BY w.pos, w.id) AS rn FROM wanted w JOIN proven p ON p.track_id = w.track_id AND p.idx = w.idx AND w.pos >= p.s AND w.pos < p.e
+  WHERE NOT EXISTS (SELECT 1 FROM guarded g WHERE g.track_id = w.track_id AND (abs(g.pos - w.pos) <= 1800 OR g.snapped = w.snapped))),
+walk AS (SELECT track_id, rn, pos AS spot, snapped AS cell, id AS kept FROM chosen WHERE rn = 1
+  UNION ALL SELECT c.track_id, c.rn, CASE WHEN c.pos - spot <= 1800 OR c.snapped = cell THEN spot ELSE c.pos END, CASE WHEN c.pos - spot <= 1800 OR c.snapped = cell THEN cell ELSE c.snapped END,
+    CASE WHEN c.pos - spot <= 1800 OR c.snapped = cell THEN NULL ELSE c.id END FROM walk w JOIN chosen c ON c.track_id = w.track_id AND c.rn = w.rn + 1),
+pending AS (SELECT * FROM chosen WHERE id IN (SELECT kept FROM walk WHERE kept IS NOT NULL)),
+used AS (SELECT * FROM proven WHERE (track_id, idx) IN (SELECT (track_id, idx) FROM pending)),
+removed AS (SELECT * FROM removable a WHERE EXISTS (SELECT 1 FROM used p WHERE p.track_id = a.track_id AND a.pos >= p.s AND a.pos < p.e))"""
+
+
+@query("j7_interval_replacement", f"""WITH RECURSIVE {REPLACED}
+SELECT track_id, (SELECT count(*) FROM pending x WHERE x.track_id = t.track_id) AS created, (SELECT count(*) FROM removed x WHERE x.track_id = t.track_id) AS removed,
+  (SELECT count(*) FROM used x WHERE x.track_id = t.track_id) AS chunks,
+  (SELECT count(*) FROM auto x WHERE x.track_id = t.track_id) - (SELECT count(*) FROM removed x WHERE x.track_id = t.track_id) AS preserved
+FROM (SELECT DISTINCT track_id FROM hits) t""")
+def j7(spark, d):
+    return replaced(spark, d)[1]
+
+
+@query("j7_replaced_hits", f"""WITH RECURSIVE {REPLACED}
+SELECT track_id, id, pos, snapped, primary_stem, edited, locked FROM hits WHERE id NOT IN (SELECT id FROM removed)
+UNION ALL SELECT track_id, id, pos, snapped, 'vocals', false, false FROM pending""")
+def j7_rows(spark, d):
+    return replaced(spark, d)[0]
 
 
 RUBY_SQL = (

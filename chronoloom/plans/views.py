@@ -13,7 +13,6 @@ from ..core.timeline import Timeline
 
 HOUR = 3600
 DAY = 86_400
-SPAN = 31 * DAY  # no position of the event table lies beyond
 RATE = 1
 
 #: per track and second, whole-track order is (pos, id)

@@ -275,7 +275,8 @@ def test_replacement_golden(spark):
         "track_id string, id string, chunk_idx bigint, pos bigint, grid_sample bigint, active boolean, chart_candidate boolean",
     )
     tl = Timeline(["track_id"], "pos", ["id"], 1000)
-    result, counters = L.replace_in_intervals(hits, anchors, chunks, tl, 8000, 80, 1000)
+    lengths = spark.createDataFrame([("t", 8000)], "track_id string, sample_count bigint")
+    result, counters = L.replace_in_intervals(hits, anchors, chunks, lengths, tl, 80, 1000)
     assert {r["id"] for r in result.collect()} == {"a", "b", "failed", "empty", "manual"}
     c = counters.collect()[0]
     assert (c["created"], c["removed"], c["chunks"], c["preserved"]) == (2, 1, 1, 2)
