@@ -65,27 +65,21 @@ def interval_join(
 
     Adds index, start, end and ``columns`` of the interval; ``how`` is left, inner or
     semi.  ``index`` is unique per key; empty intervals are ignored.  No pairs are
-    formed, however many intervals overlap: intervals are laid out on slices, those
-    that cover a whole slice are reduced to the lowest one on the map side, and each
-    slice is swept once with the open intervals in a heap.
+    formed, however many intervals overlap: an interval lies in the slices of its two ends, and the
+    whole slices between them are covered by blocks of 1, 2, 4, ... slices, at most two of a size; of
+    these the lowest per slice counts.  Each slice is swept once with the open intervals in a heap.
     """
     keys = list(tl.keys)
     valid = intervals.filter(F.col(end) > F.col(start))
     if how == "semi":
         return _covered(points, valid, tl, start, end)
-    one = F.lit(1).cast("bigint")
-    first, last = floor_div(F.col(start), tl.width), floor_div(F.col(end) - one, tl.width)
     laid = valid.select(
-        *keys, F.col(index).alias("_idx"), F.col(start).cast("bigint").alias("_at"), F.col(end).cast("bigint").alias("_end"),
-        F.explode(F.sequence(first, last)).alias(SLICE),
-    )
-    width = F.lit(tl.width).cast("bigint")
-    low = F.col(SLICE) * width
-    whole = (F.col("_at") <= low) & (F.col("_end") >= low + width)
-    lowest = laid.filter(whole).groupBy(*keys, SLICE).agg(F.min("_idx").alias("_idx")).select(
-        *keys, "_idx", low.alias("_at"), (low + width).alias("_end"), SLICE
-    )
-    lanes = laid.filter(~whole).unionByName(lowest).withColumn("_kind", F.lit(0))
+        *keys, F.col(index).alias("_idx"), F.col(start).cast("bigint").alias("_at"), F.col(end).cast("bigint").alias("_end")
+    ).withColumns(slices_of(F.col("_at"), F.col("_end"), tl.width))
+    ends = F.filter(F.array_distinct(F.array("_first", "_last")), lambda s: (s < F.col("_from")) | (s >= F.col("_until")))
+    lanes = laid.select(*keys, "_idx", "_at", "_end", F.explode(ends).alias(SLICE)).unionByName(
+        _whole_slices(points, laid, tl)
+    ).withColumn("_kind", F.lit(0))
     identity = [*keys, *tl.order]
     asked = points.select(*identity).withColumns(
         {SLICE: tl.slice_of(), "_at": F.col(tl.pos).cast("bigint"), "_kind": F.lit(1)}
@@ -122,6 +116,46 @@ def interval_join(
     return points.join(hits.join(facts, [*keys, index]), identity, how).select(*points.columns, *payload)
 
 
+def slices_of(start: Column, end: Column, width: int) -> dict[str, Column]:
+    """The first and last slice of [start, end), and from where until where it covers slices as a whole."""
+    first, last = floor_div(start, width), floor_div(end - F.lit(1).cast("bigint"), width)
+    step = F.lit(width).cast("bigint")
+    return {
+        "_first": first, "_last": last,
+        "_from": F.when(start == first * step, first).otherwise(first + 1),
+        "_until": F.when(end == (last + 1) * step, last + 1).otherwise(last),
+    }
+
+
+def blocks_of(start: Column, end: Column) -> Column:
+    """Array of (level, block): the fewest blocks of 2^level that make up [start, end), at most two of a level."""
+
+    def at(level: Column) -> Column:
+        low, high = -F.call_function("shiftright", -start, level), F.call_function("shiftright", end, level)
+        left = F.when((low < high) & (low.bitwiseAND(1) == 1), low)
+        right = F.when((low + low.bitwiseAND(1) < high) & (high.bitwiseAND(1) == 1), high - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda b: F.struct(level.alias("level"), b.alias("block")))
+
+    top = F.ceil(F.log2(F.greatest(end - start, F.lit(1)))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), at))
+
+
+def _whole_slices(points: DataFrame, laid: DataFrame, tl: Timeline) -> DataFrame:
+    """The lowest interval that covers a whole slice, for each slice that has points."""
+    keys, width = list(tl.keys), F.lit(tl.width).cast("bigint")
+    blocks = laid.filter("_from < _until").select(*keys, "_idx", F.inline(blocks_of(F.col("_from"), F.col("_until"))))
+    lowest = blocks.groupBy(*keys, "level", "block").agg(F.min("_idx").alias("_idx"))
+    levels = sorted(r["level"] for r in blocks.select("level").distinct().collect())  # at most one per bit of a slice number
+    asked = points.select(*keys, tl.slice_of().alias(SLICE)).distinct()
+    spread = asked.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    spread = spread.withColumn("block", F.call_function("shiftright", F.col(SLICE), F.col("level")))
+    named = lowest.withColumnsRenamed({c: f"_b_{c}" for c in [*keys, "level", "block"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in [*keys, "level", "block"]]
+    found = spread.join(named, same).groupBy(*keys, SLICE).agg(F.min("_idx").alias("_idx"))
+    low = F.col(SLICE) * width
+    return found.select(*keys, "_idx", low.alias("_at"), (low + width).alias("_end"), SLICE)
+
+
 def _covered(points: DataFrame, valid: DataFrame, tl: Timeline, start: str, end: str) -> DataFrame:
     """Points inside at least one interval: the furthest end opened so far lies ahead."""
     tie = [f"_p{i}" for i in range(len(tl.tie))]

@@ -7,7 +7,7 @@ from chronoloom.core import quantiles
 from chronoloom.core.quantiles import exact_quantiles
 from chronoloom.core.timeline import Timeline
 from chronoloom.operators.joins import (
-    asof_segment, interval_join, match_events, nearest_distance, suppress_near, unmatched,
+    asof_segment, blocks_of, interval_join, match_events, nearest_distance, suppress_near, unmatched,
 )
 
 TL = Timeline(["k"], "pos", ["id"], 41)
@@ -110,6 +110,33 @@ def test_asof_and_interval(spark, cloud):
         assert got[i] == (min(inside) if inside else None)
 
 
+def test_long_intervals_lie_in_few_rows(spark):
+    cases = [(0, 10_000), (3, 10_001), (-7, 9_999), (-5_000, 5_000), (5, 6), (4, 4), (1, 2**40 - 1), (-1, 0)]
+    df = spark.createDataFrame(cases, "a long, b long")
+    for r in df.select("a", "b", blocks_of(F.col("a"), F.col("b")).alias("blocks")).collect():
+        parts = sorted((x["block"] << x["level"], (x["block"] + 1) << x["level"]) for x in r["blocks"])
+        assert len(parts) <= 2 * max(1, (r["b"] - r["a"]).bit_length())
+        assert [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]]  # side by side
+        assert (parts[0][0], parts[-1][1]) == (r["a"], r["b"]) if parts else r["a"] == r["b"]
+        assert r["b"] - r["a"] != 10_000 or len(parts) + 2 < 30
+
+
+def test_long_intervals_against_brute_force(spark):
+    rng = random.Random(9)
+    points = [(rng.choice([1, 2, None]), rng.randrange(-3_000, 6_000), i) for i in range(700)]
+    spans = []
+    for n in range(60):
+        s = rng.randrange(-4_000, 6_000)
+        spans.append((rng.choice([1, 2, None]), s, s + rng.choice([0, 1, 41, 400, 41 * 60, 9_000]), rng.randrange(10**6) * 100 + n))
+    spans += [(1, -41 * 4, 41 * 4, 5), (2, 41, 82, 1)]  # ends on slice borders
+    p = spark.createDataFrame(points, "k int, pos long, id long")
+    v = spark.createDataFrame(spans, "k int, s long, e long, n long")
+    got = {r["id"]: r["n"] for r in interval_join(p, v, TL, "s", "e", "n").collect()}
+    for k, at, i in points:
+        if k is not None:
+            assert got[i] == min((n for kk, s, e, n in spans if kk == k and s <= at < e), default=None)
+
+
 def test_exact_quantiles(spark):
     import numpy as np
 
