@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -23,7 +24,7 @@ PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPACE = "▁"  # fixed value: how pieces write a space
 CHUNK = 1 << 16  # characters given to a tokenizer at a time, if the text has words
 OTHER = 1 << 16  # second ids in a window's key lie from here on
-MEMO = 1 << 18  # windows remembered; forgotten together when there are more
+MEMO = 1 << 17  # windows remembered; when there are more, the rarer ones are forgotten
 LINK = 1 << 32  # a link is the first id times this plus the second
 
 
@@ -41,17 +42,16 @@ class ByteLevel:
     """A byte-level BPE vocabulary file: ids of texts, bytes of ids; special strings are plain text.
 
     Texts of Latin-1 characters go through a faster encoder of the same merges, if the file's merges are in the order of
-    its ids; all others through the file's own library.
+    its ids; all others through the file's own library, which is loaded when the first of them comes.
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         model, special = stored["model"], {t["content"] for t in stored["added_tokens"]}
         alphabet = byte_alphabet()
-        vocabulary = self.library.get_vocab()
+        vocabulary = model["vocab"] | {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
@@ -61,6 +61,12 @@ class ByteLevel:
         in_order = merged == sorted(set(merged)) and merged[0] >= 0 and len(ranks) == 256 + len(merged)
         self.fast = tiktoken.Encoding("lyrics", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}) if in_order else None
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _latin(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
@@ -120,13 +126,19 @@ class Crosswalk:
         self.spaced = [np.array([b[:1] == b" " for b in side.bytes]) for side in (self.first, self.second)]
         names = [[str(i) for i in range(len(side.bytes))] for side in (self.first, self.second)]
         self.written = [(i + end).encode() for side, signs in zip(names, (",|", ",;")) for end in signs for i in side]
-        self.forget()
-
-    def forget(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.raw: list[bytes | None] = []  # the window's bytes; None if the two sides differ
         self.shown: list[bytes] = []  # each group ends in `;`
         self.linked: list[bytes] = []
+        self.met = np.zeros(0, np.int64)  # how often each window came
+
+    def forget(self) -> None:
+        """Keeps the half of the room that came most often."""
+        kept = np.argsort(-self.met, kind="stable")[: MEMO // 2].tolist()
+        keys = list(self.memo)
+        self.memo = {keys[i]: n for n, i in enumerate(kept)}
+        self.raw, self.shown, self.linked = ([values[i] for i in kept] for values in (self.raw, self.shown, self.linked))
+        self.met = self.met[kept] // 2
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and the text under both tokenizers; none for an empty text."""
@@ -179,6 +191,9 @@ class Crosswalk:
         if fresh := [key for key in dict.fromkeys(windows) if key not in self.memo]:
             self.learn(fresh)
         spots = list(map(self.memo.__getitem__, windows))
+        came = np.bincount(spots, minlength=len(self.raw))
+        came[: len(self.met)] += self.met
+        self.met = came
         for i, (w0, w1) in zip(fits, pairwise(firsts)):
             own = spots[w0:w1]
             parts = list(map(self.raw.__getitem__, own))
@@ -226,6 +241,13 @@ def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
     return marked[values]
 
 
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's compressed links begin (and the last one's end), and the links of all."""
+    press = zstandard.ZstdDecompressor()
+    parts = [press.decompress(b) for b in column.to_pylist()]
+    return np.cumsum([0, *(len(p) // 8 for p in parts)]), np.frombuffer(b"".join(parts), np.int64)
+
+
 @lru_cache(maxsize=1)
 def crosswalk(first: str, second: str) -> Crosswalk:
     return Crosswalk(first, second)
@@ -253,27 +275,36 @@ def align_lyric_tokens(tracks: DataFrame, first: str, second: str) -> DataFrame:
 
     def align(batches):
         walk = crosswalk(first, second)
-        for batch in sliced(batches, size=2 << 20):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in sliced(batches, size=1 << 20):
             rows = walk.aligned(batch.column(1).to_pylist())
             n_a, n_b, hashed, links = zip(*rows) if rows else ((), (), (), ())
-            ends = np.cumsum([0, *(len(x) // 8 for x in links)])
-            flat = np.frombuffer(b"".join(links), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(n_a, pa.int64()),
                     pa.array(n_b, pa.int64()),
                     pa.array(hashed, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                    pa.array(map(press.compress, links), pa.binary()),
                 ],
                 ["track_id", "n_a", "n_b", "groups_sha256", "links"],
             )
 
     rows = tracks.select("track_id", F.coalesce("lyrics_text", F.lit("")).alias("lyrics_text"))
     kind = rows.schema["track_id"].dataType.simpleString()
-    linked = written(rows.mapInArrow(align, f"track_id {kind}, n_a long, n_b long, groups_sha256 string, links array<long>"))
-    counts = linked.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("n"))
-    known = counts.select("link", "n").orderBy("link").toArrow()  # bounded by the vocabularies' bytes
+    linked = written(rows.mapInArrow(align, f"track_id {kind}, n_a long, n_b long, groups_sha256 string, links binary"))
+
+    def count(batches):
+        known, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in sliced(batches, 500):
+            _, links = unpacked(batch.column(0))
+            known, spots = np.unique(np.concatenate([known, links]), return_inverse=True)
+            weights = np.concatenate([times, np.ones(len(links), np.int64)])
+            times = np.bincount(spots, weights, len(known)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(times)], ["link", "n"])
+
+    counts = linked.select("links").mapInArrow(count, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
+    known = counts.orderBy("link").toArrow()  # bounded by the vocabularies' bytes
     link, n = (known.column(c).to_numpy() for c in ("link", "n"))
     token = link % LINK
     highest = np.zeros(int(token.max(initial=0)) + 1, np.int64)
@@ -281,12 +312,10 @@ def align_lyric_tokens(tracks: DataFrame, first: str, second: str) -> DataFrame:
     best = n == highest[token]
 
     def weigh(batches):
-        for batch in sliced(batches):
-            lists = batch.column("links")
-            ends = lists.offsets.to_numpy()
-            spots = np.searchsorted(link, lists.flatten().to_numpy())
+        for batch in sliced(batches, 500):
+            ends, links = unpacked(batch.column("links"))
+            spots = np.searchsorted(link, links)
             sums = [np.append(0, np.cumsum(values[spots])) for values in (best.astype(np.int64), n)]
-            ends = ends - ends[0]
             size = pa.array(np.diff(ends), pa.int64())
             n_best, count_sum = (pa.array(s[ends[1:]] - s[ends[:-1]], pa.int64()) for s in sums)
             yield pa.RecordBatch.from_arrays(
