@@ -75,7 +75,7 @@ def classify_lyrics(
     the lowest hashed id, a bounded sample that the driver fits, of several rows of one id the one with
     the lowest hashed text; every track is scored. Returns
     track_id, held_out, score (0 to 1), predicted (1 if score >= cut, else 0), and the column
-    `carried` as it is, if one is named.
+    `carried` as it is, if one is named (under its own name, also if that is one of these).
 
     Null lyrics count as empty and get a score, too; ratings that are null or of unknown tracks
     are not used, of several for one track the highest; with one class only, all scores are alike.
@@ -103,29 +103,30 @@ def classify_lyrics(
     )
     machine, scale = _fitted(rated, slots)
 
-    rest = [carried] if carried else []
-
     def score(batches):
         features = Features(slots)
         for batch in sliced(batches, 1_000):
             scores = machine.scores(scale(features.rows(batch.column(2).to_pylist())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), *batch.columns[3:]],
-                ["track_id", "held_out", "score", *rest],
+                ["track_id", "held_out", "score", *(["_carried"] if carried else [])],
             )
 
     held_out = F.coalesce(remainder("track_id") == 0, F.lit(False)).alias("held_out")
+    rest = [F.col(carried).alias("_carried")] if carried else []
     rows = tracks.select("track_id", held_out, text.alias("_lyrics"), *rest)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"track_id {kinds['track_id']}", "held_out boolean", "score double", *(f"{r} {kinds[r]}" for r in rest)])
-    return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    schema = [f"track_id {kinds['track_id']}", "held_out boolean", "score double"]
+    scored = rows.mapInArrow(score, ", ".join([*schema, *(f"_carried {kinds['_carried']}" for _ in rest)]))
+    predicted = (F.col("score") >= cut).cast("int").alias("predicted")
+    return scored.select("track_id", "held_out", "score", predicted, *(F.col("_carried").alias(carried) for _ in rest))
 
 
 class Scale:
     """Statistics to mean 0 and deviation 1 in the sample; hashed words stay as they are."""
 
-    def __init__(self, rows: np.ndarray):
-        part = rows[:, :STATISTICS].astype(np.float64)
+    def __init__(self, statistics: np.ndarray):
+        part = statistics.astype(np.float64)
         self.mean = part.mean(0) if len(part) else np.zeros(STATISTICS)
         self.spread = np.maximum(part.std(0), 0.02) if len(part) else np.ones(STATISTICS)
 
@@ -135,23 +136,47 @@ class Scale:
         return scaled
 
 
+class Sample:
+    """Feature rows as they come from the tasks, made dense a batch at a time: the places and values that are not 0."""
+
+    def __init__(self, packed: list[bytes], width: int):
+        self.packed, self.shape = packed, (len(packed), width)
+        self.scale = Scale(np.array([self._dense(b)[:STATISTICS] for b in packed], np.float32).reshape(-1, STATISTICS))
+
+    @staticmethod
+    def pack(row: np.ndarray) -> bytes:
+        row = row.astype(np.float16)
+        places = np.flatnonzero(row)
+        return places.astype(np.uint16).tobytes() + row[places].tobytes()
+
+    def _dense(self, packed: bytes) -> np.ndarray:
+        n = len(packed) // 4
+        row = np.zeros(self.shape[1], np.float32)
+        row[np.frombuffer(packed, np.uint16, n)] = np.frombuffer(packed, np.float16, n, 2 * n)
+        return row
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.scale(np.array([self._dense(self.packed[i]) for i in at])).astype(np.float32)
+
+
 def _fitted(rated: DataFrame, slots: int) -> tuple[FactorisationMachine, Scale]:
     """rated: track_id, lyrics_text, quality. Features are made by tasks; rows come as bytes."""
 
     def featured(batches):
         features = Features(slots)
         for batch in sliced(batches, 1_000):
-            rows = features.rows(batch.column(1).to_pylist()).astype(np.float16)
+            rows = features.rows(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())],
+                [batch.column(0), batch.column(2), pa.array([Sample.pack(r) for r in rows], pa.binary())],
                 ["track_id", "quality", "inputs"],
             )
 
     kind = rated.schema["track_id"].dataType.simpleString()
     found = rated.mapInArrow(featured, f"track_id {kind}, quality double, inputs binary").collect()
     found.sort(key=lambda r: (str(r["track_id"]), r["inputs"]))
-    inputs = [np.frombuffer(r["inputs"], np.float16) for r in found]
-    rows = np.array(inputs, np.float32) if inputs else np.zeros((0, STATISTICS + slots), np.float32)
-    scale = Scale(rows)
-    machine = FactorisationMachine.fitted(scale(rows).astype(np.float32), np.array([r["quality"] for r in found], np.float32))
-    return machine, scale
+    sample = Sample([bytes(r["inputs"]) for r in found], STATISTICS + slots)
+    marks = np.array([r["quality"] for r in found], np.float32)
+    return FactorisationMachine.fitted(sample, marks), sample.scale

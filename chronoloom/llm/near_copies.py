@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .batches import sliced
@@ -189,22 +189,49 @@ def _linked(columns: list[np.ndarray], distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
+def _stars(edges: DataFrame, larger: bool) -> DataFrame:
+    """One step of `components`: edges (u, v) by u, in ascending v, handed to the smallest of u and its neighbours.
+
+    With `larger`, u's larger neighbours go to that smallest one; without, all of them and u itself do. Repeated edges
+    lie side by side and count once. A group is read as a stream: only its smallest node is kept.
+    """
+
+    def hand(batches):
+        node = lowest = previous = None
+        for batch in batches:
+            u, v = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(u):
+                continue
+            begins = np.append(node is None or u[0] != node, u[1:] != u[:-1])
+            fresh = begins | np.append(previous is None or v[0] != previous, v[1:] != v[:-1])
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(u)), -1))
+            low = np.where(first >= 0, np.minimum(u, v[first]), lowest if lowest is not None else 0)
+            node, lowest, previous = int(u[-1]), int(low[-1]), int(v[-1])
+            go = fresh & (v > u) if larger else fresh & (v > low)
+            a, b = v[go], low[go]
+            if not larger:
+                a, b = np.append(a, u[begins]), np.append(b, low[begins])
+            linked = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], ["u", "v"])
+
+    return edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(hand, "u long, v long")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node, root: for every node of the links a, b the smallest node it reaches.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest
-    one, then its smaller ones. Rounds grow with the logarithm of the longest chain.
+    Alternates two steps until nothing changes: every node hands its larger neighbours to the smallest node it knows,
+    then its smaller ones. Rounds grow with the logarithm of the longest chain. A round is two shuffles and one written
+    table; the writing itself counts its rows and sums their hashes, by which two rounds are compared.
     """
-    edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).filter("u <> v").distinct()
-        edges = written(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        small = _stars(_stars(both, larger=True), larger=False)
+        edges = written(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+        now = seen.get
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
@@ -228,7 +255,7 @@ def near_copies(tracks: DataFrame, distance: int = 4, width: int = 4) -> DataFra
     """
     prints = written(fingerprints(tracks, width))
     distinct = written(prints.groupBy("print").agg(F.min("track_id").alias("lowest")))
-    grouped = written(components(links(distinct, distance)))
+    grouped = components(written(links(distinct, distance)))
     roots = distinct.join(grouped, distinct["print"] == grouped["node"], "left").select(
         "print", "lowest", F.coalesce("root", "print").alias("root")
     )
