@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import astuple, dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,74 +90,179 @@ def missing_predictions(truth: DataFrame, predictions: DataFrame, keys: Sequence
 # PCM
 
 
-def parse_wav(content: bytes) -> tuple[int, int, np.ndarray]:
-    """Rate, channels and frames x channels samples in [-1, 1] of a PCM WAV."""
-    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+@dataclass(frozen=True)
+class WavLayout:
+    """What the header of a PCM WAV says: sample format, and where its frames lie."""
+
+    code: int
+    bits: int
+    channels: int
+    rate: int
+    offset: int
+    frames: int
+
+    @property
+    def frame_bytes(self) -> int:
+        return self.channels * self.bits // 8
+
+
+def wav_layout(read: Callable[[int, int], bytes], length: int) -> WavLayout:
+    """Layout of a file of ``length`` bytes; ``read(start, size)`` is asked for chunk headers only."""
+    start = read(0, 12)
+    if len(start) < 12 or start[:4] != b"RIFF" or start[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, layout, data = 12, None, None
-    while at + 8 <= len(content):
-        tag, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+    while at + 8 <= length:
+        head = read(at, 8)
+        tag, size = head[:4], struct.unpack_from("<I", head, 4)[0]
         if tag == b"fmt ":
-            layout = struct.unpack_from("<HHIIHH", content, at + 8)
+            layout = struct.unpack_from("<HHIIHH", read(at + 8, 16))
         elif tag == b"data":
-            if at + 8 + size > len(content):
+            if at + 8 + size > length:
                 raise ValueError("header announces more samples than the file holds")
-            data = memoryview(content)[at + 8 : at + 8 + size]
+            data = (at + 8, size)
         at += 8 + size + size % 2
     if layout is None or data is None:
         raise ValueError("fmt or data chunk is missing")
     code, channels, rate, _, _, bits = layout
     if code == 0xFFFE:  # extensible: 24 bits are always integers here
         code = 3 if bits == 64 else 1
-    if code == 3:
+    if (code, bits) not in ((3, 32), (3, 64), (1, 8), (1, 16), (1, 24), (1, 32)):
+        raise ValueError(f"unsupported sample format {code}/{bits}")
+    if channels < 1 or rate < 1 or data[1] % (channels * bits // 8):
+        raise ValueError("sample data does not fit the channel count")
+    return WavLayout(code, bits, channels, rate, data[0], data[1] // (channels * bits // 8))
+
+
+def wav_samples(data: bytes, layout: WavLayout) -> np.ndarray:
+    """Frames x channels samples in [-1, 1] of whole frames."""
+    bits = layout.bits
+    if layout.code == 3:
         values = np.frombuffer(data, "<f4" if bits == 32 else "<f8").astype(np.float32)
-    elif code == 1 and bits == 24:
+    elif bits == 24:
         raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
         joined = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
         values = ((joined ^ 0x800000) - 0x800000).astype(np.float32) / 8388608.0
-    elif code == 1 and bits in (16, 32):
-        values = np.frombuffer(data, f"<i{bits // 8}").astype(np.float32) / float(2 ** (bits - 1))
-    elif code == 1 and bits == 8:
+    elif bits == 8:
         values = (np.frombuffer(data, np.uint8).astype(np.float32) - 128.0) / 128.0
     else:
-        raise ValueError(f"unsupported sample format {code}/{bits}")
-    if channels < 1 or rate < 1 or len(values) % channels:
-        raise ValueError("sample data does not fit the channel count")
-    return rate, channels, values.reshape(-1, channels)
+        values = np.frombuffer(data, f"<i{bits // 8}").astype(np.float32) / float(2 ** (bits - 1))
+    return values.reshape(-1, layout.channels)
+
+
+def parse_wav(content: bytes) -> tuple[int, int, np.ndarray]:
+    """Rate, channels and frames x channels samples in [-1, 1] of a PCM WAV."""
+    layout = wav_layout(lambda start, size: content[start : start + size], len(content))
+    data = memoryview(content)[layout.offset : layout.offset + layout.frames * layout.frame_bytes]
+    return layout.rate, layout.channels, wav_samples(data, layout)
+
+
+def store_of(path: str) -> tuple[FileSystem, str]:
+    """The store of a path as Spark writes it, and the place in it."""
+    local = re.fullmatch("(?:file:)?/+(.*)", path)
+    if local:
+        return LocalFileSystem(), "/" + local[1]
+    return FileSystem.from_uri(path) if ":" in path else (LocalFileSystem(), path)
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of any store that Arrow reaches, for reading ranges."""
+    store, place = store_of(path)
+    return store.open_input_file(place)
+
+
+def reachable(path: str) -> bool:
+    """Whether ranges of the files below ``path`` can be read; else Spark alone reads them, each as a whole."""
+    try:
+        store_of(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def wav_files(spark: SparkSession, path: str, *columns: str, deep: bool = False) -> DataFrame:
+    """Spark's listing of WAV files; contents are only read if asked for."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", deep)
+    return found.load(path).select(*columns)
 
 
 PCM_SCHEMA = (
     "track_id string, rate int, channels int, sample_count bigint, chunk_idx bigint, start_sample bigint, "
     "samples array<float>, error string"
 )
+PCM_COLUMNS = [c.strip().split()[0] for c in PCM_SCHEMA.split(",")]
+LAYOUT_SCHEMA = "path string, code int, bits int, channels int, rate int, offset bigint, frames bigint, error string"
+
+
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Headers of files, which are not read beyond them."""
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            try:
+                with opened(path) as file:
+                    found = wav_layout(lambda start, size: file.read_at(size, start), file.size())
+                rows.append((path, *astuple(found), None))
+            except (ValueError, struct.error, OSError) as problem:
+                rows.append((path, *[None] * 6, str(problem)))
+        columns = [c.split()[0] for c in LAYOUT_SCHEMA.split(", ")]
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[1:-1]})
 
 
-def read_pcm(spark: SparkSession, path: str, chunk: int = 1 << 18) -> DataFrame:
-    """Mono chunks of a folder of PCM WAV files, files in parallel.
+def read_pcm(spark: SparkSession, path: str, chunk: int = 1 << 18, chunks_per_part: int = 64) -> DataFrame:
+    """Mono chunks of a folder of PCM WAV files, ranges of files in parallel.
 
     Mono is the channel mean.  A file that cannot be read gives one row with
-    ``error`` and no samples; it does not fail the job.
+    ``error`` and no samples; it does not fail the job.  Headers are read first and cut the frames of a
+    file into ranges of ``chunks_per_part`` chunks; each range is a row of its own that any task may read, a chunk at a
+    time.  In stores that only Spark reaches a file is read whole.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+    if not reachable(path):
+        return _read_whole(spark, path, chunk)
+    heads = wav_files(spark, path, "path").mapInPandas(_layouts, LAYOUT_SCHEMA)
+    step = chunk * chunks_per_part
+    parts = heads.withColumn(
+        "begin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.coalesce("frames", F.lit(0)), F.lit(1)) - 1, F.lit(step)))
+    )
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.strip().split()[0] for c in PCM_SCHEMA.split(",")]
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                track = row.path.rsplit("/", 1)[-1].removesuffix(".wav")
+                if row.error is not None:
+                    yield pd.DataFrame([(track, *[None] * 6, row.error)], columns=PCM_COLUMNS)
+                    continue
+                layout = WavLayout(*(int(getattr(row, f.name)) for f in fields(WavLayout)))
+                begin = int(row.begin)
+                with opened(row.path) as file:
+                    for start in range(begin, min(begin + step, max(1, layout.frames)), chunk):
+                        n = min(chunk, layout.frames - start)
+                        data = file.read_at(n * layout.frame_bytes, layout.offset + start * layout.frame_bytes)
+                        mono = wav_samples(data, layout).mean(axis=1, dtype=np.float32)
+                        facts = (track, layout.rate, layout.channels, layout.frames, start // chunk, start, mono, None)
+                        yield pd.DataFrame([facts], columns=PCM_COLUMNS)
+
+    # a given number of partitions: the rows are few and small, what they stand for is not
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, "path", "begin").mapInPandas(decode, PCM_SCHEMA)
+
+
+def _read_whole(spark: SparkSession, path: str, chunk: int) -> DataFrame:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 track = name.rsplit("/", 1)[-1].removesuffix(".wav")
                 try:
                     rate, channels, frames = parse_wav(bytes(content))
                 except (ValueError, struct.error) as problem:
-                    yield pd.DataFrame([(track, None, None, None, None, None, None, str(problem))], columns=columns)
+                    yield pd.DataFrame([(track, *[None] * 6, str(problem))], columns=PCM_COLUMNS)
                     continue
                 mono = frames.mean(axis=1, dtype=np.float32)
                 for i, start in enumerate(range(0, max(1, len(mono)), chunk)):
                     part = mono[start : start + chunk]
-                    yield pd.DataFrame(
-                        [(track, rate, channels, len(mono), i, start, part, None)], columns=columns
-                    )
+                    yield pd.DataFrame([(track, rate, channels, len(mono), i, start, part, None)], columns=PCM_COLUMNS)
 
-    return files.mapInPandas(decode, PCM_SCHEMA)
+    return wav_files(spark, path, "path", "content").mapInPandas(decode, PCM_SCHEMA)
 
 
 def samples_of(chunks: DataFrame) -> DataFrame:
@@ -162,33 +272,52 @@ def samples_of(chunks: DataFrame) -> DataFrame:
     )
 
 
-WAV_FACTS = "rate int, channels int, sample_count bigint, error string"
+WAV_FACTS = "rate int, channels int, sample_count bigint, sha256 string, error string"
+HASHED_AT_ONCE = 1 << 23
+
+
+def _wav_facts(read: Callable[[int, int], bytes], length: int) -> tuple:
+    digest = hashlib.sha256()
+    for start in range(0, length, HASHED_AT_ONCE):
+        digest.update(read(start, min(HASHED_AT_ONCE, length - start)))
+    try:
+        layout = wav_layout(read, length)
+        return layout.rate, layout.channels, layout.frames, digest.hexdigest(), None
+    except (ValueError, struct.error) as problem:
+        return None, None, None, digest.hexdigest(), str(problem)
 
 
 def asset_inventory(spark: SparkSession, path: str, tracks: DataFrame, reference: str = "reference") -> DataFrame:
     """Size, hash and timeline of every asset, and whether it fits its track.
 
     Assets lie at .../<track_id>/<role>.wav.  Rate and sample count must equal the
-    track's; the channel count only for the reference asset.
+    track's; the channel count only for the reference asset.  A file is hashed piece by piece; its header
+    alone is parsed.  In stores that only Spark reaches a file is read whole.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    ranged = reachable(path)
+    files = wav_files(spark, path, "path", "length", *([] if ranged else ["content"]), deep=True)
 
-    @F.pandas_udf(WAV_FACTS)
-    def facts(content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for blob in content:
-            try:
-                rate, channels, frames = parse_wav(bytes(blob))
-                rows.append((rate, channels, len(frames), None))
-            except (ValueError, struct.error) as problem:
-                rows.append((None, None, None, str(problem)))
-        return pd.DataFrame(rows, columns=["rate", "channels", "sample_count", "error"])
-
-    assets = files.select(
-        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("track_id"),
-        F.regexp_extract("path", "([^/]+)\\.wav$", 1).alias("role"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"), facts("content").alias("f"),
-    ).select("track_id", "role", "bytes", "sha256", "f.*")
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                if ranged:
+                    with opened(row.path) as file:
+                        found = _wav_facts(lambda start, size: file.read_at(size, start), file.size())
+                else:
+                    content = bytes(row.content)
+                    found = _wav_facts(lambda start, size: content[start : start + size], len(content))
+                rows.append((row.path, row.length, *found))
+            columns = ["path", "bytes", *(c.split()[0] for c in WAV_FACTS.split(", "))]
+            kinds = {c: "Int64" for c in ("rate", "channels", "sample_count")}
+            yield pd.DataFrame(rows, columns=columns).astype(kinds)
+
+    if ranged:  # the listing is small rows: spread what they stand for
+        files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    assets = files.mapInPandas(facts, f"path string, bytes bigint, {WAV_FACTS}").select(
+        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("track_id"), F.regexp_extract("path", "([^/]+)\\.wav$", 1).alias("role"),
+        "bytes", "sha256", "rate", "channels", "sample_count", "error",
+    )
     expected = tracks.select(
         "track_id", F.col("rate").alias("_rate"), F.col("sample_count").alias("_count"), F.col("channels").alias("_channels")
     )

@@ -1,7 +1,10 @@
 """Sources, sinks and extractors on files."""
 
+import hashlib
 import json
+import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -141,3 +144,59 @@ def test_text_goldens(spark):
         ("きゃ", "yoon"), ("っ", "sokuon"), ("と", "mora"), ("ん", "nasal"), ("ー", "long_vowel"), ("ぁ", "mora"), ("！", "silence"), ("あ", "mora"),
     ]
     assert row["uid"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "candidate:1"))
+
+
+def wav_bytes(samples, rate=8_000, bits=16, channels=2):
+    """A PCM WAV with a chunk before and after its data."""
+    body = samples.astype(f"<i{bits // 8}").tobytes()
+    block = channels * bits // 8
+    head = b"fmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * block, block, bits)
+    parts = head + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(body)) + body + b"tail" + struct.pack("<I", 0)
+    return b"RIFF" + struct.pack("<I", 4 + len(parts)) + b"WAVE" + parts
+
+
+def test_ranges_of_one_file_go_to_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    long = rng.integers(-30_000, 30_000, (300_001, 2))
+    (tmp_path / "a b").mkdir()
+    files = {"long": long, "short": long[:10], "none": long[:0]}
+    for name, samples in files.items():
+        (tmp_path / "a b" / f"{name}.wav").write_bytes(wav_bytes(samples))
+    (tmp_path / "a b" / "broken.wav").write_bytes(wav_bytes(long)[:5_000])
+    (tmp_path / "a b" / "text.wav").write_bytes(b"no")
+    chunks = readers.read_pcm(spark, str(tmp_path / "a b"), chunk=1_000, chunks_per_part=8)
+    rows = chunks.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["track_id"] for r in rows if r["error"]} == {"broken", "text"}
+    for name, samples in files.items():
+        own = sorted((r for r in rows if r["track_id"] == name), key=lambda r: r["chunk_idx"])
+        assert [r["start_sample"] for r in own] == list(range(0, max(1, len(samples)), 1_000))
+        assert all(r["sample_count"] == len(samples) and (r["rate"], r["channels"]) == (8_000, 2) for r in own)
+        got = np.concatenate([r["samples"] for r in own])
+        want = (samples.astype(np.float32) / 32_768).mean(axis=1, dtype=np.float32)
+        assert np.array_equal(got.astype(np.float32), want)
+        _, _, whole = readers.parse_wav(wav_bytes(samples))
+        assert np.array_equal(whole.mean(axis=1, dtype=np.float32), want)
+    tasks = {}
+    for r in rows:
+        if r["track_id"] == "long":
+            tasks.setdefault(r["task"], []).append(r["chunk_idx"])
+    assert len(tasks) > 2 and max(map(len, tasks.values())) < 301  # no task reads the whole file
+    same = readers._read_whole(spark, str(tmp_path / "a b"), 1_000).drop("samples", "error").exceptAll(chunks.drop("samples", "error"))
+    assert same.count() == 0
+
+
+def test_inventory_reads_headers_and_hashes(spark, tmp_path, monkeypatch):
+    samples = np.arange(600).reshape(-1, 2)
+    for track, role in (("t1", "reference"), ("t1", "vocals"), ("t2", "reference")):
+        (tmp_path / track).mkdir(exist_ok=True)
+        (tmp_path / track / f"{role}.wav").write_bytes(wav_bytes(samples if track == "t1" else samples[:5], channels=2))
+    (tmp_path / "t2" / "drums.wav").write_bytes(b"RIFFxxxx")
+    tracks = spark.createDataFrame([("t1", 8_000, 300, 2), ("t2", 8_000, 300, 2)], "track_id string, rate int, sample_count bigint, channels int")
+    for near in (True, False):
+        monkeypatch.setattr(readers, "reachable", lambda path, near=near: near)
+        out = {(r["track_id"], r["role"]): r for r in readers.asset_inventory(spark, str(tmp_path), tracks).collect()}
+        assert len(out) == 4 and out["t2", "drums"]["error"] and not out["t2", "drums"]["fits"]
+        assert [out[k]["fits"] for k in (("t1", "reference"), ("t1", "vocals"), ("t2", "reference"))] == [True, True, False]
+        for (track, role), r in out.items():
+            content = (tmp_path / track / f"{role}.wav").read_bytes()
+            assert r["sha256"] == hashlib.sha256(content).hexdigest() and r["bytes"] == len(content)
