@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,55 +28,112 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _bounds(places: DataFrame, ranges: int, rows_per_range: int) -> list[int]:
-    """Places that begin ranges of like size, in ascending order; at most `ranges`.
+LOWEST = -(1 << 63)  # place of a null id
+SEEN = 100_000  # rows whose copies a task remembers
+
+
+def _tops(places: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """place and hash of the highest row of each of about `ranges` contiguous ranges, in ascending order."""
+    dealt = places.distinct().repartitionByRange(ranges, "place", "hash")
+    highest = dealt.groupBy(F.spark_partition_id()).agg(F.max(F.struct("place", "hash")).alias("top"))
+    tops = sorted((r["top"]["place"], r["top"]["hash"]) for r in highest.collect())  # one row per range
+    return tuple(np.array([t[i] for t in tops], np.int64) for i in (0, 1))
+
+
+def range_of(place: np.ndarray, hashed: np.ndarray, tops: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first range whose highest row is not below each row."""
+    first, last = (np.searchsorted(tops[0], place, side) for side in ("left", "right"))
+    at = first.copy()
+    for i in np.flatnonzero(last > first).tolist():  # ranges that share their highest place
+        at[i] += np.searchsorted(tops[1][first[i] : last[i]], hashed[i], "left")
+    return at
 
-    Percentiles of a long are doubles, so beyond 2^53 they need not be places of the table: they only
-    cut it, and the highest place of each cut is taken.
-    """
-    n = places.count()
-    parts = min(ranges, n // rows_per_range + 1)
-    shares = [i / parts for i in range(1, parts)]
-    found = places.agg(F.percentile_approx("place", shares, 10 * parts)).first()[0] if shares else []
-    cuts = np.array(sorted(set(found or [])), np.int64)
 
-    @F.pandas_udf("int")
-    def cut(places: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, places.to_numpy(), "left"))
+COPIES = "part int, extra boolean, place long, hash long, copies long"
 
-    highest = places.groupBy(cut("place")).agg(F.max("place")).collect()  # one row per range
-    return sorted(r[1] for r in highest)
+
+def _dealt(tops: tuple[np.ndarray, np.ndarray]):
+    """Rows with their range, counted downwards. Of equal rows a task hands on one, and how many more there are."""
+    last = len(tops[0]) - 1
+
+    def deal(batches):
+        seen: dict[tuple, int] = {}
+        kinds = None
+
+        def rest() -> pa.RecordBatch:
+            keys = [key for key, n in seen.items() if n]
+            place, hashed, track = ([k[i] for k in keys] for i in range(3))
+            part = last - range_of(np.array(place, np.int64), np.array(hashed, np.int64), tops)
+            values = [part, [False] * len(keys), place, hashed, [seen[k] for k in keys], track, [None] * len(keys)]
+            columns = [pa.array(v, t) for v, t in zip(values, [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *kinds])]
+            return pa.RecordBatch.from_arrays(columns, ["part", "extra", "place", "hash", "copies", "track_id", "lyrics_text"])
+
+        for batch in sliced(batches):
+            kinds = [batch.column("track_id").type, batch.column("lyrics_text").type]
+            place, hashed = (batch.column(c).to_numpy() for c in ("place", "hash"))
+            fresh = []
+            for i, key in enumerate(zip(place.tolist(), hashed.tolist(), batch.column("track_id").to_pylist())):
+                if key in seen:
+                    seen[key] += 1
+                else:
+                    seen[key] = 0
+                    fresh.append(i)
+            own = batch.take(pa.array(fresh, pa.int64()))
+            place, hashed = place[fresh], hashed[fresh]
+            part = pa.array((last - range_of(place, hashed, tops)).astype(np.int32))
+            ones = pa.array(np.ones(len(fresh), np.int64))
+            flags = pa.array(np.zeros(len(fresh), bool))
+            columns = [part, flags, pa.array(place), pa.array(hashed), ones, own.column("track_id"), own.column("lyrics_text")]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "extra", "place", "hash", "copies", "track_id", "lyrics_text"])
+            if len(seen) > SEEN:
+                yield rest()
+                seen.clear()
+        if kinds:
+            yield rest()
+
+    return deal
+
+
+AT_ONCE = 5_000  # result rows of one track that are made at a time
 
 
 def _compare(k: int, width: int):
-    """Walks ranges in order; each track is compared with the row after it."""
+    """Walks ranges in order; each track is compared with the row after it, and its copies with itself."""
 
     def compare(batches):
-        before = None
+        held = None  # part, extra, key, text, sketch, copies
+        kind = pa.null()
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[] for _ in NAMES]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *KINDS])], NAMES)
+
         for batch in sliced(batches):
-            out = []
-            for part, extra, track, text in zip(*(c.to_pylist() for c in batch.columns)):
-                here = part, extra, track, text, Sketch.of(text, k, width)
-                if before is not None and before[0] == part and not before[1]:
-                    out.append(_row(before, here, k, width))
-                before = here
-            columns = list(zip(*out)) or [[] for _ in NAMES]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], batch.column(2).type),
-                    *(pa.array(c, t) for c, t in zip(columns[1:], KINDS)),
-                ],
-                NAMES,
-            )
+            kind = batch.column("track_id").type
+            out: list[tuple] = []
+            for part, extra, place, hashed, copies, track, text in zip(*(c.to_pylist() for c in batch.columns)):
+                key = place, hashed, track
+                if held is not None and held[0] == part and held[2] == key and held[1] == extra:
+                    held[5] += copies
+                    continue
+                here = [part, extra, key, text, Sketch.of(text, k, width), copies]
+                if held is not None and held[0] == part and not held[1]:
+                    if held[5] > 1:
+                        same = _row(held, held, k, width)
+                        for at in range(0, held[5] - 1, AT_ONCE):
+                            yield made([same] * min(AT_ONCE, held[5] - 1 - at))
+                    out.append(_row(held, here, k, width))
+                held = here
+            yield made(out)
 
     return compare
 
 
-def _row(track: tuple, following: tuple, k: int, width: int) -> tuple:
+def _row(track: list, following: list, k: int, width: int) -> tuple:
     text = edited(track[3], following[3])
     own, other = track[4], Sketch.of(text, k, width)
     return (
-        track[2],
+        track[2][2],
         len(track[3]),
         hashlib.sha256(text.encode()).hexdigest(),
         own.text(),
@@ -89,9 +145,7 @@ def _row(track: tuple, following: tuple, k: int, width: int) -> tuple:
     )
 
 
-def fingerprint_lyrics(
-    tracks: DataFrame, k: int = 128, width: int = 8, ranges: int = 20_000, rows_per_range: int = 500
-) -> DataFrame:
+def fingerprint_lyrics(tracks: DataFrame, k: int = 128, width: int = 8, ranges_per_task: int = 8) -> DataFrame:
     """Bottom-k sketches of each track's lyrics and of an edited form that runs into the next track.
 
     tracks: track_id (a number), lyrics_text. Shingles are runs of `width` code points; a sketch
@@ -103,38 +157,37 @@ def fingerprint_lyrics(
     (resemblance), kept_share (containment of the text in its edited form).
 
     Null lyrics count as empty: an empty fingerprint; two empty texts have likeness 1. Equal ids
-    follow each other by text; a null id comes after all others. A single track follows itself.
-    An empty table gives an empty result; other columns are ignored. Ranges of ids (at most
-    `ranges`) are dealt out once, each with the first track of the next range at its end, so no
-    range needs another; rows are streamed in order.
+    follow each other by a hash of the text, equal rows each other; a null id comes after all others. A single track
+    follows itself. An empty table gives an empty result; other columns are ignored. Texts of any length are taken whole.
+
+    Tracks are dealt out once, in ranges of (id, text hash), `ranges_per_task` for each task, so an id on many rows is
+    many ranges; each range ends with the first track of the next one. Of equal rows a task sends the text once and the number
+    of the others. Ranges are streamed in order.
     """
-    lowest = -(1 << 63)
     rows = tracks.select(
         "track_id",
         F.coalesce("lyrics_text", F.lit("")).alias("lyrics_text"),
-        F.coalesce(F.col("track_id").cast("long"), F.lit(lowest)).alias("place"),
-    )
+        F.coalesce(F.col("track_id").cast("long"), F.lit(LOWEST)).alias("place"),
+    ).withColumn("hash", F.xxhash64("lyrics_text"))
+    spark = tracks.sparkSession
     kind = rows.schema["track_id"].dataType.simpleString()
-    begins = np.array(_bounds(rows.select("place"), ranges, rows_per_range), np.int64)
-    last = len(begins) - 1
-
-    @F.pandas_udf("array<struct<part: int, extra: boolean>>")
-    def spots(places: pd.Series) -> pd.Series:
-        """The range of a place, counted downwards; what begins a range also ends the one above."""
-        at = np.searchsorted(begins, places.to_numpy(), "left")
-        first = begins[at] == places.to_numpy()
-        return pd.Series(
-            [
-                [{"part": last - a, "extra": False}, {"part": last - a - 1 if a < last else last, "extra": True}][: 1 + f]
-                for a, f in zip(at.tolist(), first.tolist())
-            ]
+    tops = _tops(rows.select("place", "hash"), ranges_per_task * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    last = len(tops[0]) - 1
+    # the highest row of a range, once, also ends the range above; that of all ends the lowest
+    named = spark.createDataFrame(
+        [(i, p, h) for i, (p, h) in enumerate(zip(*(t.tolist() for t in tops)))], "range int, _place long, _hash long"
+    )
+    part = F.when(F.col("range") == last, last).otherwise(last - 1 - F.col("range")).cast("int")
+    extra = (
+        rows.join(F.broadcast(named), (F.col("place") == F.col("_place")) & (F.col("hash") == F.col("_hash")))  # a row per range
+        .groupBy("range", "place", "hash").agg(F.min(F.struct("track_id", "lyrics_text")).alias("row"))
+        .select(
+            part.alias("part"), F.lit(True).alias("extra"), "place", "hash", F.lit(1).cast("long").alias("copies"),
+            "row.track_id", "row.lyrics_text",
         )
-
-    ordered = (
-        rows.withColumn("at", F.explode(spots("place")))
-        .select("at.part", "at.extra", "place", "track_id", "lyrics_text")
-        .repartition("part")
-        .sortWithinPartitions("part", "extra", F.desc("place"), "lyrics_text")
-        .drop("place")
+    )
+    dealt = rows.mapInArrow(_dealt(tops), f"{COPIES}, track_id {kind}, lyrics_text string").unionByName(extra)
+    ordered = dealt.repartition("part").sortWithinPartitions(
+        "part", "extra", F.desc("place"), F.desc("hash"), "track_id", F.asc_nulls_last("lyrics_text")
     )
     return ordered.mapInArrow(_compare(k, width), f"track_id {kind}, {SCHEMA}")

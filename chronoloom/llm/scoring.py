@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -19,23 +20,32 @@ END = "\n"  # no word contains white space
 COMMON = 200_000  # words with a share of 1/COMMON or more, so at most that many
 
 
+LONGEST = 64  # bytes of a word that is kept as it is
+
+
 def _words(text: str) -> list[bytes]:
     """A-Z in lower case, cut at ASCII white space."""
     return text.encode().lower().split()
 
 
+def _bounded(word: bytes) -> bytes:
+    """The word, or a short name of a longer one that no word can have."""
+    return word if len(word) <= LONGEST else b"\t" + hashlib.sha256(word).hexdigest().encode()
+
+
 def word_counts(tracks: DataFrame) -> DataFrame:
-    """word, n over the training tracks, the end of each counted as a word of its own."""
+    """word (see `_bounded`), n over the training tracks, the end of each counted as a word of its own."""
 
     def count(batches):
         for batch in batches:
             seen = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update(_words(text))
+            for part in sliced([batch]):
+                for text in part.column(0).to_pylist():
+                    seen.update(_words(text))
             seen[END.encode()] += batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(seen), pa.binary()).cast(pa.string()),
+                    pa.array(map(_bounded, seen), pa.binary()).cast(pa.string()),
                     pa.array(list(seen.values()), pa.int64()),
                 ],
                 ["word", "n"],
@@ -74,9 +84,13 @@ class WordBook:
             self._reset()
 
     def _met(self, word: bytes) -> int:
-        code = self.code_of[word] = len(self.words)
-        self.words.append(word)
-        self.slot_of.append(zlib.crc32(word) % self.slots)
+        name = _bounded(word)
+        if name is not word and name in self.code_of:
+            code = self.code_of[word] = self.code_of[name]
+            return code
+        code = self.code_of[word] = self.code_of[name] = len(self.words)
+        self.words.append(name)
+        self.slot_of.append(zlib.crc32(name) % self.slots)
         self.count_of.append(0)
         return code
 
@@ -179,7 +193,8 @@ def score_lyrics(tracks: DataFrame, states: int = 6, rounds: int = 4, slots: int
 
     Null lyrics count as empty (one token, the end); a null id is learned from; rows repeat as
     they come; an empty table gives an empty result; other columns are ignored. Words with at least
-    1/200,000 of all tokens go to every task, at most that many; all others are joined. For
+    1/200,000 of all tokens go to every task, at most that many; all others are joined. Words of more than 64 bytes go by
+    a hash of theirs, so no word is too long for either way. For
     training only, sequences are cut into windows of 2,048 tokens; scores run over whole texts.
     """
     held_out = F.coalesce(F.crc32(F.col("track_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -188,8 +203,7 @@ def score_lyrics(tracks: DataFrame, states: int = 6, rounds: int = 4, slots: int
     )
     counts = written(word_counts(rows))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = (F.col("n") * COMMON >= F.lit(total)) & (F.octet_length("word") <= 64)
-    frequent = counts.filter(often | (F.col("word") == END))
+    frequent = counts.filter((F.col("n") * COMMON >= F.lit(total)) | (F.col("word") == END))
     common = {
         r["word"].encode(): (r["slot"], r["n"]) for r in frequent.select("word", _slot("word", slots).alias("slot"), "n").collect()
     }

@@ -26,16 +26,20 @@ def shard_tracks(tracks: DataFrame, shards: int) -> DataFrame:
     grown_shard (null: sizes decide here, not the number of shards).
 
     Null lyrics have size 1 and the checksum of the empty text. Tracks with the same id are
-    ordered by checksum and size; a null id comes first. An empty table gives an empty result;
-    other columns are ignored. Built-in functions only; texts are read once and not shuffled.
+    ordered by checksum and size, equal rows by their place in the table, so a row that is repeated however often is cut
+    into cells like any range; a null id comes first. Very long texts have the size they have: a shard may then be
+    off by that much. An empty table gives an empty result; other columns are ignored. Built-in functions only; texts are read
+    once and not shuffled.
     """
     text = F.coalesce("lyrics_text", F.lit(""))
     sized = tracks.select(
         "track_id",
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("row", F.lit(1).cast("long"))
-    order = ["track_id", "text_crc32", "size"]
+        F.lit(1).cast("long").alias("row"),
+        F.monotonically_increasing_id().alias("place"),  # fixed by the table that in_cells writes
+    )
+    order = ["track_id", "text_crc32", "size", "place"]
     cells = in_cells(sized, *order)
     placed = before(cells, order, {"start": "size", "rank": "row"})
     total = cells.agg(F.sum("size")).first()[0] or 1

@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronoloom.llm import hmm, sketches
+from chronoloom.llm import fingerprints, hmm, sketches
 from chronoloom.llm.classifier import classify_lyrics
 from chronoloom.llm.curve import hilbert_keys
 from chronoloom.llm.fingerprints import fingerprint_lyrics
@@ -157,6 +158,33 @@ def test_shards(tracks, empty):
     assert shard_tracks(empty, 8).count() == 0
 
 
+def test_shards_of_a_hot_row(spark):
+    """One row on a third of the table is cut into many cells and shards."""
+    rows = [(7, "hot")] * 600 + [(i, "x" * (i % 9)) for i in range(1_200)]
+    table = spark.createDataFrame(rows, "track_id long, lyrics_text string").repartition(5)
+    got = shard_tracks(table, 8).collect()
+    sizes = {s: sum(r["size"] for r in got if r["shard"] == s) for s in range(8)}
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 2 * 10
+    assert len({r["shard"] for r in got if r["track_id"] == 7}) > 2
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_long_words_go_by_their_hash(spark):
+    long = ["w" * 200 + str(i) for i in range(3)]
+    rows = [(i, f"a b {long[i % 2]} c") for i in range(90)] + [(500, f"{long[2]} {long[0].upper()}")]
+    table = spark.createDataFrame(rows, "track_id long, lyrics_text string")
+    got = {r["track_id"]: r for r in score_lyrics(table, rounds=1).collect()}
+    learned = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for _, t in learned for w in t.lower().split()) + Counter({"\n": len(learned)})
+    n, kinds = counts.total(), len(counts)
+    for i, text in rows:
+        tokens = [*text.lower().split(), "\n"]
+        want = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in tokens)
+        assert abs(got[i]["base_score"] - want) < 1e-6
+        assert (got[i]["n_known"], got[i]["n_tokens"]) == (sum(w in counts for w in tokens), len(tokens))
+
+
 def test_shards_at_their_bounds(spark):
     """A small document at a bound of a large table goes where exact integers put it."""
     texts = spark.range(2).select(F.col("id").alias("track_id"), F.expr("CASE WHEN id = 0 THEN repeat('a', 10000000) END").alias("lyrics_text"))
@@ -317,16 +345,50 @@ def test_word_ids():
     assert [x.tolist() for x in coder.ids(pa.array(texts).slice(3, 4))] == want[3:7]
 
 
-def test_fingerprints(tracks, empty, spark):
-    rows = sorted(texts_of(tracks), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+def in_order(rows):
+    """Descending ids, null last; equal ids by descending signed hash of their text."""
+    signed = lambda text: (xxhash.xxh64_intdigest(text.encode(), 42) + 2**63) % 2**64 - 2**63
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1])))
+
+
+def edits(rows):
     want = []
     for i, (track, text) in enumerate(rows):
         following = rows[(i + 1) % len(rows)][1]
         third = len(text) // 3
         text_2 = text[: len(text) - third] + following[:third]
         want.append((track, len(text), hashlib.sha256(text_2.encode()).hexdigest()))
-    for size in (1, 20, 10_000):
-        got = fingerprint_lyrics(tracks, rows_per_range=size)
+    return want
+
+
+def test_fingerprints_of_hot_rows(spark, monkeypatch):
+    """A third of the rows are one row, a third have one id and a third none; a range takes a part of an id."""
+    schema = "track_id long, lyrics_text string"
+    texts = ["the same words again"] * 700 + [f"line {i} of one id" for i in range(700)] + [f"no id {i}" for i in range(700)]
+    ids = [5] * 1_400 + [None] * 700
+    rows = [*zip(ids, texts), (9, "above"), (1, "below"), (1, None)]
+    table = spark.createDataFrame(rows, schema).repartition(6).cache()
+    monkeypatch.setattr(fingerprints, "SEEN", 50)
+    got = fingerprint_lyrics(table, ranges_per_task=4)
+    same([r[:3] for r in got.collect()], edits(in_order([(i, t or "") for i, t in rows])))
+    places = table.select(F.coalesce("track_id", F.lit(fingerprints.LOWEST)).alias("place"), F.xxhash64("lyrics_text").alias("hash"))
+    tops = fingerprints._tops(places, 32)
+    assert (tops[0] == 5).sum() > 5 and (tops[0] == fingerprints.LOWEST).sum() > 5
+    batches = table.withColumn("place", F.coalesce("track_id", F.lit(fingerprints.LOWEST)))
+    batches = batches.withColumn("lyrics_text", F.coalesce("lyrics_text", F.lit(""))).withColumn("hash", F.xxhash64("lyrics_text"))
+    dealt = batches.coalesce(1).mapInArrow(
+        fingerprints._dealt(tops), f"{fingerprints.COPIES}, track_id long, lyrics_text string"
+    )
+    sent = dealt.groupBy("part").count().toPandas()
+    assert sent["count"].max() < 250  # of 2,103 rows
+    assert dealt.agg(F.sum("copies")).first()[0] == len(rows)
+
+
+def test_fingerprints(tracks, empty, spark):
+    rows = in_order(texts_of(tracks))
+    want = edits(rows)
+    for ranges in (1, 3, 40):
+        got = fingerprint_lyrics(tracks, ranges_per_task=ranges)
         same([r[:3] for r in got.collect()], want)
     prints = {}
     texts = {}
@@ -352,7 +414,7 @@ def test_fingerprints_of_hashed_ids(spark):
     for (track, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
         third = len(text) // 3
         want.append((track, len(text), hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()))
-    same([r[:3] for r in fingerprint_lyrics(table, rows_per_range=100).collect()], want)
+    same([r[:3] for r in fingerprint_lyrics(table, ranges_per_task=5).collect()], want)
 
 
 def test_sketches_estimate():
