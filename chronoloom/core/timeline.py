@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+WHOLE_KEY = "_key"
 
 
 def floor_div(value: Column, width: int) -> Column:
@@ -76,7 +77,9 @@ def carried(
     prev, nxt = dict(prev or {}), dict(nxt or {})
     run_sum, run_max = dict(run_sum or {}), dict(run_max or {})
 
-    sliced = df.withColumn(SLICE, tl.slice_of())
+    # as one column the keys are equal where both are null, in windows and in the join alike
+    sliced = df.withColumns({WHOLE_KEY: F.struct(*tl.keys), SLICE: tl.slice_of()})
+    home = [WHOLE_KEY, SLICE]
     order = F.struct(*tl.order)
 
     summary = []
@@ -93,9 +96,9 @@ def carried(
     for name, value in run_max.items():
         summary.append(F.max(value).alias(f"_in_{name}"))
 
-    back = Window.partitionBy(*tl.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(WHOLE_KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     forth = (
-        Window.partitionBy(*tl.keys).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(WHOLE_KEY).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = []
     for name in [*last, *prev]:
@@ -107,12 +110,12 @@ def carried(
     for name in run_max:
         carry.append(F.max(f"_in_{name}").over(back).alias(f"_carry_{name}"))
 
-    per_slice = sliced.groupBy(*tl.home()).agg(*summary).select(*tl.home(), *carry)
+    per_slice = sliced.groupBy(*home).agg(*summary).select(*home, *carry)
 
-    inside = Window.partitionBy(*tl.home()).orderBy(*tl.order)
+    inside = Window.partitionBy(*home).orderBy(*tl.order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     # "at or after": walk the slice backwards, so that the frame stays incremental
-    backwards = Window.partitionBy(*tl.home()).orderBy(*[F.desc(c) for c in tl.order])
+    backwards = Window.partitionBy(*home).orderBy(*[F.desc(c) for c in tl.order])
     fromhere = backwards.rowsBetween(Window.unboundedPreceding, 0)
 
     local = {}
@@ -129,7 +132,7 @@ def carried(
     for name, value in upcoming.items():
         local[f"_loc_{name}"] = F.last(value, ignorenulls=True).over(fromhere)
 
-    out = sliced.withColumns(local).join(per_slice, tl.home(), "left")
+    out = sliced.withColumns(local).join(per_slice, home, "left")
     result = {}
     for name in [*last, *upcoming]:
         result[name] = F.coalesce(f"_loc_{name}", f"_carry_{name}")

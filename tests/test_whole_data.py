@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.core.chains import spaced
 from chronoloom.core.durable import own_folder
-from chronoloom.core.timeline import Timeline
+from chronoloom.core.timeline import Timeline, carried
 from chronoloom.functions.text import moras
 from chronoloom.operators.metrics import duplicate_count
 from chronoloom.operators.pyramid import build_lods, select_lod
@@ -35,6 +35,17 @@ def test_null_keys_stay(spark):
     assert len({r["count"] for r in kept}) == 1 and {r["track_id"] for r in kept} == {1, None}
 
 
+def test_null_keys_get_what_enters_a_slice(spark):
+    rows = events(spark, 0, 1).unionByName(events(spark, 0, None))
+    line = Timeline(["track_id"], "pos", ["id"], 3)
+    x = F.col("score")
+    out = carried(rows, line, last={"l": F.when(F.col("id") % 7 == 0, x)}, prev={"p": x}, nxt={"n": x}, run_sum={"s": x}, run_max={"m": x})
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["track_id"], {})[r["id"]] = (r["l"], r["p"], r["n"], round(r["s"], 6), r["m"])
+    assert got[None] == got[1] and sum(v[0] is not None for v in got[1].values()) > len(got[1]) // 2
+
+
 def test_project_without_rows_is_written(spark):
     tracks = spark.createDataFrame([(1, "a"), (2, "b")], "track_id long, title string")
     hits = spark.createDataFrame([(1, 5, 5, 9)], "track_id long, acoustic long, chart long, id long")
