@@ -208,26 +208,57 @@ def rhythm_input(spark, d):
     })
 
 
-@query("w12_rhythm_constraint")
-def w12(spark, d):
-    out, _ = S.rhythm_constrain(
+RHYTHM_CELLS = f"""{HITS}, t AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS final, [vote1, vote2, 'stem_' || primary_stem] AS votes FROM hits),
+c AS (SELECT *, sign(pos - 700)::BIGINT * ((2 * abs(pos - 700) * 8 + 60000) // 120000) AS cell FROM t WHERE k % 2 = 0 OR k / 100.0::DOUBLE >= 0.65),
+g AS (SELECT * EXCLUDE (chart), least(greatest(sign(5600 + cell * 60000)::BIGINT * ((2 * abs(5600 + cell * 60000) + 8) // 16), 0), final) AS chart FROM c),
+q AS (SELECT *, greatest(0, 1 - abs(pos - chart) / 1875.0::DOUBLE) AS al, CASE primary_stem WHEN 'vocals' THEN ev_vocals WHEN 'drums' THEN ev_drums WHEN 'other' THEN ev_other ELSE 0 END AS dm FROM g),
+r AS (SELECT *, {{'s': 0.30 * confidence + 0.12 * salience + 0.45 * al + 0.08 + 0.05 * dm, 'a': al, 'c': confidence, 'p': -pos}} AS worth FROM q)"""
+#: a hit that is better than all before it in its cell reigns; an era ends where a reign begins far from the one before
+REIGNS = f"""{RHYTHM_CELLS},
+b AS (SELECT *, max(worth) OVER (PARTITION BY track_id, chart ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r),
+w AS (SELECT *, best IS NULL OR worth > best AS crown FROM b),
+x AS (SELECT *, last_value(CASE WHEN crown THEN pos END IGNORE NULLS) OVER (PARTITION BY track_id, chart ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reign,
+  last_value(CASE WHEN crown THEN pos END IGNORE NULLS) OVER (PARTITION BY track_id, chart ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM w),
+y AS (SELECT *, sum(CASE WHEN crown AND old IS NOT NULL AND abs(pos - old) > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, chart ORDER BY id) AS era FROM x),
+z AS (SELECT *, max(era) OVER (PARTITION BY track_id, chart) AS last_era, row_number() OVER (PARTITION BY track_id, chart ORDER BY worth DESC, id) AS rn FROM y),
+v AS (SELECT track_id, chart, list_sort(list_distinct(flatten(list(votes)) || ['rhythm_1_16'])) AS votes FROM z WHERE era = last_era AND abs(pos - reign) <= 3600 GROUP BY 1, 2)"""
+
+
+def constrained(spark, d):
+    return S.rhythm_constrain(
         rhythm_input(spark, d), ["track_id"], "id", RATE, F.col("length"), max_error_ms=3_600_000.0, merge_ms=3_600_000.0
     )
+
+
+@query("w12_rhythm_constraint", f"""WITH {REIGNS}
+SELECT z.track_id, z.id, z.pos AS refined, z.chart, array_to_string(v.votes, ',') AS votes, 4 AS n_evidence FROM z JOIN v ON v.track_id = z.track_id AND v.chart = z.chart WHERE z.rn = 1
+UNION ALL SELECT track_id, id, pos, chart, array_to_string([vote1, vote2, 'stem_' || primary_stem], ','), 4 FROM hits WHERE k % 2 = 1 AND k / 100.0::DOUBLE < 0.65""")
+def w12(spark, d):
+    out, _ = constrained(spark, d)
     return out.select("track_id", "id", "refined", "chart", F.array_join("votes", ",").alias("votes"), F.size("evidence").alias("n_evidence"))
 
 
-@query("w12_rhythm_winners", f"""WITH {HITS},
-t AS (SELECT *, max(pos) OVER (PARTITION BY track_id) AS final FROM hits),
-c AS (SELECT *, sign(pos - 700)::BIGINT * ((2 * abs(pos - 700) * 8 + 60000) // 120000) AS cell FROM t WHERE k % 2 = 0 OR k / 100.0::DOUBLE >= 0.65),
-g AS (SELECT * EXCLUDE (chart), least(greatest(sign(5600 + cell * 60000)::BIGINT * ((2 * abs(5600 + cell * 60000) + 8) // 16), 0), final) AS chart FROM c),
-q AS (SELECT *, greatest(0, 1 - abs(pos - chart) / 1875.0::DOUBLE) AS al, CASE primary_stem WHEN 'vocals' THEN ev_vocals WHEN 'drums' THEN ev_drums WHEN 'other' THEN ev_other ELSE 0 END AS dm FROM g),
-r AS (SELECT id, chart, row_number() OVER (PARTITION BY track_id, chart ORDER BY 0.30 * confidence + 0.12 * salience + 0.45 * al + 0.08 + 0.05 * dm DESC, al DESC, confidence DESC, pos, id) AS rn FROM q)
-SELECT id, chart FROM r WHERE rn = 1 UNION ALL SELECT id, chart FROM hits WHERE k % 2 = 1 AND k / 100.0::DOUBLE < 0.65""")
+@query("w12_rhythm_evidence", f"""WITH {REIGNS}, giving AS (SELECT * FROM z WHERE era = last_era AND abs(pos - reign) <= 3600)
+SELECT z.id, round(max(n.ev_vocals), 6) AS vocals, round(max(n.ev_drums), 6) AS drums, round(max(n.ev_other), 6) AS other
+FROM z JOIN giving n ON n.track_id = z.track_id AND n.chart = z.chart WHERE z.rn = 1 GROUP BY z.id
+UNION ALL SELECT id, round(ev_vocals, 6), round(ev_drums, 6), round(ev_other, 6) FROM hits WHERE k % 2 = 1 AND k / 100.0::DOUBLE < 0.65""")
+def w12_evidence(spark, d):
+    out, _ = constrained(spark, d)
+    return out.select("id", *(F.round(F.col("evidence")[c], 6).alias(c) for c in ("vocals", "drums", "other")))
+
+
+@query("w12_rhythm_statistics", f"""WITH {RHYTHM_CELLS}
+SELECT track_id, count(*) AS input_count, count(*) FILTER (abs(pos - chart) > 1875) AS retained_off_grid, count(DISTINCT chart) AS output_count,
+  count(*) - count(DISTINCT chart) AS merged_same_grid FROM r GROUP BY track_id""")
+def w12_statistics(spark, d):
+    return constrained(spark, d)[1]
+
+
+@query("w12_rhythm_winners", f"""WITH {RHYTHM_CELLS},
+o AS (SELECT id, chart, row_number() OVER (PARTITION BY track_id, chart ORDER BY worth DESC, id) AS rn FROM r)
+SELECT id, chart FROM o WHERE rn = 1 UNION ALL SELECT id, chart FROM hits WHERE k % 2 = 1 AND k / 100.0::DOUBLE < 0.65""")
 def w12_winners(spark, d):
-    out, _ = S.rhythm_constrain(
-        rhythm_input(spark, d), ["track_id"], "id", RATE, F.col("length"), max_error_ms=3_600_000.0, merge_ms=3_600_000.0
-    )
-    return out.select("id", "chart")
+    return constrained(spark, d)[0].select("id", "chart")
 
 
 CLUSTERED = f"""{anchors_sql(6 * HOUR, 'hits')},
