@@ -207,11 +207,42 @@ def d7(spark, d):
     return out.select("track_id", "frame_idx", *(F.round(c, 6).alias(c) for c in scores))
 
 
-@query("d8_energy_anchors")
+@query("d8_energy_anchors", f"""WITH RECURSIVE {STEM_FRAMES}, {POINTS}, {TILES},
+g AS (SELECT track_id, frame_idx, vocals AS rms, drums AS attack, greatest(0.0::DOUBLE, (coalesce(lead(vocals) OVER w, vocals) - coalesce(lag(vocals) OVER w, vocals))
+    / CASE WHEN lag(vocals) OVER w IS NOT NULL AND lead(vocals) OVER w IS NOT NULL THEN 2 ELSE 1 END) AS rise
+  FROM stem_frames WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+m AS (SELECT track_id, greatest(quantile_cont(rms, 0.9), 1e-9) AS loud, greatest(quantile_cont(rms, 0.2), 1e-9) AS noise, greatest(quantile_cont(attack, 0.99), 1e-9) AS qa,
+  greatest(quantile_cont(rise, 0.99), 1e-9) AS qr FROM g GROUP BY track_id),
+f AS (SELECT g.*, greatest(pow(10.0::DOUBLE, -52 / 20.0::DOUBLE), loud * 0.025::DOUBLE, noise * 6.0::DOUBLE) AS floor, loud,
+  0.62::DOUBLE * greatest(0, least(1.5::DOUBLE, attack / qa)) + 0.38::DOUBLE * greatest(0, least(1.5::DOUBLE, rise / qr)) AS x,
+  greatest(0, least(1.0::DOUBLE, attack / qa)) AS strike, greatest(0, least(1.0::DOUBLE, rise / qr)) AS climb FROM g JOIN m USING (track_id)),
+e AS (SELECT *, greatest(0, least(1.0::DOUBLE, (rms - floor) / greatest(loud - floor, 1e-9))) AS active FROM f),
+i AS (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY frame_idx) AS run
+  FROM (SELECT *, lag(x) OVER (PARTITION BY track_id ORDER BY frame_idx) AS before FROM e)),
+u AS (SELECT track_id, run, min(x) AS x, (min(frame_idx) + max(frame_idx)) // 2 AS frame_idx FROM i GROUP BY 1, 2),
+p AS (SELECT track_id, frame_idx, x, row_number() OVER (PARTITION BY track_id ORDER BY x DESC, frame_idx DESC) AS rn
+  FROM (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b FROM u WINDOW o AS (PARTITION BY track_id ORDER BY run)) WHERE a < x AND b < x AND x >= 0.10),
+k AS (SELECT DISTINCT track_id, 0::BIGINT AS rn, []::BIGINT[] AS kept FROM p
+  UNION ALL SELECT k.track_id, p.rn, CASE WHEN len(list_filter(kept, lambda q: abs(q - p.frame_idx) < 3)) > 0 THEN kept ELSE list_append(kept, p.frame_idx) END
+  FROM k JOIN p ON p.track_id = k.track_id AND p.rn = k.rn + 1),
+s AS (SELECT track_id, unnest(max_by(kept, rn)) AS frame_idx FROM k GROUP BY track_id),
+t AS (SELECT e.*, coalesce((SELECT max(o.frame_idx) FROM e o WHERE o.track_id = e.track_id AND o.frame_idx < e.frame_idx AND o.x > e.x), -1) AS l,
+  coalesce((SELECT min(o.frame_idx) FROM e o WHERE o.track_id = e.track_id AND o.frame_idx > e.frame_idx AND o.x > e.x), 1000000) AS r FROM e JOIN s USING (track_id, frame_idx)),
+h AS (SELECT t.*, t.x - greatest((SELECT min(o.x) FROM e o WHERE o.track_id = t.track_id AND o.frame_idx > l AND o.frame_idx <= t.frame_idx),
+  (SELECT min(o.x) FROM e o WHERE o.track_id = t.track_id AND o.frame_idx < r AND o.frame_idx >= t.frame_idx)) AS prominence FROM t),
+c AS (SELECT h.*, h.frame_idx * 40000 AS acoustic, (SELECT min(idx) FROM tiles WHERE tiles.track_id = h.track_id AND status <> 'success' AND h.frame_idx * 40000 >= s AND h.frame_idx * 40000 < e) AS idx
+  FROM h WHERE prominence >= 0.025 AND rms >= floor),
+n AS (SELECT *, 2400 + sign(acoustic - 300)::BIGINT * ((2 * abs(acoustic - 300) * 8 + 60000) // 120000) * 60000 AS cell FROM c WHERE idx IS NOT NULL),
+y AS (SELECT *, sign(cell)::BIGINT * ((2 * abs(cell) + 8) // 16) AS chart FROM n),
+z AS (SELECT *, exp(-0.5::DOUBLE * pow(abs(acoustic - chart) / 7500.0::DOUBLE / 0.35::DOUBLE, 2)) AS fit FROM y)
+SELECT track_id, acoustic, chart, idx, round(greatest(0, least(0.72::DOUBLE, 0.18 + 0.25 * active + 0.22 * strike + 0.17 * climb + 0.13 * fit + 0.05 * greatest(0, least(1, prominence)))), 6) AS confidence,
+  round(active, 6) AS activity, round(strike, 6) AS attack_score, round(climb, 6) AS rise_score, round(fit, 6) AS grid_confidence
+FROM z WHERE fit >= 0.18 AND active >= 0.08 AND greatest(strike, climb) >= 0.10""")
 def d8(spark, d):
     rows = stem_frames(spark, d).select("track_id", "frame_idx", F.col("vocals").alias("rms"), F.col("drums").alias("attack"))
     chunks = tiles(spark, d).filter("status <> 'success'").select("track_id", "idx", "start", "end")
-    return S.energy_anchors(rows, chunks, FRAME_LINE, Lattice(RATE, 0.002, 300), 40_000, 3)
+    out = S.energy_anchors(rows, chunks, FRAME_LINE, Lattice(RATE, 0.002, 300), 40_000, 3)
+    return out.withColumns({c: F.round(c, 6) for c in ("confidence", "activity", "attack_score", "rise_score", "grid_confidence")})
 
 
 def words(text):
