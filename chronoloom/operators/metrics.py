@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.chains import keep_distant
+from ..core.durable import checkpointed
 from ..core.quantiles import attach, curve_quantiles, exact_quantiles, union_all
 from ..core.timeline import Timeline, carried, islands
 from ..functions.lattice import line_distance, rhythm_score
@@ -53,59 +54,99 @@ def _report(stats: DataFrame, errors: DataFrame, keys: Sequence[str], window: in
     )
 
 
+def _all_stats(sizes: DataFrame, pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    stats = sizes.join(counted(pairs, keys, "tp"), keys, "left").na.fill(0, ["tp"])
+    return stats.withColumns({"fp": F.col("predictions") - F.col("tp"), "fn": F.col("truths") - F.col("tp")}), pairs
+
+
+def _strong_stats(sizes: DataFrame, pairs: DataFrame, strong: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    hits = pairs.join(strong, [*keys, "truth_idx"], "left_semi")
+    stats = (
+        sizes.join(counted(hits, keys, "tp"), keys, "left").join(counted(pairs, keys, "_matched"), keys, "left")
+        .na.fill(0, ["tp", "_matched"])
+        .withColumns({"fp": F.col("predictions") - F.col("_matched"), "fn": F.col("strong") - F.col("tp")})
+    )
+    return stats, hits
+
+
+def _strong_rows(truth: DataFrame, tl: Timeline, threshold: float, strength: str, index: str) -> DataFrame:
+    """A truth counts as strong when any truth at its position is strong."""
+    keys = list(tl.keys)
+    places = truth.filter(F.col(strength) >= threshold).select(*keys, tl.pos).distinct()
+    return truth.join(places, [*keys, tl.pos], "left_semi").select(*keys, F.col(index).alias("truth_idx"))
+
+
 def event_metrics(
     truth: DataFrame, predictions: DataFrame, tracks: DataFrame, tl: Timeline,
     windows: Sequence[int], rate: int,
 ) -> DataFrame:
     """One row per track and window; ``tracks`` has keys and ``duration_sec``."""
     keys = list(tl.keys)
-    sizes = (
-        tracks.join(counted(truth, keys, "truths"), keys, "left")
-        .join(counted(predictions, keys, "predictions"), keys, "left")
-        .na.fill(0, ["truths", "predictions"])
-    )
+    sizes = _sizes(tracks, {"truths": truth, "predictions": predictions}, keys)
     blocks = []
     for window in windows:
-        pairs = match_events(truth, predictions, tl, window)
-        stats = sizes.join(counted(pairs, keys, "tp"), keys, "left").na.fill(0, ["tp"])
-        stats = stats.withColumns(
-            {"fp": F.col("predictions") - F.col("tp"), "fn": F.col("truths") - F.col("tp")}
-        )
-        blocks.append(_report(stats, pairs, keys, window, rate, F.col("duration_sec"), keys))
+        stats, errors = _all_stats(sizes, match_events(truth, predictions, tl, window), keys)
+        blocks.append(_report(stats, errors, keys, window, rate, F.col("duration_sec"), keys))
     return union_all(blocks)
 
 
+def _sizes(tracks: DataFrame, sides: Mapping[str, DataFrame], keys: list[str]) -> DataFrame:
+    for name, rows in sides.items():
+        tracks = tracks.join(counted(rows, keys, name), keys, "left")
+    return tracks.na.fill(0, list(sides))
+
+
 def strong_metrics(
     truth: DataFrame, predictions: DataFrame, tracks: DataFrame, tl: Timeline,
     windows: Sequence[int], rate: int, threshold: float, strength: str = "score", index: str = "idx",
 ) -> DataFrame:
-    """Strong subset: match against all truth; matched weak truth is neutral.
+    """Strong subset: match against all truth; matched weak truth is neutral."""
+    keys = list(tl.keys)
+    strong = _strong_rows(truth, tl, threshold, strength, index)
+    sizes = _sizes(tracks, {"strong": truth.filter(F.col(strength) >= threshold), "predictions": predictions}, keys)
+    blocks = []
+    for window in windows:
+        stats, hits = _strong_stats(sizes, match_events(truth, predictions, tl, window), strong, keys)
+        blocks.append(_report(stats, hits, keys, window, rate, F.col("duration_sec"), keys))
+    return union_all(blocks)
+
+
+def evaluation_report(
+    truth: DataFrame, predictions: DataFrame, tracks: DataFrame, expected: DataFrame, estimated: DataFrame, tl: Timeline, *,
+    windows: Sequence[int], rate: int, threshold: float, duplicate_window: int, cell_width: Column, offset: Column,
+    strength: str = "score", index: str = "idx",
+) -> DataFrame:
+    """The whole evaluation in long form: keys, part, window, measure, value.
 
-    A truth counts as strong when any truth at its position is strong.
+    Parts: ``all`` and ``strong`` events per window (one match per window serves both), ``grid`` cells,
+    ``tempo`` errors, ``duplicates``, and ``missing`` with one row for every track that has truth and no
+    prediction.  ``window`` is null where there is none, ``value`` where there is nothing to measure.
+    Arguments as in the single metrics.
     """
     keys = list(tl.keys)
-    places = truth.filter(F.col(strength) >= threshold).select(*keys, tl.pos).distinct()
-    strong = truth.join(places, [*keys, tl.pos], "left_semi").select(
-        *keys, F.col(index).alias("truth_idx")
-    )
-    sizes = (
-        tracks.join(counted(truth.filter(F.col(strength) >= threshold), keys, "strong"), keys, "left")
-        .join(counted(predictions, keys, "predictions"), keys, "left")
-        .na.fill(0, ["strong", "predictions"])
-    )
+    strong = _strong_rows(truth, tl, threshold, strength, index)
+    sides = {"truths": truth, "predictions": predictions, "strong": truth.filter(F.col(strength) >= threshold)}
+    sizes = checkpointed(_sizes(tracks, sides, keys))
+
+    def long(rows: DataFrame, part: str, measures: Sequence[str], window: Column) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))
+        return rows.select(*keys, F.lit(part).alias("part"), window.cast("bigint").alias("window"), F.inline(pairs))
+
+    scores = ["precision", "recall", "f1"]
+    measures = ["tp", "fp", "fn", *scores, "median_error_ms", "p95_error_ms", "fp_per_minute", "fn_per_minute"]
     blocks = []
     for window in windows:
         pairs = match_events(truth, predictions, tl, window)
-        hits = pairs.join(strong, [*keys, "truth_idx"], "left_semi")
-        stats = (
-            sizes.join(counted(hits, keys, "tp"), keys, "left")
-            .join(counted(pairs, keys, "_matched"), keys, "left")
-            .na.fill(0, ["tp", "_matched"])
-            .withColumns(
-                {"fp": F.col("predictions") - F.col("_matched"), "fn": F.col("strong") - F.col("tp")}
-            )
-        )
-        blocks.append(_report(stats, hits, keys, window, rate, F.col("duration_sec"), keys))
+        for part, (stats, errors) in (("all", _all_stats(sizes, pairs, keys)), ("strong", _strong_stats(sizes, pairs, strong, keys))):
+            block = _report(stats, errors, keys, window, rate, F.col("duration_sec"), keys)
+            blocks.append(long(block, part, measures, F.col("window")))
+    none = F.lit(None)
+    cells = cell_accuracy(truth, predictions, keys, tl.pos, cell_width, offset)
+    blocks.append(long(cells, "grid", ["correct", "extra", "missing", "accuracy", *scores], none))
+    blocks.append(long(tempo_error(expected, estimated, keys, rate), "tempo", ["absolute_error", "relative_error", "offset_error_ms"], none))
+    blocks.append(long(duplicate_count(predictions, tl, duplicate_window), "duplicates", ["duplicates"], none))
+    absent = sizes.filter("truths > 0 and predictions = 0")
+    blocks.append(long(absent, "missing", ["truths"], none))
     return union_all(blocks)
 
 

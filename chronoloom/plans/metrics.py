@@ -7,7 +7,7 @@ from ..operators import pyramid
 from ..operators.projections import clip
 from .joins import STEM_FRAMES, UNITS, greedy_match_sql, stem_frames, truth_and_prediction, units
 from .lattice import PLACED
-from .registry import query
+from .registry import ORACLES, query
 from .views import DAY, FRAMES, HITS, HOUR, POINTS, RATE, TEMPO, TRACKS, frames, hits, points, table, tempo
 
 WINDOWS = [HOUR, 4 * HOUR]
@@ -119,6 +119,50 @@ def a6(spark, d):
     return A.tempo_error(expected, estimated, ["track_id"], RATE)
 
 
+MEASURES = ["tp", "fp", "fn", "precision", "recall", "f1", "median_error_ms", "p95_error_ms", "fp_per_minute", "fn_per_minute"]
+
+
+def long_sql(part, window, measures, rows):
+    names, values = ", ".join(f"'{m}'" for m in measures), ", ".join(f"{m}::DOUBLE" for m in measures)
+    return f"SELECT track_id, '{part}' AS part, {window}::BIGINT AS window, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({rows})"
+
+
+def report_sql():
+    weak = ORACLES["a5_cell_jaccard"].split("SELECT track_id, correct", 1)
+    tempo_rows = ORACLES["a6_tempo_error"].split("SELECT track_id, round(abs(eb - b), 6)", 1)
+    blocks = []
+    for tag, window in (("1", WINDOWS[0]), ("2", WINDOWS[1])):
+        blocks.append(long_sql("all", window, MEASURES, block_sql(tag, window, f"matches{tag}", "tn")))
+        blocks.append(long_sql("strong", window, MEASURES, block_sql(tag, window, STRONG.replace("matches2", f"matches{tag}"), "sn")))
+    blocks.append(long_sql("grid", "NULL", ["correct", "extra", "missing", "accuracy", "precision", "recall", "f1"], "SELECT track_id, correct" + weak[1]))
+    blocks.append(long_sql("tempo", "NULL", ["absolute_error", "relative_error", "offset_error_ms"], "SELECT track_id, round(abs(eb - b), 6)" + tempo_rows[1]))
+    doubled = "SELECT p.track_id, p.n - a.n AS duplicates FROM (SELECT track_id, count(*) AS n FROM clicks GROUP BY 1) p JOIN (SELECT track_id, count(*) AS n FROM fold WHERE pos = anchor GROUP BY 1) a USING (track_id)"
+    blocks.append(long_sql("duplicates", "NULL", ["duplicates"], doubled))
+    blocks.append(long_sql("missing", "NULL", ["truths"], "SELECT track_id, tn AS truths FROM sizes WHERE tn > 0 AND pn = 0"))
+    parts = [
+        "WITH RECURSIVE " + POINTS, TEMPO, SIZES, greedy_match_sql(WINDOWS[0], "1"), greedy_match_sql(WINDOWS[1], "2"),
+        "clicks AS (SELECT * FROM points WHERE lane = 'click')", anchors_sql(6 * HOUR, "clicks"),
+        weak[0].split(POINTS + ",", 1)[1].strip(), tempo_rows[0].split(TEMPO + ",", 1)[1].strip(),
+    ]
+    return ", ".join(parts) + "\n" + " UNION ALL ".join(blocks)
+
+
+@query("a2_evaluation_report", report_sql())
+def report(spark, d):
+    truth, predicted = truth_and_prediction(spark, d)
+    by_track = tempo(spark, d).groupBy("track_id")
+    expected = by_track.agg(
+        F.max_by("bpm", "start_pos").alias("expected_bpm"), F.max_by("beat_offset", "start_pos").alias("expected_offset")
+    )
+    estimated = by_track.agg(
+        F.min_by("bpm", "start_pos").alias("estimated_bpm"), F.min_by("beat_offset", "start_pos").alias("estimated_offset")
+    )
+    return A.evaluation_report(
+        truth, predicted, tracks(spark, d), expected, estimated, TRACKS, windows=WINDOWS, rate=RATE, threshold=50.0,
+        duplicate_window=6 * HOUR, cell_width=F.lit(RATE * 60.0) / F.lit(0.00075) / 4, offset=F.lit(500),
+    )
+
+
 @query("a7_project_summary", f"""WITH {POINTS}, {TEMPO}
 SELECT c.c_custkey AS project_id, c.c_name AS title, t.track_id, coalesce(f.bpm, t.est) AS bpm, t.dur AS duration_sec,
        coalesce(h.n, 0) AS hit_count, t.mode
