@@ -411,9 +411,7 @@ def d5(spark, d):
     events = rows.withColumn("pos", F.col("p") % 60_000).drop("p")
     curve = stem_frames(spark, d).select("track_id", "frame_idx", F.col("vocals").alias("fused"))
     line = Timeline(["track_id"], "pos", ["id"], 30_000)
-    # the search bounds of a single song
-    cfg = TempoConfig(most_events=96, most_bins=12, most_peaks=16, most_lags=12, trim_above=160)
-    return estimate_tempo(events, curve, FRAME_LINE, line, "fused", 100.0, 2, cfg)
+    return estimate_tempo(events, curve, FRAME_LINE, line, "fused", 100.0, 2, TempoConfig())
 
 
 @query("x1_extractor_contract", """SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE length(text)::DOUBLE END AS score, CASE WHEN lang = 'en' THEN 'failed' ELSE 'ok' END AS status FROM documents""")
