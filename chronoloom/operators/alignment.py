@@ -182,20 +182,25 @@ def line_runs(
         longest = own * (2.0 / floor - 1.0) if floor > 0 else np.inf
         order = np.argsort(line, kind="stable")
         line, code, sung = line[order], code[order], g["sung"][1:][order].astype(np.int64)
-        found = []
+        # how often a pair was sung in all earlier rows, and in the rows before the first line of a run
+        by_pair = np.argsort(code, kind="stable")
+        upto_pair = np.cumsum(sung[by_pair]) - sung[by_pair]
+        begins = np.flatnonzero(np.r_[True, np.diff(code[by_pair]) != 0])
+        earlier, before = np.empty_like(sung), np.zeros(len(names), dtype=np.int64)
+        earlier[by_pair] = upto_pair - np.repeat(upto_pair[begins], np.diff(np.r_[begins, len(code)]))
+        found, passed = [], 0
         for first in range(len(sizes)):
             stop = int(np.searchsorted(upto, upto[first] + longest, side="right")) - 1
             stop = min(stop, len(sizes), first + most if most else len(sizes))
             lo, hi = np.searchsorted(line, [first, stop])
+            np.add.at(before, code[passed:lo], sung[passed:lo])
+            passed = lo
             if hi == lo:
                 continue
             # pairs in common after each further row, no pair more often than it was heard
-            left, gained = wanted.copy(), np.zeros(stop - first, dtype=np.int64)
-            for at in range(lo, hi):
-                take = min(left[code[at]], sung[at])
-                left[code[at]] -= take
-                gained[line[at] - first] += take
-            common = np.cumsum(gained)
+            own_code = code[lo:hi]
+            taken = np.clip(wanted[own_code] - (earlier[lo:hi] - before[own_code]), 0, sung[lo:hi])
+            common = np.cumsum(np.bincount(line[lo:hi] - first, weights=taken, minlength=stop - first).astype(np.int64))
             after = np.arange(first + 1, stop + 1)
             total = upto[after] - upto[first]
             ratio = 2.0 * common / (own + total)
