@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -107,13 +108,6 @@ def debounce_batch(rows: DataFrame, tl: Timeline, state: str, gap: int) -> DataF
 # protected upsert of arriving rows
 
 
-def current_rows(versions: DataFrame, keys: Sequence[str] = ("track_id",)) -> DataFrame:
-    """State of every track: the rows of the newest version that touched it."""
-    newest = versions.groupBy(*keys).agg(F.max("version").alias("version"))
-    kept = versions.join(newest, [*keys, "version"], "left_semi")
-    return kept.filter("id is not null")
-
-
 def merge_batch(current: DataFrame, arriving: DataFrame, tl: Timeline, radius: int, version: int) -> DataFrame:
     """New version of the touched tracks: protected rows stay, arriving ones fill in.
 
@@ -129,24 +123,72 @@ def merge_batch(current: DataFrame, arriving: DataFrame, tl: Timeline, radius: i
     return merged.unionByName(marker, allowMissingColumns=True).withColumn("version", F.lit(version))
 
 
-def stream_merge(stream: DataFrame, path: str, checkpoint: str, tl: Timeline, radius: int):
-    """Start the upsert: every micro-batch writes version=<batch id> under ``path``.
+BUCKET, SLOT = "bucket", "slot"
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    Only touched tracks are written, and a re-run of a batch overwrites its own
-    version, so the result does not depend on how often a batch is tried.
+
+def bucketed_state(spark: SparkSession, path: str, columns: str, touched: Sequence[int] | None = None, before: int | None = None) -> DataFrame:
+    """Rows of the newest version of each bucket (of ``touched`` alone), of versions up to ``before``; no row if there is none.
+
+    A bucket has two slots with its whole state of two versions; other buckets' files are not opened.
+    """
+    schema = f"id string, {columns}, version bigint, {BUCKET} int, {SLOT} int"
+    try:
+        known = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if touched is not None:
+        known = known.filter(F.col(BUCKET).isin(list(touched)))
+    if before is not None:
+        known = known.filter(F.col("version") < before)
+    newest = known.groupBy(BUCKET).agg(F.max("version").alias("version"))
+    return known.join(F.broadcast(newest), [BUCKET, "version"], "left_semi")  # a row per bucket
+
+
+def merge_into(batch: DataFrame, batch_id: int, path: str, tl: Timeline, radius: int, buckets: int = 64) -> None:
+    """Writes the buckets that a micro-batch touches, each as a whole, into the slot that does not hold its state so far.
+
+    A repeated batch finds the state before it in the other slot, whatever an earlier attempt has left,
+    so it gives the same rows; ``buckets`` must stay the same for a table.
+    """
+    spark = batch.sparkSession
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields if f.name not in ("id", "version"))
+    placed = batch.withColumn(BUCKET, bucket_of(tl.keys, buckets))
+    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    state = bucketed_state(spark, path, columns, touched, batch_id)
+    held = dict(state.select(BUCKET, SLOT).distinct().collect())
+    current = state.drop(BUCKET, SLOT)
+    merged = merge_batch(current.filter("id is not null"), batch, tl, radius, batch_id)
+    arrived = batch.select(*(F.col(k).alias(f"_a_{k}") for k in tl.keys)).distinct()
+    others = current.join(arrived, [F.col(k).eqNullSafe(F.col(f"_a_{k}")) for k in tl.keys], "left_anti")
+    others = others.withColumn("version", F.lit(batch_id).cast("bigint"))
+    rows = merged.withColumn("version", F.col("version").cast("bigint")).unionByName(others, allowMissingColumns=True)
+    slots = F.array(*(F.lit(1 - held.get(b, 1)) for b in range(buckets)))
+    rows = rows.withColumn(BUCKET, bucket_of(tl.keys, buckets)).withColumn(SLOT, F.get(slots, F.col(BUCKET)))
+    writer = rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BUCKET, SLOT).parquet(path)
+
+
+def stored_rows(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Current rows of a table that ``stream_merge`` keeps; ``columns`` is DDL without id and version."""
+    return bucketed_state(spark, path, columns).filter("id is not null").drop(BUCKET, SLOT)
+
+
+def stream_merge(stream: DataFrame, path: str, checkpoint: str, tl: Timeline, radius: int, buckets: int = 64):
+    """Start the upsert: every micro-batch replaces the buckets of its tracks under ``path`` (see ``merge_into``).
+
+    A micro-batch reads and writes the buckets it touches; the table never holds more than two states of a bucket.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [f for f in batch.schema.fields if f.name not in ("id", "version")]
-        empty_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-        history = spark.read.schema(f"id string, {empty_ddl}, version bigint").option("ignoreMissingFiles", True)
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        known = history.parquet(path) if exists else spark.createDataFrame([], f"id string, {empty_ddl}, version bigint")
-        current = current_rows(known.filter(F.col("version") < batch_id), tl.keys)
-        merged = merge_batch(current, batch, tl, radius, batch_id)
-        merged.drop("version").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        merge_into(batch, batch_id, path, tl, radius, buckets)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -1,6 +1,7 @@
 """Streaming operators driven by parquet files, one micro-batch per file."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -93,6 +94,36 @@ def test_protected_upsert(spark, tmp_path):
     tl = Timeline(["track_id"], "pos", ["id"], 1000)
     query = R.stream_merge(stream, path, str(tmp_path / "cp"), tl, 10).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
-    rows = R.current_rows(spark.read.parquet(path)).collect()
+    rows = R.stored_rows(spark, path, ddl).collect()
     # track 1: the manual row stays, 205 is too close to it, 100 was automatic and is gone
     assert {(r["track_id"], r["pos"]) for r in rows} == {(1, 200), (1, 300), (2, 70)}
+
+
+def test_upsert_reads_and_keeps_touched_buckets_only(spark, tmp_path, capsys):
+    ddl = "track_id bigint, pos bigint, source string, edited boolean, locked boolean"
+    path, tl = str(tmp_path / "table"), Timeline(["track_id"], "pos", ["id"], 1000)
+
+    def batch(i):
+        rows = [(t, 100 * i + t, "fused", False, False) for t in range(i % 3, 12, 3)] + [(50 + i, 7, "manual", False, True)]
+        return spark.createDataFrame(rows, ddl)
+
+    def rows():
+        return sorted(map(tuple, R.stored_rows(spark, path, ddl).drop("version").collect()))
+
+    for i in range(12):
+        R.merge_into(batch(i), i, path, tl, 10, buckets=8)
+    before = rows()
+    assert {(r[1], r[2]) for r in before if r[1] < 12} == {(t, 100 * max(i for i in range(12) if i % 3 == t % 3) + t) for t in range(12)}
+    assert {r[1] for r in before if r[1] >= 50} == {50 + i for i in range(12)}
+    # a repeated batch, whole or half done before, gives the same rows
+    R.merge_into(batch(11), 11, path, tl, 10, buckets=8)
+    assert rows() == before
+    late = batch(12)
+    touched = [r[0] for r in late.select(R.bucket_of(["track_id"], 8)).distinct().collect()]
+    state = R.bucketed_state(spark, path, ddl, touched[:2], 12)
+    assert {r["bucket"] for r in state.collect()} <= set(touched[:2])
+    state.explain()
+    scans = [line for line in capsys.readouterr().out.splitlines() if "FileScan" in line]
+    assert scans and all(re.search(r"PartitionFilters: \[[^\]]*bucket", line) for line in scans)
+    folders = list((tmp_path / "table").glob("bucket=*/slot=*"))
+    assert len(folders) <= 16
